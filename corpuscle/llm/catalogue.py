@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, shards, urls
+from . import licences, packing, shards, store, tokenfile, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), 4096, end_id=1)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.place(spark, "token-store")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=2)
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op4_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shards.shard(table(spark, sf_dir, "documents"), 8)
