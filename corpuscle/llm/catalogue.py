@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, packing, shards, store, tokenfile, urls
+from . import fertility, langid, licences, packing, shards, store, tokenfile, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,13 @@ def op1_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op2_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(documents.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(documents.drop("lang"), model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.place(spark, "token-store")
@@ -68,6 +75,13 @@ s AS (SELECT *, least(7, ((2 * before + size) * 8) // (2 * total))::INTEGER AS s
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (n - min(n) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s"""
 
 
+@query
+def op5_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = fertility.judge(documents, tokenizer("piece_bpe_32k.model"), tokenizer())
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", *fertility.MEASURES[:1], "word_chars_per_token", "byte_share", "entropy")
+
+
 @query
 def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"))
