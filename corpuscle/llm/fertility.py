@@ -12,6 +12,7 @@ without letters is "none". A measure that doesn't exist is in every band. Repeat
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import keep
-from .words import LOADED, WordIds, raw_texts, slices
+from .words import LOADED, WordIds, raw_texts, slices, word_bpe
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("piece_chars", "word_chars_per_token", "byte_share", "entropy")
@@ -39,20 +40,10 @@ def piece_bpe(path: str) -> WordIds:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        LOADED[path] = WordIds(lambda words: [np.array(x, "<u2").tobytes() for x in model.encode(words, num_threads=1)])
+        LOADED[path] = WordIds(lambda words, _: [array("H", x).tobytes() for x in model.encode([w.decode() for w in words], num_threads=1)])
     return LOADED[path]
 
 
-def word_counts(path: str) -> WordIds:
-    """For each word as many bytes as it has tokens."""
-    if (path, "counts") not in LOADED:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        LOADED[path, "counts"] = WordIds(lambda words: [bytes(len(e.ids)) for e in t.encode_batch_fast(words, add_special_tokens=False)])
-    return LOADED[path, "counts"]
-
-
 def repeated_words(words: list[bytes]) -> int:
     """Words inside windows of three words that occur twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -91,15 +82,15 @@ def measure(documents: DataFrame, pieces: str, words_file: str, text: str = "tex
     documents = documents.drop(*[f for f, _ in fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_piece, by_word = piece_bpe(pieces), word_counts(words_file)
+        by_piece, by_word = piece_bpe(pieces), word_bpe(words_file)
         for batch in slices(batches, text):
             rows = []
             for raw in raw_texts(batch, text):
                 raw = raw or b""
                 words = raw.split()
                 joined = b"".join(words).decode()
-                ids = np.frombuffer(b"".join(map(by_piece.learn(words).__getitem__, words)), "<u2")
-                n_word_tokens = len(b"".join(map(by_word.learn(words).__getitem__, words)))
+                ids = np.frombuffer(by_piece.ids(raw), "<u2")
+                n_word_tokens = len(by_word.ids(raw)) // 4
                 lines = [x for x in raw.split(b"\n") if x.strip()]
                 rows.append((
                     len(words), len(joined), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),

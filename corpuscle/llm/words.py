@@ -1,52 +1,99 @@
 """Token ids of whole texts, word by word.
 
 The vocabularies used here never join characters across ASCII white space, so a text's ids are those of its words in a row. Each
-worker keeps the ids of the words it has met; only new words go to the tokenizer's library, many at a time. The number of words kept is
-bounded, and the whole is forgotten when it is reached; results don't depend on it.
+worker keeps the ids of the words it has met; only new words go to the tokenizer's library. The number of words kept is bounded: the
+older half is forgotten when a limit is reached. Results don't depend on it.
 """
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A worker's tokenizers by their arguments; they stay from task to task.
 LOADED: dict[Any, WordIds] = {}
 
 
 class WordIds:
-    """encode(words) gives a list of bytes, the ids of each word in whatever form the caller joins."""
+    """The ids of words, as bytes in whatever form `encode` gives them; encode gets new words and what is known by now."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 250_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list[bytes], dict[bytes, bytes]], list[bytes]], most: int = 250_000):
+        self.encode, self.most, self.known, self.older = encode, most, {}, {}
+
+    def ids(self, raw: bytes | None) -> bytes:
+        words = (raw or b"").split()
+        return b"".join(map(self.learn(words).__getitem__, words))
 
     def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of these words, and perhaps of others."""
-        new = list(set(words).difference(self.known))
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.older, self.known, new = self.known, {}, set(words)
         if new:
-            if len(self.known) + len(new) > self.most and self.known:
-                self.known = {}
-                return self.learn(words)
-            for i in range(0, len(new), 5000):
-                part = new[i : i + 5000]
-                self.known.update(zip(part, self.encode([w.decode() for w in part])))
+            if self.older:
+                seen = [w for w in new if w in self.older]
+                self.known.update((w, self.older[w]) for w in seen)
+                new.difference_update(seen)
+            part = list(new)
+            self.known.update(zip(part, self.encode(part, self.known)))
         return self.known
 
-    def ids(self, raw: bytes | None) -> bytes:
-        words = (raw or b"").split()
-        return b"".join(map(self.learn(words).__getitem__, words))
+
+#: Words that a tokenizer's normalising and splitting only lower-case, but for one mark at the end.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def visible_bytes() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def word_bpe(path: str) -> WordIds:
-    """Ids as little-endian unsigned 32-bit integers by a tokenizers file, without special tokens."""
+    """Ids as little-endian unsigned 32-bit integers by a tokenizers file, without special tokens.
+
+    The library's model is asked directly for words that its normaliser would only lower-case, which saves most of the time; whether
+    that holds is tried when the file is loaded, and otherwise all words take the whole way.
+    """
     if path not in LOADED:
-        import numpy as np
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks have a core each
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        LOADED[path] = WordIds(lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        table, model = visible_bytes(), t.model
+
+        def whole(words: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+        def stem(s: str) -> bytes:
+            return array("I", [k.id for k in model.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(table))]).tobytes()
+
+        letters = "".join(chr(c) for c in range(256) if PLAIN.fullmatch(chr(c)))
+        trial = [a + b for a in letters for b in ("", "e", "Ö")] + ["Streaming", "naïve", "Ünïted", "ñandú", letters]
+        direct = whole(trial) == [stem(w.lower()) for w in trial] and whole([w + m for w in trial for m in ".,"]) == [a + b for a in whole(trial) for b in whole([".", ","])]
+        marks = {m: whole([m])[0] if m else b"" for m in ("", ".", ",")}
+
+        def encode(words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
+            out: list[bytes] = [b""] * len(words)
+            rest = []
+            for i, w in enumerate(words):
+                if direct and (plain := PLAIN.fullmatch(w.decode())):
+                    s = plain[1].lower()
+                    out[i] = (known.get(s.encode()) or stem(s)) + marks[plain[2]]
+                else:
+                    rest.append(i)
+            for i, ids in zip(rest, whole([words[i].decode() for i in rest]) if rest else []):
+                out[i] = ids
+            return out
+
+        LOADED[path] = WordIds(encode)
     return LOADED[path]
 
 
@@ -60,10 +107,7 @@ def raw_texts(batch: pa.RecordBatch, text: str) -> Iterator[bytes | None]:
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of text, so that a step's arrays stay small; a longer text is a batch of its own."""
     for batch in batches:
-        n = batch.column(text).cast(pa.large_binary())
-        import pyarrow.compute as pc
-
-        sizes = pc.fill_null(pc.binary_length(n), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.large_binary())), 0).to_pylist()
         at = total = 0
         for i, x in enumerate(sizes):
             if total and total + x > most:
