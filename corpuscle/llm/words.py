@@ -93,7 +93,7 @@ def word_bpe(path: str) -> WordIds:
                 out[i] = ids
             return out
 
-        LOADED[path] = WordIds(encode)
+        LOADED[path] = WordIds(encode, 400_000)
     return LOADED[path]
 
 
