@@ -86,7 +86,11 @@ def word_bpe(path: str) -> WordIds:
             for i, w in enumerate(words):
                 if direct and (plain := PLAIN.fullmatch(w.decode())):
                     s = plain[1].lower()
-                    out[i] = (known.get(s.encode()) or stem(s)) + marks[plain[2]]
+                    raw = s.encode()
+                    ids = known.get(raw)
+                    if ids is None:
+                        ids = known[raw] = stem(s)
+                    out[i] = ids + marks[plain[2]]
                 else:
                     rest.append(i)
             for i, ids in zip(rest, whole([words[i].decode() for i in rest]) if rest else []):
