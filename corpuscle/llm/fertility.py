@@ -29,19 +29,34 @@ from .words import LOADED, WordIds, raw_texts, slices, word_bpe
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("piece_chars", "word_chars_per_token", "byte_share", "entropy")
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Thai", "Hangul", "Hiragana", "Katakana", "Han")
-LETTERS = regex.compile("|".join(rf"(?P<{s}>\p{{Script={s}}})" for s in SCRIPTS))
+LETTERS = regex.compile("|".join(rf"(?P<{s}>\p{{Script={s}}}+)" for s in SCRIPTS))
 #: Ids of the byte-fallback pieces <0x00> to <0xFF>.
 FIRST_BYTE, LAST_BYTE = 3, 258
 
 
-def piece_bpe(path: str) -> WordIds:
-    """Ids of words, each on its own, as little-endian unsigned 16-bit integers."""
-    if path not in LOADED:
+#: Marks the number of a word's tokens by the second vocabulary among its ids by the first, which are all below.
+COUNT = 1 << 15
+
+
+def by_both(pieces: str, words_file: str) -> WordIds:
+    """For each word, on its own, the ids of its pieces and after them COUNT plus the number of its tokens by the other vocabulary, as unsigned 16-bit integers."""
+    if (pieces, words_file) not in LOADED:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        LOADED[path] = WordIds(lambda words, _: [array("H", x).tobytes() for x in model.encode([w.decode() for w in words], num_threads=1)])
-    return LOADED[path]
+        model, other = sentencepiece.SentencePieceProcessor(model_file=pieces), word_bpe(words_file)
+        if model.get_piece_size() > COUNT:
+            raise ValueError(f"more than {COUNT} pieces")
+
+        stems: dict[bytes, bytes] = {}
+
+        def encode(words: list[bytes], _: dict[bytes, bytes]) -> list[bytes]:
+            if len(stems) > 300_000:
+                stems.clear()
+            ids = model.encode([w.decode() for w in words], num_threads=1)
+            return [array("H", [*x, COUNT | min(COUNT - 1, len(y) // 4)]).tobytes() for x, y in zip(ids, other.encode(words, stems))]
+
+        LOADED[pieces, words_file] = WordIds(encode, 500_000)
+    return LOADED[pieces, words_file]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -57,11 +72,15 @@ def repeated_words(words: list[bytes]) -> int:
     return sum(inside)
 
 
-def script_of(text: str, most: int = 1 << 16) -> str:
-    """The script of the first letter of each of up to `most` words spread evenly over the text; the commonest wins, Latin first."""
-    words = text.split()
-    found = Counter(m.lastgroup for w in words[:: len(words) // most + 1] if (m := LETTERS.search(w)))
-    return max(SCRIPTS, key=lambda s: found[s]) if found else "none"
+def script_of(text: str) -> str:
+    """The script that most letters of a text without white space are in, the first of SCRIPTS in a tie."""
+    try:
+        return "Latin" if any(map(str.isalpha, text.encode("latin-1").decode("latin-1"))) else "none"  # no other script's letters are there
+    except UnicodeEncodeError:
+        found = Counter()
+        for part in LETTERS.finditer(text):
+            found[part.lastgroup] += part.end() - part.start()
+        return max(SCRIPTS, key=lambda s: found[s]) if found else "none"
 
 
 def entropy_share(ids: np.ndarray) -> float | None:
@@ -82,19 +101,20 @@ def measure(documents: DataFrame, pieces: str, words_file: str, text: str = "tex
     documents = documents.drop(*[f for f, _ in fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_piece, by_word = piece_bpe(pieces), word_bpe(words_file)
+        both = by_both(pieces, words_file)
         for batch in slices(batches, text):
             rows = []
             for raw in raw_texts(batch, text):
                 raw = raw or b""
                 words = raw.split()
                 joined = b"".join(words).decode()
-                ids = np.frombuffer(by_piece.ids(raw), "<u2")
-                n_word_tokens = len(by_word.ids(raw)) // 4
+                ids = np.frombuffer(both.ids(raw), "<u2")
+                counts = ids >= COUNT
+                n_word_tokens, ids = int((ids[counts] - COUNT).sum(dtype="i8")), ids[~counts]
                 lines = [x for x in raw.split(b"\n") if x.strip()]
                 rows.append((
                     len(words), len(joined), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
-                    "Latin" if joined.isascii() and any(map(str.isalpha, joined[:64])) else script_of(raw.decode()),
+                    script_of(joined),
                     len(joined) / len(ids) if len(ids) else None, len(joined) / n_word_tokens if n_word_tokens else None,
                     float(((ids >= FIRST_BYTE) & (ids <= LAST_BYTE)).mean()) if len(ids) else None, entropy_share(ids),
                 ))
