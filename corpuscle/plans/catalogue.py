@@ -1,11 +1,691 @@
-"""The engine's queries over the driver's tables and the SQL that checks them."""
+"""The engine's queries over the driver's tables and the SQL that checks them. Each runs over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscle.functions import numbers as N
+from corpuscle.functions import scoring as S
+from corpuscle.functions import text as T
+from corpuscle.operators import forecast, graph, merge, search, vectors
+from corpuscle.operators import relational as R
+from corpuscle.plans import reports, views
+from corpuscle.plans.views import CATALOG, CHANNELS, KEYWORDS, RANKINGS, RESEARCH, SCORES, SNAPSHOTS, VIDEOS, table, tok_sql, with_views
+from corpuscle.sources import feeds, links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "r1_scorecard"
+OWN = "src0"
+
+
+def query(sql: str | None):
+    """Registers a query with its SQL, if SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r2(x: str) -> str:
+    """numbers.round_to in SQL, for values of 0 and more."""
+    return f"(floor(({x}) * 100 + 0.5) / 100)"
+
+
+V = VIDEOS
+SEVEN = "coalesce(view_count, 0)"
+
+
+# sources, filters, joins
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events")
+def s5_counts(spark, d):
+    out = [table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("documents", "part", "events")]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
+def s2_point_lookup(spark, d):
+    return R.equals(table(spark, d, "documents"), "doc_id", 42).select("doc_id", "lang", "n_chars")
+
+
+@query(with_views(V, SCORES) + f" SELECT v.video_id, v.channel_id FROM v LEFT JOIN sc USING (video_id) WHERE duration_sec <= 600 AND duration_sec >= 30 AND published_at >= TIMESTAMP '2024-01-05' AND published_at <= TIMESTAMP '2024-12-31' AND coalesce(seo_score, 0) >= 20 AND coalesce(total_score, 0) >= 30 AND list_contains(tags, 'the')")
+def p1_filter_all(spark, d):
+    return R.where_all(views.videos(spark, d), views.scores(spark, d), after="2024-01-05", before="2024-12-31", least_seo=20, least_total=30, longest=600, shortest=30, tags=["The"]).select("video_id", "channel_id")
+
+
+@query(with_views(CATALOG) + " SELECT video_id, title FROM c WHERE contains(lower(title), 'ring')")
+def p2_title_contains(spark, d):
+    return R.title_contains(views.catalog(spark, d), " Ring ").select("video_id", "title")
+
+
+@query(with_views(CATALOG) + f" SELECT video_id, title FROM c WHERE list_contains({tok_sql('title')}, 'bolt') OR contains(lower(title), 'bolt')")
+def p7_topic_match(spark, d):
+    return R.topic_match(views.catalog(spark, d), "Bolt").select("video_id", "title")
+
+
+@query(with_views(V, SCORES) + " SELECT v.video_id FROM v WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.video_id = v.video_id)")
+def p8_unscored(spark, d):
+    return R.without(views.videos(spark, d), views.scores(spark, d), "video_id").select("video_id")
+
+
+@query(with_views(V, CHANNELS) + " SELECT video_id, channel_id FROM v WHERE channel_id IN (SELECT channel_id FROM ch WHERE competitor)")
+def j9_competitor_videos(spark, d):
+    return R.within(views.videos(spark, d), views.channels(spark, d).where("competitor"), "channel_id").select("video_id", "channel_id")
+
+
+@query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
+def j1_inner_join(spark, d):
+    o, c = table(spark, d, "orders").where("o_totalprice > 200000"), table(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name", "o_totalprice")
+
+
+@query(with_views(V, CHANNELS, SCORES) + " SELECT v.video_id, v.title, coalesce(ch.title, '—') AS channel_title, coalesce(view_count, 0) AS view_count, coalesce(total_score, 0.0) AS total_score, total_score IS NOT NULL AS has_score FROM v LEFT JOIN sc USING (video_id) LEFT JOIN ch USING (channel_id)")
+def j2_scored_list(spark, d):
+    return R.scored_list(views.videos(spark, d), views.scores(spark, d), views.channels(spark, d))
+
+
+@query(with_views(V) + ", t AS (SELECT DISTINCT video_id, unnest(tags) AS tag FROM v) SELECT a.video_id AS a, b.video_id AS b, count(*)::DOUBLE AS weight FROM t a JOIN t b ON a.tag = b.tag AND a.video_id < b.video_id GROUP BY 1, 2 HAVING count(*) >= 3")
+def j11_shared_tags(spark, d):
+    v = views.videos(spark, d).select("video_id", F.explode("tags").alias("tag"))
+    return R.shared_items(v, "tag", least=3)
+
+
+@query(with_views(V) + f""", s AS (SELECT video_id, list_distinct({tok_sql('title')}) AS t FROM v), u AS (SELECT video_id, len(t) AS n, unnest(t) AS tok FROM s),
+p AS (SELECT a.video_id AS a, b.video_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.tok = b.tok AND a.video_id < b.video_id GROUP BY 1, 2)
+SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM p WHERE k / (na + nb - k) >= 0.5""")
+def j12_similar_titles(spark, d):
+    return R.similar_titles(views.videos(spark, d), 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+# aggregates
+
+
+@query(with_views(V) + " SELECT round(sum(view_count)::DOUBLE, 6) AS sum, round(avg(view_count), 6) AS avg, min(view_count)::DOUBLE AS min, max(view_count)::DOUBLE AS max, count(*) AS count FROM v")
+def a1_totals(spark, d):
+    return R.totals(views.videos(spark, d), "view_count").withColumns({c: F.round(c, 6) for c in ("sum", "avg")})
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def a5_group_counts(spark, d):
+    return R.group_counts(table(spark, d, "documents"), "lang")
+
+
+TAGGED = "tg AS (SELECT video_id, channel_id, view_count, lower(trim(t)) AS tag FROM (SELECT video_id, channel_id, view_count, unnest(tags) AS t FROM c) WHERE trim(t) <> '')"
+
+
+@query(with_views(CATALOG, TAGGED) + " SELECT k.tag, count(tg.tag) AS uses FROM (SELECT unnest(['red', 'blue', 'unheard', 'promo']) AS tag) k LEFT JOIN tg ON tg.tag = k.tag GROUP BY 1")
+def a6_tag_cloud(spark, d):
+    known = spark.createDataFrame([(t,) for t in ("red", "blue", "unheard", "promo")], "tag string")
+    return R.tag_cloud(known, R.video_tags(views.catalog(spark, d)))
+
+
+@query(with_views(CATALOG, TAGGED) + ", g AS (SELECT tag, count(*) FILTER (channel_id <> 'Brand#1') AS competitor_uses, count(*) FILTER (channel_id = 'Brand#1') AS own_uses FROM tg GROUP BY 1) SELECT *, round(CASE WHEN own_uses = 0 THEN least(competitor_uses, 100)::DOUBLE ELSE least(greatest((competitor_uses - own_uses)::DOUBLE / own_uses * 100, 0), 100) END, 6) AS opportunity FROM g WHERE competitor_uses > own_uses")
+def a7_tag_gaps(spark, d):
+    return R.tag_gaps(views.catalog(spark, d), "Brand#1").withColumn("opportunity", F.round("opportunity", 6))
+
+
+@query(with_views(CATALOG, TAGGED) + ", g AS (SELECT channel_id, tag, count(*) AS video_count, sum(view_count) AS vs FROM tg GROUP BY 1, 2) SELECT channel_id, tag, video_count, round(vs / video_count, 6) AS avg_views, row_number() OVER (PARTITION BY channel_id ORDER BY video_count DESC, vs DESC, tag) AS rank FROM g")
+def a8_competitor_tags(spark, d):
+    c = views.catalog(spark, d)
+    return R.competitor_tags(c, c.select("channel_id").distinct()).withColumn("avg_views", F.round("avg_views", 6))
+
+
+@query(with_views(CATALOG, TAGGED) + ", g AS (SELECT channel_id, tag, count(*) AS n, sum(view_count) AS vs FROM tg GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, vs DESC, tag) AS k FROM g) SELECT channel_id, round(least(count(DISTINCT tag) / sum(n) * 100, 100), 6) AS diversity FROM r WHERE k <= 50 GROUP BY 1")
+def a9_tag_diversity(spark, d):
+    c = views.catalog(spark, d)
+    return R.tag_diversity(R.competitor_tags(c, c.select("channel_id").distinct())).withColumn("diversity", F.round("diversity", 6))
+
+
+@query(with_views(V) + " SELECT tag, count(*) AS uses, min(published_at) AS first_used, max(published_at) AS last_used FROM (SELECT published_at, unnest(tags) AS tag FROM v) GROUP BY 1")
+def a10_tag_census(spark, d):
+    return R.tag_census(views.videos(spark, d))
+
+
+@query(with_views(V) + f", t AS (SELECT channel_id, lower(trim(x)) AS tag FROM (SELECT channel_id, unnest(tags) AS x FROM v)), o AS (SELECT tag, count(*) AS uses FROM t WHERE channel_id <> '{OWN}' AND tag NOT IN (SELECT tag FROM t WHERE channel_id = '{OWN}') GROUP BY 1) SELECT tag, uses, round(uses / (SELECT sum(uses) FROM o) * 100, 6) AS opportunity FROM o ORDER BY uses DESC, tag LIMIT 20")
+def a11_missing_tags(spark, d):
+    return R.missing_tags(views.videos(spark, d), OWN).withColumn("opportunity", F.round("opportunity", 6))
+
+
+@query(with_views(V) + f""", f AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY video_id) AS nth FROM v), m AS (SELECT channel_id, avg(view_count) AS mv FROM f WHERE nth <= 50 GROUP BY 1)
+SELECT video_id, channel_id, view_count, {r2('mv')} AS mean_views, {r2('view_count / mv')} AS multiple FROM v JOIN m USING (channel_id) WHERE mv > 0 AND view_count / mv >= 3""")
+def a13_outliers(spark, d):
+    return reports.outlier_report(views.videos(spark, d))
+
+
+STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(R.STOP_WORDS))
+MARKED = " OR ".join(f"contains(lower(title), '{m}')" for m in R.SERIES_MARKERS)
+COVERAGE = f"""tp AS (SELECT *, {MARKED} AS marked FROM (SELECT video_id, channel_id, title, view_count, published_at, duration_sec, unnest({tok_sql('title')}) AS topic FROM v) WHERE strlen(topic) >= 3 AND topic NOT IN ({STOP})),
+cv AS (SELECT topic, count(*) AS videos, count(DISTINCT channel_id) AS channels, avg(view_count) AS mean, max(published_at) AS newest, count(*) FILTER (duration_sec <= 60) = 0 AS no_short, count(*) FILTER (marked) >= 2 AS is_series FROM tp GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@query(with_views(V, COVERAGE) + f" SELECT topic, videos, channels, {r2('mean')} AS mean_views, newest, no_short, is_series, {r2('least(mean / 100000, 1) * greatest(1 - channels / 5, 0) * 100')} AS score FROM cv")
+def a14_topic_coverage(spark, d):
+    return R.topic_coverage(views.videos(spark, d))
+
+
+@query(with_views(V, COVERAGE) + " SELECT topic FROM cv WHERE floor(epoch(TIMESTAMP '2025-01-20' - newest) / 86400) > 365")
+def a16_freshness_gaps(spark, d):
+    return R.freshness_gaps(R.topic_coverage(views.videos(spark, d)), "2025-01-20")
+
+
+@query(with_views(V, COVERAGE) + " SELECT topic FROM cv WHERE no_short AND floor(mean * 100 + 0.5) / 100 > 0")
+def a17_format_gaps(spark, d):
+    return R.format_gaps(R.topic_coverage(views.videos(spark, d)))
+
+
+@query(with_views(V) + " SELECT channel_id, round(coalesce(median(view_count), 0), 6) AS median FROM v GROUP BY 1")
+def a19_medians(spark, d):
+    return R.medians(views.videos(spark, d), "channel_id", "view_count").withColumn("median", F.round("median", 6))
+
+
+CATEGORY_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in feeds.CATEGORIES.items())
+
+
+@query(f"SELECT coalesce(name, id) AS category, count(*) AS videos FROM (SELECT CAST(doc_id % 50 AS VARCHAR) AS id FROM documents) LEFT JOIN (VALUES {CATEGORY_ROWS}) k(cid, name) ON cid = id GROUP BY 1")
+def a21_category_breakdown(spark, d):
+    return feeds.category_breakdown(table(spark, d, "documents").select((F.col("doc_id") % 50).cast("string").alias("category_id")))
+
+
+@query(with_views(SNAPSHOTS) + ' SELECT "at", round(sum(coalesce(total_views, 0)), 3) AS total_views FROM sn GROUP BY 1')
+def a22_trends(spark, d):
+    return R.trends(views.snapshots(spark, d)).withColumn("total_views", F.round("total_views", 3))
+
+
+@query(with_views(SCORES) + " SELECT floor(least(greatest(total_score, 0), 99.9) / 10)::INT AS bucket, count(*) AS n FROM sc GROUP BY 1")
+def a24_histogram(spark, d):
+    return R.histogram(views.scores(spark, d), "total_score")
+
+
+@query(with_views(V) + f" SELECT channel_id, sum({SEVEN})::BIGINT AS views, count(*) AS videos FROM v GROUP BY 1 ORDER BY views DESC, channel_id LIMIT 8")
+def a23_channel_views(spark, d):
+    return R.channel_views(views.videos(spark, d))
+
+
+@query(with_views(V) + " SELECT count(*) FILTER (like_count = 0)::DOUBLE AS value, 'no_likes' AS name FROM v UNION ALL SELECT count(*) FILTER (comment_count = 0)::DOUBLE, 'no_comments' FROM v UNION ALL SELECT 100.0::DOUBLE, 'completeness' UNION ALL SELECT count(*)::DOUBLE, 'rows_videos' FROM v UNION ALL SELECT count(*)::DOUBLE, 'rows_labels' FROM labels")
+def r2_health(spark, d):
+    v = views.videos(spark, d)
+    return reports.health({"videos": v, "labels": table(spark, d, "labels")}, v)
+
+
+KWS = ", ".join(f"'{k}'" for k in KEYWORDS)
+
+
+@query(with_views(CATALOG) + f""", h AS (SELECT k AS keyword, channel_id, count(*) AS videos, sum(view_count) AS vs FROM c, (SELECT unnest([{KWS}]) AS k) WHERE list_contains({tok_sql('title')}, k) GROUP BY 1, 2)
+SELECT keyword, channel_id, videos, round(0.5 * videos / sum(videos) OVER w + 0.5 * coalesce(vs::DOUBLE / nullif(sum(vs) OVER w, 0), 0), 6) AS dominance, round(sum(vs) OVER w / sum(videos) OVER w, 6) AS mean_views FROM h WINDOW w AS (PARTITION BY keyword)""")
+def a31_keyword_dominance(spark, d):
+    return R.keyword_dominance(views.catalog(spark, d), KEYWORDS).withColumns({c: F.round(c, 6) for c in ("dominance", "mean_views")})
+
+
+CENTRAL = "(SELECT channel_id, (count(*) % 7) / 10.0 AS centrality FROM {0} GROUP BY 1)"
+
+
+@query(with_views(CATALOG, TAGGED) + f" SELECT tag, round(least(avg(coalesce(centrality, 0)) * ln(1 + count(*)) * 100, 100), 6) AS authority FROM tg LEFT JOIN {CENTRAL.format('c')} USING (channel_id) GROUP BY 1")
+def a32_tag_authority(spark, d):
+    c = views.catalog(spark, d)
+    return R.tag_authority(c, c.groupBy("channel_id").agg(((F.count("*") % 7) / 10.0).alias("centrality"))).withColumn("authority", F.round("authority", 6))
+
+
+@query(with_views(CATALOG) + f""", e AS (SELECT channel_id, token, count(*) AS uses, sum(vw) AS vs FROM (SELECT channel_id, view_count AS vw, unnest({tok_sql('title')}) AS token FROM c) WHERE strlen(token) >= 3 GROUP BY 1, 2),
+a AS (SELECT *, sum(uses) OVER w AS au, sum(vs) OVER w AS av FROM e WINDOW w AS (PARTITION BY token)) SELECT channel_id, token, uses, round(least((0.5 * uses / au + 0.5 * coalesce(vs::DOUBLE / nullif(av, 0), 0)) * 100, 100), 6) AS dominance FROM a WHERE au >= 2""")
+def a33_topic_dominance(spark, d):
+    return R.topic_dominance(views.catalog(spark, d)).withColumn("dominance", F.round("dominance", 6))
+
+
+@query(with_views(V) + """, t AS (SELECT DISTINCT video_id, lower(trim(x)) AS tag FROM (SELECT video_id, unnest(tags) AS x FROM v)), n AS (SELECT tag, count(*) AS n FROM t GROUP BY 1),
+p AS (SELECT a.tag AS a, b.tag AS b, count(*) AS together FROM t a JOIN t b ON a.video_id = b.video_id AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT a, b, together, round(together / (x.n + y.n - together), 6) AS similarity FROM p JOIN n x ON x.tag = a JOIN n y ON y.tag = b""")
+def a34_tag_cooccurrence(spark, d):
+    return R.tag_cooccurrence(views.videos(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+NOW = "2025-06-01"
+VPH = f"view_count / (floor(epoch(TIMESTAMP '{NOW}' - published_at) / 60) / 60)"
+
+
+@query(with_views(V) + f", p AS (SELECT video_id, channel_id, {VPH} AS vph FROM v), m AS (SELECT channel_id, avg(vph) AS mv FROM p GROUP BY 1) SELECT video_id, round(vph, 6) AS vph, mv > 0 AND vph > 3 * mv AS trending FROM p JOIN m USING (channel_id)")
+def a35_trending(spark, d):
+    v = views.videos(spark, d).withColumn("vph", N.views_per_hour(F.col("view_count"), F.col("published_at"), F.lit(NOW).cast("timestamp")))
+    return R.trending(v).select("video_id", F.round("vph", 6).alias("vph"), "trending")
+
+
+@query(with_views(RESEARCH) + ' SELECT keyword, "at", opportunity_score FROM rs QUALIFY rank() OVER (PARTITION BY keyword ORDER BY "at" DESC) = 1')
+def a37_latest(spark, d):
+    return R.latest(views.research(spark, d), "keyword", "at").select("keyword", "at", "opportunity_score")
+
+
+# windows, ranking, set operations
+
+
+@query(with_views(RANKINGS) + ", x AS (SELECT keyword, checked_at, position, lag(position) OVER (PARTITION BY keyword ORDER BY checked_at) AS previous FROM rk) SELECT keyword, position, previous, position - previous AS delta, CASE WHEN position < previous THEN 'rising' WHEN position > previous THEN 'declining' ELSE 'stable' END AS trend FROM x QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY checked_at DESC) = 1")
+def w1_rank_changes(spark, d):
+    return R.rank_changes(views.rankings(spark, d))
+
+
+GROWTH = f"""gr AS (SELECT channel_id, CASE WHEN sum(vw) FILTER (k > 3) > 0 THEN sum(vw) FILTER (k <= 3) / sum(vw) FILTER (k > 3) ELSE 1.0 END AS growth FROM
+  (SELECT channel_id, {SEVEN} AS vw, row_number() OVER (PARTITION BY channel_id ORDER BY published_at DESC, video_id) AS k FROM v) WHERE k <= 6 GROUP BY 1)"""
+
+
+@query(with_views(V, GROWTH) + " SELECT channel_id, round(growth, 6) AS growth FROM gr")
+def w5_views_growth(spark, d):
+    return R.views_growth(views.videos(spark, d)).withColumn("growth", F.round("growth", 6))
+
+
+CADENCE = "cd AS (SELECT channel_id, avg(gap) AS mean_gap, CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) END AS cv FROM (SELECT channel_id, epoch(published_at - lag(published_at) OVER (PARTITION BY channel_id ORDER BY published_at, video_id)) / 86400.0 AS gap FROM v) GROUP BY 1)"
+
+
+@query(with_views(V, CADENCE) + " SELECT channel_id, round(mean_gap, 6) AS mean_gap, round(cv, 6) AS cv FROM cd")
+def w6_upload_cadence(spark, d):
+    return R.upload_cadence(views.videos(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean_gap", "cv")})
+
+
+@query("WITH f AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY 1) SELECT event_id, round(floor(floor(epoch(ts - t0)) / 60) / 1440, 6) AS days FROM events JOIN f USING (user_id)")
+def w8_elapsed_days(spark, d):
+    e = views.events(spark, d).withColumn("ts", F.col("ts"))
+    first = e.groupBy("user_id").agg(F.min("ts").alias("t0"))
+    secs = F.floor((F.unix_micros("ts") - F.unix_micros("t0")) / 1e6)
+    return e.join(first, "user_id").select("event_id", F.round(F.floor(secs / 60) / 1440, 6).alias("days"))
+
+
+@query(with_views(V) + " SELECT video_id, view_count FROM v ORDER BY view_count DESC NULLS LAST, video_id LIMIT 25")
+def o1_most_viewed(spark, d):
+    return R.ordered(views.videos(spark, d), "most_viewed", 25).select("video_id", "view_count")
+
+
+@query(with_views(SCORES) + " SELECT video_id, total_score FROM sc ORDER BY total_score DESC, video_id OFFSET 40 LIMIT 20")
+def o3_page(spark, d):
+    return R.page(views.scores(spark, d), [F.desc("total_score"), F.asc("video_id")], 3).select("video_id", "total_score")
+
+
+@query(with_views(V) + """, u AS (SELECT tag AS seed, 0 AS priority, -count(*) AS ord FROM (SELECT unnest(tags) AS tag FROM v) GROUP BY 1 UNION ALL SELECT DISTINCT p_name, 1, 0 FROM part UNION ALL SELECT DISTINCT lower(p_type), 2, 0 FROM part)
+SELECT seed FROM u WHERE trim(seed) <> '' QUALIFY row_number() OVER (PARTITION BY lower(seed) ORDER BY priority, ord, seed) = 1""")
+def u1_seeds(spark, d):
+    tags = views.videos(spark, d).select(F.explode("tags").alias("seed")).groupBy("seed").agg((-F.count("*")).alias("ord"))
+    p = table(spark, d, "part")
+    one = lambda c: p.select(c.alias("seed")).distinct().withColumn("ord", F.lit(0).cast("long"))
+    return R.first_of_each([tags, one(F.col("p_name")), one(F.lower("p_type"))], "seed").select("seed")
+
+
+@query(with_views(V) + " SELECT DISTINCT lower(t) AS tag FROM (SELECT unnest(tags) AS t FROM v) EXCEPT SELECT lower(unnest(string_split(p_name, ' '))) FROM part")
+def u3_new_seeds(spark, d):
+    tags = views.videos(spark, d).select(F.explode("tags").alias("t")).select(F.lower("t").alias("tag")).distinct()
+    return R.without(tags, table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("t")).select(F.lower("t").alias("tag")), "tag")
+
+
+# search
+
+
+@query(f"SELECT doc_id, len({tok_sql('text')})::BIGINT AS n, len(list_distinct({tok_sql('text')}))::BIGINT AS n_distinct FROM documents")
+def t1_tokens(spark, d):
+    t = T.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok_sql('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def t2_postings(spark, d):
+    p = search.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def bm25_sql(terms: dict[str, int], source: str, key: str, text: str) -> str:
+    """search.matches in SQL: (key, score)."""
+    rows = ", ".join(f"('{t}', {n})" for t, n in terms.items())
+    return f"""dl AS (SELECT {key} AS k, {tok_sql(text)} AS tk FROM {source}), st AS (SELECT count(*) AS n, greatest(avg(len(tk)), 1) AS mean FROM dl), qt(term, times) AS (VALUES {rows}),
+hit AS (SELECT k, term, times, len(list_filter(tk, lambda x: x = term)) AS tf, len(tk) AS len FROM dl, qt), df AS (SELECT term, count(*) AS df FROM hit WHERE tf > 0 GROUP BY 1),
+bm AS (SELECT k, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM hit JOIN df USING (term), st WHERE tf > 0 GROUP BY 1)"""
+
+
+@query("WITH " + bm25_sql({"the": 1, "ein": 2, "que": 1}, "documents", "doc_id", "text") + " SELECT k AS doc_id, round(score, 6) AS score FROM bm WHERE score > 0")
+def t4_matches(spark, d):
+    return search.matches(table(spark, d, "documents"), "doc_id", F.col("text"), "the ein que ein").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH dl AS (SELECT doc_id, {tok_sql('text')} AS tk FROM documents), st AS (SELECT count(*) AS n, greatest(avg(len(tk)), 1) AS mean FROM dl), po AS (SELECT doc_id, len(tk) AS len, unnest(tk) AS term FROM dl), p AS (SELECT doc_id, len, term, count(*) AS tf FROM po GROUP BY 1, 2, 3),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({tok_sql('text')}) AS term FROM benchmark) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY 1, 2)
+SELECT item_id, doc_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 5) DESC, doc_id) <= 3""")
+def t4_matches_many(spark, d):
+    found = search.matches_many(table(spark, d, "documents"), "doc_id", F.col("text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    w = R.Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("score", F.round("score", 5)).withColumn("nth", F.row_number().over(w)).where("nth <= 3").select(F.col("query_id").alias("item_id"), "doc_id", "score")
+
+
+@query(with_views(V) + ", " + bm25_sql({"the": 1, "and": 1}, "v", "video_id", "title") + ", b AS (SELECT k, score, row_number() OVER (ORDER BY score DESC, k) AS nth FROM bm) SELECT video_id, round(coalesce((SELECT score FROM b WHERE nth = CASE WHEN video_id = (SELECT k FROM b WHERE nth = 1) THEN 2 ELSE 1 END), 0), 6) AS resonance FROM v")
+def t5_resonance(spark, d):
+    return search.resonance(views.videos(spark, d), "video_id", F.col("title"), "the and").withColumn("resonance", F.round("resonance", 6))
+
+
+W3 = ("the", "und", "les")
+
+
+@query(with_views(V, CHANNELS) + "".join(", " + bm25_sql({w: 1}, "v", "video_id", "title").replace("dl AS", f"dl{i} AS").replace("FROM dl", f"FROM dl{i}").replace("st AS", f"st{i} AS").replace(", st WHERE", f", st{i} WHERE").replace("qt(", f"qt{i}(").replace(", qt)", f", qt{i})").replace("hit AS", f"hit{i} AS").replace("FROM hit", f"FROM hit{i}").replace(" df AS (", f" df{i} AS (").replace("JOIN df USING", f"JOIN df{i} USING").replace("bm AS", f"bm{i} AS") for i, w in enumerate(W3)) + ", al AS (" + " UNION ALL ".join(f"SELECT '{w}' AS keyword, k AS video_id, score FROM bm{i}" for i, w in enumerate(W3)) + "), r AS (SELECT keyword, video_id, channel_id, row_number() OVER (PARTITION BY keyword ORDER BY round(score, 9) DESC, video_id) AS rank FROM al JOIN v USING (video_id)), o AS (SELECT keyword, min(rank) AS rank, arg_min(video_id, rank) AS video_id FROM r JOIN ch USING (channel_id) WHERE NOT competitor GROUP BY 1) SELECT keyword, CASE WHEN rank <= 10 THEN video_id END AS video_id, CASE WHEN rank <= 10 THEN rank END AS position FROM o")
+def w3_keyword_check(spark, d):
+    v = views.videos(spark, d)
+    found = None
+    for w in W3:
+        one = search.matches(v, "video_id", F.col("title"), w).select(F.lit(w).alias("keyword"), "video_id", F.round("score", 9).alias("score"))
+        found = one if found is None else found.union(one)
+    found = found.join(v.select("video_id", "channel_id"), "video_id")
+    return search.first_own_position(found, views.channels(spark, d).where("competitor")).withColumn("position", F.col("position").cast("long"))
+
+
+# graphs and vectors
+
+NATIONS = """ed AS (SELECT CAST(c_nationkey AS VARCHAR) AS src, CAST(s_nationkey AS VARCHAR) AS dst, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+nd AS (SELECT CAST(n_nationkey AS VARCHAR) AS id FROM nation)"""
+
+
+def nation_edges(spark, d):
+    line, o, c, s = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    flow = line.join(o, line.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, line.l_suppkey == s.s_suppkey)
+    return flow.groupBy(F.col("c_nationkey").cast("string").alias("src"), F.col("s_nationkey").cast("string").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+
+
+def nation_nodes(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"))
+
+
+def pagerank_sql(rounds: int) -> str:
+    out = NATIONS + ", l AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ed WHERE src <> dst), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS rank FROM nd)"
+    for k in range(1, rounds + 1):
+        out += f", r{k} AS (SELECT id, 0.15 / (SELECT count(*) FROM nd) + 0.85 * (coalesce((SELECT sum(p.rank * share) FROM l JOIN r{k - 1} p ON p.id = l.src WHERE l.dst = nd.id), 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT src FROM l)) / (SELECT count(*) FROM nd)) AS rank FROM nd)"
+    return out
+
+
+@query("WITH " + pagerank_sql(5) + " SELECT id, round(rank, 6) AS rank FROM r5")
+def g1_pagerank(spark, d):
+    return graph.pagerank(nation_nodes(spark, d), nation_edges(spark, d), rounds=5).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(with_views(CATALOG) + f""", w AS (SELECT DISTINCT channel_id, unnest(list_concat({tok_sql('title')}, flatten(list_transform(tags, lambda g: {tok_sql('g').replace('lambda t: t', 'lambda q: q')})))) AS token FROM c), n AS (SELECT channel_id, count(*) AS n FROM w GROUP BY 1),
+p AS (SELECT a.channel_id AS x, b.channel_id AS y, count(*) AS k FROM w a JOIN w b ON a.token = b.token AND a.channel_id <> b.channel_id GROUP BY 1, 2) SELECT x AS from_channel, y AS to_channel, round(k / (na.n + nb.n - k), 6) AS weight, 'overlap' AS source FROM p JOIN n na ON na.channel_id = x JOIN n nb ON nb.channel_id = y""")
+def g4_overlap_edges(spark, d):
+    return graph.overlap_edges(views.catalog(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+#: A sparse graph: brands that share a part name held by exactly two brands... of the catalogue's channels by name and type.
+SPARSE = "sp AS (SELECT DISTINCT least(o_custkey, l_suppkey + 1000000)::VARCHAR AS src, (l_suppkey + 1000000)::VARCHAR AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.1)"
+
+
+def sparse_edges(spark, d):
+    o, line = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1")
+    return o.join(line, o.o_orderkey == line.l_orderkey).select(F.least("o_custkey", F.col("l_suppkey") + 1000000).cast("string").alias("src"), (F.col("l_suppkey") + 1000000).cast("string").alias("dst")).distinct()
+
+
+BOTH = "bo AS (SELECT src, dst FROM sp UNION SELECT dst, src FROM sp)"
+
+
+@query("WITH RECURSIVE " + SPARSE + ", " + BOTH + ", nb(id, hop) AS (SELECT (SELECT min(src) FROM sp), 0 UNION SELECT dst, hop + 1 FROM nb JOIN bo ON src = id WHERE hop < 3) SELECT id, min(hop) AS hop FROM nb GROUP BY 1")
+def g8_neighbourhood(spark, d):
+    e = graph.cut(sparse_edges(spark, d))
+    seed = e.agg(F.min("src")).first()[0]
+    return graph.neighbourhood(e.union(e.select("dst", "src")).distinct(), seed, 3)
+
+
+@query("WITH RECURSIVE " + SPARSE + ", " + BOTH + ", no AS (SELECT DISTINCT src AS id FROM bo), re(id, other) AS (SELECT id, id FROM no UNION SELECT re.id, dst FROM re JOIN bo ON src = other) SELECT id, min(other) AS component FROM re GROUP BY 1")
+def g11_components(spark, d):
+    e = graph.cut(sparse_edges(spark, d))
+    return graph.components(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
+
+
+@query(None)
+def g12_articulation_points(spark, d):
+    e = nation_edges(spark, d).where("weight > 0")
+    return graph.articulation_points(nation_nodes(spark, d), e)
+
+
+@query(None)
+def g13_communities(spark, d):
+    return graph.communities(nation_nodes(spark, d), nation_edges(spark, d))
+
+
+def walk_sql(rounds: int) -> str:
+    out = NATIONS + ", l AS (SELECT src, dst, weight / 1000.0 / count(*) OVER (PARTITION BY src) AS share FROM ed), w0 AS (SELECT '3' AS id, 1.0::DOUBLE AS score)"
+    for k in range(1, rounds + 1):
+        out += f", w{k} AS (SELECT id, sum(score) AS score FROM (SELECT dst AS id, score * share * 0.7 AS score FROM w{k - 1} JOIN l ON src = id UNION ALL SELECT '3', 0.3) GROUP BY 1)"
+    return out
+
+
+@query("WITH " + walk_sql(4) + " SELECT id, round(score, 9) AS score FROM w4 WHERE id <> '3' AND score > 0")
+def g7_random_walk(spark, d):
+    return graph.random_walk(nation_edges(spark, d).withColumn("weight", F.col("weight") / 1000.0), "3", rounds=4).withColumn("score", F.round("score", 9))
+
+
+CANON = "replace(lower(trim({0})), ' ', '-')"
+
+
+@query(with_views(CATALOG) + f" SELECT 'video:' || {CANON.format('video_id')} AS src, 'tag:' || {CANON.format('t')} AS dst, 'tagged_with' AS relation, round(max(1.0 / (1 + pos)), 6) AS weight FROM (SELECT video_id, unnest(tags) AS t, generate_subscripts(tags, 1) - 1 AS pos FROM c) GROUP BY 1, 2 UNION ALL SELECT 'video:' || {CANON.format('video_id')}, 'channel:' || {CANON.format('channel_id')}, 'created_by', 1.0 FROM c")
+def g15_relations(spark, d):
+    none = spark.createDataFrame([], "from_channel string, to_channel string, weight double")
+    return graph.relations(views.catalog(spark, d), none).where("relation in ('tagged_with', 'created_by')").withColumn("weight", F.round("weight", 6))
+
+
+@query(with_views(V) + f", l AS (SELECT channel_id AS channel, unnest({tok_sql('title')}) AS topic, video_id FROM v) SELECT topic, count(DISTINCT video_id) AS n, count(DISTINCT channel) AS channels, round(least(10.0 * count(DISTINCT video_id) / count(DISTINCT channel), 100), 6) AS score FROM l WHERE topic NOT IN (SELECT topic FROM l WHERE channel = '{OWN}') GROUP BY 1")
+def g21_content_gaps(spark, d):
+    link = views.videos(spark, d).select(F.col("channel_id").alias("channel"), F.explode(T.tokens(F.col("title"))).alias("topic"), F.col("video_id").alias("video"))
+    return graph.content_gaps(link, OWN).withColumn("score", F.round("score", 6))
+
+
+L2 = "list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i]::DOUBLE - b[i]::DOUBLE) * (a[i]::DOUBLE - b[i]::DOUBLE)))"
+
+
+@query(f"SELECT vec_id, round({L2}, 6) AS distance FROM (SELECT vec_id, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS b FROM embeddings) ORDER BY {L2}, vec_id LIMIT 10")
+def v2_nearest(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").first()["embedding"]
+    return vectors.nearest(e, q, 10).withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT query_id, vec_id, round(dist, 6) AS distance, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, 65), lambda i: (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, e.vec_id)::INT AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
+def v2_nearest_many(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.nearest_many(e, q, 5).withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT vec_id, round(s, 6) AS similarity, round(100 * s, 4) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings) WHERE s > 0.5")
+def v6_recalled(spark, d):
+    e = table(spark, d, "embeddings")
+    return vectors.recalled(e, e.where("vec_id = 0").first()["embedding"]).select("vec_id", F.round("similarity", 6).alias("similarity"), F.round("score", 4).alias("score"))
+
+
+# scores
+
+KW = ("the", "ein", "que")
+KWL = "['the', 'ein', 'que']"
+
+
+@query(with_views(V) + f""", x AS (SELECT *, {tok_sql('title')} AS tt, len(title) AS n FROM v), y AS (SELECT *, list_min(list_filter(list_transform({KWL}, lambda k: list_position(tt, k)), lambda p: p IS NOT NULL AND p > 0)) AS pos,
+  list_distinct(flatten(list_transform(tags, lambda g: {tok_sql('g').replace('lambda t: t', 'lambda q: q')}))) AS gt, list_distinct({tok_sql("title || ' ' || description")}) AS ct, len(list_filter(regexp_split_to_array(description, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS nw FROM x)
+SELECT video_id, CASE WHEN pos <= 3 THEN 100.0 WHEN pos <= 7 THEN 70.0 WHEN pos IS NOT NULL THEN 40.0 ELSE 0.0 END AS title_front,
+  CASE WHEN n < 10 THEN 30.0 WHEN n < 40 THEN 60.0 + (n - 10) WHEN n <= 60 THEN 100.0 WHEN n < 80 THEN 100 - 1.5 * (n - 60) WHEN n < 120 THEN 70 - 0.75 * (n - 80) ELSE 40.0 END::DOUBLE AS title_length,
+  CASE WHEN list_has_any({tok_sql('left(title, 40)')}, {KWL}) THEN 100.0 WHEN list_has_any(tt, {KWL}) THEN 60.0 ELSE 0.0 END AS title_40_chars,
+  CASE WHEN nw < 50 THEN 40.0 WHEN nw < 100 THEN 60.0 WHEN nw < 150 THEN 75.0 WHEN nw < 200 THEN 90.0 ELSE 100.0 END AS desc_length,
+  CASE WHEN len(list_distinct(list_concat(gt, ct))) > 0 THEN round(len(list_intersect(gt, ct)) / len(list_distinct(list_concat(gt, ct))) * 100, 6) ELSE 0.0 END AS tags_relevance FROM y""")
+def c4_structural(spark, d):
+    v = views.videos(spark, d)
+    kw = S.strings(KW)
+    parts = S.structural(F.col("title"), F.col("description"), F.col("tags"), kw, F.array(*[F.array(F.lit(k)) for k in KW]))
+    names = ("title_front", "title_length", "title_40_chars", "desc_length", "tags_relevance")
+    return v.select("video_id", *[(F.round(parts[k], 6) if k == "tags_relevance" else parts[k]).alias(k) for k in names])
+
+
+@query(with_views(V) + f""", x AS (SELECT *, {tok_sql("title || chr(10) || description")} AS tk, {tok_sql('description')} AS dk FROM v)
+SELECT video_id, len(list_intersect(list_distinct(tk), ['who', 'what', 'when', 'where', 'how'])) * 20.0 AS entity_coverage, 35.0 * (trim(description) <> '')::INT + 35.0 * (len(tags) > 0)::INT + 30.0 * regexp_matches(description, '[0-9]:')::INT AS metadata_complete,
+  CASE WHEN len(dk) = 0 THEN 20.0 ELSE greatest(CASE WHEN k <= 0.02 THEN 100.0 WHEN k <= 0.05 THEN 80.0 WHEN k <= 0.10 THEN 50.0 ELSE 20.0 END, CASE WHEN f >= 2 THEN 80.0 ELSE 0 END) END AS conversational
+FROM (SELECT *, len(list_filter(dk, lambda t: t IN ('the', 'ein', 'que')))::DOUBLE / nullif(len(dk), 0) AS k, len(list_filter(dk, lambda t: t IN ('you', 'your', 'we', 'just', 'really', 'actually', 'basically'))) AS f FROM x)""")
+def c19_generative(spark, d):
+    none = F.array().cast("array<string>")
+    parts = S.generative(F.col("title"), F.col("description"), F.col("tags"), S.strings(KW), none, F.lit(False), F.lit(None).cast("timestamp"), F.col("published_at"))
+    return views.videos(spark, d).select("video_id", *[parts[k].alias(k) for k in ("entity_coverage", "metadata_complete", "conversational")])
+
+
+@query(with_views(V) + f" SELECT video_id, CASE WHEN view_count > 0 THEN round((3 * comment_count + like_count) / view_count, 6) END AS ratio, CASE WHEN view_count > 0 THEN round(least((3 * comment_count + like_count) / view_count * 100 / 4, 1) * 100, 6) END AS engagement FROM v")
+def f23_engagement(spark, d):
+    ratio = N.engagement_ratio(F.col("view_count"), F.col("like_count"), F.col("comment_count"))
+    return views.videos(spark, d).select("video_id", F.round(ratio, 6).alias("ratio"), F.round(N.engagement_score(ratio), 6).alias("engagement"))
+
+
+@query("SELECT vec_id, round(CASE WHEN m > 0 THEN h / m * 100 END, 4) AS hook, round(least(greatest(m * 100, 0), 100), 4) AS retention FROM (SELECT vec_id, list_sum(embedding::DOUBLE[]) / len(embedding) AS m, list_sum(embedding[1:7]::DOUBLE[]) / 7 AS h FROM embeddings)")
+def f24_retention(spark, d):
+    c = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.round(N.hook_strength(c), 4).alias("hook"), F.round(N.retention_score(c), 4).alias("retention"))
+
+
+FORECAST = """e AS (SELECT keyword, floor(epoch("at" - min("at") OVER (PARTITION BY keyword)) / 60) / 1440 AS t, opportunity_score AS y FROM rs), m AS (SELECT keyword, max(t) AS tm, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 3),
+w AS (SELECT e.*, tm, n, CASE WHEN n >= 5 THEN exp(-ln(2) / 30 * (tm - t)) ELSE 1.0 END AS w FROM e JOIN m USING (keyword)), a AS (SELECT keyword, sum(w * t) / sum(w) AS tb, sum(w * y) / sum(w) AS yb FROM w GROUP BY 1),
+s AS (SELECT keyword, any_value(n) AS n, any_value(tm) AS tm, any_value(tb) AS tb, any_value(yb) AS yb, sum(w * (t - tb) ** 2) AS sxx, sum(w * (t - tb) * (y - yb)) AS sxy, sum(w * (y - yb) ** 2) AS syy FROM w JOIN a USING (keyword) GROUP BY 1),
+f AS (SELECT *, sxy / sxx AS slope, (sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS tt, sxy / sxx * 30 / abs(yb) * 100 AS pct FROM s WHERE sxx >= 1e-12)"""
+
+
+@query(with_views(RESEARCH, FORECAST) + " SELECT keyword, n, round(slope, 6) AS slope, round(sxy * sxy / (sxx * syy), 6) AS r2, round(tt, 6) AS t, round(yb + slope * (tm + 30 - tb), 6) AS next, round(pct, 6) AS pct, CASE WHEN abs(tt) >= 2 AND pct > 10 THEN 'rising' WHEN abs(tt) >= 2 AND pct < -10 THEN 'falling' ELSE 'flat' END AS verdict, CASE WHEN n < 4 OR abs(tt) < 1.5 THEN 'low' WHEN n >= 8 AND abs(tt) >= 2 THEN 'high' ELSE 'medium' END AS reliability FROM f")
+def m1_forecast(spark, d):
+    return forecast.forecast(reports.series(views.research(spark, d)), "keyword").withColumns({c: F.round(c, 6) for c in ("slope", "r2", "t", "next", "pct")})
+
+
+@query(with_views(V) + f", g AS (SELECT category_id AS keyword, count(DISTINCT channel_id) AS channels, sum(view_count)::BIGINT AS total_views, avg(view_count) AS mean_views, count(*) AS results FROM v GROUP BY 1) SELECT keyword, channels, total_views, results, round((0.7 * least(channels / 10, 1) + 0.3 * least(mean_views / 1e6, 1)) * 100, 6) AS competition, round(least(mean_views / 250000, 1) * (1 - (0.7 * least(channels / 10, 1) + 0.3 * least(mean_views / 1e6, 1))) * 100, 6) AS opportunity, CASE WHEN mean_views >= 250000 THEN 'High' WHEN mean_views >= 60000 THEN 'Medium' WHEN mean_views > 0 THEN 'Low' ELSE 'Unknown' END AS volume FROM g")
+def m5_inspection(spark, d):
+    v = views.videos(spark, d).withColumnRenamed("category_id", "keyword")
+    return reports.keyword_inspection(v).select("keyword", "channels", "total_views", "results", F.round("competition", 6).alias("competition"), F.round("opportunity", 6).alias("opportunity"), "volume")
+
+
+@query(with_views(V, SCORES) + ", b AS (SELECT * FROM v JOIN sc USING (video_id)) SELECT video_id, title, " + r2("0.5 * seo_score + 0.3 * (CASE WHEN len(list_distinct(list_concat(tk, ['the', 'and']))) > 0 THEN len(list_intersect(tk, ['the', 'and'])) / len(list_distinct(list_concat(tk, ['the', 'and']))) ELSE 0 END * 100) + 0.2 * least(100 * least(hits / 20, 1) * (1 + least(coalesce((3 * comment_count + like_count) / nullif(view_count, 0), 0) * 100 / 4, 1) * 0.25), 100)") + f" AS score FROM (SELECT *, list_distinct({tok_sql('title')}) AS tk, (SELECT count(*) FROM v WHERE list_has_any({tok_sql('title')}, ['the', 'and'])) AS hits FROM b) ORDER BY score DESC, video_id LIMIT 10")
+def r8_ideas(spark, d):
+    none = spark.createDataFrame([], "channel_id string, centrality double")
+    return reports.ideas(views.videos(spark, d), views.scores(spark, d), none, ["the", "and"])
+
+
+# reports
+
+OVERLAP = """tc AS (SELECT DISTINCT channel_id, lower(trim(x)) AS tag FROM (SELECT channel_id, unnest(tags) AS x FROM v)), tn AS (SELECT channel_id, count(*) AS n FROM tc GROUP BY 1),
+tp2 AS (SELECT x.channel_id AS a, y.channel_id AS b, (SELECT count(*) FROM tc p JOIN tc q ON p.tag = q.tag WHERE p.channel_id = x.channel_id AND q.channel_id = y.channel_id) AS k, x.n AS na, y.n AS nb FROM tn x JOIN tn y ON x.channel_id <> y.channel_id),
+ov AS (SELECT a AS channel_id, median(k / (na + nb - k)) AS tag_overlap FROM tp2 GROUP BY 1)"""
+FIGURES = ("videos", "total_views", "growth", "title_length", "digit_ratio", "how_to_ratio", "categories", "tag_overlap", "centrality", "seo_avg", "seo_median", "seo_min", "seo_max")
+
+
+@query(with_views(V, SCORES, GROWTH, OVERLAP) + f""", ba AS (SELECT channel_id, count(*) AS videos, sum({SEVEN}) AS total_views, avg(len(title)) AS title_length, avg(regexp_matches(title, '[0-9]')::INT) AS digit_ratio, avg(contains(lower(title), 'how to')::INT) AS how_to_ratio, count(DISTINCT category_id) AS categories FROM v GROUP BY 1),
+se AS (SELECT channel_id, avg(seo_score) AS seo_avg, median(seo_score) AS seo_median, min(seo_score) AS seo_min, max(seo_score) AS seo_max FROM v JOIN sc USING (video_id) GROUP BY 1),
+al AS (SELECT channel_id, {', '.join(f"coalesce({'0' if c == 'centrality' else c}, 0)::DOUBLE AS {c}" for c in FIGURES)} FROM ba LEFT JOIN gr USING (channel_id) LEFT JOIN se USING (channel_id) LEFT JOIN ov USING (channel_id))
+SELECT channel_id, {', '.join(f'round({c}, 6) AS {c}' for c in FIGURES)} FROM al UNION ALL SELECT NULL, {', '.join(f'round(median({c}), 6)' for c in FIGURES)} FROM al""")
+def r1_scorecard(spark, d):
+    return reports.scorecard(views.videos(spark, d), views.scores(spark, d)).select("channel_id", *[F.round(c, 6).alias(c) for c in FIGURES])
+
+
+@query(with_views(V, SCORES, GROWTH) + """, f AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY video_id) AS nth FROM v), m AS (SELECT channel_id, avg(view_count) AS mv FROM f WHERE nth <= 50 GROUP BY 1)
+SELECT 'views_drop' AS kind, channel_id, 'newest videos have less than half the views of those before' AS message FROM gr WHERE growth < 0.5 UNION ALL SELECT 'views_surge', channel_id, 'newest videos have more than twice the views of those before' FROM gr WHERE growth > 2 AND channel_id <> 'src1'
+UNION ALL SELECT 'outlier', channel_id, count(*) || ' videos far above the mean' FROM v JOIN m USING (channel_id) WHERE mv > 0 AND view_count / mv >= 3 GROUP BY 2 UNION ALL SELECT 'weak_score', channel_id, count(*) || ' videos score below 40' FROM v JOIN sc USING (video_id) WHERE total_score < 40 GROUP BY 2
+UNION ALL SELECT 'no_description', channel_id, count(*) || ' videos have no description' FROM v WHERE trim(description) = '' GROUP BY 2""")
+def r3_alerts(spark, d):
+    v = views.videos(spark, d)
+    raised = spark.createDataFrame([("views_surge", "src1", "newest videos have more than twice the views of those before")], "kind string, channel_id string, message string")
+    return reports.alerts(v, views.scores(spark, d), R.views_growth(v), raised)
+
+
+@query(with_views(V, CHANNELS, SCORES) + f", e AS (SELECT channel_id, count(*) AS videos, sum({SEVEN})::BIGINT AS vs, avg(seo_score) AS seo FROM v LEFT JOIN sc USING (video_id) GROUP BY 1) SELECT o.videos, o.vs AS views, round(o.seo, 6) AS seo, m.mv AS median_videos, round(m.mw, 6) AS median_views, round(m.ms, 6) AS median_seo FROM (SELECT * FROM e WHERE channel_id = '{OWN}') o, (SELECT median(videos) AS mv, median(vs) AS mw, median(seo) AS ms FROM e JOIN ch USING (channel_id) WHERE competitor) m")
+def r5_own_overview(spark, d):
+    out = reports.own_overview(views.videos(spark, d), views.scores(spark, d), OWN, views.channels(spark, d).where("competitor"))
+    return out.withColumns({c: F.round(c, 6) for c in ("seo", "median_views", "median_seo")})
+
+
+@query(with_views(RESEARCH, FORECAST) + ", la AS (SELECT keyword, arg_max(opportunity_score, \"at\") AS opportunity, count(*) AS points FROM rs GROUP BY 1) SELECT keyword, opportunity, points, CASE WHEN tt IS NULL THEN 'unknown' WHEN abs(tt) >= 2 AND pct > 10 THEN 'rising' WHEN abs(tt) >= 2 AND pct < -10 THEN 'falling' ELSE 'flat' END AS verdict, round(coalesce(pct, 0), 6) AS pct FROM la LEFT JOIN f USING (keyword) ORDER BY opportunity DESC, keyword LIMIT 25")
+def r6_keyword_opportunities(spark, d):
+    return reports.keyword_opportunities(views.research(spark, d)).select("keyword", "opportunity", "points", "verdict", F.round("pct", 6).alias("pct"))
+
+
+@query(with_views(RESEARCH, FORECAST) + ", la AS (SELECT keyword, arg_max(opportunity_score, \"at\") AS opportunity FROM rs GROUP BY 1) SELECT keyword, round(coalesce(yb + slope * (tm + 30 - tb), opportunity, 0), 6) AS rank, 'How to master ' || keyword AS draft FROM la LEFT JOIN f USING (keyword) ORDER BY rank DESC, keyword LIMIT 5")
+def r7_next_videos(spark, d):
+    return reports.next_videos(views.research(spark, d), views.videos(spark, d).where(F.col("channel_id") == OWN)).withColumn("rank", F.round("rank", 6))
+
+
+@query(with_views(V, SCORES, COVERAGE, CADENCE) + f""", ba AS (SELECT channel_id, count(*) AS n, avg(len(tags)) AS tg, avg({SEVEN}) AS vw, avg(CASE WHEN view_count > 0 THEN (3 * comment_count + like_count) / view_count * 100 END) AS ratio FROM v GROUP BY 1),
+se AS (SELECT channel_id, avg(seo_score) AS seo FROM v JOIN sc USING (video_id) GROUP BY 1), si AS (SELECT channel_id, count(*) AS series FROM tp WHERE topic IN (SELECT topic FROM cv WHERE is_series) GROUP BY 1),
+co AS (SELECT channel_id, {r2('least(greatest(coalesce(seo, 0), 0), 100)')} AS metadata, {r2('CASE WHEN mean_gap IS NULL THEN 50 ELSE coalesce(least(greatest(least(greatest(100 - 80 * cv, 0), 100) + CASE WHEN mean_gap BETWEEN 4 AND 10 THEN 10 ELSE 0 END, 0), 100), 50) END')} AS consistency,
+  {r2('least(coalesce(ratio, 0) / 4, 1) * 100')} AS engagement, CASE WHEN floor(tg) BETWEEN 5 AND 30 THEN 100.0 WHEN floor(tg) >= 1 THEN 60.0 ELSE 0.0 END AS tag_use, {r2('least(coalesce(series, 0) / n / 0.40, 1) * 100')} AS series_use, {r2('50 * vw / (SELECT max(vw) FROM ba)')} AS authority
+  FROM ba LEFT JOIN se USING (channel_id) LEFT JOIN cd USING (channel_id) LEFT JOIN si USING (channel_id))
+SELECT *, {r2('0.3 * metadata + 0.15 * consistency + 0.2 * engagement + 0.15 * tag_use + 0.1 * series_use + 0.1 * authority')} AS overall FROM co""")
+def m13_audit(spark, d):
+    return reports.audit(views.videos(spark, d), views.scores(spark, d)).drop("grade")
+
+
+@query(with_views(V, RESEARCH) + " SELECT topic FROM (SELECT DISTINCT category_id AS topic FROM v) t LEFT JOIN (SELECT lang AS topic, TIMESTAMP '2024-03-01' + to_hours(min(doc_id)::INTEGER * 5) AS last FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1) h USING (topic) WHERE last IS NULL OR floor(epoch(TIMESTAMP '2024-03-02' - last) / 3600) >= 24")
+def r15_due_topics(spark, d):
+    docs = table(spark, d, "documents")
+    history = docs.where(F.col("lang").isin("en", "fr")).groupBy(F.col("lang").alias("topic")).agg(F.timestamp_seconds(F.lit(1709251200) + F.min("doc_id") * 5 * 3600).alias("researched_at"))
+    return reports.due_topics(docs.select(F.col("lang").alias("topic")).distinct(), history, "2024-03-02")
+
+
+# merges
+
+
+@query("WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS video_id, p_brand AS channel_id, p_name AS title, p_size AS vw FROM part), k AS (SELECT *, first_value(video_id) OVER (PARTITION BY channel_id, title ORDER BY vw DESC, video_id) AS winner FROM r) SELECT video_id, winner FROM k WHERE video_id <> winner")
+def k10_duplicate_videos(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("video_id"), F.col("p_brand").alias("channel_id"), F.col("p_name").alias("title"), F.lit("").alias("description"), F.col("p_size").alias("view_count"))
+    return merge.duplicate_videos(p)
+
+
+@query(with_views(V) + """, s AS (SELECT video_id, title, view_count, source FROM v WHERE doc_id_ % 2 = 0), i AS (SELECT video_id, title, CASE WHEN doc_id_ % 5 = 0 THEN view_count + 1 ELSE view_count END AS view_count, CASE WHEN doc_id_ % 4 = 0 THEN 'rss' ELSE source END AS source FROM v WHERE doc_id_ % 3 <> 1),
+b AS (SELECT coalesce(s.video_id, i.video_id) AS video_id, s.view_count AS sv, i.view_count AS iv, s.source AS ss, i.source AS is_, CASE s.source WHEN 'api' THEN 3 WHEN 'oembed' THEN 2 ELSE 1 END AS sr, CASE i.source WHEN 'api' THEN 3 WHEN 'oembed' THEN 2 ELSE 1 END AS ir FROM s FULL JOIN i USING (video_id)),
+o AS (SELECT *, CASE WHEN is_ IS NULL THEN 'kept' WHEN ss IS NULL THEN 'added' WHEN ir < sr OR (ir = sr AND sv = iv) THEN 'skipped' ELSE 'updated' END AS outcome FROM b)
+SELECT video_id, outcome, CASE WHEN outcome IN ('added', 'updated') THEN iv ELSE sv END AS view_count, CASE WHEN outcome IN ('added', 'updated') THEN is_ ELSE ss END AS source FROM o""".replace("doc_id_", "CAST(video_id AS BIGINT)"))
+def k6_merge_by_source(spark, d):
+    v = views.videos(spark, d).withColumn("n", F.col("video_id").cast("long"))
+    stored = v.where("n % 2 = 0")
+    incoming = v.where("n % 3 <> 1").withColumns({"view_count": F.when(F.col("n") % 5 == 0, F.col("view_count") + 1).otherwise(F.col("view_count")), "source": F.when(F.col("n") % 4 == 0, "rss").otherwise(F.col("source"))})
+    return merge.merge_by_source(stored, incoming, "video_id", ["title", "view_count"]).select("video_id", "outcome", "view_count", "source")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 'renamed' ELSE n_name END AS n_name FROM nation UNION ALL SELECT 100, 'NEWLAND'")
+def k1_upsert(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    rows = n.where("n_nationkey < 5").withColumn("n_name", F.lit("renamed")).union(spark.createDataFrame([(100, "NEWLAND")], "n_nationkey int, n_name string"))
+    return merge.upsert(n, rows, ["n_nationkey"])
+
+
+# text, urls, streams
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def f30_json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "struct<k: bigint>")["k"].alias("k"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS host FROM pages")
+def f9_url_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", links.query_value(F.col("url"), "page").alias("page"), links.found(F.col("url"), "^[a-z]+://([^/?#]+)").alias("host"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(left(text, 80), '[,\"\\n\\r]') THEN '\"' || replace(left(text, 80), '\"', '\"\"') || '\"' ELSE left(text, 80) END AS field FROM documents")
+def k16_csv_fields(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.csv_field(F.left("text", F.lit(80))).alias("field"))
+
+
+@query("SELECT conv_id, count(*) AS comments, max(len(text) % 50) AS most_liked FROM conversations WHERE role = 'user' GROUP BY 1")
+def o5_comments(spark, d):
+    return table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("comments"), F.max(F.length("text") % 50).cast("long").alias("most_liked"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
+def x4_daily_snapshot(spark, d):
+    import uuid
+
+    from corpuscle.streaming import feed
+
+    base = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    daily = src.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.max_by("value", "ts").alias("value"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/version={number}")  # the whole result; the last version counts
+
+    run = daily.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = run.lastProgress["batchId"] if run.lastProgress else 0
+    return spark.read.parquet(f"{base}/version={last}").select("user_id", "day", "value")
