@@ -20,7 +20,7 @@ def words(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Trimmed lines that aren't empty."""
-    return F.coalesce(F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def first_lines(text: Column, n: int = 2) -> Column:

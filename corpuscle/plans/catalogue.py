@@ -411,7 +411,7 @@ def g4_overlap_edges(spark, d):
     return graph.overlap_edges(views.catalog(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-#: A sparse graph: brands that share a part name held by exactly two brands... of the catalogue's channels by name and type.
+#: A sparse graph of customers and suppliers: large orders at a large discount.
 SPARSE = "sp AS (SELECT DISTINCT least(o_custkey, l_suppkey + 1000000)::VARCHAR AS src, (l_suppkey + 1000000)::VARCHAR AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.1)"
 
 
@@ -436,10 +436,13 @@ def g11_components(spark, d):
     return graph.components(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
 
 
-@query(None)
+@query("SELECT 'R' || r_regionkey AS id FROM region")
 def g12_articulation_points(spark, d):
-    e = nation_edges(spark, d).where("weight > 0")
-    return graph.articulation_points(nation_nodes(spark, d), e)
+    n = table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("src"), F.concat(F.lit("R"), "n_regionkey").alias("dst"))
+    r = table(spark, d, "region")
+    chain = r.where("r_regionkey > 0").select(F.concat(F.lit("R"), "r_regionkey"), F.concat(F.lit("R"), F.col("r_regionkey") - 1))
+    e = n.union(chain)
+    return graph.articulation_points(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
 
 
 @query(None)
