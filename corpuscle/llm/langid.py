@@ -129,8 +129,10 @@ def training_sample(rows: DataFrame, key: str, text: str, label: str, sample: in
     """Languages, and the label and counted n-grams of each row of the sample; texts are counted where they are and never sent."""
     sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(sizes)
-    each = max(1, sample // max(1, len(languages)))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 1.5 * (each + 20) / sizes[k]))]) if languages else F.lit(None)
+    if not languages:
+        return [], [], []
+    each = max(1, sample // len(languages))
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 1.5 * (each + 20) / sizes[k]))])
     spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
     near = rows.withColumn("_spread", spread).where(F.col("_spread") < share[F.col(label)])
 
@@ -140,7 +142,7 @@ def training_sample(rows: DataFrame, key: str, text: str, label: str, sample: in
             yield pa.RecordBatch.from_arrays([batch.column(label), batch.column("_spread"), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([b.astype("<i4").tobytes() for _, b in found], pa.binary())], ["label", "_spread", "places", "n"])
 
     nth = F.row_number().over(Window.partitionBy("label").orderBy("_spread", F.xxhash64("places", "n")))
-    picked = near.select(label, "_spread", text).mapInArrow(run, "label string, _spread double, places binary, n binary").where(F.octet_length("places") > 0).withColumn("_nth", nth).where(F.col("_nth") <= each).orderBy("_spread", "label", "_nth").collect() if languages else []
+    picked = near.select(label, "_spread", text).mapInArrow(run, "label string, _spread double, places binary, n binary").where(F.octet_length("places") > 0).withColumn("_nth", nth).where(F.col("_nth") <= each).orderBy("_spread", "label", "_nth").collect()
     index = {k: i for i, k in enumerate(languages)}
     return languages, [index[r["label"]] for r in picked], [(np.frombuffer(r["places"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in picked]
 
