@@ -360,3 +360,26 @@ def token_overlap(rows: DataFrame, by: str, token: str) -> DataFrame:
     pairs = shared.select(F.posexplode("keys").alias("at", "a"), "keys").select("a", F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
     left, right = sizes.select(F.col(by).alias("a"), F.col("n").alias("na")), sizes.select(F.col(by).alias("b"), F.col("n").alias("nb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
+
+
+def newest(df: DataFrame, at: str, tie: str) -> DataFrame:
+    """The one newest row, the largest tie among equals."""
+    return df.orderBy(F.desc_nulls_last(at), F.desc(tie)).limit(1)
+
+
+def flattened(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of an array column, in any case once, as first in order."""
+    each = df.select(F.explode(column).alias("value")).where(F.trim("value") != "")
+    return each.groupBy(F.lower(F.trim("value")).alias("key")).agg(F.min("value").alias("value")).select("value")
+
+
+def tags_of(videos: DataFrame, stored: DataFrame) -> DataFrame:
+    """A video's stored tags (video_id, tag, position), or else those of its own list."""
+    own = videos.select("video_id", F.posexplode("tags").alias("position", "tag")).select("video_id", "tag", F.col("position").cast("long").alias("position"))
+    return stored.select("video_id", "tag", F.col("position").cast("long").alias("position")).union(without(own, stored, "video_id"))
+
+
+def register(tables: dict[str, DataFrame]) -> None:
+    """Names tables for spark.sql, which takes all of Spark's SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)

@@ -108,3 +108,27 @@ def topic_outliers(found: DataFrame, multiple: float) -> DataFrame:
     """Videos of a topic with a multiple of the topic's mean views, the threshold included."""
     mean = found.agg(F.avg("view_count")).first()[0]
     return found.where(F.lit(False)) if mean is None else found.where(F.col("view_count") >= multiple * mean)
+
+
+def write_index(docs: DataFrame, key: str, text: Column, path: str, buckets: int = 64) -> None:
+    """Postings in folders by hash of the term, sorted, so that a query reads the folders of its terms and skips most of a file."""
+    out = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    out.repartition("bucket").sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def indexed_matches(index: DataFrame, key: str, n: int, mean: float, query: str, buckets: int = 64) -> DataFrame:
+    """T4 over a written index: (key, score); only the folders of the query's terms are read."""
+    terms = query.lower().split()
+    spark = index.sparkSession
+    known = spark.createDataFrame([(t, terms.count(t)) for t in sorted(set(terms))], "term string, times long")
+    folders = [r[0] for r in known.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+    hits = index.where(F.col("bucket").isin(*folders) & F.col("term").isin(*set(terms)))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    stats = df.join(known, "term").select("term", "times", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(mean, 1.0)))
+    return hits.join(F.broadcast(stats), "term").groupBy(key).agg(F.sum(part).alias("score"))  # a row for each query term
+
+
+def index_fresh(reindexed: Column, ingested: Column, videos: Column) -> Column:
+    """Whether the index is no older than the last ingest; so for an empty corpus."""
+    return F.coalesce(reindexed >= ingested, F.lit(False)) | (videos == 0)

@@ -12,7 +12,7 @@ from corpuscle.functions import scoring as S
 from corpuscle.functions import text as T
 from corpuscle.operators import forecast, graph, merge, search, vectors
 from corpuscle.operators import relational as R
-from corpuscle.plans import reports, views
+from corpuscle.plans import reports, scoring, views
 from corpuscle.plans.views import CATALOG, CHANNELS, KEYWORDS, RANKINGS, RESEARCH, SCORES, SNAPSHOTS, VIDEOS, table, tok_sql, with_views
 from corpuscle.sources import feeds, links
 
@@ -52,6 +52,12 @@ def s5_counts(spark, d):
     return out[0].union(out[1]).union(out[2])
 
 
+@query("SELECT count(*) AS n FROM documents WHERE source = 'src3'")
+def s6_sql_count(spark, d):
+    R.register({"corpus_documents": table(spark, d, "documents")})
+    return spark.sql("SELECT count(*) AS n FROM corpus_documents WHERE source = 'src3'")
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
 def s2_point_lookup(spark, d):
     return R.equals(table(spark, d, "documents"), "doc_id", 42).select("doc_id", "lang", "n_chars")
@@ -531,6 +537,18 @@ def c19_generative(spark, d):
     return views.videos(spark, d).select("video_id", *[parts[k].alias(k) for k in ("entity_coverage", "metadata_complete", "conversational")])
 
 
+@query(None)
+def c31_score_videos(spark, d):
+    v = views.videos(spark, d)
+    central = v.groupBy("channel_id").agg(((F.count("*") % 7) / 10.0).alias("centrality"))
+    return scoring.score_videos(v, KW, central).select("video_id", "seo_score", "geo_score", "total_score")
+
+
+@query(with_views(CATALOG) + " SELECT title, 20.0 * (t::INT + p::INT + i::INT + f::INT + h::INT) AS psychology FROM (SELECT title, regexp_matches(l, 'second|minute|hour|in 60|in 30|in 10|fast') AS t, len(list_filter(list_transform(regexp_extract_all(l, '[0-9][0-9,]*'), lambda x: replace(x, ',', '')), lambda x: (len(x) = 1 AND x <> '0') OR (len(x) BETWEEN 2 AND 3 AND NOT ends_with(x, '0')) OR len(x) >= 4)) > 0 AS p, regexp_matches(l, '[$]|money|income|earn|salary|revenue|million|profit') AS i, regexp_matches(l, 'hidden|forbidden') AS f, regexp_matches(l, 'how to|how i|over 40|over 30') AS h FROM (SELECT DISTINCT title, lower(title) AS l FROM c))")
+def c29_psychology(spark, d):
+    return views.catalog(spark, d).select("title").distinct().select("title", S.psychology_score(F.col("title")).alias("psychology"))
+
+
 @query(with_views(V) + f" SELECT video_id, CASE WHEN view_count > 0 THEN round((3 * comment_count + like_count) / view_count, 6) END AS ratio, CASE WHEN view_count > 0 THEN round(least((3 * comment_count + like_count) / view_count * 100 / 4, 1) * 100, 6) END AS engagement FROM v")
 def f23_engagement(spark, d):
     ratio = N.engagement_ratio(F.col("view_count"), F.col("like_count"), F.col("comment_count"))

@@ -211,3 +211,36 @@ def test_duplicates_and_placeholders(spark):
     assert rows(m, "placeholder", "channel_id") == [("@Me", "UC1")]
     e = spark.createDataFrame([("@Me", "UC1", 1.0), ("@Me", "UC2", 1.0), ("UC1", "UC2", 1.0)], "from_channel string, to_channel string, weight double")
     assert rows(merge.repoint_edges(e, m), "from_channel", "to_channel") == [("UC1", "UC2")]
+
+
+def test_scores(spark):
+    from corpuscle.plans import scoring
+
+    v = videos(spark, {"title": "Rust Database Guide", "description": "rust here\n- a\n- b", "tags": ["rust", "db"]}, {"title": "Rust and Go", "tags": ["go"]}, {"title": None, "description": None})
+    central = spark.createDataFrame([("a", 0.5)], "channel_id string, centrality double")
+    out = {r["video_id"]: r for r in scoring.score_videos(v, ["rust"], central).collect()}
+    assert len(out) == 3 and all(0 <= r["total_score"] <= 100 for r in out.values())
+    assert len(out["0"]["components"]) == 25 and out["0"]["components"]["title_front"] == 100 and out["0"]["components"]["keyword_triple"] == 100
+    assert out["0"]["seo_score"] > out["2"]["seo_score"]
+    assert scoring.score_videos(v, []).count() == 3
+    known = spark.createDataFrame([("0",)], "video_id string")
+    assert rows(scoring.backfill(v, known, ["rust"]), "video_id") == [("1",), ("2",)]
+    assert scoring.detail(scoring.score_videos(v, ["rust"]), ["title_front"]).count() == 3
+
+
+def test_written_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "rust db rust"), (2, "db"), (3, "")], "id long, text string")
+    search.write_index(docs, "id", F.col("text"), str(tmp_path / "index"))
+    n, mean = search.statistics(docs, F.col("text"))
+    got = {r["id"]: r["score"] for r in search.indexed_matches(spark.read.parquet(str(tmp_path / "index")), "id", n, mean, "db rust db").collect()}
+    assert got == pytest.approx({r["id"]: r["score"] for r in search.matches(docs, "id", F.col("text"), "db rust db").collect()})
+
+
+def test_small_helpers(spark):
+    v = videos(spark, {"tags": ["A", "b"]}, {"tags": ["a"]})
+    assert rows(R.flattened(v, "tags"), "value") == [("A",), ("b",)]
+    stored = spark.createDataFrame([("0", "kept", 0)], "video_id string, tag string, position long")
+    assert rows(R.tags_of(v, stored), "video_id", "tag") == [("0", "kept"), ("1", "a")]
+    assert R.newest(v, "published_at", "video_id").first()["video_id"] == "1"
+    R.register({"small": v})
+    assert spark.sql("select count(*) from small where channel_id = 'a'").first()[0] == 2
