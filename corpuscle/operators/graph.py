@@ -6,37 +6,17 @@ survives lost executors.
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import canonical, tokens
+from corpuscle.operators.shared import cut
 from corpuscle.operators.relational import shared_items, similar_titles, tag_cooccurrence, token_overlap, video_tags
 
 EVERY = 5
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one for a local session without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="corpuscle-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows in the session's checkpoint folder, without the plan that made them."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50, loops: bool = False) -> DataFrame:
     """(id, rank) that sum to one. nodes: (id); edges: (src, dst, weight), at least 0, parallel ones add up.
 

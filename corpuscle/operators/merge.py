@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import canonical
+from corpuscle.operators.shared import cut
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -117,7 +118,7 @@ def numbered(table: DataFrame, rows: DataFrame, column: str, order: Sequence[str
     """Rows with ids that follow the largest one. Offsets come from counts of range partitions, not from one sorted task."""
     start = table.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +35,43 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
     """V2 for a stated set of queries (query_id, query), which is counted and may hold at most `most` rows: (query_id, key, distance, rank).
 
-    Each task keeps the k best of its part of the table for each query before anything is shuffled.
+    Vectors are scanned in Arrow batches against all queries by array operations; a task keeps the k best for each query and gives no
+    more than those. Vectors of another length than a query's, and null ones, are no neighbours of it.
     """
-    n = queries.limit(most + 1).count()
-    if n > most:
+    asked = queries.select("query_id", "query").where(F.col("query").isNotNull()).limit(most + 1).collect()
+    if len(asked) > most:
         raise ValueError(f"more than {most} queries; search them in parts")
-    each = vectors.withColumn("_part", F.spark_partition_id()).join(F.broadcast(queries))
-    scored = each.select("query_id", "_part", F.struct(squared_distance(F.col(vector), F.col("query")).alias("distance"), F.col(key).alias(key)).alias("hit"))
-    local = scored.groupBy("query_id", "_part").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("hits")).select("query_id", F.explode("hits").alias("hit"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("hit"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("hit")[key].alias(key), F.col("hit")["distance"].alias("distance"), "rank")
+    by_size: dict[int, list] = {}
+    for r in asked:
+        by_size.setdefault(len(r["query"]), []).append(r)
+    known = {n: (np.array([r["query"] for r in rows], "f8").reshape(len(rows), n), [r["query_id"] for r in rows]) for n, rows in by_size.items()}
+    sent = vectors.sparkSession.sparkContext.broadcast(known)  # bounded by `most`
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list[tuple[float, object]]] = {}
+        types = None
+        for batch in batches:
+            types = batch.schema.field(key).type
+            lists, keys = batch.column(vector), batch.column(key).to_pylist()
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for n, (q, _) in sent.value.items():
+                rows = np.flatnonzero(sizes == n)
+                x = np.array(lists.take(pa.array(rows)).to_pylist(), "f8").reshape(len(rows), n)
+                for at in range(len(q)):
+                    d = ((x - q[at]) ** 2).sum(1)
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    held = best.setdefault((n, at), [])
+                    held += [(float(d[i]), keys[rows[i]]) for i in near]
+                    held.sort()
+                    del held[k:]
+        out = [(sent.value[n][1][at], key_, d) for (n, at), held in best.items() for d, key_ in held]
+        if out:
+            ids, keys, ds = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, types), pa.array(ds)], ["query_id", key, "distance"])
+
+    found = vectors.select(key, vector).mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, distance double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
 
 
 def recalled(vectors: DataFrame, query: Sequence[float], least: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -12,6 +12,7 @@ from corpuscle.functions import scoring as S
 from corpuscle.functions import text as T
 from corpuscle.operators import forecast, graph, merge, search, vectors
 from corpuscle.operators import relational as R
+from corpuscle.operators.shared import cut, shared_folder
 from corpuscle.plans import reports, scoring, views
 from corpuscle.plans.views import CATALOG, CHANNELS, KEYWORDS, RANKINGS, RESEARCH, SCORES, SNAPSHOTS, VIDEOS, table, tok_sql, with_views
 from corpuscle.sources import feeds, links
@@ -431,14 +432,14 @@ BOTH = "bo AS (SELECT src, dst FROM sp UNION SELECT dst, src FROM sp)"
 
 @query("WITH RECURSIVE " + SPARSE + ", " + BOTH + ", nb(id, hop) AS (SELECT (SELECT min(src) FROM sp), 0 UNION SELECT dst, hop + 1 FROM nb JOIN bo ON src = id WHERE hop < 3) SELECT id, min(hop) AS hop FROM nb GROUP BY 1")
 def g8_neighbourhood(spark, d):
-    e = graph.cut(sparse_edges(spark, d))
+    e = cut(sparse_edges(spark, d))
     seed = e.agg(F.min("src")).first()[0]
     return graph.neighbourhood(e.union(e.select("dst", "src")).distinct(), seed, 3)
 
 
 @query("WITH RECURSIVE " + SPARSE + ", " + BOTH + ", no AS (SELECT DISTINCT src AS id FROM bo), re(id, other) AS (SELECT id, id FROM no UNION SELECT re.id, dst FROM re JOIN bo ON src = other) SELECT id, min(other) AS component FROM re GROUP BY 1")
 def g11_components(spark, d):
-    e = graph.cut(sparse_edges(spark, d))
+    e = cut(sparse_edges(spark, d))
     return graph.components(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
 
 
@@ -699,7 +700,7 @@ def x4_daily_snapshot(spark, d):
 
     from corpuscle.streaming import feed
 
-    base = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
     daily = src.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.max_by("value", "ts").alias("value"))
 
