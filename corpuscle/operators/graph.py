@@ -1,12 +1,16 @@
 """Graph operators over edge tables (inventory G1-G23, J16, J17, R12, R13).
 
 Loops run joins and aggregates; every few rounds the state is checkpointed to the session's shared folder, which cuts the plan and
-survives lost executors.
+survives lost executors. PageRank, walks and components of a graph that is counted and found small are computed in one task instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,32 @@ from corpuscle.operators.shared import cut
 from corpuscle.operators.relational import shared_items, similar_titles, tag_cooccurrence, token_overlap, video_tags
 
 EVERY = 5
+#: Graphs of up to so many nodes and edges, counted first, are worked on in one task, which takes no shuffle for each round.
+SMALL = 2_000_000
+
+
+def in_one_task(nodes: DataFrame, edges: DataFrame, compute, kind: str, value: str) -> DataFrame | None:
+    """(id, value) by compute(n, src, dst, weight) over places of the sorted ids, or None if the graph isn't small. Edges to unknown nodes go."""
+    id_type = dict(nodes.dtypes)["id"]
+    none = F.lit(None)
+    rows = nodes.select(F.col("id").alias("src"), none.cast(id_type).alias("dst"), none.cast("double").alias("weight")).union(edges.select("src", "dst", F.col("weight").cast("double"))).where("src is not null")
+    if rows.limit(SMALL + 1).count() > SMALL:
+        return None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if not len(table):
+            return
+        is_node = pc.is_null(table["dst"])
+        ids = pc.unique(table.filter(is_node)["src"])
+        ids = ids.take(pc.sort_indices(ids))
+        links = table.filter(pc.invert(is_node))
+        src, dst = (pc.fill_null(pc.index_in(links[c], ids), -1).to_numpy().astype("i8") for c in ("src", "dst"))
+        known = (src >= 0) & (dst >= 0)
+        found = compute(len(ids), src[known], dst[known], links["weight"].to_numpy()[known])
+        yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(found)) if kind == "id" else pa.array(found)], ["id", value])
+
+    return rows.coalesce(1).mapInArrow(run, f"id {id_type}, {value} {id_type if kind == 'id' else kind}")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50, loops: bool = False) -> DataFrame:
@@ -22,9 +52,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
     Edges to unknown nodes don't count, nor do loops unless asked for; nodes without edges spread their rank over all.
     """
+
+    def iterate(n, src, dst, weight):
+        weight = np.maximum(weight, 0.0)
+        if not loops:
+            weight = weight * (src != dst)
+        total = np.bincount(src, weight, n).astype("f8")
+        share = weight / np.where(total[src] > 0, total[src], 1.0)
+        rank = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            rank = (1 - damping) / n + damping * (np.bincount(dst, rank[src] * share, n) + rank[total <= 0].sum() / n)
+        return rank
+
+    small = in_one_task(nodes, edges, iterate, "double", "rank")
+    if small is not None:
+        return small
     n = nodes.count()
-    if not n:
-        return nodes.select("id", F.lit(0.0).alias("rank"))
     known = edges.select("src", "dst", F.greatest(F.col("weight").cast("double"), F.lit(0.0)).alias("weight")).where("weight > 0")
     if not loops:
         known = known.where("src <> dst")
@@ -49,6 +92,24 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def random_walk(edges: DataFrame, seed, restart: float = 0.3, rounds: int = 50, top: int | None = None) -> DataFrame:
     """(id, score) by a walk from a seed that restarts; edges (src, dst, weight). Mass times weight goes to each neighbour, shared by
     degree and not normalised by weight; a node without neighbours loses it. The seed itself is left out."""
+
+    def walk(n, src, dst, weight):
+        degree = np.bincount(src, minlength=n)
+        share = weight / np.maximum(degree, 1)[src] * (1 - restart)
+        start = (degree < 0).astype("f8")
+        start[at[0]] = 1.0
+        score = start
+        for _ in range(rounds):
+            score = np.bincount(dst, score[src] * share, n) + restart * start
+        score[at[0]] = 0.0
+        return score
+
+    known = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    at = [known.where(F.col("id") < F.lit(seed)).count()]  # the seed's place among sorted ids
+    small = None if known.where(F.col("id") == F.lit(seed)).isEmpty() else in_one_task(known, edges, walk, "double", "score")
+    if small is not None:
+        out = small.where("score > 0")
+        return out if top is None else out.orderBy(F.desc("score"), "id").limit(top)
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     links = cut(edges.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("share")))
     spark = edges.sparkSession
@@ -93,8 +154,25 @@ def shortest_path(edges: DataFrame, start, end, most: int = 20) -> list | None:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component), the least id of all that edges connect, whichever way they point.
 
-    Labels take the least of their neighbours' and then jump to their label's label, so that rounds grow with the logarithm of a path.
+    In a large graph labels take the least of their neighbours' and then jump to their label's label, so that rounds grow with the logarithm of a path.
     """
+
+    def spread(n, src, dst, weight):
+        label = np.arange(n)
+        while True:
+            least = label.copy()
+            np.minimum.at(least, label[src], label[dst])  # a root learns what its tree is next to
+            np.minimum.at(least, label[dst], label[src])
+            while (least != least[least]).any():
+                least = least[least]
+            new = least[label]
+            if (new == label).all():
+                return label
+            label = new
+
+    small = in_one_task(nodes, edges.select("src", "dst", F.lit(1.0).alias("weight")), spread, "id", "component")
+    if small is not None:
+        return small
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
     state = cut(nodes.select("id", F.col("id").alias("component")))
     while True:

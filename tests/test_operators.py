@@ -137,14 +137,20 @@ def nodes(spark, names):
     return spark.createDataFrame([(x,) for x in names], "id string")
 
 
-def test_pagerank(spark):
+@pytest.fixture(params=["small", "large"])
+def size(request, monkeypatch):
+    if request.param == "large":
+        monkeypatch.setattr(graph, "SMALL", 0)
+
+
+def test_pagerank(spark, size):
     star = edges(spark, ("b", "a"), ("c", "a"), ("d", "a"), ("a", "a"), ("x", "a"))
     r = {x["id"]: x["rank"] for x in graph.pagerank(nodes(spark, "abcd"), star, rounds=30).collect()}
     assert sum(r.values()) == pytest.approx(1, abs=1e-9) and max(r, key=r.get) == "a"
     assert graph.pagerank(nodes(spark, "a"), edges(spark, ("a", "a")), rounds=3).first()["rank"] == pytest.approx(1)
 
 
-def test_paths_and_components(spark):
+def test_paths_and_components(spark, size):
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"))
     both = graph.both_ways(e)
     assert graph.shortest_path(both, "a", "d") == ["a", "b", "c", "d"]
@@ -156,16 +162,17 @@ def test_paths_and_components(spark):
     assert graph.articulation_points(nodes(spark, "abcdxy"), e).count() == 0
 
 
-def test_long_chain(spark):
+def test_long_chain(spark, size):
     names = [f"{i:03d}" for i in range(60)]
     out = graph.components(nodes(spark, names), edges(spark, *zip(names, names[1:])))
     assert {r["component"] for r in out.collect()} == {"000"}
 
 
-def test_walk_and_communities(spark):
+def test_walk_and_communities(spark, size):
     e = graph.both_ways(edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f")))
     scores = {r["id"]: r["score"] for r in graph.random_walk(e, "a", rounds=10).collect()}
     assert "a" not in scores and scores["b"] > scores["f"]
+    assert graph.random_walk(e, "unknown", rounds=2).count() == 0
     groups = {r["id"]: r["community"] for r in graph.communities(nodes(spark, "abcdef"), e).collect()}
     assert groups["a"] == groups["b"] and groups["e"] == groups["f"]
 
