@@ -31,6 +31,8 @@ WORDS, ROWS, BANDS, LEAST = 5, 7, 30, 0.8
 STARS = 2
 #: Nodes of a bucket that are compared with each other in one group.
 CHUNK = 1024
+#: Registers by which they are compared; three times those of the bands, so that fewer pairs are left to be verified.
+REGISTERS = 3 * ROWS * BANDS
 
 
 def bag(raw: bytes | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +222,7 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", least
             hubs = keep(shared.groupBy("bucket").agg(F.max(order).alias("hub")).select("bucket", F.col("hub")["id"].alias("x"), F.col("hub")["label"].alias("of")), "hubs")
             pairs = shared.join(hubs, "bucket").where("label <> of").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         else:
-            pairs = promising(shared, known, rows * bands, least)
+            pairs = promising(shared, known, REGISTERS, least)
         found = verified(keep(pairs.distinct(), "pairs"), known, least)
         shared = shared.drop("n")
         links = found if links is None else keep(links.union(found), "links")
