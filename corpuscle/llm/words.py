@@ -1,8 +1,8 @@
 """Token ids of whole texts, word by word.
 
 The vocabularies used here never join characters across ASCII white space, so a text's ids are those of its words in a row. Each
-worker keeps the ids of the words it has met; only new words go to the tokenizer's library. The number of words kept is bounded: the
-older half is forgotten when a limit is reached. Results don't depend on it.
+worker keeps the ids of the words (or of their parts) that it has met; only new ones go to the tokenizer's library. The number kept is
+bounded: the older half is forgotten when a limit is reached. Results don't depend on it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A worker's tokenizers by their arguments; they stay from task to task.
-LOADED: dict[Any, WordIds] = {}
+LOADED: dict[Any, Any] = {}
 
 
 class WordIds:
@@ -27,7 +27,9 @@ class WordIds:
         self.encode, self.most, self.known, self.older = encode, most, {}, {}
 
     def ids(self, raw: bytes | None) -> bytes:
-        words = (raw or b"").split()
+        return self.joined((raw or b"").split())
+
+    def joined(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.learn(words).__getitem__, words))
 
     def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
@@ -45,8 +47,9 @@ class WordIds:
         return self.known
 
 
-#: Words that a tokenizer's normalising and splitting only lower-case, but for one mark at the end.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters of ASCII and Latin-1 that a tokenizer's normalising only lower-cases, then marks that are one token's text; no apostrophe, which
+#: may begin a token with the letters after it.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
 
 
 def visible_bytes() -> dict[int, str]:
@@ -56,11 +59,35 @@ def visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def word_bpe(path: str) -> WordIds:
+#: In Latin-1: letters, and all else that a plain text may hold: white space, digits and marks, but no apostrophe.
+LETTERS = bytes(c for c in range(256) if chr(c).isascii() and chr(c).isalpha() or c >= 0xC0 and c not in (0xD7, 0xF7))
+PLAIN_TEXT = LETTERS + bytes(c for c in range(33, 127) if c != 39 and not chr(c).isalpha()) + b" \t\n\v\f\r"
+LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+TOKENS = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+class TextIds:
+    """ids(raw) of whole texts. Plain ones are split as the tokenizer would split them, and what occurs is asked for once; others go by words."""
+
+    def __init__(self, words: WordIds, tokens: WordIds | None):
+        self.words, self.tokens, self.encode = words, tokens, words.encode
+
+    def ids(self, raw: bytes | None) -> bytes:
+        if self.tokens and raw:
+            try:
+                plain = raw.decode().encode("latin-1")
+            except UnicodeEncodeError:
+                return self.words.ids(raw)
+            if not plain.translate(None, PLAIN_TEXT):
+                return self.tokens.joined(TOKENS.findall(plain.translate(LOWER)))
+        return self.words.ids(raw)
+
+
+def word_bpe(path: str) -> TextIds:
     """Ids as little-endian unsigned 32-bit integers by a tokenizers file, without special tokens.
 
-    The library's model is asked directly for words that its normaliser would only lower-case, which saves most of the time; whether
-    that holds is tried when the file is loaded, and otherwise all words take the whole way.
+    The library's model is asked directly for words and tokens that its normaliser would only lower-case, which saves most of the time;
+    whether that holds is tried when the file is loaded, and otherwise all words take the whole way.
     """
     if path not in LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks have a core each
@@ -75,29 +102,49 @@ def word_bpe(path: str) -> WordIds:
         def stem(s: str) -> bytes:
             return array("I", [k.id for k in model.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(table))]).tobytes()
 
-        letters = "".join(chr(c) for c in range(256) if PLAIN.fullmatch(chr(c)))
+        letters = "".join(chr(c) for c in range(256) if PLAIN.fullmatch(chr(c).encode()) and chr(c).isalpha())
         trial = [a + b for a in letters for b in ("", "e", "Ö")] + ["Streaming", "naïve", "Ünïted", "ñandú", letters]
-        direct = whole(trial) == [stem(w.lower()) for w in trial] and whole([w + m for w in trial for m in ".,"]) == [a + b for a in whole(trial) for b in whole([".", ","])]
-        marks = {m: whole([m])[0] if m else b"" for m in ("", ".", ",")}
+        ends = [".", ",", "###", "?!", "-", "...", "|", "<|", "_$%&"]
+        direct = whole(trial) == [stem(w.lower()) for w in trial] and whole([w + m for w in trial for m in ends]) == [a + b for a in whole(trial) for b in whole(ends)]
+        marks: dict[bytes, bytes] = {b"": b""}
 
         def encode(words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
             out: list[bytes] = [b""] * len(words)
             rest = []
             for i, w in enumerate(words):
-                if direct and (plain := PLAIN.fullmatch(w.decode())):
-                    s = plain[1].lower()
-                    raw = s.encode()
-                    ids = known.get(raw)
-                    if ids is None:
-                        ids = known[raw] = stem(s)
-                    out[i] = ids + marks[plain[2]]
+                mark = b""
+                if w.isalpha():  # of ASCII letters only
+                    raw = w.lower()
+                elif direct and (plain := PLAIN.fullmatch(w)):
+                    raw, mark = plain.groups()
+                    raw = raw.lower() if raw.isascii() else raw.decode().lower().encode()
                 else:
                     rest.append(i)
+                    continue
+                if not direct:
+                    rest.append(i)
+                    continue
+                ids = known.get(raw) if raw else b""
+                if ids is None:
+                    ids = known[raw] = stem(raw.decode())
+                if mark:
+                    if mark not in marks:
+                        if len(marks) > 10_000:
+                            marks.clear()
+                        marks[mark] = whole([mark.decode()])[0]
+                    ids += marks[mark]
+                out[i] = ids
             for i, ids in zip(rest, whole([words[i].decode() for i in rest]) if rest else []):
                 out[i] = ids
             return out
 
-        LOADED[path] = WordIds(encode, 400_000)
+        def tokens(found: list[bytes], _: dict[bytes, bytes]) -> list[bytes]:
+            return [stem(w.decode("latin-1")) for w in found]
+
+        texts = [" ".join(trial), "".join(a + b for a in letters for b in ends), "Ab12-3c4. <|x|> (é)ÜÉ7%"]
+        split = WordIds(tokens)
+        direct = direct and whole(texts) == [split.joined(TOKENS.findall(x.encode("latin-1").translate(LOWER))) for x in texts]
+        LOADED[path] = TextIds(WordIds(encode), split if direct else None)
     return LOADED[path]
 
 
