@@ -12,6 +12,7 @@ empty table gives a store without segments and codes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -60,8 +61,8 @@ class Codes:
         span = 1 << (self.bits - self.lengths)
         first = np.cumsum(span) - span
         size = int(self.ids.max(initial=0)) + 1
-        self.code, self.length = np.zeros(size, "u8"), np.zeros(size, "i8")
-        self.code[self.ids], self.length[self.ids] = first >> (self.bits - self.lengths), self.lengths
+        self.code = np.zeros(size, "u4")  # a code and, in the last byte, its length
+        self.code[self.ids] = (first >> (self.bits - self.lengths)) << 8 | self.lengths
         self.symbol = np.zeros(1 << self.bits, "u4")
         self.step = np.ones(1 << self.bits, "i8")
         used = int(span.sum())
@@ -69,14 +70,21 @@ class Codes:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """Checkpoints and payload."""
-        lengths = self.length[ids]
-        ends = np.cumsum(lengths)
+        if not len(ids):
+            return b"", bytes(8)
+        kind = "i4" if len(ids) < 1 << 26 else "i8"
+        code = self.code[ids]
+        lengths = (code & 255).astype(kind)
+        ends = np.cumsum(lengths, dtype=kind)
         starts = ends - lengths
-        word, at = starts >> 5, starts & 31
-        value = self.code[ids] << (64 - at - lengths).astype("u8")
-        n = int(ends[-1] + 31 >> 5) + 2 if len(ids) else 2
-        # codes don't overlap, so sums of their parts are exact below 2**53
-        words = np.bincount(word, (value >> np.uint64(32)).astype("f8"), n) + np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype("f8"), n)
+        word = starts >> 5
+        value = (code >> 8).astype("u8") << (64 - (starts & 31) - lengths).astype("u8")
+        # codes don't overlap, so the bits of a word are the sum of its codes' parts; each word has a code that begins in it, but the last
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        at = word[first]
+        words = np.zeros((int(ends[-1]) + 31 >> 5) + 2, "u8")
+        words[at] += np.add.reduceat(value >> np.uint64(32), first)
+        words[at + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
         return starts[::BLOCK].astype("<i8").tobytes(), words.astype(">u4").tobytes()
 
     def decode(self, checkpoints: bytes, payload: bytes, n: int) -> np.ndarray:
@@ -96,32 +104,38 @@ class Codes:
 
 
 def encode_texts(documents: DataFrame, tokenizer: str, end_id: int, key: str, text: str) -> DataFrame:
-    """Rows (key, ids) in the same order."""
+    """Rows (key, ids, counts) in the same order, counts null; each task ends with a row that has only counts: ids that occurred and how often, as 64-bit integers."""
     kind, end = documents.schema[key].dataType.simpleString(), np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(tokenizer)
+        bpe, total, keys = word_bpe(tokenizer), np.zeros(1, "i8"), None
         for batch in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([bpe.ids(raw) + end for raw in raw_texts(batch, text)], pa.binary())], [key, "ids"])
+            found, keys = [bpe.ids(raw) + end for raw in raw_texts(batch, text)], batch.column(key)
+            c = np.bincount(np.frombuffer(b"".join(found), "<u4"), minlength=len(total))
+            c[: len(total)] += total
+            total = c
+            yield pa.RecordBatch.from_arrays([keys, pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], [key, "ids", "counts"])
+        if keys is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, keys.type), pa.nulls(1, pa.binary()), pa.array([np.r_[at, total[at]].astype("<i8").tobytes()], pa.binary())], [key, "ids", "counts"])
 
-    return documents.mapInArrow(run, f"{key} {kind}, ids binary")
+    return documents.mapInArrow(run, f"{key} {kind}, ids binary, counts binary")
 
 
-def global_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The ids that occur and how often; bounded by the vocabulary. Counted in each task, then summed."""
+def global_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur and how often, summed over the tasks' rows; bounded by the vocabulary."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, "i8")
         for batch in batches:
-            for raw in batch.column("ids"):
-                c = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+            for raw in batch.column("counts"):
+                at, n = np.frombuffer(raw.as_buffer(), "<i8").reshape(2, -1)
+                total = np.pad(total, (0, max(0, int(at[-1]) + 1 - len(total))))
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    rows = counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     return rows["id"].to_numpy("i8"), rows["n"].to_numpy("i8")
 
 
@@ -132,9 +146,10 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, key:
     kind = documents.schema[key].dataType.simpleString()
     order = [F.col(key).asc_nulls_first(), F.col("_tie")]
     dealt = documents.select(key, text, F.rand(23).alias("_tie")).repartitionByRange(n, *order).sortWithinPartitions(*order)  # the random column deals out a frequent key
-    tokens = keep(encode_texts(dealt.drop("_tie"), tokenizer, end_id, key, text).withColumn("_pos", F.monotonically_increasing_id()), "tokens")
+    table = keep(encode_texts(dealt.drop("_tie"), tokenizer, end_id, key, text).withColumn("_pos", F.monotonically_increasing_id()), "tokens")
     release(spark)
-    ids, counts = global_counts(tokens)
+    ids, counts = global_counts(table.select("counts").where("counts is not null"))
+    tokens = table.where("ids is not null").drop("counts")
     lengths = code_lengths(counts)
     spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist())), "id long, length long").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast((ids, lengths))  # bounded by the vocabulary
@@ -157,8 +172,11 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, key:
     tokens.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/segments")
 
 
-def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """Rows (key, start, n_tokens, ids) of all documents of a store, ids as little-endian unsigned 32-bit integers; start counts the ids of all before."""
+def read(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = True) -> DataFrame:
+    """Rows (key, start, n_tokens, ids_crc32, ids) of all documents of a store; start counts the ids of all before.
+
+    ids are little-endian unsigned 32-bit integers, ids_crc32 their checksum; ids=False decodes and checks them but leaves them out.
+    """
     book = spark.read.parquet(f"{path}/codebook").toPandas()
     table = spark.sparkContext.broadcast((book["id"].to_numpy("i8"), book["length"].to_numpy("i8")))  # bounded by the vocabulary
     segments = spark.read.parquet(f"{path}/segments")
@@ -171,11 +189,14 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, sizes = batch.column("keys")[i].values, np.array(batch.column("sizes")[i].as_py(), "i8")
-                ids = codes.decode(batch.column("checkpoints")[i].as_py(), batch.column("payload")[i].as_buffer(), int(sizes.sum())).astype("<u4")
+                found = codes.decode(batch.column("checkpoints")[i].as_py(), batch.column("payload")[i].as_buffer(), int(sizes.sum())).astype("<u4")
                 ends = np.cumsum(sizes)
-                ends32 = np.r_[0, 4 * ends].astype("i4")
-                blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends32), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([keys, pa.array(ends - sizes), pa.array(sizes), blobs, pa.array(np.full(len(sizes), batch.column("first")[i].as_py()))], [key, "within", "n_tokens", "ids", "first"])
-
-    docs = segments.select("first", "keys", "sizes", "checkpoints", "payload").mapInArrow(run, f"{key} {kind}, within long, n_tokens long, ids binary, first long")
-    return docs.join(F.broadcast(keep(starts, "starts")), "first").select(key, (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids")
+                raw = memoryview(found).cast("B")
+                checks = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                columns = [keys, pa.array(ends - sizes + batch.column("start")[i].as_py()), pa.array(sizes), pa.array(checks, pa.int64())]
+                if ids:
+                    columns.append(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.r_[0, 4 * ends].astype("i8")), pa.py_buffer(found)]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [key, "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+
+    placed = segments.select("first", "keys", "sizes", "checkpoints", "payload").join(keep(starts, "starts"), "first")  # still compressed
+    return placed.mapInArrow(run, f"{key} {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
