@@ -153,7 +153,11 @@ def verdict(bands_: Column, reach: float, slack: float) -> Column:
 
 
 def judge(documents: DataFrame, pieces: str, words_file: str, reach: float = 4.5, slack: float = 0.03, least: int = 200, lang: str = "lang", text: str = "text") -> DataFrame:
-    """The columns of measure(), band (the group whose bands were used) and kept. The table is written once and read again."""
+    """The columns of measure(), band (the group whose bands were used) and kept. The table is written once and read again.
+
+    Columns of these names are replaced; those named _lang, _script, _lang_key and _script_key are used inside and dropped.
+    """
+    documents = documents.drop("_lang", "_script", "_lang_key", "_script_key")
     measured = keep(measure(documents, pieces, words_file, text), "measured")
     known = keep(bands(measured, lang, least), "bands")
     whole = known.where("group = 'all'").first()

@@ -5,7 +5,8 @@ joined with the digests of the known licences in the same form. A text is a whol
 inside other text are found too; a licence body that is only a part of a document isn't.
 
 Edge cases: a null text or one with nothing but punctuation and copyright lines has no digest and no licence. Documents are never
-merged: each row gives a row, and columns of the same names as the result's are replaced.
+merged: each row gives a row, and columns of the same names as the result's are replaced,
+and those named _lines, _line and _row, which are used inside, dropped.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def scan(documents: DataFrame, known: DataFrame | None = None, text: str = "text
     """
     known = known if known is not None else known_licences(documents.sparkSession)
     few = known.limit(most + 1).collect()  # bounded
-    base = documents.drop("digest", "license", "n_lines", "notices").withColumn("_lines", canonical_lines(F.col(text)))
+    base = documents.drop("digest", "license", "n_lines", "notices", "_lines", "_line", "_row").withColumn("_lines", canonical_lines(F.col(text)))
     base = base.withColumns({"digest": digest(F.col("_lines")), "n_lines": F.coalesce(F.size("_lines"), F.lit(0))})
     none = F.array().cast("array<string>")
     if len(few) <= most:

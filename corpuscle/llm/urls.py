@@ -87,7 +87,8 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), least: float = 0.5, z: float = 1.645, url: str = "url") -> DataFrame:
-    """Adds host, path, rule, verdict, level, mean and bound to pages; columns of these names are replaced.
+    """Adds host, path, rule, verdict, level, mean and bound to pages; columns of these names are replaced, and those
+    used inside (domain, suffix, _fits, _all, _host, _domain, _suffix) dropped.
 
     outcomes: rows (host, good). least: the share of good pages that a host must have at the lower bound, z standard deviations below
     the mean. Rows are looked up by host, else by domain, else by suffix, else take the prior over all; a level of one more join each,
@@ -95,7 +96,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     """
     table = reputation(outcomes)
     added = ("host", "path", "rule", "verdict", "level", "mean", "bound")
-    found = with_levels(pages.drop(*added, "domain", "suffix").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}))
+    found = with_levels(pages.drop(*added, "domain", "suffix", "_fits", "_all", *[f"_{x}" for x in LEVELS]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}))
     found = found.withColumn("_fits", rule_for(F.col("host"), F.col("path"), rules))
     for level in LEVELS:
         posterior = table.where(F.col("level") == level).select(F.col("key").alias(level), F.struct("level", "alpha", "beta", "m").alias(f"_{level}"))

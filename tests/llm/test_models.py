@@ -75,7 +75,7 @@ def naive(text):
 
 def test_quality_counts(spark):
     texts = [None, "", " \n ", "a b c a b c", "x y\nx y\n x y\nx y", "é# * w\x1cz $%&|<>", "a a a a a", "one", "漢字 text\tmore"] * 2
-    df = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").withColumn("kept", F.lit("clash"))
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("kept", "_lang", "script")})
     out = sorted(fertility.judge(df, PIECES, WORDS, least=2).collect(), key=lambda r: r["doc_id"])
     for r in out:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == naive(r["text"]), r["text"]

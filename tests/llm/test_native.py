@@ -50,7 +50,7 @@ def test_licence_forms(spark):
 
 def test_licence_joins(spark):
     """Beyond the limit lines are joined, with the same result."""
-    d = docs(spark, "Released under the MIT License.\nReleased under the MIT License.", "x", None).withColumn("digest", F.lit("clash"))
+    d = docs(spark, "Released under the MIT License.\nReleased under the MIT License.", "x", None).withColumns({c: F.lit("clash") for c in ("digest", "_lines", "_row")})
     few = sorted(map(str, licences.scan(d).collect()))
     many = sorted(map(str, licences.scan(d, most=0).select(licences.scan(d).columns).collect()))
     assert few == many
@@ -76,7 +76,7 @@ def test_rules(spark, url, host, path, rule, verdict):
 def test_reputation(spark):
     rows = [("good.example.net", True)] * 60 + [("bad.example.net", False)] * 60 + [("new.example.net", True)] + [("other.org", True)] * 20 + [("x.org", None)]
     outcomes = spark.createDataFrame(rows, "host string, good boolean")
-    pages = spark.createDataFrame([(1, "http://good.example.net/"), (2, "http://bad.example.net/"), (3, "http://unknown.example.net/"), (4, "http://fresh.dev/"), (1, "http://good.example.net/")], "page_id long, url string").withColumn("host", F.lit("clash"))
+    pages = spark.createDataFrame([(1, "http://good.example.net/"), (2, "http://bad.example.net/"), (3, "http://unknown.example.net/"), (4, "http://fresh.dev/"), (1, "http://good.example.net/")], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "_all", "_host", "domain")})
     out = urls.judge(pages, outcomes).collect()
     got = {r["page_id"]: r for r in out}
     assert len(out) == 5 and got[1]["verdict"] == "allow" and got[2]["verdict"] == "block"

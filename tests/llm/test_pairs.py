@@ -97,7 +97,9 @@ def test_class_keys(spark):
     assert sorted((k, c) for k, c in out if k) == [(3, 3), (5, 3), (5, 3)]
     assert sum(c is not None and c < 0 for k, c in out if k is None) == 1
     assert neardup.near_duplicates(df.limit(0)).count() == 0 and neardup.one_of_each(df.limit(0)).count() == 0
-    assert neardup.one_of_each(df).count() == 3
+    odd = df.withColumns({"_row": F.lit("mine"), "_node": F.col("text"), "id": F.lit(1)})
+    kept = neardup.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == 3 and {r["_row"] for r in kept.collect()} == {"mine"}
 
 
 def test_wand():
