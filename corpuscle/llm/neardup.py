@@ -28,7 +28,7 @@ from .store import keep
 from .words import raw_texts, slices
 
 WORDS, ROWS, BANDS, LEAST = 5, 7, 30, 0.8
-STARS = 2
+STARS = 1
 #: Nodes of a bucket that are compared with each other in one group.
 CHUNK = 1024
 #: Registers by which they are compared; three times those of the bands, so that fewer pairs are left to be verified.
@@ -179,19 +179,24 @@ def components(links: DataFrame) -> DataFrame:
     In each round a node goes to the neighbour (or itself) of least hash, and the graph is contracted by that; rounds end when no link
     is left. Hashes change from round to round, so that a long chain shrinks by a share of its length each time.
     """
-    labels, rest, number = None, links, 0
+    hooks, rest = [], links
     while True:
+        number = len(hooks)
         both = rest.union(rest.select("b", "a"))
-        order = lambda c: F.xxhash64(c, F.lit(number))
+        order = lambda c: F.xxhash64(c, F.lit(number))  # noqa: B023, E731
         near = both.groupBy("a").agg(F.min_by("b", F.struct(order("b"), F.col("b"))).alias("b"))
         goes = F.when(F.struct(order("b"), F.col("b")) < F.struct(order("a"), F.col("a")), F.col("b")).otherwise(F.col("a"))
         to = keep(near.select(F.col("a").alias("id"), goes.alias("to")), "hooks")
+        hooks.append(to)
         a, b = to.select(F.col("id").alias("a"), F.col("to").alias("x")), to.select(F.col("id").alias("b"), F.col("to").alias("y"))
-        labels = to.withColumnRenamed("to", "label") if labels is None else keep(labels.join(to.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
         moved = rest.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest, number = keep(moved, "contracted"), number + 1
+        rest = keep(moved, "contracted")
         if rest.isEmpty():
-            return labels
+            break
+    labels = hooks[0].withColumnRenamed("to", "label")
+    for to in hooks[1:]:
+        labels = labels.join(to.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return keep(labels, "labels")
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, words: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
@@ -249,6 +254,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents without all but the first row of each class; those with null text stay."""
-    table, found = classes(documents, key, text, **how)
+    aside = {c: f"_given{i}" for i, c in enumerate(documents.columns) if c in ("_bands", "_node", "_row")}
+    table, found = classes(documents.withColumnsRenamed(aside), key, text, **how)
     names = table.select("_row", "_node").join(found, "_node").where("_row <> first_row").select("_row")
-    return table.join(keep(names, "copies"), "_row", "left_anti").select(*documents.columns)
+    return table.join(keep(names, "copies"), "_row", "left_anti").select(*[F.col(aside.get(c, c)).alias(c) for c in documents.columns])
