@@ -55,7 +55,7 @@ def by_both(pieces: str, words_file: str) -> WordIds:
             ids = model.encode([w.decode() for w in words], num_threads=1)
             return [array("H", [*x, COUNT | min(COUNT - 1, len(y) // 4)]).tobytes() for x, y in zip(ids, other.encode(words, stems))]
 
-        LOADED[pieces, words_file] = WordIds(encode, 500_000)
+        LOADED[pieces, words_file] = WordIds(encode, 400_000)
     return LOADED[pieces, words_file]
 
 

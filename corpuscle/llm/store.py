@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,5 +33,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of finished jobs when the driver collects garbage; this asks for that now."""
+    """Spark deletes the shuffle files of finished jobs when the driver collects garbage; this asks for that now, in Python first."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
