@@ -163,7 +163,15 @@ def common_part(unigrams: DataFrame, starts: int, buckets: int | None) -> Common
     return Common(words, counts, heavy, parts, int(buckets), int(total), int(distinct), factors, (1 - unknown) / seen / total if total and seen else 0.0, unknown if total else 1.0, starts)
 
 
-PAIRS = "bucket int, slice long, keys array<{key}>, info binary, context binary, word binary, n binary, uses binary, at_slice binary, at_doc binary, at_n binary"
+#: Rows of the table that buckets are gathered in, by kind: "info" (a slice's documents), "pairs" (a bucket), "sums" (of a slice's documents)
+#: and "rare" (occurrences of rare words on their way to buckets by word).
+BLOBS = ("info", "context", "total", "n_seen", "n_low", "word", "n", "uses", "seen_at", "seen_doc", "seen_n", "low_at", "low_doc", "low_n", "tally", "doc", "at", "lower", "score", "base", "known")
+TABLE = "kind string, bucket int, slice long, keys array<{key}>, " + ", ".join(f"{c} binary" for c in BLOBS)
+
+
+def rows_of(given: list[dict], key_type: pa.DataType) -> pa.Table:
+    kinds = {"kind": pa.string(), "bucket": pa.int32(), "slice": pa.int64(), "keys": pa.list_(key_type)} | dict.fromkeys(BLOBS, pa.binary())
+    return pa.table([pa.array([r.get(c) for r in given], k) for c, k in kinds.items()], names=list(kinds))
 
 
 def occurrences(documents: DataFrame, key: str, text: str, sent) -> DataFrame:
@@ -183,9 +191,8 @@ def occurrences(documents: DataFrame, key: str, text: str, sent) -> DataFrame:
             learn = np.array(batch.column("_train").to_pylist(), "u4")
             doc = np.repeat(np.arange(len(sizes), dtype="u4") * 2 + learn, sizes)
             bucket = know.bucket(context, word)
-            # equal pairs side by side: by bucket, then by a hash of the pair, then by document (the sort is stable)
-            pair = (bucket.astype("u8") << U(40)) | mixed(context * U(3) + word) >> U(24) if know.buckets < 1 << 23 else mixed(context * U(3) + word)
-            order = np.argsort(pair, kind="stable") if know.buckets < 1 << 23 else np.lexsort((pair, bucket))
+            # equal pairs side by side, by bucket and context, then by document
+            order = np.lexsort((doc, word, context, bucket))
             context, word, doc, bucket = context[order], word[order], doc[order], bucket[order]
             new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])
             n = np.diff(np.r_[new, len(doc)]).astype("u4")
@@ -193,7 +200,8 @@ def occurrences(documents: DataFrame, key: str, text: str, sent) -> DataFrame:
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             rows = {"bucket": [-1 - number % 1_000_003 % 997], "slice": [number], "keys": [0], "info": [packed(np.c_[sizes, learn].astype("u8").ravel())], "context": [None], "word": [None], "doc": [None], "n": [None]}
             for a, b in zip(edges, edges[1:]):
-                for name, x in zip(rows, (int(bucket[a]), number, 1, None, packed(context[a:b]), packed(word[a:b]), packed(doc[a:b]), packed(n[a:b]))):
+                runs = np.flatnonzero(np.r_[True, context[a + 1 : b] != context[a : b - 1], True])
+                for name, x in zip(rows, (int(bucket[a]), number, 1, packed(np.diff(runs).astype("u4")), packed(context[a:b][runs[:-1]]), packed(word[a:b]), packed(doc[a:b]), packed(n[a:b]))):
                     rows[name].append(x)
             count = len(rows["bucket"])
             keys = batch.column(key)
@@ -204,30 +212,67 @@ def occurrences(documents: DataFrame, key: str, text: str, sent) -> DataFrame:
     return documents.select(key, text, "_train").mapInArrow(run, schema)
 
 
-def gathered(rows: DataFrame, key_kind: str) -> DataFrame:
-    """A row for each bucket: its distinct pairs with their training counts, and the documents they occur in. Rows of documents pass."""
+def gathered(rows: DataFrame, key_kind: str, sent) -> DataFrame:
+    """A row for each bucket with its pairs; sums of all that is known already; rare words' occurrences. Rows of documents pass.
+
+    Of pairs that back off, only the context and the documents are kept on: the unigram part of common words is summed here, that of
+    rare ones is settled in their own buckets.
+    """
 
     def run(group: pa.Table) -> pa.Table:
+        know: Common = sent.value
+        key_type = group.schema.field("keys").type.value_type
         if group.column("bucket")[0].as_py() < 0:
-            none = pa.nulls(group.num_rows, pa.binary())
-            return pa.table([*[group.column(c) for c in ("bucket", "slice", "keys", "info")], *[none] * 7], names=names)
+            return rows_of([{"kind": "info", "slice": r["slice"], "keys": r["keys"], "info": r["info"]} for r in group.select(["slice", "keys", "info"]).to_pylist()], key_type)
         parts: dict[str, list[np.ndarray]] = {c: [] for c in ("context", "word", "doc", "n", "slice")}
         for k in range(group.num_rows):
-            for c, kind in (("context", "u8"), ("word", "u8"), ("doc", "u4"), ("n", "u4")):
-                parts[c].append(unpacked(group.column(c)[k].as_py(), kind))
+            get = lambda c, kind: unpacked(group.column(c)[k].as_py(), kind)  # noqa: B023, E731
+            parts["context"].append(np.repeat(get("context", "u8"), get("info", "u4")))
+            for c, kind in (("word", "u8"), ("doc", "u4"), ("n", "u4")):
+                parts[c].append(get(c, kind))
             parts["slice"].append(np.full(len(parts["n"][-1]), k, "u4"))
-        context, word, doc, n, at = (np.concatenate(parts[c]) for c in parts)
+        context, word, doc, n, at = (np.concatenate(parts.pop(c)) for c in ("context", "word", "doc", "n", "slice"))
         order = np.lexsort((word, context))
         context, word, doc, n, at = context[order], word[order], doc[order], n[order], at[order]
+        ids = np.array(group.column("slice").to_pylist(), "i8")
         new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
+        uses = np.diff(np.r_[new, len(doc)])
         counts = np.add.reduceat(n * (doc & 1), new).astype("u4")
-        uses = np.diff(np.r_[new, len(doc)]).astype("u4")
-        slice_ids = pa.array([group.column("slice").to_pylist()], pa.list_(pa.int64()))
-        info = np.array(slice_ids[0].as_py(), "i8").tobytes()
-        return pa.table([group.column("bucket").slice(0, 1), pa.array([None], pa.int64()), pa.nulls(1, group.schema.field("keys").type), pa.array([info]), *[pa.array([packed(x)], pa.binary()) for x in (context[new], word[new], counts, uses, at, doc, n)]], names=names)
-
-    names = ["bucket", "slice", "keys", "info", "context", "word", "n", "uses", "at_slice", "at_doc", "at_n"]
-    return rows.groupBy("bucket").applyInArrow(run, PAIRS.format(key=key_kind))
+        seen = counts > CUTOFF
+        entry = np.repeat(seen, uses)
+        often = word < RARE
+        c = np.zeros(len(word), "i8")
+        c[often] = know.counts[word[often].astype("i8")]
+        value = np.where(often & ~entry, np.log10(know.unigram(c)), 0.0)
+        out = list(by_slice(ids, at[often], doc[often], (value * n)[often], (base_part(know, c) * n)[often], ((c > 0) * n.astype("i8"))[often]))
+        if not often.all():
+            go = np.flatnonzero(~often)
+            to = (mixed(word[go]) % U(know.buckets)).astype("i4")
+            order = np.lexsort((word[go], to))
+            go, to = go[order], to[order]
+            edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+            for i, j in zip(edges, edges[1:]):
+                k = go[i:j]
+                out.append({"kind": "rare", "bucket": int(to[i]), "word": packed(word[k]), "at": packed(at[k]), "doc": packed(doc[k]), "n": packed(n[k]), "lower": np.packbits(~entry[k]).tobytes(), "info": ids.tobytes()})
+        # what is left: contexts, their seen pairs, and where they back off
+        heads = np.flatnonzero(np.r_[True, context[new][1:] != context[new][:-1]])
+        total = np.add.reduceat(counts.astype("i8"), heads)
+        n_seen = np.add.reduceat(seen.astype("i8"), heads)
+        low = np.flatnonzero(~entry)
+        place = np.repeat(np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(new)])), uses)[low]
+        order = np.lexsort((doc[low], at[low], place))
+        low, place = low[order], place[order]
+        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[low][1:] != at[low][:-1]) | (doc[low][1:] != doc[low][:-1])]) if len(low) else np.zeros(0, "i8")
+        low_n = np.add.reduceat(n[low], first) if len(low) else np.zeros(0, "u4")
+        out.append({
+            "kind": "pairs", "bucket": group.column("bucket")[0].as_py(), "info": ids.tobytes(), "context": packed(context[new][heads]), "total": packed(total.astype("u8")), "n_seen": packed(n_seen.astype("u4")),
+            "n_low": packed(np.bincount(place[first], minlength=len(heads)).astype("u4")), "word": packed(word[new][seen]), "n": packed(counts[seen]), "uses": packed(uses[seen].astype("u4")),
+            "seen_at": packed(at[entry]), "seen_doc": packed(doc[entry] >> 1), "seen_n": packed(n[entry]), "low_at": packed(at[low][first]), "low_doc": packed(doc[low][first] >> 1), "low_n": packed(low_n.astype("u4")),
+            "tally": np.bincount(np.minimum(counts, MOST + 2), minlength=MOST + 3).astype("i8").tobytes(),
+        })
+        return rows_of(out, key_type)
+
+    return rows.groupBy("bucket").applyInArrow(run, TABLE.format(key=key_kind))
 
 
 def word_counts(know: Common, word: np.ndarray, rare: np.ndarray, rare_n: np.ndarray) -> np.ndarray:
@@ -242,27 +287,24 @@ def word_counts(know: Common, word: np.ndarray, rare: np.ndarray, rare_n: np.nda
     return out
 
 
-def context_sums(know: Common, factors: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray, rare: np.ndarray, rare_n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """By distinct context of sorted pairs: where it begins, its count here, the discounted count of its seen pairs and their unigram mass."""
-    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-    seen = n > CUTOFF
-    mass = np.zeros(len(n))
-    mass[seen] = know.unigram(word_counts(know, word[seen], rare, rare_n))
-    here = np.add.reduceat(n.astype("i8"), first)
-    return first, here, np.add.reduceat(factors[np.minimum(n, MOST + 1)] * n, first), np.add.reduceat(mass, first)
+def context_sums(know: Common, factors: np.ndarray, n_seen: np.ndarray, word: np.ndarray, n: np.ndarray, rare: np.ndarray, rare_n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The context's place of each seen pair; by context the discounted count of its seen pairs and their unigram mass."""
+    of = np.repeat(np.arange(len(n_seen)), n_seen)
+    kept = np.bincount(of, factors[np.minimum(n, MOST + 1)] * n, len(n_seen)).astype("f8")
+    return of, kept, np.bincount(of, know.unigram(word_counts(know, word, rare, rare_n)), len(n_seen)).astype("f8")
 
 
-def needed(pairs: DataFrame, unigrams: DataFrame, sent) -> DataFrame:
+def needed(pairs: DataFrame, unigrams: DataFrame) -> DataFrame:
     """A row (bucket, rare) for each bucket with the counts of the rare words in its seen pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                word, n = unpacked(batch.column("word")[k].as_py(), "u8"), unpacked(batch.column("n")[k].as_py(), "u4")
-                found = np.unique(word[(n > CUTOFF) & (word >= RARE)])
+                word = unpacked(batch.column("word")[k].as_py(), "u8")
+                found = np.unique(word[word >= RARE])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column("bucket")[k].as_py(), "i4")), pa.array(found.view("i8"))], ["bucket", "word"])
 
-    rows = pairs.select("bucket", "word", "n").mapInArrow(run, "bucket int, word long")
+    rows = pairs.select("bucket", "word").mapInArrow(run, "bucket int, word long")
     coded = unigrams.where("n > 0").select(F.col("word").bitwiseOR(F.lit(-(1 << 63))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     return keep(rows.join(coded, "word").groupBy("bucket").agg(F.collect_list(F.struct("word", "n")).alias("rare")), "rare")  # bounded by a bucket's tokens
 
@@ -283,33 +325,22 @@ def heavy_sums(pairs: DataFrame, rare: DataFrame, sent, factors: np.ndarray) ->
         know: Common = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                context, word, n = (unpacked(batch.column(c)[k].as_py(), kind) for c, kind in (("context", "u8"), ("word", "u8"), ("n", "u4")))
+                context, n_seen, word, n = (unpacked(batch.column(c)[k].as_py(), kind) for c, kind in (("context", "u8"), ("n_seen", "u4"), ("word", "u8"), ("n", "u4")))
                 here = np.isin(context, know.heavy)
                 if here.any():
-                    first, _, kept, mass = context_sums(know, factors, context[here], word[here], n[here], *rare_lists(batch, k))
-                    yield pa.RecordBatch.from_arrays([pa.array(context[here][first].view("i8")), pa.array(kept), pa.array(mass)], ["context", "kept", "mass"])
+                    _, kept, mass = context_sums(know, factors, n_seen, word, n, *rare_lists(batch, k))
+                    yield pa.RecordBatch.from_arrays([pa.array(context[here].view("i8")), pa.array(kept[here]), pa.array(mass[here])], ["context", "kept", "mass"])
 
-    rows = pairs.select("bucket", "context", "word", "n").join(rare, "bucket", "left").mapInArrow(run, "context long, kept double, mass double")
+    rows = pairs.select("bucket", "context", "n_seen", "word", "n").join(rare, "bucket", "left").mapInArrow(run, "context long, kept double, mass double")
     return {r["context"] % (1 << 64): (r["kept"], r["mass"]) for r in rows.groupBy("context").agg(F.sum("kept").alias("kept"), F.sum("mass").alias("mass")).collect()}
 
 
-PART = "bucket int, slice long, word binary, at_slice binary, doc binary, n binary, lower binary, slices binary, score binary, base binary, known binary"
-
-
-def part(**given) -> dict:
-    return {c.split()[0]: given.get(c.split()[0]) for c in PART.split(", ")}
-
-
-def part_schema() -> pa.Schema:
-    return pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), *[(c.split()[0], pa.binary()) for c in PART.split(", ")[2:]]])
-
-
 def by_slice(slices_: np.ndarray, at: np.ndarray, doc: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> Iterator[dict]:
-    """A row for each slice with the sums of its documents."""
+    """A row for each slice with the sums of its documents; doc holds a document's place and, in the last bit, whether it is learnt from."""
     key, score, base, known = summed((at.astype("u8") << U(32)) | (doc >> 1).astype("u8"), score, base, known)
     edges = np.flatnonzero(np.r_[True, key[1:] >> U(32) != key[:-1] >> U(32), True]) if len(key) else []
     for a, b in zip(edges, edges[1:]):
-        yield part(bucket=-1, slice=int(slices_[int(key[a] >> U(32))]), doc=packed((key[a:b] & U(0xFFFFFFFF)).astype("u4")), score=score[a:b].tobytes(), base=base[a:b].tobytes(), known=packed(known[a:b].astype("u4")))
+        yield {"kind": "sums", "slice": int(slices_[int(key[a] >> U(32))]), "doc": packed((key[a:b] & U(0xFFFFFFFF)).astype("u4")), "score": score[a:b].tobytes(), "base": base[a:b].tobytes(), "known": packed(known[a:b].astype("u4"))}
 
 
 def base_part(know: Common, c: np.ndarray) -> np.ndarray:
@@ -317,47 +348,35 @@ def base_part(know: Common, c: np.ndarray) -> np.ndarray:
 
 
 def scored_pairs(pairs: DataFrame, rare: DataFrame, sent, factors: np.ndarray, heavy: dict[int, tuple[float, float]]) -> DataFrame:
-    """Sums by slice of all that a bucket can tell; rare words, and how often they back off, go on to buckets by word."""
+    """Sums by slice of the pair scores and of the weights of backing off."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know: Common = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                context, word, n, uses, at, doc, times = (unpacked(batch.column(c)[k].as_py(), kind) for c, kind in (("context", "u8"), ("word", "u8"), ("n", "u4"), ("uses", "u4"), ("at_slice", "u4"), ("at_doc", "u4"), ("at_n", "u4")))
+                get = lambda c, kind: unpacked(batch.column(c)[k].as_py(), kind)  # noqa: B023, E731
                 ids = np.frombuffer(batch.column("info")[k].as_py(), "i8")
-                first, total, kept, mass = context_sums(know, factors, context, word, n, *rare_lists(batch, k))
-                for x in np.flatnonzero(np.isin(context[first], know.heavy)):
-                    c = int(context[first[x]])
+                context, total, n_seen, n_low, word, n = get("context", "u8"), get("total", "u8").astype("i8"), get("n_seen", "u4"), get("n_low", "u4"), get("word", "u8"), get("n", "u4")
+                of, kept, mass = context_sums(know, factors, n_seen, word, n, *rare_lists(batch, k))
+                for x in np.flatnonzero(np.isin(context, know.heavy)):
+                    c = int(context[x])
                     kept[x], mass[x] = heavy.get(c, (0.0, 0.0))
                     total[x] = know.starts if c == int(START | RARE) else know.counts[c]
                 total = total + (kept >= total * (1 - 1e-12)) * (total > 0)  # a context that frees nothing counts as seen once more
                 some = total > 0
-                weight = np.ones(len(first))
+                weight = np.ones(len(context))
                 weight[some] = (1 - kept[some] / total[some]) / (1 - mass[some])
-                size = np.diff(np.r_[first, len(context)])
-                of = np.repeat(np.arange(len(first)), size)
-                seen, often = n > CUTOFF, word < RARE
-                value = np.empty(len(n))
-                value[seen] = np.log10(factors[np.minimum(n[seen], MOST + 1)] * n[seen] / total[of[seen]])
-                value[~seen] = np.log10(weight[of[~seen]])
-                back = ~seen & often
-                c = np.where(often, word_counts(know, word, word[:0], n[:0]), 0)
-                value[back] += np.log10(know.unigram(c[back]))
-                base, known = np.where(often, base_part(know, c), 0.0), (often & (c > 0)).astype("i8")
-                rows = np.repeat(np.arange(len(n)), uses)
-                out = list(by_slice(ids, at, doc, value[rows] * times, base[rows] * times, known[rows] * times))
-                go = ~often[rows]
-                if go.any():
-                    w, a, d, t, low = word[rows[go]], at[go], doc[go], times[go], (~seen)[rows[go]]
-                    to = (mixed(w) % U(know.buckets)).astype("i4")
-                    order = np.lexsort((w, to))
-                    w, a, d, t, low, to = w[order], a[order], d[order], t[order], low[order], to[order]
-                    edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-                    for i, j in zip(edges, edges[1:]):
-                        out.append(part(bucket=int(to[i]), word=packed(w[i:j]), at_slice=packed(a[i:j]), doc=packed(d[i:j]), n=packed(t[i:j]), lower=np.packbits(low[i:j]).tobytes(), slices=ids.tobytes()))
-                yield pa.RecordBatch.from_pylist(out, schema=part_schema())
-
-    return keep(pairs.select("bucket", "info", "context", "word", "n", "uses", "at_slice", "at_doc", "at_n").join(rare, "bucket", "left").mapInArrow(run, PART), "scored")
+                value = np.repeat(np.log10(factors[np.minimum(n, MOST + 1)] * n / total[of]), get("uses", "u4"))
+                back = np.repeat(np.log10(weight), n_low)
+                times = np.r_[get("seen_n", "u4"), get("low_n", "u4")]
+                none = np.zeros(len(times))
+                at, doc = np.r_[get("seen_at", "u4"), get("low_at", "u4")], np.r_[get("seen_doc", "u4"), get("low_doc", "u4")] << 1
+                out = list(by_slice(ids, at, doc, np.r_[value, back] * times, none, none))
+                yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in sums_schema.names} for r in out], schema=sums_schema)
+
+    sums_schema = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("doc", "score", "base", "known")]])
+    rows = pairs.drop("kind", "slice", "keys", "tally", "doc", "at", "lower", "score", "base", "known").join(rare, "bucket", "left")
+    return keep(rows.mapInArrow(run, "slice long, doc binary, score binary, base binary, known binary"), "scored")
 
 
 def scored_rare(rows: DataFrame, sent) -> DataFrame:
@@ -369,9 +388,9 @@ def scored_rare(rows: DataFrame, sent) -> DataFrame:
         ids: dict[int, int] = {}
         for k in range(group.num_rows):
             word = unpacked(group.column("word")[k].as_py(), "u8")
-            own = np.array([ids.setdefault(x, len(ids)) for x in np.frombuffer(group.column("slices")[k].as_py(), "i8").tolist()], "u4")
+            own = np.array([ids.setdefault(x, len(ids)) for x in np.frombuffer(group.column("info")[k].as_py(), "i8").tolist()], "u4")
             got["word"].append(word)
-            got["at"].append(own[unpacked(group.column("at_slice")[k].as_py(), "u4")])
+            got["at"].append(own[unpacked(group.column("at")[k].as_py(), "u4")])
             got["doc"].append(unpacked(group.column("doc")[k].as_py(), "u4"))
             got["n"].append(unpacked(group.column("n")[k].as_py(), "u4"))
             got["low"].append(np.unpackbits(np.frombuffer(group.column("lower")[k].as_py(), "u1"))[: len(word)])
@@ -379,10 +398,11 @@ def scored_rare(rows: DataFrame, sent) -> DataFrame:
         _, code = np.unique(word, return_inverse=True)
         c = np.bincount(code, (n * (doc & 1)).astype("f8")).astype("i8")
         p, b = np.log10(know.unigram(c)), base_part(know, c)
-        out = list(by_slice(np.array(list(ids), "i8"), at, doc, p[code] * n * low, b[code] * n, (c > 0)[code] * n))
-        return pa.Table.from_pylist(out, schema=part_schema())
+        out = list(by_slice(np.array(list(ids), "i8"), at, doc, p[code] * n * low, b[code] * n, (c > 0)[code] * n.astype("i8")))
+        return pa.Table.from_pylist([{c: r.get(c) for c in sums_schema.names} for r in out], schema=sums_schema)
 
-    return rows.where("bucket >= 0").groupBy("bucket").applyInArrow(run, PART)
+    sums_schema = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("doc", "score", "base", "known")]])
+    return rows.select("bucket", "word", "at", "doc", "n", "lower", "info").groupBy("bucket").applyInArrow(run, "slice long, doc binary, score binary, base binary, known binary")
 
 
 def score(documents: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -394,24 +414,25 @@ def score(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
     starts = documents.select(F.sum(F.col("_train").cast("long"))).first()[0] or 0
     sent = spark.sparkContext.broadcast(common_part(unigrams, starts, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # bounded by COMMON
     release(spark)
-    table = keep(gathered(occurrences(documents, key, text, sent), kind), "pairs")
+    table = keep(gathered(occurrences(documents, key, text, sent), kind, sent), "pairs")
     release(spark)
-    pairs = table.where("bucket >= 0")
+    pairs = table.where("kind = 'pairs'")
 
-    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tallies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                n = np.bincount(np.minimum(unpacked(batch.column("n")[k].as_py(), "u4"), MOST + 2), minlength=MOST + 3)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(MOST + 3)), pa.array(n)], ["r", "n"])
+            for raw in batch.column("tally"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(MOST + 3)), pa.array(np.frombuffer(raw.as_buffer(), "i8"))], ["r", "n"])
 
-    kinds = dict(pairs.select("n").mapInArrow(tally, "r long, n long").groupBy("r").agg(F.sum("n")).collect())
+    kinds = dict(pairs.select("tally").mapInArrow(tallies, "r long, n long").groupBy("r").agg(F.sum("n")).collect())
     factors = discounts([kinds.get(r, 0) for r in range(MOST + 3)], CUTOFF)
-    rare = needed(pairs, unigrams, sent)
+    rare = needed(pairs, unigrams)
     heavy = heavy_sums(pairs, rare, sent, factors) if len(sent.value.heavy) else {}
     scored = scored_pairs(pairs, rare, sent, factors, heavy)
     release(spark)
-    info = table.where("bucket < 0").select(F.col("slice"), "keys", F.col("info"), *[F.lit(None).cast("binary").alias(c) for c in ("doc", "score", "base", "known")])
-    sums = scored.where("bucket < 0").union(scored_rare(scored, sent)).select("slice", F.lit(None).cast(f"array<{kind}>").alias("keys"), F.lit(None).cast("binary").alias("info"), "doc", "score", "base", "known")
+    unknown = scored_rare(table.where("kind = 'rare'"), sent)
+    sums = table.where("kind = 'sums'").select("slice", "doc", "score", "base", "known").union(scored).union(unknown)
+    sums = sums.select("slice", F.lit(None).cast(f"array<{kind}>").alias("keys"), F.lit(None).cast("binary").alias("info"), "doc", "score", "base", "known")
+    info = table.where("kind = 'info'").select("slice", "keys", "info", "doc", "score", "base", "known")
 
     def finish(group: pa.Table) -> pa.Table:
         first = next(k for k in range(group.num_rows) if group.column("keys")[k].is_valid)
