@@ -1,7 +1,7 @@
 """Language-model scores by a bigram model with Katz backoff, learnt from some of the documents and applied to all.
 
 Tokens are lower-cased words (A-Z) and an end after each text; the first token follows a start. Counts are discounted by Good and
-Turing's estimate up to `MOST`; a pair seen once backs off, as Katz proposes (`CUTOFF`). What discounting frees in a context goes to the
+Turing's estimate up to `MOST`, pairs seen once among them (`CUTOFF` leaves none out). What discounting frees in a context goes to the
 words not seen there, in proportion to their unigram probability, by a weight that makes each context sum to one exactly; unigrams in
 turn leave their freed mass to one unknown word. A context whose pairs are all too frequent for a discount has its count raised by one,
 so that it frees something. Each token's score is looked up as a pair, else recursively one order below.
@@ -34,7 +34,7 @@ from .words import raw_texts, slices
 
 START, END = U(0x5354415254), U(0x454E44)
 #: Counts up to MOST are discounted; pairs of a count up to CUTOFF are left to the unigrams.
-MOST, CUTOFF = 5, 1
+MOST, CUTOFF = 5, 0
 #: So many of the commonest words are known everywhere; a bucket has about so many tokens; a slice about so many bytes of text.
 COMMON, BUCKET, SLICE = 1 << 16, 4_000_000, 8_000_000
 

@@ -161,3 +161,9 @@ def test_katz_edges(spark):
     none = katz.score(df, F.lit(False)).collect()
     assert {r["score"] for r in none} == {0.0} and {r["train_tokens"] for r in none} == {0}
     assert katz.score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_katz_pairs_seen_once(spark):
+    out = katz.score(spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string"), F.col("doc_id") == 1).collect()
+    own = next(r for r in out if r["doc_id"] == 1)
+    assert own["score"] == pytest.approx(3 * math.log10(0.5))  # each pair is its context's only one and keeps half its count
