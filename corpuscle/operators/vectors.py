@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.shared import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -33,20 +37,34 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
-    """V2 for a stated set of queries (query_id, query), which is counted and may hold at most `most` rows: (query_id, key, distance, rank).
+    """V2 for a set of queries (query_id, query) of any number: (query_id, key, distance, rank).
 
     Vectors are scanned in Arrow batches against all queries by array operations; a task keeps the k best for each query and gives no
-    more than those. Vectors of another length than a query's, and null ones, are no neighbours of it.
+    more than those. Above `most` queries they are scanned once for each block of so many, whose finds are checkpointed. Vectors of
+    another length than a query's, and null ones, are no neighbours of it.
     """
-    asked = queries.select("query_id", "query").where(F.col("query").isNotNull()).limit(most + 1).collect()
-    if len(asked) > most:
-        raise ValueError(f"more than {most} queries; search them in parts")
+    given = queries.select("query_id", "query").where(F.col("query").isNotNull())
+    kind = dict(queries.dtypes)["query_id"]
+    asked = given.limit(most + 1).collect()
+    if len(asked) <= most:
+        found, _ = scanned(vectors, asked, kind, k, key, vector)
+    else:
+        found, rest = None, given.toLocalIterator()
+        while block := list(islice(rest, most)):
+            part, sent = scanned(vectors, block, kind, k, key, vector)
+            part = cut(part)
+            sent.destroy()
+            found = part if found is None else found.union(part)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
+
+
+def scanned(vectors: DataFrame, asked: list, kind: str, k: int, key: str, vector: str) -> tuple[DataFrame, Broadcast]:
+    """(query_id, key, distance) of the k best of each task for each of a block of queries, and the block's broadcast."""
     by_size: dict[int, list] = {}
     for r in asked:
         by_size.setdefault(len(r["query"]), []).append(r)
     known = {n: (np.array([r["query"] for r in rows], "f8").reshape(len(rows), n), [r["query_id"] for r in rows]) for n, rows in by_size.items()}
-    sent = vectors.sparkSession.sparkContext.broadcast(known)  # bounded by `most`
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key]
+    sent = vectors.sparkSession.sparkContext.broadcast(known)  # bounded by a block
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], list[tuple[float, object]]] = {}
@@ -70,8 +88,7 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
             ids, keys, ds = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, types), pa.array(ds)], ["query_id", key, "distance"])
 
-    found = vectors.select(key, vector).mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, distance double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
+    return vectors.select(key, vector).mapInArrow(run, f"query_id {kind}, {key} {dict(vectors.dtypes)[key]}, distance double"), sent
 
 
 def recalled(vectors: DataFrame, query: Sequence[float], least: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -119,6 +119,13 @@ def test_vectors(spark):
     assert rows(vectors.recalled(v, [1.0, 0.0]), "vec_id") == [(2,), (3,)]
 
 
+def test_nearest_many_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(23)] + [(23, None)], "vec_id long, embedding array<float>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole, parts = (rows(vectors.nearest_many(v, q, 3, most=most), "query_id", "rank", "vec_id", "distance") for most in (100, 5))
+    assert len(whole) == 69 and parts == whole
+
+
 @pytest.mark.parametrize("values,verdict", [([10, 12, 14, 16, 18], "rising"), ([50, 46, 42, 38, 34], "falling"), ([10, 11, 9, 10.5], "flat"), ([1, 2], None)])
 def test_forecast(spark, values, verdict):
     s = spark.createDataFrame([("k", float(i * 7), float(v)) for i, v in enumerate(values)], "k string, days double, value double")
