@@ -689,6 +689,11 @@ def k16_csv_fields(spark, d):
     return table(spark, d, "documents").select("doc_id", T.csv_field(F.left("text", F.lit(80))).alias("field"))
 
 
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[,\"\\n\\r]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS field FROM documents")
+def k16_csv_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.csv_field(F.col("text")).alias("field"))
+
+
 @query("SELECT conv_id, count(*) AS comments, max(len(text) % 50) AS most_liked FROM conversations WHERE role = 'user' GROUP BY 1")
 def o5_comments(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("comments"), F.max(F.length("text") % 50).cast("long").alias("most_liked"))

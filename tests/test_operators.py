@@ -250,6 +250,15 @@ def test_written_index(spark, tmp_path):
     assert got == pytest.approx({r["id"]: r["score"] for r in search.matches(docs, "id", F.col("text"), "db rust db").collect()})
 
 
+def test_csv_of_whole_texts(spark, tmp_path):
+    from corpuscle.plans import catalogue
+
+    texts = ["a" * 100 + ', "b"\nc', "d" * 100, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = dict(catalogue.QUERIES["k16_csv_texts"](spark, str(tmp_path)).collect())
+    assert out == {0: '"' + "a" * 100 + ', ""b""\nc"', 1: "d" * 100, 2: "", 3: None}
+
+
 def test_small_helpers(spark):
     v = videos(spark, {"tags": ["A", "b"]}, {"tags": ["a"]})
     assert rows(R.flattened(v, "tags"), "value") == [("A",), ("b",)]
