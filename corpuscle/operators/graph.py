@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import canonical, tokens
+from corpuscle.functions.text import canonical, jaccard, tokens
 from corpuscle.operators.shared import cut
 from corpuscle.operators.relational import shared_items, similar_titles, tag_cooccurrence, token_overlap, video_tags
 
@@ -271,16 +271,20 @@ def overlap_edges(videos: DataFrame) -> DataFrame:
 
 def video_graph(videos: DataFrame, least: float = 0.1) -> DataFrame:
     """(a, b, weight) for videos a < b: one for each shared tag, two for each shared topic, half the titles' similarity, or the tags'
-    similarity if that is more."""
+    similarity if that is more. Pairs with a shared item get their titles' similarity whatever it is; only for others it must reach `least`."""
     tagged = video_tags(videos).select("video_id", "tag").distinct()
     sizes = tagged.groupBy("video_id").agg(F.count("*").alias("n"))
     by_tag = shared_items(tagged, "tag")
     by_topic = shared_items(videos.select("video_id", F.explode("topic_categories").alias("topic")), "topic", 2.0) if "topic_categories" in videos.columns else None
-    titles = similar_titles(videos, max(2 * least, 1e-6)).select("a", "b", (0.5 * F.col("similarity")).alias("weight"))
-    parts = by_tag.select("a", "b", "weight", F.col("weight").alias("tags")).union(titles.select("a", "b", "weight", F.lit(0.0)))
+    parts = by_tag.select("a", "b", "weight", F.col("weight").alias("tags"))
     if by_topic is not None:
         parts = parts.union(by_topic.select("a", "b", "weight", F.lit(0.0)))
-    sums = parts.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.sum("tags").alias("tags"))
+    shared = parts.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.sum("tags").alias("tags"))
+    sets = videos.select("video_id", F.array_distinct(tokens(F.col("title"))).alias("set"))
+    titled = shared.join(sets.select(F.col("video_id").alias("a"), F.col("set").alias("sa")), "a", "left").join(sets.select(F.col("video_id").alias("b"), F.col("set").alias("sb")), "b", "left")
+    close = F.when(F.size(F.array_intersect("sa", "sb")) > 0, jaccard(F.col("sa"), F.col("sb"))).otherwise(0.0)
+    titles = similar_titles(videos, max(2 * least, 1e-6)).select("a", "b", (0.5 * F.col("similarity")).alias("weight"), F.lit(0.0).alias("tags"))
+    sums = titled.select("a", "b", (F.col("weight") + 0.5 * close).alias("weight"), "tags").union(titles.join(shared.select("a", "b"), ["a", "b"], "left_anti"))
     na, nb = sizes.select(F.col("video_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("video_id").alias("b"), F.col("n").alias("nb"))
     tag_similarity = F.coalesce(F.try_divide("tags", F.col("na") + F.col("nb") - F.col("tags")), F.lit(0.0))
     return sums.join(na, "a", "left").join(nb, "b", "left").select("a", "b", F.greatest("weight", tag_similarity).alias("weight")).where(F.col("weight") >= least)

@@ -184,6 +184,15 @@ def test_walk_and_communities(spark, size):
     assert groups["a"] == groups["b"] and groups["e"] == groups["f"]
 
 
+def test_video_graph(spark):
+    v = videos(spark, {"tags": ["X"], "title": "a b c d e f"}, {"tags": ["x", "y"], "title": "a g h i j k"}, {"tags": ["z"], "title": "a b c d q r"}, {"title": "n"}, {"title": None, "tags": ["y"]})
+    got = {(r["a"], r["b"]): r["weight"] for r in graph.video_graph(v).collect()}
+    assert got == pytest.approx({("0", "1"): 1 + 0.5 / 11, ("0", "2"): 0.25, ("1", "4"): 1.0})
+    assert {(r["a"], r["b"]): r["weight"] for r in graph.video_graph(v, 1.02).collect()} == pytest.approx({("0", "1"): 1 + 0.5 / 11})
+    topics = v.withColumn("topic_categories", F.when(F.col("video_id").isin("1", "2"), F.array(F.lit("t"))).otherwise(F.array().cast("array<string>")))
+    assert {(r["a"], r["b"]): r["weight"] for r in graph.video_graph(topics, 0.3).collect()} == pytest.approx({("0", "1"): 1 + 0.5 / 11, ("1", "2"): 2 + 0.5 / 11, ("1", "4"): 1.0})
+
+
 def test_knowledge_graph(spark):
     v = videos(spark, {"tags": ["Big Data", "rust"], "title": "one"}, {"tags": ["rust", "big data"], "channel_id": "b", "title": "two"})
     channels = spark.createDataFrame([("a", "A"), ("b", "B")], "channel_id string, title string")
