@@ -7,6 +7,7 @@ survives lost executors. PageRank, walks and components of a graph that is count
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -133,22 +134,23 @@ def neighbourhood(edges: DataFrame, seed, hops: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 20) -> list | None:
+def shortest_path(edges: DataFrame, start, end) -> list | None:
     """The nodes of a path with the fewest hops, the least in order of nodes among such; None if there is none. Edges as both_ways()."""
     spark = edges.sparkSession
     if start == end:
         return [start]
-    seen = front = spark.createDataFrame([(start,)], edges.select(F.col("src").alias("id")).schema).select("id", F.array("id").alias("path"))
-    for _ in range(most):
+    front = spark.createDataFrame([(start,)], edges.select(F.col("src").alias("id")).schema).select("id", F.array("id").alias("path"))
+    seen = front.select("id")
+    for k in count():
         step = edges.join(front.select(F.col("id").alias("src"), "path"), "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        front = cut(step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        front = cut(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         found = front.where(F.col("id") == F.lit(end)).first()
         if found:
             return list(found["path"])
         if front.isEmpty():
             return None
-        seen = seen.select("id").union(front.select("id")).withColumn("path", F.lit(None).cast(front.schema["path"].dataType))
-    return None
+        seen = seen.union(front.select("id"))
+        seen = cut(seen.distinct()) if k % EVERY == EVERY - 1 else seen
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

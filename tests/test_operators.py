@@ -175,6 +175,13 @@ def test_long_chain(spark, size):
     assert {r["component"] for r in out.collect()} == {"000"}
 
 
+def test_long_path(spark):
+    names = [f"{i:03d}" for i in range(24)]
+    both = graph.both_ways(edges(spark, *zip(names, names[1:]), ("x", "y")))
+    assert graph.shortest_path(both, "000", "023") == names
+    assert graph.shortest_path(both, "000", "x") is None
+
+
 def test_walk_and_communities(spark, size):
     e = graph.both_ways(edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f")))
     scores = {r["id"]: r["score"] for r in graph.random_walk(e, "a", rounds=10).collect()}
