@@ -91,6 +91,20 @@ def scanned(vectors: DataFrame, asked: list, kind: str, k: int, key: str, vector
     return vectors.select(key, vector).mapInArrow(run, f"query_id {kind}, {key} {dict(vectors.dtypes)[key]}, distance double"), sent
 
 
+def neighbour_graph(vectors: DataFrame, links: int = 16, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
+    """V3: links (src, dst, distance, rank) of each vector to so many others that are nearest to it, ties by key. Keys are unique."""
+    queries = vectors.select(F.col(key).alias("query_id"), F.col(vector).alias("query"))
+    others = nearest_many(vectors, queries, links + 1, key, vector, most).where(F.col("query_id") != F.col(key))  # itself isn't always among those
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    return others.withColumn("rank", nth).where(F.col("rank") <= links).select(F.col("query_id").alias("src"), F.col(key).alias("dst"), "distance", "rank")
+
+
+def entry_points(vectors: DataFrame, graph: DataFrame, n: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """V3: (key, degree) of the vectors with the most links of their own, ties by key."""
+    degrees = graph.groupBy(F.col("src").alias(key)).agg(F.count("*").alias("degree"))
+    return vectors.where(F.col(vector).isNotNull()).select(key).join(degrees, key, "left").select(key, F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), key).limit(n)
+
+
 def recalled(vectors: DataFrame, query: Sequence[float], least: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows with a cosine above a threshold, scored in percent."""
     sim = cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))

@@ -144,6 +144,17 @@ def due_topics(candidates: DataFrame, history: DataFrame, now, hours: int = 24)
     return candidates.join(last, "topic", "left").where(F.col("last").isNull() | (age >= hours)).select(*candidates.columns)
 
 
+def publishing(keywords: DataFrame, uploads: DataFrame, now, days: int = 90, least: int = 2, newest: int = 5) -> DataFrame:
+    """M6: keywords with whether so many of their newest uploads (keyword, upload_date) are at most so many days old, and how many are.
+
+    The recent ones come first among the newest, so that it is enough to count them, up to `newest`.
+    """
+    recent = F.datediff(F.lit(now).cast("date"), F.col("upload_date")) <= days
+    found = uploads.where(recent).groupBy("keyword").agg(F.least(F.count("*"), F.lit(newest)).alias("recent_uploads"))
+    n = F.coalesce("recent_uploads", F.lit(0))
+    return keywords.join(found, "keyword", "left").select(*keywords.columns, n.alias("recent_uploads"), (n >= least).alias("active"))
+
+
 def run_statistics(log: DataFrame) -> DataFrame:
     """Attempts, topics, and those that were skipped or succeeded."""
     by = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0))

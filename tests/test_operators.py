@@ -126,6 +126,25 @@ def test_nearest_many_in_blocks(spark):
     assert len(whole) == 69 and parts == whole
 
 
+def test_neighbour_graph(spark):
+    points = {i: [float(i * i), float(i % 3)] for i in range(22)} | {i: [5.0, 5.0] for i in range(30, 50)}
+    v = spark.createDataFrame([*points.items(), (99, None)], "vec_id long, embedding array<float>")
+    links = vectors.neighbour_graph(v, most=15)
+    far = lambda i, j: sum((x - y) ** 2 for x, y in zip(points[i], points[j]))
+    want = {(i, j, n + 1) for i in points for n, j in enumerate(sorted((j for j in points if j != i), key=lambda j: (far(i, j), j))[:16])}  # noqa: B023
+    assert {(r["src"], r["dst"], r["rank"]) for r in links.collect()} == want
+    assert [tuple(r) for r in vectors.entry_points(v, links).collect()] == [(i, 16) for i in range(4)]
+    one = v.where("vec_id in (0, 99)")
+    assert [tuple(r) for r in vectors.entry_points(one, vectors.neighbour_graph(one)).collect()] == [(0, 0)]
+
+
+def test_publishing(spark):
+    dates = {"rust": [0, 90, 91], "go": [90, 91, 200, None], "many": [1] * 7, "old": [100] * 9}
+    up = spark.createDataFrame([(k, None if n is None else dt.date(2024, 6, 1) - dt.timedelta(days=n)) for k, ns in dates.items() for n in ns], "keyword string, upload_date date")
+    known = spark.createDataFrame([(k,) for k in [*dates, "none"]], "keyword string")
+    assert rows(reports.publishing(known, up, "2024-06-01"), "keyword", "recent_uploads", "active") == [("go", 1, False), ("many", 5, True), ("none", 0, False), ("old", 0, False), ("rust", 2, True)]
+
+
 @pytest.mark.parametrize("values,verdict", [([10, 12, 14, 16, 18], "rising"), ([50, 46, 42, 38, 34], "falling"), ([10, 11, 9, 10.5], "flat"), ([1, 2], None)])
 def test_forecast(spark, values, verdict):
     s = spark.createDataFrame([("k", float(i * 7), float(v)) for i, v in enumerate(values)], "k string, days double, value double")
