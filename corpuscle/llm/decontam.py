@@ -5,10 +5,11 @@ threshold suits items of any length. Postings are in blocks of items, with the l
 cut into chunks as long as the longest item; a passage is two chunks in a row, so that a copied item lies inside a passage. Block-max
 bounds of all passages come first, by array operations; passages with a live block go through block-max WAND, which returns every
 item at or above the threshold. An item is a leak if the passage has enough of the five-word shingles of its question and of its
-answer (the last third of its words, where the items come as one text).
+answer (the last third of its words, where the items come as one text), or `share` of the shingles of the whole item and of the words of
+its answer, as an edit or a lost end leaves it.
 
 The benchmark is collected and broadcast in slices of at most `slice_items` items, each an index of its own over which documents
-are scanned; nothing is shuffled but the leaks found.
+are scanned; weights and passages follow the figures of the whole benchmark. No text of a document is shuffled.
 
 Edge cases: null or empty texts and items match nothing; an item of fewer than five words is one shingle. Items alike are each found.
 Keys may repeat: copies of a document are scanned one by one. An empty benchmark finds nothing.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import keep
 from .words import raw_texts, slices
 
 K1, B = 1.2, 0.75
@@ -49,26 +51,39 @@ class Item:
     key: object
     question: set = field(default_factory=set)
     answer: set = field(default_factory=set)
+    across: set = field(default_factory=set)  # shingles of both
+    ending: set = field(default_factory=set)  # words of the answer, or of the item if it has none
+
+
+@dataclass
+class Whole:
+    """Of a whole benchmark: in how many items words occur (those that a slice has), items with words, their mean and largest length."""
+
+    df: dict[bytes, int]
+    count: int
+    mean: float
+    longest: int
 
 
 class Index:
     """Items with at least one word, in the order given; postings by term, blocks of `size` items."""
 
-    def __init__(self, rows: list[tuple[object, str | None]], size: int = 2, cells: int = 16_000_000):
+    def __init__(self, rows: list[tuple[object, str | None]], size: int = 2, cells: int = 16_000_000, whole: Whole | None = None):
         texts = [(k, w) for k, t in rows if (w := words_of((t or "").encode()))]
         self.items: list[Item] = []
-        df = Counter(t for _, w in texts for t in set(w))
-        mean = sum(len(w) for _, w in texts) / max(1, len(texts))
+        if whole is None:
+            whole = Whole(Counter(t for _, w in texts for t in set(w)), len(texts), sum(len(w) for _, w in texts) / max(1, len(texts)), max((len(w) for _, w in texts), default=1))
+        df, count, mean = whole.df, whole.count, whole.mean
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for i, (key, w) in enumerate(texts):
             cut = max(1, len(w) - max(SHINGLE, len(w) // 3)) if len(w) > 2 * SHINGLE else len(w)
-            self.items.append(Item(key, shingles(w[:cut]), shingles(w[cut:])))
+            self.items.append(Item(key, shingles(w[:cut]), shingles(w[cut:]), shingles(w[cut - SHINGLE + 1 : cut + SHINGLE - 1]) if cut < len(w) else set(), set(w[cut:] or w)))
             norm = K1 * (1 - B + B * len(w) / mean)
-            weight = {t: math.log1p((len(texts) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(w).items()}
+            weight = {t: math.log1p((count - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(w).items()}
             own = sum(weight.values())
             for t, x in weight.items():
                 postings[t].append((i, x / own))
-        self.longest = max((len(w) for _, w in texts), default=1)
+        self.longest = whole.longest
         self.size = max(size, -(-len(texts) * len(postings) // cells))  # coarser blocks for a large benchmark
         self.blocks = -(-len(texts) // self.size)
         self.term = {t: n for n, t in enumerate(postings)}
@@ -131,7 +146,7 @@ class Index:
             x[0], x[1] = (p[at][0], at) if at < len(p) else (END, at)
         return [x for x in lists if x[0] < END]
 
-    def leaks(self, raw: bytes | None, least: float, overlap: float) -> dict[int, tuple[int, float, float, float]]:
+    def leaks(self, raw: bytes | None, least: float, overlap: float, share: float) -> dict[int, tuple[int, float, float, float]]:
         """By item: the first word of its best passage, the score, and the shares of the question's and the answer's shingles there."""
         words = words_of(raw)
         if not words or not self.items:
@@ -142,7 +157,7 @@ class Index:
         out: dict[int, tuple[int, float, float, float]] = {}
         for p in np.flatnonzero(live.any(1)).tolist():
             part = words[p * chunk : (p + 2) * chunk]
-            inside = None
+            inside, had = None, set(part)
             for i, score in self.search(set(terms[p * chunk : (p + 2) * chunk].tolist()) - {other}, live[p], least):
                 if inside is None:
                     inside = shingles(part)
@@ -152,24 +167,52 @@ class Index:
                 if len(next(iter(q))) < SHINGLE:  # a short item: its words in a row anywhere
                     k = next(iter(q))
                     of_q = of_a = float(any(tuple(part[j : j + len(k)]) == k for j in range(len(part) - len(k) + 1)))
-                if min(of_q, of_a) >= overlap and score > out.get(i, (0, 0.0))[1]:
+                enough = min(of_q, of_a) >= overlap
+                if not enough and len(next(iter(q))) == SHINGLE:
+                    every, ending = q | a | self.items[i].across, self.items[i].ending
+                    enough = len(every & inside) >= share * len(every) and len(ending & had) >= share * len(ending)
+                if enough and score > out.get(i, (0, 0.0))[1]:
                     out[i] = (p * chunk, score, of_q, of_a)
         return out
 
 
+def term_counts(rows: DataFrame, text: str) -> DataFrame:
+    """(word, n, total, longest): in how many items each word occurs; without a word, items that have words, their words and the longest."""
+    names = ["word", "n", "total", "longest"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            found = [w for raw in raw_texts(batch, text) if (w := words_of(raw))]
+            df = Counter(t for w in found for t in set(w))
+            sizes = [len(w) for w in found]
+            columns = [[None, *df], [len(found), *df.values()], [sum(sizes)] + [0] * len(df), [max(sizes, default=1)] + [0] * len(df)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.binary()) for k, c in enumerate(columns)], names)
+
+    counts = rows.mapInArrow(run, "word binary, n long, total long, longest long")
+    return keep(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest")), "terms")
+
+
 def indexes(benchmark: DataFrame, item: str, text: str, slice_items: int) -> Iterator[Index]:
     """An index of each slice; a benchmark that fits one slice is read once."""
+    spark = benchmark.sparkSession
     rows = benchmark.select(item, text).where(F.col(text).isNotNull())
     n = rows.count()
     parts = max(1, -(-n // slice_items))
+    if parts > 1:
+        counts = term_counts(rows, text)
+        all_ = counts.where("word is null").first()
     for k in range(parts):
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64(item, text), F.lit(parts)) == k)
         found = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        if any(words_of(t.encode()) for _, t in found):
+        own = {w for _, t in found for w in words_of(t.encode())}
+        if own and parts == 1:
             yield Index(found)
+        elif own:
+            df = counts.join(spark.createDataFrame([(w,) for w in own], "word binary"), "word").select("word", "n").collect()
+            yield Index(found, whole=Whole({bytes(r["word"]): r["n"] for r in df}, all_["n"], all_["total"] / all_["n"], all_["longest"]))
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slice_items: int = 20_000) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, share: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slice_items: int = 20_000) -> DataFrame:
     """A row (key, item, first_word, score, question_overlap, answer_overlap) for each leak of an item into a document."""
     kinds = [(key, documents.schema[key].dataType.simpleString()), (item, benchmark.schema[item].dataType.simpleString())]
     schema = f"`{key}` {kinds[0][1]}, `{item}` {kinds[1][1]}, first_word long, score double, question_overlap double, answer_overlap double"
@@ -180,7 +223,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ix = sent.value
             for batch in slices(batches, text):
-                rows = [(n, ix.items[i].key, *x) for n, raw in enumerate(raw_texts(batch, text)) for i, x in ix.leaks(raw, least, overlap).items()]
+                rows = [(n, ix.items[i].key, *x) for n, raw in enumerate(raw_texts(batch, text)) for i, x in ix.leaks(raw, least, overlap, share).items()]
                 if rows:
                     take, *rest = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(take)), *[pa.array(x) for x in rest]], [key, item, "first_word", "score", "question_overlap", "answer_overlap"])
@@ -190,7 +233,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, text: str = "text", item: str = "item_id", item_text: str = "text", slice_items: int = 20_000) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, share: float = 0.5, text: str = "text", item: str = "item_id", item_text: str = "text", slice_items: int = 20_000) -> DataFrame:
     """The documents without those that any item leaked into."""
     schema = documents.schema
     for index in indexes(benchmark, item, item_text, slice_items):
@@ -198,7 +241,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overla
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
-                yield batch.filter(pa.array([not sent.value.leaks(raw, least, overlap) for raw in raw_texts(batch, text)], pa.bool_()))
+                yield batch.filter(pa.array([not sent.value.leaks(raw, least, overlap, share) for raw in raw_texts(batch, text)], pa.bool_()))
 
         documents = documents.mapInArrow(run, schema)
     return documents

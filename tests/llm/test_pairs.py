@@ -135,6 +135,27 @@ def test_leaks(spark):
     assert decontam.scan(d, b.limit(0)).count() == 0 and decontam.scan(d.limit(0), b).count() == 0 and decontam.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_leaks_with_edits(spark):
+    rng = random.Random(3)
+    items = [made(rng, n) for n in (15, 24, 40, 59)]
+    other = lambda w, k: [*w[:k], "other", *w[k + 1 :]]
+    texts = [other(w, len(w) - 3) for w in items] + [w[:-2] for w in items]
+    texts += [w[: -(len(w) // 3)] + made(rng, len(w) // 3) for w in items] + [made(rng, 6) for _ in items]  # another answer
+    docs = [(i, " ".join([*made(rng, 70), *t, *made(rng, 70)])) for i, t in enumerate(texts)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.scan(d, b).collect()) == [(i, i % 4) for i in range(8)]
+    assert sorted(r["doc_id"] for r in decontam.clean(d, b).collect()) == list(range(8, 16))
+
+
+def test_leaks_whatever_the_slices(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(made(rng, 12 + i, 60))) for i in range(30)]
+    docs = [(i, " ".join(edited(rng, t.split(), 0.03))) for i, t in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (sorted((r["doc_id"], r["item_id"], r["first_word"], round(r["score"], 9)) for r in decontam.scan(d, b, slice_items=n).collect()) for n in (20_000, 7))
+    assert whole and parts == whole
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
