@@ -469,6 +469,25 @@ def g7_random_walk(spark, d):
     return graph.random_walk(nation_edges(spark, d).withColumn("weight", F.col("weight") / 1000.0), "3", rounds=4).withColumn("score", F.round("score", 9))
 
 
+# the same at the operators' own number of rounds, which unrolled SQL is too slow for, and with every relation
+
+
+@query(None)
+def g1_pagerank_whole(spark, d):
+    return graph.pagerank(nation_nodes(spark, d), nation_edges(spark, d)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(None)
+def g7_random_walk_whole(spark, d):
+    return graph.random_walk(nation_edges(spark, d).withColumn("weight", F.col("weight") / 1000.0), "3").withColumn("score", F.round("score", 9))
+
+
+@query(None)
+def g15_relations_whole(spark, d):
+    c = views.catalog(spark, d)
+    return graph.relations(c, graph.overlap_edges(c)).withColumn("weight", F.round("weight", 6))
+
+
 CANON = "replace(lower(trim({0})), ' ', '-')"
 
 

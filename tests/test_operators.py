@@ -219,6 +219,57 @@ def test_video_graph(spark):
     assert {(r["a"], r["b"]): r["weight"] for r in graph.video_graph(topics, 0.3).collect()} == pytest.approx({("0", "1"): 1 + 0.5 / 11, ("1", "2"): 2 + 0.5 / 11, ("1", "4"): 1.0})
 
 
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def test_whole_rounds(spark):
+    from corpuscle.plans import catalogue
+
+    ids = [r["id"] for r in catalogue.nation_nodes(spark, SMALLEST).collect()]
+    links = {(r["src"], r["dst"]): r["weight"] for r in catalogue.nation_edges(spark, SMALLEST).collect()}
+    total = {i: sum(w for (a, b), w in links.items() if a == i != b) for i in ids}
+    degree = {i: sum(a == i for a, _ in links) for i in ids}
+    rank, walk = dict.fromkeys(ids, 1 / len(ids)), {"3": 1.0}
+    for _ in range(50):
+        lost = sum(rank[i] for i in ids if not total[i])
+        rank = {i: 0.15 / len(ids) + 0.85 * (lost / len(ids) + sum(rank[a] * w / total[a] for (a, b), w in links.items() if b == i != a)) for i in ids}
+        walk = {i: 0.3 * (i == "3") + sum(walk.get(a, 0) * w / 1000 / degree[a] * 0.7 for (a, b), w in links.items() if b == i) for i in ids}
+    assert dict(catalogue.QUERIES["g1_pagerank_whole"](spark, SMALLEST).collect()) == pytest.approx(rank, abs=2e-6)
+    assert dict(catalogue.QUERIES["g7_random_walk_whole"](spark, SMALLEST).collect()) == pytest.approx({i: x for i, x in walk.items() if i != "3" and x > 0}, abs=2e-9)
+
+
+def test_whole_relations(spark):
+    from itertools import combinations
+
+    from corpuscle.functions.text import tokens
+    from corpuscle.plans import catalogue, views
+
+    rows_ = views.catalog(spark, SMALLEST).select("video_id", "channel_id", "tags", F.concat(tokens(F.col("title")), F.flatten(F.transform("tags", tokens))).alias("words")).collect()
+    name = lambda kind, x: f"{kind}:" + x.strip().lower().replace(" ", "-")
+    want = {}
+
+    def put(a, b, kind, weight):
+        want[a, b, kind] = max(weight, want.get((a, b, kind), 0))
+
+    of, having = {}, {}
+    for r in rows_:
+        put(name("video", r["video_id"]), name("channel", r["channel_id"]), "created_by", 1.0)
+        of.setdefault(r["channel_id"], set()).update(r["words"])
+        for n, t in enumerate(r["tags"]):
+            put(name("video", r["video_id"]), name("tag", t), "tagged_with", 1 / (1 + n))
+            having.setdefault(t.lower(), set()).add(r["video_id"])
+    for a, b in combinations(sorted(having), 2):
+        if len(both := having[a] & having[b]) >= 2:
+            put(name("tag", a), name("tag", b), "related_to", len(both) / len(having[a] | having[b]))
+    for a in of:
+        for b in of:
+            if a != b and of[a] & of[b]:
+                put(name("channel", a), name("channel", b), "competes_in", len(of[a] & of[b]) / len(of[a] | of[b]))
+    got = {(r["src"], r["dst"], r["relation"]): r["weight"] for r in catalogue.QUERIES["g15_relations_whole"](spark, SMALLEST).collect()}
+    assert {k[2] for k in got} == {"created_by", "tagged_with", "related_to", "competes_in"}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
 def test_knowledge_graph(spark):
     v = videos(spark, {"tags": ["Big Data", "rust"], "title": "one"}, {"tags": ["rust", "big data"], "channel_id": "b", "title": "two"})
     channels = spark.createDataFrame([("a", "A"), ("b", "B")], "channel_id string, title string")
