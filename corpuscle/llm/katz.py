@@ -1,19 +1,24 @@
-"""Language-model scores by a bigram model with Katz backoff, learnt from some of the documents and applied to all.
-
-Tokens are lower-cased words (A-Z) and an end after each text; the first token follows a start. Counts are discounted by Good and
-Turing's estimate up to `MOST`, pairs seen once among them (`CUTOFF` leaves none out). What discounting frees in a context goes to the
-words not seen there, in proportion to their unigram probability, by a weight that makes each context sum to one exactly; unigrams in
-turn leave their freed mass to one unknown word. A context whose pairs are all too frequent for a discount has its count raised by one,
-so that it frees something. Each token's score is looked up as a pair, else recursively one order below.
-
-Words are 64-bit hashes. Tables, all partitioned: unigrams (word, count); pairs, a row for each bucket of contexts with the pairs'
-counts and where they occur; and the unigram counts that a bucket needs. A bucket's row holds a few million tokens at any corpus size.
-The commonest words, a fixed number, are broadcast; contexts among them that hold more than a share of a bucket are dealt to
-several buckets by the following word, and their weights are summed over these. Rarer words go to buckets by word for their unigram
-part. Sums of each slice of documents come back as arrays. Nothing that grows with the corpus is collected.
-
-Edge cases: a null or empty text is its end alone. Null keys are never learnt from. Keys may repeat; each row gets its own score. Without
-any training text every token has the unknown word's probability, 1.
+"""Language-model scores by a Katz backoff model of order three (or two), learnt from some of the documents and applied to all.
+
+Tokens are lower-cased words (A-Z) and an end after each text; a text's first tokens follow a start. Counts of every order are discounted
+by Good and Turing's estimate up to `MOST`, n-grams seen once among them. What discounting frees in a context goes to the words not seen
+there, in proportion to their probability one order below, by a weight that makes each context sum to one exactly; unigrams in turn
+leave their freed mass to one unknown word. A context whose n-grams are all too frequent for a discount has its count raised by one, so
+that it frees something. A token's probability is that of its triple, else the weight of its two words times that of its pair, else the
+weight of one word times that of the word.
+
+Words are 64-bit hashes; the commonest, a fixed number, are known to every task by their counts and travel as short codes. A use (a
+triple in a document) goes to the bucket of its middle word, where all contexts that end in that word live together, so that a token's
+whole recursion runs in one task. Bucket rows hold uses of a slice of documents; they are dealt in rounds of at most `FAN` ways, each of
+which merges the rows of the round before, so that rows stay filled and grow in number as the corpus does. Common middle words that hold more
+than their share are dealt to several buckets by the third word, and what those share is summed over them: the counts of a context by
+kind, from which weights follow. A rarer word meets all its uses in its own bucket, which scores its unigram part and tells the contexts
+before it what probability it has. The buckets' rows are shuffled once and read twice or three times within one plan: for counts of counts and shared
+sums, then for scores. Sums by document return in groups of slices. Nothing that grows with the corpus is collected or broadcast.
+
+Edge cases: a null or empty text is its end alone. Null keys are never learnt from. Keys may repeat; each row gets its own score. Texts
+of any length are taken whole, a long one as a slice of its own. Columns of the result's names, or any other, are ignored. Equal texts get equal
+scores. Without any training text every token has the unknown word's probability, 1. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,20 +28,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import U, mixed, word_hashes
-from .store import keep, release
+from .store import keep
 from .words import raw_texts, slices
 
 START, END = U(0x5354415254), U(0x454E44)
-#: Counts up to MOST are discounted; pairs of a count up to CUTOFF are left to the unigrams.
-MOST, CUTOFF = 5, 0
-#: So many of the commonest words are known everywhere; a bucket has about so many tokens; a slice about so many bytes of text.
-COMMON, BUCKET, SLICE = 1 << 16, 4_000_000, 8_000_000
+#: Counts up to MOST are discounted.
+MOST = 5
+#: So many of the commonest words are known everywhere; a bucket has about so many tokens; a slice about so many bytes of text;
+#: a round deals a row to at most so many; a group of slices returns to a task of about so many documents.
+COMMON, BUCKET, SLICE, FAN, GROUP = 1 << 16, 4_000_000, 8_000_000, 4096, 500_000
+RARE = U(1 << 63)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -52,45 +60,69 @@ def unpacked(raw: bytes | None, kind: str) -> np.ndarray:
     return np.ascontiguousarray(b.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, and the sums of their values."""
     if not len(keys):
         return keys, *values
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    first = np.flatnonzero(changes(keys))
     return keys[first], *[np.add.reduceat(v[order], first) for v in values]
 
 
+def found_at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys hold the wanted ones, and which of these they hold."""
+    if not len(keys):
+        return np.zeros(len(wanted), "i8"), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens in a row, and how many each text has."""
     parts = [np.append(word_hashes(t or b""), END) for t in texts]
     return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def discounts(n: list[float], cutoff: int) -> np.ndarray:
-    """Factors for counts 0 to MOST and beyond (the last), from how many things have each count; those up to cutoff get 0.
+def discounts(n: list[float]) -> np.ndarray:
+    """Factors for counts 0 to MOST and beyond (the last), from how many things have each count, 0 to MOST + 1.
 
     Where the estimate isn't between 0 and 1 (few counts of a kind), the factor is that of absolute discounting, (r - 1/2) / r.
     """
     out = np.ones(MOST + 2)
-    out[: cutoff + 1] = 0.0
+    out[0] = 0.0
     tail = (MOST + 1) * n[MOST + 1] / n[1] if n[1] else 0.0
-    for r in range(cutoff + 1, MOST + 1):
+    for r in range(1, MOST + 1):
         d = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail < 1 else -1.0
         out[r] = d if 0 < d <= 1 else (r - 0.5) / r
     return out
 
 
+def weights(kept: np.ndarray, total: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The count that a context's n-grams are shares of, and its weight; from their discounted count, their count and the mass that they have below."""
+    total = np.where(kept >= total * (1 - 1e-12), total + 1, total)
+    return total, (1 - kept / total) / (1 - below)
+
+
 @dataclass
 class Common:
-    """What every task knows: the commonest words (sorted hashes) and their training counts, and the figures of the unigrams."""
+    """What every task knows: the commonest words (sorted hashes) with their training counts, and the figures of the unigrams."""
 
     words: np.ndarray
     counts: np.ndarray
-    heavy: np.ndarray  # contexts dealt to several buckets
+    heavy: np.ndarray  # middle words dealt to several buckets
     parts: np.ndarray  # to how many
     buckets: int
+    groups: int
     total: int  # training tokens
     distinct: int
     factors: np.ndarray
@@ -99,351 +131,460 @@ class Common:
     starts: int  # training texts
 
     def code(self, h: np.ndarray) -> np.ndarray:
-        """Places of common words in the list; other hashes with their low 16 bits above it."""
-        at = np.searchsorted(self.words, h)
-        at[at == len(self.words)] = 0
-        hit = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
-        return np.where(hit, at.astype("u8"), h | U(1 << 63))
+        """Places of common words in the list; other hashes with their highest bit set."""
+        at, hit = found_at(self.words, h)
+        return np.where(hit, at.astype("u8"), h | RARE)
+
+    def count(self, code: np.ndarray) -> np.ndarray:
+        """Training counts of common words, 0 for others."""
+        out = np.zeros(len(code), "i8")
+        often = code < RARE
+        out[often] = self.counts[code[often].astype("i8")]
+        return out
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """Probability of a word by its training count."""
         return np.where(c > 0, self.factors[np.minimum(c, MOST + 1)] * c * self.scale, self.unknown)
 
-    def bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.heavy, context)
-        at[at == len(self.heavy)] = 0
-        if len(self.heavy):
-            part = np.where(self.heavy[at] == context, mixed(word + U(1)) % self.parts[at], U(0))
-            context = context + part * U(0xD1342543DE82EF95)
-        return (mixed(context ^ U(0x6B61747A)) % U(self.buckets)).astype("i4")
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
+    def is_heavy(self, middle: np.ndarray) -> np.ndarray:
+        return found_at(self.heavy, middle)[1]
 
-RARE = U(1 << 63)
+    def bucket(self, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+        at, hit = found_at(self.heavy, middle)
+        if hit.any():
+            part = np.where(hit, mixed(last + U(1)) % self.parts[at], U(0))
+            middle = middle + part * U(0xD1342543DE82EF95)
+        return (mixed(middle ^ U(0x6B61747A)) % U(self.buckets)).astype("i8")
 
 
 def unigram_counts(documents: DataFrame, text: str) -> DataFrame:
-    """Rows (word, n, every): counts in training texts and in all; a task gives a row for each of its words."""
+    """Rows (word, n): counts in training texts; without a word, the number of all tokens of all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"))
+        words, counts, every = np.zeros(0, "u8"), np.zeros(0, "i8"), 0
         for batch in slices(batches, text, SLICE):
             h, sizes = tokens(list(raw_texts(batch, text)))
-            learn = np.repeat(np.array(batch.column("_train").to_pylist(), "i8"), sizes)
-            h, n, every = summed(h, learn, np.ones(len(h), "i8"))
-            held = summed(np.r_[held[0], h], np.r_[held[1], n], np.r_[held[2], every])
-            if len(held[0]) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0].view("i8")), *map(pa.array, held[1:])], ["word", "n", "every"])
-                held = tuple(x[:0] for x in held)
-        yield pa.RecordBatch.from_arrays([pa.array(held[0].view("i8")), *map(pa.array, held[1:])], ["word", "n", "every"])
+            every += len(h)
+            h = h[np.repeat(np.array(batch.column("_train").to_pylist(), bool), sizes)]
+            words, counts = summed(np.r_[words, h], np.r_[counts, np.ones(len(h), "i8")])
+            if len(words) > 2_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(words.view("i8")), pa.array(counts)], ["word", "n"])
+                words, counts = words[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *words.view("i8").tolist()], pa.int64()), pa.array(np.r_[every, counts])], ["word", "n"])
 
-    rows = documents.mapInArrow(run, "word long, n long, every long")
-    return keep(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "unigrams")
+    return keep(documents.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
 
 
-def common_part(unigrams: DataFrame, starts: int, buckets: int | None) -> Common:
+def common_part(unigrams: DataFrame, texts: int, starts: int, partitions: int) -> Common:
+    """The figures of the unigrams by aggregates; the commonest words by a histogram of counts first, so that only they are collected."""
+    words = unigrams.where("word is not null")
     kinds = [F.sum((F.col("n") == r).cast("long")) for r in range(1, MOST + 2)]
-    total, every, distinct, *n = [x or 0 for x in unigrams.agg(F.sum("n"), F.sum("every"), F.sum((F.col("n") > 0).cast("long")), *kinds).first()]
-    n = [0, *n]
-    factors = discounts(n, 0)
-    seen = 1.0 - sum((1 - factors[r]) * r * n[r] for r in range(1, MOST + 1)) / total if total else 0.0
+    total, distinct, *n = [x or 0 for x in words.agg(F.sum("n"), F.count("*"), *kinds).first()]
+    every = unigrams.where("word is null").agg(F.sum("n")).first()[0] or 0
+    factors = discounts([0, *n])
+    seen = 1.0 - sum((1 - factors[r]) * r * n[r - 1] for r in range(1, MOST + 1)) / total if total else 0.0
     unknown = max(1 - seen, 1 / (total + 1))
-    top = unigrams.orderBy(F.desc("every"), "word").limit(COMMON).toPandas()
-    words = top["word"].to_numpy("i8").view("u8")
-    order = np.argsort(words)
-    words, counts, often = words[order], top["n"].to_numpy("i8")[order], top["every"].to_numpy("i8")[order]
-    buckets = buckets or 1
-    buckets = max(buckets, -(-every // BUCKET), 1)
-    share = max(1, every // (4 * buckets))
-    context = np.arange(len(words)).astype("u8")  # codes of contexts
+    size = F.floor(8 * F.log2("n")).cast("int")
+    held, least = 0, 1 << 30
+    for r in words.groupBy(size.alias("size")).agg(F.count("*").alias("k")).orderBy(F.desc("size")).collect():  # at most 8 * 64 rows
+        held += r["k"]
+        if held >= COMMON:
+            break
+        least = r["size"]
+    top = words.where((size >= least) | (F.col("word") == int(END))).collect()
+    known = sorted({r["word"] % (1 << 64): r["n"] for r in top}.items() | ({(int(END), 0)} if not starts else set()))
+    codes, counts = np.array([k for k, _ in known], "u8"), np.array([c for _, c in known], "i8")
+    buckets = max(partitions, -(-every // BUCKET), 1)
+    share = max(1, min(BUCKET, 2 * every // buckets))
+    middle, often = np.r_[np.arange(len(codes)).astype("u8"), START | RARE], np.r_[counts, texts]  # the start is a middle as often as there are texts
     heavy = often > share
-    parts = (-(-often[heavy] // share)).astype("u8")
-    heavy = context[heavy]
-    if starts > share:  # the start comes as often as there are texts
-        heavy, parts = np.r_[heavy, START | RARE], np.r_[parts, U(-(-starts // share) * 2)]
-    return Common(words, counts, heavy, parts, int(buckets), int(total), int(distinct), factors, (1 - unknown) / seen / total if total and seen else 0.0, unknown if total else 1.0, starts)
-
+    return Common(
+        codes, counts, middle[heavy], (-(-2 * often[heavy] // share)).astype("u8"), int(buckets), max(partitions, texts // GROUP), int(total), int(distinct), factors,
+        (1 - unknown) / seen / total if total and seen else 0.0, unknown if total else 1.0, starts,
+    )
 
-#: Rows of the table that buckets are gathered in, by kind: "info" (a slice's documents), "pairs" (a bucket), "sums" (of a slice's documents)
-#: and "rare" (occurrences of rare words on their way to buckets by word).
-BLOBS = ("info", "context", "total", "n_seen", "n_low", "word", "n", "uses", "seen_at", "seen_doc", "seen_n", "low_at", "low_doc", "low_n", "tally", "doc", "at", "lower", "score", "base", "known")
-TABLE = "kind string, bucket int, slice long, keys array<{key}>, " + ", ".join(f"{c} binary" for c in BLOBS)
 
-
-def rows_of(given: list[dict], key_type: pa.DataType) -> pa.Table:
-    kinds = {"kind": pa.string(), "bucket": pa.int32(), "slice": pa.int64(), "keys": pa.list_(key_type)} | dict.fromkeys(BLOBS, pa.binary())
-    return pa.table([pa.array([r.get(c) for r in given], k) for c, k in kinds.items()], names=list(kinds))
+@dataclass
+class Uses:
+    """Uses of triples, a row each: middle word v, last word w, first word u, slice (a place in ids), document (its place there, times two, plus one if it is learnt from) and number."""
+
+    ids: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
+    u: np.ndarray
+    at: np.ndarray
+    doc: np.ndarray
+    n: np.ndarray
+
+    def rows(self, target: np.ndarray) -> Iterator[dict]:
+        """A packed row for each target, its uses by v, w and u: each v once with its number of w, and so on."""
+        order = np.lexsort((self.doc, self.at, self.u, self.w, self.v, target))
+        target, v, w, u, at, doc, n = (x[order] for x in (target, self.v, self.w, self.u, self.at, self.doc, self.n))
+        first = np.flatnonzero(changes(target, v, w, u, at, doc))
+        n = np.add.reduceat(n, first, dtype="u4") if len(first) else n
+        target, v, w, u, at, doc = (x[first] for x in (target, v, w, u, at, doc))
+        new_v = changes(target, v)
+        new_w = new_v | changes(w)
+        new_u = np.flatnonzero(new_w | changes(u))
+        new_w, new_v = np.flatnonzero(new_w), np.flatnonzero(new_v)
+        edges = np.flatnonzero(np.r_[changes(target), True]) if len(target) else []
+        for a, b in zip(edges, edges[1:]):
+            names, place = np.unique(at[a:b], return_inverse=True) if len(self.ids) > 1 else (slice(None), at[a:b])
+            us, ws, vs = (x[slice(*np.searchsorted(x, (a, b)))] for x in (new_u, new_w, new_v))
+            yield {
+                "bucket": int(target[a]), "ids": self.ids[names].astype("<i8").tobytes(), "v": packed(v[vs]), "nv": packed(np.diff(np.r_[np.searchsorted(ws, vs), len(ws)]).astype("u4")), "w": packed(w[ws]),
+                "nw": packed(np.diff(np.r_[np.searchsorted(us, ws), len(us)]).astype("u4")), "u": packed(u[us]), "nu": packed(np.diff(np.r_[us, b]).astype("u4")), "at": packed(place.astype("u4")), "doc": packed(doc[a:b]), "n": packed(n[a:b]),
+            }
+
+
+BLOBS = ("info", "ids", "v", "nv", "w", "nw", "u", "nu", "at", "doc", "n")
+
+
+def schema_of(key_kind: str) -> str:
+    return f"bucket int, slice long, keys array<{key_kind}>, " + ", ".join(f"{c} binary" for c in BLOBS)
+
+
+def batch_of(rows: list[dict], key_type: pa.DataType) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int32(), "slice": pa.int64(), "keys": pa.list_(key_type)} | dict.fromkeys(BLOBS, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], names=list(kinds))
+
+
+def joined(rows: list[dict]) -> Uses:
+    """The uses of packed rows."""
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in ("ids", "v", "w", "u", "at", "doc", "n")}
+    base = 0
+    for r in rows:
+        nv, nw, nu = (unpacked(r[c], "u4").astype("i8") for c in ("nv", "nw", "nu"))
+        by_pair = np.add.reduceat(nu, np.cumsum(nw) - nw) if len(nw) else nw  # uses of each pair
+        by_word = np.add.reduceat(by_pair, np.cumsum(nv) - nv) if len(nv) else nv
+        ids = np.frombuffer(r["ids"], "<i8")
+        for c, x in (("ids", ids), ("v", np.repeat(unpacked(r["v"], "u8"), by_word)), ("w", np.repeat(unpacked(r["w"], "u8"), by_pair)), ("u", np.repeat(unpacked(r["u"], "u8"), nu))):
+            parts[c].append(x)
+        parts["at"].append(unpacked(r["at"], "u4") + np.uint32(base))
+        parts["doc"].append(unpacked(r["doc"], "u4"))
+        parts["n"].append(unpacked(r["n"], "u4"))
+        base += len(ids)
+    kinds = {"ids": "i8", "v": "u8", "w": "u8", "u": "u8"}
+    return Uses(**{c: np.concatenate([np.zeros(0, kinds.get(c, "u4")), *x]) for c, x in parts.items()})
+
+
+def fan_widths(buckets: int) -> list[int]:
+    """How many buckets a row of each round is for, down to one."""
+    out = [1]
+    while -(-buckets // out[0]) > FAN:
+        out.insert(0, out[0] * FAN)
+    return out
 
 
-def occurrences(documents: DataFrame, key: str, text: str, sent) -> DataFrame:
-    """A row for each slice and bucket with the pairs that occur there, and one for each slice (bucket below 0) with its documents."""
-    schema = f"bucket int, slice long, keys array<{documents.schema[key].dataType.simpleString()}>, info binary, context binary, word binary, doc binary, n binary"
+def occurrences(documents: DataFrame, key: str, text: str, sent, partitions: int) -> DataFrame:
+    """A row for each bucket and slice (or more, after further rounds) with its uses, and one for each slice, of a bucket below 0, with its documents; dealt by bucket."""
+    kind = documents.schema[key].dataType.simpleString()
+    widths = fan_widths(sent.value.buckets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know: Common = sent.value
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, text, SLICE):
             h, sizes = tokens(list(raw_texts(batch, text)))
-            word = know.code(h)
-            context = np.empty_like(word)
-            context[1:] = word[:-1]
+            w = know.code(h)
             firsts = np.cumsum(sizes) - sizes
-            context[firsts] = START | RARE
+            v = np.r_[START | RARE, w[:-1]]
+            v[firsts] = START | RARE
+            u = np.r_[START | RARE, v[:-1]]
+            u[firsts] = START | RARE
             learn = np.array(batch.column("_train").to_pylist(), "u4")
             doc = np.repeat(np.arange(len(sizes), dtype="u4") * 2 + learn, sizes)
-            bucket = know.bucket(context, word)
-            # equal pairs side by side, by bucket and context, then by document
-            order = np.lexsort((doc, word, context, bucket))
-            context, word, doc, bucket = context[order], word[order], doc[order], bucket[order]
-            new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])
-            n = np.diff(np.r_[new, len(doc)]).astype("u4")
-            context, word, doc, bucket = context[new], word[new], doc[new], bucket[new]
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            rows = {"bucket": [-1 - number % 1_000_003 % 997], "slice": [number], "keys": [0], "info": [packed(np.c_[sizes, learn].astype("u8").ravel())], "context": [None], "word": [None], "doc": [None], "n": [None]}
-            for a, b in zip(edges, edges[1:]):
-                runs = np.flatnonzero(np.r_[True, context[a + 1 : b] != context[a : b - 1], True])
-                for name, x in zip(rows, (int(bucket[a]), number, 1, packed(np.diff(runs).astype("u4")), packed(context[a:b][runs[:-1]]), packed(word[a:b]), packed(doc[a:b]), packed(n[a:b]))):
-                    rows[name].append(x)
-            count = len(rows["bucket"])
+            uses = Uses(np.array([number]), v, w, u, np.zeros(len(w), "u4"), doc, np.ones(len(w), "u4"))
             keys = batch.column(key)
-            offsets = pa.array([0] + [len(keys)] * count, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["slice"], pa.int64()), pa.ListArray.from_arrays(offsets, keys), *[pa.array(rows[c], pa.binary()) for c in ("info", "context", "word", "doc", "n")]], ["bucket", "slice", "keys", "info", "context", "word", "doc", "n"])
+            own = {"bucket": -1 - number % 1_000_003 % 997, "slice": number, "keys": keys, "info": packed(np.c_[sizes, learn].astype("u8").ravel())}
+            yield batch_of([own, *uses.rows(know.bucket(v, w) // widths[0])], keys.type)
             number += 1
 
-    return documents.select(key, text, "_train").mapInArrow(run, schema)
-
-
-def gathered(rows: DataFrame, key_kind: str, sent) -> DataFrame:
-    """A row for each bucket with its pairs; sums of all that is known already; rare words' occurrences. Rows of documents pass.
-
-    Of pairs that back off, only the context and the documents are kept on: the unigram part of common words is summed here, that of
-    rare ones is settled in their own buckets.
-    """
+    def again(width: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            know: Common = sent.value
+
+            def split(rows: list[dict]) -> pa.RecordBatch:
+                uses = joined(rows)
+                return batch_of(list(uses.rows(know.bucket(uses.v, uses.w) // width)), key_type)
+
+            held, size = [], 0
+            for batch in batches:
+                key_type = batch.schema.field("keys").type.value_type
+                for r in batch.to_pylist():
+                    if r["bucket"] < 0:
+                        yield batch_of([r], key_type)
+                        continue
+                    if held and (r["bucket"] != held[0]["bucket"] or size > SLICE):
+                        yield split(held)
+                        held, size = [], 0
+                    held.append(r)
+                    size += sum(len(r[c] or b"") for c in BLOBS)
+            if held:
+                yield split(held)
+
+        return run
+
+    rows = documents.select(key, text, "_train").mapInArrow(run, schema_of(kind))
+    for width in widths[1:]:
+        rows = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(again(width), schema_of(kind))
+    return rows.repartition(partitions, "bucket")
+
+
+class Counted:
+    """The uses of one bucket, sorted, with the counts of its triples, pairs, middle words and contexts (first and middle word)."""
+
+    def __init__(self, rows: list[dict], know: Common):
+        x = joined(rows)
+        order = np.lexsort((x.u, x.w, x.v))
+        v, w, u = x.v[order], x.w[order], x.u[order]
+        self.know, self.ids, self.at, self.doc, self.n = know, x.ids, x.at[order], x.doc[order], x.n[order].astype("i8")
+        new = changes(v, w, u)
+        first = np.flatnonzero(new)
+        self.triple = np.cumsum(new) - 1  # of each use
+        v, w, self.u = v[first], w[first], u[first]
+        self.c3 = np.add.reduceat(self.n * (self.doc & 1), first)
+        new = changes(v, w)
+        first = np.flatnonzero(new)
+        self.pair = np.cumsum(new) - 1  # of each triple
+        v, self.w = v[first], w[first]
+        self.c2 = np.add.reduceat(self.c3, first)
+        new = changes(v)
+        first = np.flatnonzero(new)
+        self.middle = np.cumsum(new) - 1  # of each pair
+        self.v = v[first]
+        self.total = np.add.reduceat(self.c2, first)
+        own = self.middle[self.pair]
+        order = np.lexsort((self.u, own))
+        new = changes(own[order], self.u[order])
+        self.context = np.empty(len(order), "i8")  # of each triple
+        self.context[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.context_u, self.context_v = self.u[first], own[first]
+        self.context_total = np.bincount(self.context, self.c3).astype("i8")
+        self.heavy = know.is_heavy(self.v)
+        self.rare = (self.v >= RARE) & (self.v != START | RARE)
+
+
+def keyed(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A hash of a context of two words."""
+    return mixed(mixed(v + U(0x9E3779B97F4A7C15)) ^ u)
+
+
+#: Where rows of shared sums go: a bucket, or one of these.
+TO_HEAVY, TALLY = -1, -2
+
+
+def shared_sums(rows: DataFrame, sent) -> DataFrame:
+    """Rows (key, dest, amount): counts of counts (16 times the order plus the count), and, for each context of one word, the probability of the rare words seen after it."""
 
     def run(group: pa.Table) -> pa.Table:
-        know: Common = sent.value
-        key_type = group.schema.field("keys").type.value_type
-        if group.column("bucket")[0].as_py() < 0:
-            return rows_of([{"kind": "info", "slice": r["slice"], "keys": r["keys"], "info": r["info"]} for r in group.select(["slice", "keys", "info"]).to_pylist()], key_type)
-        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("context", "word", "doc", "n", "slice")}
-        for k in range(group.num_rows):
-            get = lambda c, kind: unpacked(group.column(c)[k].as_py(), kind)  # noqa: B023, E731
-            parts["context"].append(np.repeat(get("context", "u8"), get("info", "u4")))
-            for c, kind in (("word", "u8"), ("doc", "u4"), ("n", "u4")):
-                parts[c].append(get(c, kind))
-            parts["slice"].append(np.full(len(parts["n"][-1]), k, "u4"))
-        context, word, doc, n, at = (np.concatenate(parts.pop(c)) for c in ("context", "word", "doc", "n", "slice"))
-        order = np.lexsort((word, context))
-        context, word, doc, n, at = context[order], word[order], doc[order], n[order], at[order]
-        ids = np.array(group.column("slice").to_pylist(), "i8")
-        new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
-        uses = np.diff(np.r_[new, len(doc)])
-        counts = np.add.reduceat(n * (doc & 1), new).astype("u4")
-        seen = counts > CUTOFF
-        entry = np.repeat(seen, uses)
-        often = word < RARE
-        c = np.zeros(len(word), "i8")
-        c[often] = know.counts[word[often].astype("i8")]
-        value = np.where(often & ~entry, np.log10(know.unigram(c)), 0.0)
-        out = list(by_slice(ids, at[often], doc[often], (value * n)[often], (base_part(know, c) * n)[often], ((c > 0) * n.astype("i8"))[often]))
-        if not often.all():
-            go = np.flatnonzero(~often)
-            to = (mixed(word[go]) % U(know.buckets)).astype("i4")
-            order = np.lexsort((word[go], to))
-            go, to = go[order], to[order]
-            edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-            for i, j in zip(edges, edges[1:]):
-                k = go[i:j]
-                out.append({"kind": "rare", "bucket": int(to[i]), "word": packed(word[k]), "at": packed(at[k]), "doc": packed(doc[k]), "n": packed(n[k]), "lower": np.packbits(~entry[k]).tobytes(), "info": ids.tobytes()})
-        # what is left: contexts, their seen pairs, and where they back off
-        heads = np.flatnonzero(np.r_[True, context[new][1:] != context[new][:-1]])
-        total = np.add.reduceat(counts.astype("i8"), heads)
-        n_seen = np.add.reduceat(seen.astype("i8"), heads)
-        low = np.flatnonzero(~entry)
-        place = np.repeat(np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(new)])), uses)[low]
-        order = np.lexsort((doc[low], at[low], place))
-        low, place = low[order], place[order]
-        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[low][1:] != at[low][:-1]) | (doc[low][1:] != doc[low][:-1])]) if len(low) else np.zeros(0, "i8")
-        low_n = np.add.reduceat(n[low], first) if len(low) else np.zeros(0, "u4")
-        out.append({
-            "kind": "pairs", "bucket": group.column("bucket")[0].as_py(), "info": ids.tobytes(), "context": packed(context[new][heads]), "total": packed(total.astype("u8")), "n_seen": packed(n_seen.astype("u4")),
-            "n_low": packed(np.bincount(place[first], minlength=len(heads)).astype("u4")), "word": packed(word[new][seen]), "n": packed(counts[seen]), "uses": packed(uses[seen].astype("u4")),
-            "seen_at": packed(at[entry]), "seen_doc": packed(doc[entry] >> 1), "seen_n": packed(n[entry]), "low_at": packed(at[low][first]), "low_doc": packed(doc[low][first] >> 1), "low_n": packed(low_n.astype("u4")),
-            "tally": np.bincount(np.minimum(counts, MOST + 2), minlength=MOST + 3).astype("i8").tobytes(),
-        })
-        return rows_of(out, key_type)
-
-    return rows.groupBy("bucket").applyInArrow(run, TABLE.format(key=key_kind))
-
-
-def word_counts(know: Common, word: np.ndarray, rare: np.ndarray, rare_n: np.ndarray) -> np.ndarray:
-    """Training counts of coded words; those of rare words from a sorted list, 0 if they aren't there."""
-    out = np.zeros(len(word), "i8")
-    often = word < RARE
-    out[often] = know.counts[word[often].astype("i8")]
-    if len(rare):
-        at = np.minimum(np.searchsorted(rare, word), len(rare) - 1)
-        hit = rare[at] == word
-        out[hit] = rare_n[at[hit]]
+        key, dest, amount = np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0)
+        if group.column("bucket")[0].as_py() >= 0:
+            know: Common = sent.value
+            x = Counted(group.to_pylist(), know)
+            kinds = [np.bincount(np.minimum(c, MOST + 2), minlength=MOST + 3)[1 : MOST + 2] for c in (x.c2, x.c3)]
+            some = x.rare[x.context_v] & (x.context_total > 0)
+            before, mass = summed(x.context_u[some], know.unigram(x.total[x.context_v[some]]))
+            to = np.where(know.is_heavy(before), TO_HEAVY, know.bucket(before, np.zeros(len(before), "u8")))
+            key = np.r_[[16 * k + r for k in (2, 3) for r in range(1, MOST + 2)], before.view("i8")]
+            dest = np.r_[np.full(2 * (MOST + 1), TALLY), to].astype("i4")
+            amount = np.r_[np.concatenate(kinds), mass].astype("f8")
+        return pa.table([pa.array(key), pa.array(dest), pa.array(amount)], names=["key", "dest", "amount"])
+
+    parts = rows.groupBy("bucket").applyInArrow(run, "key long, dest int, amount double")
+    sums = parts.groupBy("key", "dest").agg(F.sum("amount").alias("amount"))
+    return sums.mapInArrow(lambda batches: batches, "key long, dest int, amount double")  # what follows is chosen after one shuffle, which all share
+
+
+#: Of a context: its count, how many n-grams have each count to MOST and the sum of larger counts, the same by their counts one order below, and the mass below where that is known.
+SUMS = ["total", *[f"n{r}" for r in range(1, MOST + 1)], "big", *[f"s{r}" for r in range(1, MOST + 1)], "below", "mass"]
+
+
+def by_count(of: np.ndarray, c: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
+    """By group: how many have each kind of count up to MOST, and the sum of the larger counts. Only where c is above 0."""
+    out = np.zeros((size, MOST + 1))
+    for r in range(1, MOST + 1):
+        out[:, r - 1] = np.bincount(of[(c > 0) & (kind == r)], minlength=size)
+    big = (c > 0) & (kind > MOST)
+    out[:, MOST] = np.bincount(of[big], kind[big], size)
     return out
 
 
-def context_sums(know: Common, factors: np.ndarray, n_seen: np.ndarray, word: np.ndarray, n: np.ndarray, rare: np.ndarray, rare_n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The context's place of each seen pair; by context the discounted count of its seen pairs and their unigram mass."""
-    of = np.repeat(np.arange(len(n_seen)), n_seen)
-    kept = np.bincount(of, factors[np.minimum(n, MOST + 1)] * n, len(n_seen)).astype("f8")
-    return of, kept, np.bincount(of, know.unigram(word_counts(know, word, rare, rare_n)), len(n_seen)).astype("f8")
-
-
-def needed(pairs: DataFrame, unigrams: DataFrame) -> DataFrame:
-    """A row (bucket, rare) for each bucket with the counts of the rare words in its seen pairs."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                word = unpacked(batch.column("word")[k].as_py(), "u8")
-                found = np.unique(word[word >= RARE])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column("bucket")[k].as_py(), "i4")), pa.array(found.view("i8"))], ["bucket", "word"])
-
-    rows = pairs.select("bucket", "word").mapInArrow(run, "bucket int, word long")
-    coded = unigrams.where("n > 0").select(F.col("word").bitwiseOR(F.lit(-(1 << 63))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-    return keep(rows.join(coded, "word").groupBy("bucket").agg(F.collect_list(F.struct("word", "n")).alias("rare")), "rare")  # bounded by a bucket's tokens
-
-
-def rare_lists(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    x = batch.column("rare")[k]
-    if not x.is_valid or not len(x):
-        return np.zeros(0, "u8"), np.zeros(0, "i8")
-    word, n = x.values.field("word").to_numpy().view("u8"), x.values.field("n").to_numpy()
-    order = np.argsort(word)
-    return word[order], n[order]
+def heavy_sums(rows: DataFrame, sent) -> DataFrame:
+    """Rows (key, dest, SUMS) for the contexts of middle words that are dealt to several buckets, as far as this bucket (dest) knows."""
 
+    def run(group: pa.Table) -> pa.Table:
+        keys, sums, number = np.zeros(0, "i8"), np.zeros((0, len(SUMS))), group.column("bucket")[0].as_py()
+        if number >= 0:
+            know: Common = sent.value
+            x = Counted(group.to_pylist(), know)
+            c1 = know.count(x.w)
+            mass = np.bincount(x.middle, np.where((x.c2 > 0) & (x.w < RARE), know.unigram(c1), 0.0), len(x.v))
+            one = np.c_[x.total, by_count(x.middle, x.c2, x.c2, len(x.v)), np.zeros((len(x.v), MOST + 1)), mass][x.heavy]
+            two = np.c_[x.context_total, by_count(x.context, x.c3, x.c3, len(x.context_v)), by_count(x.context, x.c3, x.c2[x.pair], len(x.context_v)), np.zeros(len(x.context_v))]
+            some = x.heavy[x.context_v]
+            keys = np.r_[x.v[x.heavy], keyed(x.v[x.context_v[some]], x.context_u[some])].view("i8")
+            sums = np.r_[one, two[some]]
+        return pa.table([pa.array(keys), pa.array(np.full(len(keys), number, "i4")), *[pa.array(c) for c in sums.T]], names=["key", "dest", *SUMS])
+
+    return rows.groupBy("bucket").applyInArrow(run, "key long, dest int, " + ", ".join(f"{c} double" for c in SUMS))
+
+
+def answers(rows: DataFrame, sent) -> DataFrame:
+    """What each bucket has to know beside its own uses, rows (bucket, key, amount, sums, tally): tallies of counts for all, shared sums by key."""
+    shared = shared_sums(rows, sent)
+    none = F.lit(None)
+    light = shared.where("dest >= 0").select(F.col("dest").alias("bucket"), "key", "amount", none.cast("array<double>").alias("sums"), none.cast("array<double>").alias("tally"))
+    tally = shared.where(F.col("dest") == TALLY).agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "amount"))), lambda x: x["amount"]).alias("tally"))  # 12 rows
+    every = tally.select(F.explode(F.sequence(F.lit(0), F.lit(sent.value.buckets - 1))).alias("bucket"), none.cast("long").alias("key"), none.cast("double").alias("amount"), none.cast("array<double>").alias("sums"), "tally")
+    out = light.union(every)
+    if len(sent.value.heavy):
+        given = shared.where(F.col("dest") == TO_HEAVY).select("key", "dest", *[(F.col("amount") if c == "mass" else F.lit(0.0)).alias(c) for c in SUMS])
+        own = heavy_sums(rows, sent).union(given)
+        whole = own.select("key", "dest", F.array(*[F.sum(c).over(Window.partitionBy("key")) for c in SUMS]).alias("sums")).where("dest >= 0")
+        out = out.union(whole.select("dest", "key", none.cast("double"), "sums", none.cast("array<double>")))
+    return out
 
-def heavy_sums(pairs: DataFrame, rare: DataFrame, sent, factors: np.ndarray) -> dict[int, tuple[float, float]]:
-    """For the contexts dealt to several buckets, their discounted counts and unigram mass over all; a few for each bucket."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Told:
+    """What a bucket was told: tallies of counts of pairs and of triples, probabilities of rare words by context, shared sums by context."""
+
+    def __init__(self, table: pa.Table):
+        some = lambda c: table.filter(pc.is_valid(table.column(c)))
+        tally = some("tally").column("tally")[0].as_py()
+        self.f2, self.f3 = (discounts([0, *tally[k : k + MOST + 1]]) for k in (0, MOST + 1))
+        light, dealt = some("amount"), some("sums")
+        self.keys, self.mass = summed(light.column("key").to_numpy().astype("i8").view("u8"), light.column("amount").to_numpy())
+        keys, sums = dealt.column("key").to_numpy().astype("i8").view("u8"), np.array(dealt.column("sums").to_pylist(), "f8").reshape(-1, len(SUMS))
+        order = np.argsort(keys)
+        self.shared_keys, self.shared = keys[order], sums[order]
+
+    def rare_mass(self, contexts: np.ndarray) -> np.ndarray:
+        at, hit = found_at(self.keys, contexts)
+        return np.where(hit, self.mass[at], 0.0) if len(self.keys) else np.zeros(len(contexts))
+
+    def shared_of(self, contexts: np.ndarray) -> np.ndarray:
+        """The shared sums of contexts that have some."""
+        return self.shared[found_at(self.shared_keys, contexts)[0]]
+
+
+def kept_of(sums: np.ndarray, factors: np.ndarray, first: int) -> np.ndarray:
+    """Discounted counts from how many have each count, from a column on, and the sum of the larger ones after them."""
+    return sums[:, first : first + MOST] @ (factors[1 : MOST + 1] * np.arange(1, MOST + 1)) + sums[:, first + MOST]
+
+
+def recursion(x: Counted, told: Told, know: Common, order: int) -> np.ndarray:
+    """By triple, the logarithm of the probability of its last word, but for the unigram part of a rare word that was never seen after its middle word."""
+    shares = lambda factors, c: factors[np.minimum(c, MOST + 1)] * c
+    often = x.w < RARE
+    p1 = know.unigram(know.count(x.w))
+    kept, total = np.bincount(x.middle, shares(told.f2, x.c2), len(x.v)), x.total.astype("f8")
+    below = np.bincount(x.middle, np.where((x.c2 > 0) & often, p1, 0.0), len(x.v)) + told.rare_mass(x.v)
+    if x.heavy.any():
+        sums = told.shared_of(x.v[x.heavy])
+        total[x.heavy], kept[x.heavy], below[x.heavy] = sums[:, 0], kept_of(sums, told.f2, 1), sums[:, -1]
+    of_word, weight = weights(kept, total, below)
+    with np.errstate(divide="ignore"):
+        pair = shares(told.f2, x.c2) / of_word[x.middle]
+        value = np.where(x.c2 > 0, np.log10(pair), np.log10(np.where(total > 0, weight, 1.0))[x.middle] + np.where(often, np.log10(p1), 0.0))[x.pair]
+    if order == 2:
+        return value
+    kept, total = np.bincount(x.context, shares(told.f3, x.c3), len(x.context_v)), x.context_total.astype("f8")
+    below = np.bincount(x.context, np.where(x.c3 > 0, pair[x.pair], 0.0), len(x.context_v))
+    dealt = x.heavy[x.context_v]
+    if dealt.any():
+        sums = told.shared_of(keyed(x.v[x.context_v[dealt]], x.context_u[dealt]))
+        total[dealt], kept[dealt], below[dealt] = sums[:, 0], kept_of(sums, told.f3, 1), kept_of(sums, told.f2, MOST + 2) / of_word[x.context_v[dealt]]
+    of_two, weight = weights(kept, total, below)
+    with np.errstate(divide="ignore"):
+        return np.where(x.c3 > 0, np.log10(shares(told.f3, x.c3) / of_two[x.context]), np.log10(np.where(total > 0, weight, 1.0))[x.context] + value)
+
+
+def scored(rows: DataFrame, told: DataFrame, sent, key_kind: str, order: int) -> DataFrame:
+    """Rows by group of slices: those of documents as they are (first), and sums of scores, base scores and known tokens by document."""
+    blobs = ("info", "ids", "at", "doc", "score", "base", "known")
+
+    def sums(left: pa.Table, right: pa.Table, know: Common) -> Iterator[dict]:
+        x = Counted(left.to_pylist(), know)
+        value = recursion(x, Told(right), know, order)
+        # what common words add as last words, and rare ones as middle words
+        c = know.count(x.w)[x.pair]
+        often = (x.w < RARE)[x.pair]
+        base, known = np.where(often, know.base(c), 0.0), (c > 0).astype("i8")
+        own = x.context_v[x.context]
+        rare, c = x.rare[own], x.total[own]
+        base, known = base + np.where(rare, know.base(c), 0.0), known + (rare & (c > 0))
+        value = value + np.where(rare & (x.context_total[x.context] == 0), np.log10(know.unigram(c)), 0.0)
+        key, value, base, known = summed((x.at.astype("u8") << U(32)) | (x.doc >> 1).astype("u8"), value[x.triple] * x.n, base[x.triple] * x.n, known[x.triple] * x.n)
+        at, doc = (key >> U(32)).astype("i8"), (key & U(0xFFFFFFFF)).astype("u4")
+        group = np.array([group_of(i, know.groups) for i in x.ids.tolist()])[at]
+        for g in np.unique(group).tolist():
+            some = group == g
+            names, place = np.unique(at[some], return_inverse=True)
+            yield {"grp": g, "first": False, "ids": x.ids[names].astype("<i8").tobytes(), "at": packed(place.astype("u4")), "doc": packed(doc[some]), "score": value[some].tobytes(), "base": base[some].tobytes(), "known": packed(known[some].astype("u4"))}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         know: Common = sent.value
-        for batch in batches:
-            for k in range(batch.num_rows):
-                context, n_seen, word, n = (unpacked(batch.column(c)[k].as_py(), kind) for c, kind in (("context", "u8"), ("n_seen", "u4"), ("word", "u8"), ("n", "u4")))
-                here = np.isin(context, know.heavy)
-                if here.any():
-                    _, kept, mass = context_sums(know, factors, n_seen, word, n, *rare_lists(batch, k))
-                    yield pa.RecordBatch.from_arrays([pa.array(context[here].view("i8")), pa.array(kept[here]), pa.array(mass[here])], ["context", "kept", "mass"])
+        out: list[dict] = []
+        if left.num_rows and left.column("bucket")[0].as_py() < 0:
+            out = [{"grp": group_of(r["slice"], know.groups), "first": True} | r for r in left.select(["slice", "keys", "info"]).to_pylist()]
+        elif left.num_rows:
+            out = list(sums(left, right, know))
+        kinds = {"grp": pa.int32(), "first": pa.bool_(), "slice": pa.int64(), "keys": left.schema.field("keys").type} | dict.fromkeys(blobs, pa.binary())
+        return pa.table([pa.array([r.get(c) for r in out], k) for c, k in kinds.items()], names=list(kinds))
 
-    rows = pairs.select("bucket", "context", "n_seen", "word", "n").join(rare, "bucket", "left").mapInArrow(run, "context long, kept double, mass double")
-    return {r["context"] % (1 << 64): (r["kept"], r["mass"]) for r in rows.groupBy("context").agg(F.sum("kept").alias("kept"), F.sum("mass").alias("mass")).collect()}
+    schema = f"grp int, first boolean, slice long, keys array<{key_kind}>, " + ", ".join(f"{c} binary" for c in blobs)
+    return rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, schema)
 
 
-def by_slice(slices_: np.ndarray, at: np.ndarray, doc: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> Iterator[dict]:
-    """A row for each slice with the sums of its documents; doc holds a document's place and, in the last bit, whether it is learnt from."""
-    key, score, base, known = summed((at.astype("u8") << U(32)) | (doc >> 1).astype("u8"), score, base, known)
-    edges = np.flatnonzero(np.r_[True, key[1:] >> U(32) != key[:-1] >> U(32), True]) if len(key) else []
-    for a, b in zip(edges, edges[1:]):
-        yield {"kind": "sums", "slice": int(slices_[int(key[a] >> U(32))]), "doc": packed((key[a:b] & U(0xFFFFFFFF)).astype("u4")), "score": score[a:b].tobytes(), "base": base[a:b].tobytes(), "known": packed(known[a:b].astype("u4"))}
+def group_of(number: int, groups: int) -> int:
+    """The group of slices that a slice returns in."""
+    return (number * 0x9E3779B97F4A7C15 >> 17) % groups
 
 
-def base_part(know: Common, c: np.ndarray) -> np.ndarray:
-    return np.log10((c + 0.5) / (know.total + 0.5 * (know.distinct + 1)))
+def score(documents: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
+    """A row (key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document; the model learns where `train` holds. order: 2 or 3 words."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
+    spark = documents.sparkSession
+    kind = documents.schema[key].dataType.simpleString()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    documents = documents.select(key, text, F.coalesce(train, F.lit(False)).alias("_train"))
+    texts, starts = documents.agg(F.count("*"), F.coalesce(F.sum(F.col("_train").cast("long")), F.lit(0))).first()
+    sent = spark.sparkContext.broadcast(common_part(unigram_counts(documents, text), texts, starts, partitions))  # bounded by COMMON
+    rows = occurrences(documents, key, text, sent, partitions)
+    sums = scored(rows, answers(rows, sent), sent, kind, order)
 
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        group = None
 
-def scored_pairs(pairs: DataFrame, rare: DataFrame, sent, factors: np.ndarray, heavy: dict[int, tuple[float, float]]) -> DataFrame:
-    """Sums by slice of the pair scores and of the weights of backing off."""
+        def results() -> Iterator[pa.RecordBatch]:
+            for keys, sizes, learn, total, base, known in held.values():
+                yield pa.RecordBatch.from_arrays([keys, pa.array(learn == 0), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), sent.value.total)), pa.array(base), pa.array(total)], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            held.clear()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        know: Common = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda c, kind: unpacked(batch.column(c)[k].as_py(), kind)  # noqa: B023, E731
-                ids = np.frombuffer(batch.column("info")[k].as_py(), "i8")
-                context, total, n_seen, n_low, word, n = get("context", "u8"), get("total", "u8").astype("i8"), get("n_seen", "u4"), get("n_low", "u4"), get("word", "u8"), get("n", "u4")
-                of, kept, mass = context_sums(know, factors, n_seen, word, n, *rare_lists(batch, k))
-                for x in np.flatnonzero(np.isin(context, know.heavy)):
-                    c = int(context[x])
-                    kept[x], mass[x] = heavy.get(c, (0.0, 0.0))
-                    total[x] = know.starts if c == int(START | RARE) else know.counts[c]
-                total = total + (kept >= total * (1 - 1e-12)) * (total > 0)  # a context that frees nothing counts as seen once more
-                some = total > 0
-                weight = np.ones(len(context))
-                weight[some] = (1 - kept[some] / total[some]) / (1 - mass[some])
-                value = np.repeat(np.log10(factors[np.minimum(n, MOST + 1)] * n / total[of]), get("uses", "u4"))
-                back = np.repeat(np.log10(weight), n_low)
-                times = np.r_[get("seen_n", "u4"), get("low_n", "u4")]
-                none = np.zeros(len(times))
-                at, doc = np.r_[get("seen_at", "u4"), get("low_at", "u4")], np.r_[get("seen_doc", "u4"), get("low_doc", "u4")] << 1
-                out = list(by_slice(ids, at, doc, np.r_[value, back] * times, none, none))
-                yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in sums_schema.names} for r in out], schema=sums_schema)
-
-    sums_schema = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("doc", "score", "base", "known")]])
-    rows = pairs.drop("kind", "slice", "keys", "tally", "doc", "at", "lower", "score", "base", "known").join(rare, "bucket", "left")
-    return keep(rows.mapInArrow(run, "slice long, doc binary, score binary, base binary, known binary"), "scored")
-
-
-def scored_rare(rows: DataFrame, sent) -> DataFrame:
-    """Sums by slice of the unigram parts of rare words. All of a rare word meets in its bucket, which counts it."""
-
-    def run(group: pa.Table) -> pa.Table:
-        know: Common = sent.value
-        got: dict[str, list[np.ndarray]] = {c: [] for c in ("word", "at", "doc", "n", "low")}
-        ids: dict[int, int] = {}
-        for k in range(group.num_rows):
-            word = unpacked(group.column("word")[k].as_py(), "u8")
-            own = np.array([ids.setdefault(x, len(ids)) for x in np.frombuffer(group.column("info")[k].as_py(), "i8").tolist()], "u4")
-            got["word"].append(word)
-            got["at"].append(own[unpacked(group.column("at")[k].as_py(), "u4")])
-            got["doc"].append(unpacked(group.column("doc")[k].as_py(), "u4"))
-            got["n"].append(unpacked(group.column("n")[k].as_py(), "u4"))
-            got["low"].append(np.unpackbits(np.frombuffer(group.column("lower")[k].as_py(), "u1"))[: len(word)])
-        word, at, doc, n, low = (np.concatenate(x) for x in got.values())
-        _, code = np.unique(word, return_inverse=True)
-        c = np.bincount(code, (n * (doc & 1)).astype("f8")).astype("i8")
-        p, b = np.log10(know.unigram(c)), base_part(know, c)
-        out = list(by_slice(np.array(list(ids), "i8"), at, doc, p[code] * n * low, b[code] * n, (c > 0)[code] * n.astype("i8")))
-        return pa.Table.from_pylist([{c: r.get(c) for c in sums_schema.names} for r in out], schema=sums_schema)
-
-    sums_schema = pa.schema([("slice", pa.int64()), *[(c, pa.binary()) for c in ("doc", "score", "base", "known")]])
-    return rows.select("bucket", "word", "at", "doc", "n", "lower", "info").groupBy("bucket").applyInArrow(run, "slice long, doc binary, score binary, base binary, known binary")
-
-
-def score(documents: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row (key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document; the model learns where `train` holds."""
-    spark = documents.sparkSession
-    kind = documents.schema[key].dataType.simpleString()
-    documents = documents.select(key, text, F.coalesce(train, F.lit(False)).alias("_train"))
-    unigrams = unigram_counts(documents, text)
-    starts = documents.select(F.sum(F.col("_train").cast("long"))).first()[0] or 0
-    sent = spark.sparkContext.broadcast(common_part(unigrams, starts, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # bounded by COMMON
-    release(spark)
-    table = keep(gathered(occurrences(documents, key, text, sent), kind, sent), "pairs")
-    release(spark)
-    pairs = table.where("kind = 'pairs'")
-
-    def tallies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column("tally"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(MOST + 3)), pa.array(np.frombuffer(raw.as_buffer(), "i8"))], ["r", "n"])
-
-    kinds = dict(pairs.select("tally").mapInArrow(tallies, "r long, n long").groupBy("r").agg(F.sum("n")).collect())
-    factors = discounts([kinds.get(r, 0) for r in range(MOST + 3)], CUTOFF)
-    rare = needed(pairs, unigrams)
-    heavy = heavy_sums(pairs, rare, sent, factors) if len(sent.value.heavy) else {}
-    scored = scored_pairs(pairs, rare, sent, factors, heavy)
-    release(spark)
-    unknown = scored_rare(table.where("kind = 'rare'"), sent)
-    sums = table.where("kind = 'sums'").select("slice", "doc", "score", "base", "known").union(scored).union(unknown)
-    sums = sums.select("slice", F.lit(None).cast(f"array<{kind}>").alias("keys"), F.lit(None).cast("binary").alias("info"), "doc", "score", "base", "known")
-    info = table.where("kind = 'info'").select("slice", "keys", "info", "doc", "score", "base", "known")
-
-    def finish(group: pa.Table) -> pa.Table:
-        first = next(k for k in range(group.num_rows) if group.column("keys")[k].is_valid)
-        sizes, learn = unpacked(group.column("info")[first].as_py(), "u8").reshape(-1, 2).T.astype("i8")
-        total, base, known = np.zeros(len(sizes)), np.zeros(len(sizes)), np.zeros(len(sizes), "i8")
-        for k in range(group.num_rows):
-            if k != first:
-                doc = unpacked(group.column("doc")[k].as_py(), "u4")
-                total[doc] += np.frombuffer(group.column("score")[k].as_py())
-                base[doc] += np.frombuffer(group.column("base")[k].as_py())
-                known[doc] += unpacked(group.column("known")[k].as_py(), "u4")
-        return pa.table([group.column("keys")[first].values, pa.array(learn == 0), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), sent.value.total)), pa.array(base), pa.array(total)], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return info.union(sums).groupBy("slice").applyInArrow(finish, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                get = lambda c: batch.column(c)[k].as_py()  # noqa: B023, E731
+                if get("grp") != group:
+                    yield from results()
+                    group = get("grp")
+                if get("first"):
+                    sizes, learn = unpacked(get("info"), "u8").reshape(-1, 2).T.astype("i8")
+                    held[get("slice")] = (batch.column("keys")[k].values, sizes, learn, np.zeros(len(sizes)), np.zeros(len(sizes)), np.zeros(len(sizes), "i8"))
+                    continue
+                at, doc = unpacked(get("at"), "u4"), unpacked(get("doc"), "u4")
+                values = [np.frombuffer(get("score")), np.frombuffer(get("base")), unpacked(get("known"), "u4")]
+                for place, number in enumerate(np.frombuffer(get("ids"), "<i8").tolist()):
+                    some = at == place
+                    for sums_, x in zip(held[number][3:], values):
+                        sums_[doc[some]] += x[some].astype(sums_.dtype)
+        yield from results()
+
+    ordered = sums.repartition(partitions, "grp").sortWithinPartitions("grp", F.desc("first"))
+    return ordered.mapInArrow(finish, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import keep, release
+from .store import keep
 from .words import raw_texts, slices, word_bpe
 
 BLOCK, SEGMENT = 512, 1 << 20
@@ -147,7 +147,6 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, key:
     order = [F.col(key).asc_nulls_first(), F.col("_tie")]
     dealt = documents.select(key, text, F.rand(23).alias("_tie")).repartitionByRange(n, *order).sortWithinPartitions(*order)  # the random column deals out a frequent key
     table = keep(encode_texts(dealt.drop("_tie"), tokenizer, end_id, key, text).withColumn("_pos", F.monotonically_increasing_id()), "tokens")
-    release(spark)
     ids, counts = global_counts(table.select("counts").where("counts is not null"))
     tokens = table.where("ids is not null").drop("counts")
     lengths = code_lengths(counts)
@@ -157,10 +156,10 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, key:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(*book.value)
         for batch in batches:
-            sizes = [len(x.as_buffer()) // 4 for x in batch.column("ids")]
+            sizes, pos = [len(x.as_buffer()) // 4 for x in batch.column("ids")], batch.column("_pos").to_pylist()
             at = total = 0
             for i, x in enumerate([*sizes, SEGMENT]):
-                if i > at and total + x > SEGMENT:
+                if i > at and (total + x > SEGMENT or pos[i] != pos[i - 1] + 1):  # a batch may go on in another file
                     part = batch.slice(at, i - at)
                     check, payload = codes.encode(np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in part.column("ids")]))
                     keys = pa.ListArray.from_arrays(pa.array([0, i - at], pa.int32()), part.column(key))
@@ -181,8 +180,13 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = True)
     table = spark.sparkContext.broadcast((book["id"].to_numpy("i8"), book["length"].to_numpy("i8")))  # bounded by the vocabulary
     segments = spark.read.parquet(f"{path}/segments")
     kind = segments.schema["keys"].dataType.elementType.simpleString()
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row for each segment of a million ids
-    starts = segments.select("first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # the high bits of `first` number the tasks that wrote the segments, in the order of the keys
+    parts = segments.select("first", "n", F.shiftright("first", 33).alias("part"))
+    totals = parts.groupBy("part").agg(F.sum("n").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("first", "part", within.alias("within")).join(before, "part").select("first", (F.col("before") + F.col("within")).alias("start"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(*table.value)

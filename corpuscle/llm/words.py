@@ -1,7 +1,7 @@
 """Token ids of whole texts, word by word.
 
-The vocabularies used here never join characters across ASCII white space, so a text's ids are those of its words in a row. Each
-worker keeps the ids of the words (or of their parts) that it has met; only new ones go to the tokenizer's library. The number kept is
+The vocabularies used here never join characters across ASCII white space, so a text's ids are those of its words in a row. Tokens that
+a file adds beside its vocabulary (such as marks of a text's end) are found as the library finds them. Each worker keeps the ids of the words (or of their parts) that it has met; only new ones go to the tokenizer's library. The number kept is
 bounded: the older half is forgotten when a limit is reached. Results don't depend on it.
 """
 
@@ -63,17 +63,23 @@ def visible_bytes() -> dict[int, str]:
 LETTERS = bytes(c for c in range(256) if chr(c).isascii() and chr(c).isalpha() or c >= 0xC0 and c not in (0xD7, 0xF7))
 PLAIN_TEXT = LETTERS + bytes(c for c in range(33, 127) if c != 39 and not chr(c).isalpha()) + b" \t\n\v\f\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+#: A few words of many scripts, with marks, to try a vocabulary on.
+SCRIPTS = "Ещё один текст, 12. Άλλο ένα! עוד טקסט؟ نص آخر 漢字かなカナ 한국어 हिन्दी में ภาษาไทย e\u0301 ﬁne Ǆ ſ İstanbul"
 TOKENS = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class TextIds:
-    """ids(raw) of whole texts. Plain ones are split as the tokenizer would split them, and what occurs is asked for once; others go by words."""
+    """ids(raw) of whole texts. Plain ones are split as the tokenizer would split them, and what occurs is asked for once; others go by words.
 
-    def __init__(self, words: WordIds, tokens: WordIds | None):
+    Texts that hold one of the file's added tokens aren't plain. Those tokens have no white space, so the library finds them in words, too.
+    """
+
+    def __init__(self, words: WordIds, tokens: WordIds | None, added: list[bytes]):
         self.words, self.tokens, self.encode = words, tokens, words.encode
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
 
     def ids(self, raw: bytes | None) -> bytes:
-        if self.tokens and raw:
+        if self.tokens and raw and not (self.added and self.added.search(raw)):
             try:
                 plain = raw.decode().encode("latin-1")
             except UnicodeEncodeError:
@@ -95,6 +101,9 @@ def word_bpe(path: str) -> TextIds:
 
         t = Tokenizer.from_file(path)
         table, model = visible_bytes(), t.model
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        if any(len(x.split()) != 1 or x != x.strip() for x in added):
+            raise ValueError("an added token has white space")
 
         def whole(words: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
@@ -144,7 +153,11 @@ def word_bpe(path: str) -> TextIds:
         texts = [" ".join(trial), "".join(a + b for a in letters for b in ends), "Ab12-3c4. <|x|> (é)ÜÉ7%"]
         split = WordIds(tokens)
         direct = direct and whole(texts) == [split.joined(TOKENS.findall(x.encode("latin-1").translate(LOWER))) for x in texts]
-        LOADED[path] = TextIds(WordIds(encode), split if direct else None)
+        own = TextIds(WordIds(encode), split if direct else None, [a.encode() for a in added])
+        texts += [f"One{a}two {a.upper()} {a}{a}. don't{a}" for a in added] + [SCRIPTS]
+        if whole(texts) != [own.ids(x.encode()) for x in texts]:
+            raise ValueError(f"{path} joins characters across white space")
+        LOADED[path] = own
     return LOADED[path]
 
 

@@ -98,55 +98,63 @@ def test_quality_bands(spark, corpus):
     assert out[2000]["band"] == out[2001]["band"] == "script:Latin" and out[0]["band"] == "lang:en"
 
 
-def katz_by_hand(texts, learn):
-    def discounted(n, cutoff):
-        return katz.discounts([0] + [sum(v == r for v in n) for r in range(1, katz.MOST + 3)], cutoff)
-
+def katz_by_hand(texts, learn, order):
+    """Every n-gram counted in dictionaries, and a recursion over orders; each context that occurs is checked to sum to one."""
     toks = {i: [w.lower() for w in (t or "").encode().split()] + [None] for i, t in texts.items()}
-    one, two, of = Counter(), Counter(), Counter()
+    counts, of = [Counter() for _ in range(order + 1)], Counter()
     for i in learn:
-        before = ""
-        for w in toks[i]:
-            one[w] += 1
-            two[before, w] += 1
-            of[before] += 1
-            before = w
-    total, f1, f2 = sum(one.values()), discounted(one.values(), 0), discounted(two.values(), katz.CUTOFF)
-    seen = sum(f1[min(v, 6)] * v for v in one.values()) / total
+        for k, w in enumerate(toks[i]):
+            for n in range(1, order + 1):
+                before = tuple(([""] * order + toks[i][:k])[order + k - n + 1 : order + k])
+                counts[n][before, w] += 1
+                if n > 1:
+                    of[before] += 1
+    factors = [None] + [katz.discounts([0] + [sum(v == r for v in c.values()) for r in range(1, katz.MOST + 2)]) for c in counts[1:]]
+    one = Counter({w: v for (_, w), v in counts[1].items()})
+    total = sum(one.values())
+    seen = sum(factors[1][min(v, 6)] * v for v in one.values()) / total
     unknown = max(1 - seen, 1 / (total + 1))
-    p1 = lambda w: f1[min(one[w], 6)] * one[w] * (1 - unknown) / seen / total if one[w] else unknown
-    after = defaultdict(list)
-    for (c, w), v in two.items():
-        if v > katz.CUTOFF:
-            after[c].append((w, v))
-    weight = {}
-    for c, found in after.items():
-        kept = sum(f2[min(v, 6)] * v for _, v in found)
-        of[c] += kept >= of[c] * (1 - 1e-12)
-        weight[c] = (1 - kept / of[c]) / (1 - sum(p1(w) for w, _ in found))
-        whole = kept / of[c] + weight[c] * (sum(p1(w) for w in one if w not in dict(found)) + unknown)
-        assert whole == pytest.approx(1)
+    after, weight = defaultdict(list), {}
+
+    def p(before, w):
+        n = len(before) + 1
+        if n == 1:
+            return factors[1][min(one[w], 6)] * one[w] * (1 - unknown) / seen / total if one[w] else unknown
+        if v := counts[n][before, w]:
+            return factors[n][min(v, 6)] * v / of[before]
+        return weight.get(before, 1.0) * p(before[1:], w)
+
+    for n in range(2, order + 1):
+        for before, w in counts[n]:
+            after[before].append(w)
+        for before in [b for b in after if len(b) == n - 1]:
+            kept = sum(factors[n][min(counts[n][before, w], 6)] * counts[n][before, w] for w in after[before])
+            of[before] += kept >= of[before] * (1 - 1e-12)
+            weight[before] = (1 - kept / of[before]) / (1 - sum(p(before[1:], w) for w in after[before]))
+    for before in list(after)[:200]:
+        assert sum(p(before, w) for w in one) + p(before, "no word") == pytest.approx(1)
     out = {}
     for i, t in toks.items():
-        before, s, b = "", 0.0, 0.0
-        for w in t:
-            v = two[before, w]
-            s += math.log10(f2[min(v, 6)] * v / of[before]) if v > katz.CUTOFF else math.log10(weight.get(before, 1.0) * p1(w))
-            b += math.log10((one[w] + 0.5) / (total + 0.5 * (len(one) + 1)))
-            before = w
+        s = sum(math.log10(p(tuple(([""] * order + t[:k])[k + 1 : order + k]), w)) for k, w in enumerate(t))
+        b = sum(math.log10((one[w] + 0.5) / (total + 0.5 * (len(one) + 1))) for w in t)
         out[i] = (len(t), sum(one[w] > 0 for w in t), total, b, s)
     return out
 
 
-@pytest.mark.parametrize("common", [1 << 16, 5])
-def test_katz(spark, common, monkeypatch):
-    monkeypatch.setattr(katz, "COMMON", common)
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("common,bucket,fan", [(1 << 16, 4_000_000, 4096), (40, 900, 3), (5, 60, 2)])
+def test_katz(spark, order, common, bucket, fan, monkeypatch):
+    """With words rare and common, middle words dealt to several buckets, and buckets dealt in several rounds."""
+    for name, value in (("COMMON", common), ("BUCKET", bucket), ("FAN", fan), ("GROUP", 40)):
+        monkeypatch.setattr(katz, name, value)
     rng = np.random.default_rng(2)
-    texts = {i: made(rng, "en", int(rng.integers(0, 60))) for i in range(200)} | {500: None, 501: "", 502: "Same same SAME " * 50, 503: "ÉTÉ été\x0bx\x1cy", 504: "dup dup", 505: "dup dup"}
+    vocabulary = [made(rng, "en", 1) for _ in range(150)]
+    often = lambda n: " ".join(vocabulary[int(i)] for i in rng.zipf(1.4, n) % 150)
+    texts = {i: often(int(rng.integers(0, 60))) for i in range(200)} | {500: None, 501: "", 502: "Same same SAME " * 50, 503: "ÉTÉ été\x0bx\x1cy", 504: "dup dup", 505: "dup dup", 506: "z" * 3000}
     learn = {i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit("clash"))
-    want = katz_by_hand(texts, learn)
-    out = katz.score(df, F.crc32(F.col("doc_id").cast("string")) % 5 != 1).collect()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("score", "bucket", "_train", "first")})
+    want = katz_by_hand(texts, learn, order)
+    out = katz.score(df, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, order=order).collect()
     assert len(out) == len(texts)
     for r in out:
         n, known, total, base, s = want[r["doc_id"]]
@@ -166,4 +174,6 @@ def test_katz_edges(spark):
 def test_katz_pairs_seen_once(spark):
     out = katz.score(spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string"), F.col("doc_id") == 1).collect()
     own = next(r for r in out if r["doc_id"] == 1)
-    assert own["score"] == pytest.approx(3 * math.log10(0.5))  # each pair is its context's only one and keeps half its count
+    assert own["score"] == pytest.approx(3 * math.log10(0.5))  # each triple is its context's only one and keeps half its count
+    with pytest.raises(ValueError):
+        katz.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True), order=4)
