@@ -34,12 +34,12 @@ LETTERS = regex.compile("|".join(rf"(?P<{s}>\p{{Script={s}}}+)" for s in SCRIPTS
 FIRST_BYTE, LAST_BYTE = 3, 258
 
 
-#: Marks the number of a word's tokens by the second vocabulary among its ids by the first, which are all below.
+#: Marks a number of a word's tokens by the second vocabulary among its ids by the first, which are all below. Larger numbers are sums of several.
 COUNT = 1 << 15
 
 
 def by_both(pieces: str, words_file: str) -> WordIds:
-    """For each word, on its own, the ids of its pieces and after them COUNT plus the number of its tokens by the other vocabulary, as unsigned 16-bit integers."""
+    """For each word, on its own, the ids of its pieces and after them marked numbers that add up to its tokens by the other vocabulary, as unsigned 16-bit integers."""
     if (pieces, words_file) not in LOADED:
         import sentencepiece
 
@@ -53,7 +53,8 @@ def by_both(pieces: str, words_file: str) -> WordIds:
             if len(stems) > 300_000:
                 stems.clear()
             ids = model.encode([w.decode() for w in words], num_threads=1)
-            return [array("H", [*x, COUNT | min(COUNT - 1, len(y) // 4)]).tobytes() for x, y in zip(ids, other.encode(words, stems))]
+            numbers = [divmod(len(y) // 4, COUNT - 1) for y in other.encode(words, stems)]
+            return [array("H", [*x, *[2 * COUNT - 1] * whole, COUNT | rest]).tobytes() for x, (whole, rest) in zip(ids, numbers)]
 
         LOADED[pieces, words_file] = WordIds(encode, 400_000)
     return LOADED[pieces, words_file]
