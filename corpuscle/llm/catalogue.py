@@ -153,25 +153,32 @@ def host_sql(url: str) -> str:
     return f"coalesce(translate(regexp_extract(CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) END, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '')"
 
 
+def levels_sql(source: str) -> str:
+    """urls.levels_of in SQL: the rows of a source with site, domain and suffix of their host."""
+    site = f"regexp_replace(regexp_replace(regexp_replace(host, '{urls.USER}', ''), '{urls.PORT}', ''), '{urls.DOTS}', '')"
+    country = f"len(parts) > 1 AND length(parts[-1]) = 2 AND parts[-2] IN ({', '.join(map(quoted, urls.SECOND_LEVEL))})"
+    part = lambda n: f"array_to_string(CASE WHEN two THEN parts[-{n + 1}:] ELSE parts[-{n}:] END, '.')"
+    return f"""(SELECT *, CASE WHEN address THEN site ELSE {part(2)} END AS domain, CASE WHEN address THEN 'address' ELSE {part(1)} END AS suffix
+      FROM (SELECT *, {country} AS two, regexp_matches(site, {quoted(urls.ADDRESS)}) AS address FROM (SELECT *, string_split(site, '.') AS parts FROM (SELECT *, {site} AS site FROM {source}))))"""
+
+
+POSTERIOR = "good + m * prior AS a, n - good + m * (1 - prior) AS b"
 ORACLES["op10_host_reputation"] = f"""
 WITH lab AS (SELECT {host_sql("p.url")} AS host, quality = 1 AND toxic = 0 AS good FROM pages p JOIN labels l ON l.doc_id = try_cast(nullif(regexp_extract(p.url, '/[a-z][a-z]/([0-9]+)', 1), '') AS BIGINT)),
-h0 AS (SELECT host, string_split(host, '.') AS parts, count(*) AS n, count(*) FILTER (good) AS good FROM lab WHERE good IS NOT NULL GROUP BY host),
-h AS (SELECT host, array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix, n, good FROM h0),
-al AS (SELECT (coalesce(sum(good), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS prior FROM h),
-s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT prior FROM al) AS prior FROM h GROUP BY suffix),
-s2 AS (SELECT *, good + m * prior AS a, n - good + m * (1 - prior) AS b FROM (SELECT *, {moments_sql("s")} AS m FROM s)),
-d AS (SELECT suffix, domain, sum(h.n) AS n, sum(h.good) AS good, any_value(a / (a + b)) AS prior FROM h JOIN s2 USING (suffix) GROUP BY suffix, domain),
-d2 AS (SELECT *, good + m * prior AS a, n - good + m * (1 - prior) AS b FROM (SELECT *, {moments_sql("d")} AS m FROM d)),
-g AS (SELECT host, domain, h.n, h.good, a / (a + b) AS prior FROM h JOIN d2 USING (domain)),
-g2 AS (SELECT *, good + m * prior AS a, n - good + m * (1 - prior) AS b FROM (SELECT *, {moments_sql("g")} AS m FROM g)),
+h AS (SELECT site, domain, suffix, count(*) AS n, count(*) FILTER (good) AS good FROM {levels_sql("lab")} WHERE good IS NOT NULL GROUP BY ALL),
+al AS (SELECT (coalesce(sum(good), 0) + 1)::DOUBLE AS a, (coalesce(sum(n), 0) - coalesce(sum(good), 0) + 1)::DOUBLE AS b FROM h),
+s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT a / (a + b) FROM al) AS prior FROM h GROUP BY suffix), ms AS (SELECT {moments_sql("s")} AS m), s2 AS (SELECT *, {POSTERIOR} FROM s, ms),
+d AS (SELECT suffix, domain, sum(h.n) AS n, sum(h.good) AS good, any_value(a / (a + b)) AS prior FROM h JOIN s2 USING (suffix) GROUP BY suffix, domain), md AS (SELECT {moments_sql("d")} AS m), d2 AS (SELECT *, {POSTERIOR} FROM d, md),
+g AS (SELECT site, h.n, h.good, a / (a + b) AS prior FROM h JOIN d2 USING (domain, suffix)), mg AS (SELECT {moments_sql("g")} AS m), g2 AS (SELECT *, {POSTERIOR} FROM g, mg),
+w AS (SELECT mg.m / (mg.m + 1) AS wg, md.m / (md.m + 1) AS wd, ms.m / (ms.m + 1) AS ws FROM mg, md, ms),
 pg AS (SELECT page_id, {host_sql("url")} AS host, coalesce(regexp_extract(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-x AS (SELECT page_id, pg.host, path,
-      CASE WHEN g2.host IS NOT NULL THEN g2.a / (g2.a + g2.b) WHEN d2.domain IS NOT NULL THEN d2.a / (d2.a + d2.b) WHEN s2.suffix IS NOT NULL THEN s2.a / (s2.a + s2.b) ELSE (SELECT prior FROM al) END AS mean,
-      CASE WHEN g2.host IS NOT NULL THEN g2.a + g2.b WHEN d2.domain IS NOT NULL THEN d2.m WHEN s2.suffix IS NOT NULL THEN s2.m ELSE 1.0 END AS weight,
+x AS (SELECT page_id, pg.host, path, coalesce(g2.a, d2.a, s2.a, al.a) AS a, coalesce(g2.b, d2.b, s2.b, al.b) AS b,
+      CASE WHEN g2.a IS NOT NULL THEN 1 WHEN d2.a IS NOT NULL THEN wg WHEN s2.a IS NOT NULL THEN wg * wd ELSE wg * wd * ws END AS below,
       CASE WHEN (pg.host = 'example.org' OR pg.host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
            WHEN (pg.host = 'example.org' OR pg.host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
            WHEN (pg.host = 'com' OR pg.host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
            WHEN (pg.host = 'com' OR pg.host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
            WHEN (pg.host = 'org' OR pg.host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
-      FROM pg LEFT JOIN g2 ON g2.host = pg.host LEFT JOIN d2 ON d2.domain = array_to_string(string_split(pg.host, '.')[-2:], '.') LEFT JOIN s2 ON s2.suffix = string_split(pg.host, '.')[-1])
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1)) >= {LEAST_GOOD} THEN 'allow' ELSE 'block' END AS verdict FROM x"""
+      FROM {levels_sql("pg")} pg LEFT JOIN g2 ON g2.site = pg.site LEFT JOIN d2 ON d2.domain = pg.domain LEFT JOIN s2 ON s2.suffix = pg.suffix, al, w),
+y AS (SELECT *, a / (a + b) AS mean, 1 - (a + b) / (a + b + 1) * below AS share FROM x)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mean - {Z} * sqrt(mean * (1 - mean) * share) >= {LEAST_GOOD} THEN 'allow' ELSE 'block' END AS verdict FROM y"""

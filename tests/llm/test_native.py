@@ -76,12 +76,41 @@ def test_rules(spark, url, host, path, rule, verdict):
 def test_reputation(spark):
     rows = [("good.example.net", True)] * 60 + [("bad.example.net", False)] * 60 + [("new.example.net", True)] + [("other.org", True)] * 20 + [("x.org", None)]
     outcomes = spark.createDataFrame(rows, "host string, good boolean")
-    pages = spark.createDataFrame([(1, "http://good.example.net/"), (2, "http://bad.example.net/"), (3, "http://unknown.example.net/"), (4, "http://fresh.dev/"), (1, "http://good.example.net/")], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "_all", "_host", "domain")})
+    pages = spark.createDataFrame([(1, "http://good.example.net/"), (2, "http://bad.example.net/"), (3, "http://unknown.example.net/"), (4, "http://fresh.dev/"), (1, "http://u@GOOD.example.net.:8080/")], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "_all", "_host", "domain", "_host_key")})
     out = urls.judge(pages, outcomes).collect()
     got = {r["page_id"]: r for r in out}
-    assert len(out) == 5 and got[1]["verdict"] == "allow" and got[2]["verdict"] == "block"
+    assert len(out) == 5 and got[2]["verdict"] == "block"
+    assert {(r["verdict"], r["level"]) for r in out if r["page_id"] == 1} == {("allow", "host")}
     assert (got[3]["level"], got[4]["level"]) == ("domain", "all")
-    assert got[1]["bound"] < got[1]["mean"] < 1
+    assert got[1]["bound"] < got[1]["mean"] < 1 and got[3]["verdict"] == "block"
     empty = urls.judge(pages, outcomes.limit(0)).first()
-    assert empty["mean"] == pytest.approx(0.5)
+    assert empty["mean"] == pytest.approx(0.5) and empty["bound"] < 0
     assert urls.judge(pages.limit(0), outcomes).count() == 0
+
+
+def test_reputation_by_hand(spark):
+    """Two domains half good, whose hosts are all good or all bad: hosts differ as much as they can, domains not at all."""
+    rows = [(f"{h}.{d}.net", h == "a") for d in ("one", "two") for h in "ab" for _ in range(40)]
+    table = urls.reputation(spark.createDataFrame(rows, "host string, good boolean"))
+    by = {(r["level"], r["key"]): r for r in table.collect()}
+    assert by["domain", "one.net"]["m"] == 1000 and by["host", "a.one.net"]["m"] == 1  # the least and the largest spread
+    # all: 80 of 160. suffix: a single group has strength 1. domain: 40 of 80 with 1000 observations at 1/2. host: 40 of 40 with one at 1/2
+    assert (by["all", ""]["alpha"], by["all", ""]["beta"]) == (81, 81)
+    assert (by["suffix", "net"]["alpha"], by["suffix", "net"]["beta"]) == pytest.approx((80.5, 80.5))
+    assert (by["domain", "one.net"]["alpha"], by["domain", "one.net"]["beta"]) == pytest.approx((540, 540))
+    assert (by["host", "a.one.net"]["alpha"], by["host", "a.one.net"]["beta"]) == pytest.approx((40.5, 0.5))
+    # a new host: the domain's own variance is 1/1081 of 1/4, and of what is left half is its hosts'
+    assert by["domain", "one.net"]["sure"] == pytest.approx(1080 / 1081 / 2)
+    assert by["suffix", "net"]["sure"] == pytest.approx(161 / 162 * 1000 / 1001 / 2)
+    assert by["all", ""]["sure"] == pytest.approx(162 / 163 / 2 * 1000 / 1001 / 2)
+    page = spark.createDataFrame([(1, "http://c.one.net/")], "page_id long, url string")
+    assert urls.judge(page, spark.createDataFrame(rows, "host string, good boolean")).first()["bound"] == pytest.approx(0.5 - 1.645 * (0.25 * (1 - 1080 / 1081 / 2)) ** 0.5)
+
+
+@pytest.mark.parametrize("host,site,domain,suffix", [
+    ("www.example.co.uk", "www.example.co.uk", "example.co.uk", "co.uk"), ("a.b.example.com:80", "a.b.example.com", "example.com", "com"), ("me@x.org.", "x.org", "x.org", "org"), ("10.0.0.1:8080", "10.0.0.1", "10.0.0.1", "address"),
+    ("[::1]:80", "[::1]", "[::1]", "address"), ("localhost", "localhost", "localhost", "localhost"), ("", "", "", ""), ("co.uk", "co.uk", "co.uk", "co.uk"), ("x.github.io", "x.github.io", "x.github.io", "github.io"), ("a.x.io", "a.x.io", "x.io", "io"),
+])
+def test_levels(spark, host, site, domain, suffix):
+    c = urls.levels_of(F.lit(host), ["github.io"])
+    assert tuple(spark.range(1).select(c["host"], c["domain"], c["suffix"]).first()) == (site, domain, suffix)
