@@ -43,7 +43,7 @@ START, END = U(0x5354415254), U(0x454E44)
 MOST = 5
 #: So many of the commonest words are known everywhere; a bucket has about so many tokens; a slice about so many bytes of text;
 #: a round deals a row to at most so many; a group of slices returns to a task of about so many documents.
-COMMON, BUCKET, SLICE, FAN, GROUP = 1 << 16, 4_000_000, 8_000_000, 4096, 500_000
+COMMON, BUCKET, SLICE, FAN, GROUP = 1 << 16, 2_000_000, 8_000_000, 4096, 500_000
 RARE = U(1 << 63)
 
 
@@ -252,7 +252,13 @@ def batch_of(rows: list[dict], key_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], names=list(kinds))
 
 
-def joined(rows: list[dict]) -> Uses:
+def rows_in(group: pa.Table) -> Iterator[dict]:
+    """The packed rows of a table, one at a time."""
+    for k in range(group.num_rows):
+        yield {c: group.column(c)[k].as_py() for c in BLOBS}
+
+
+def joined(rows: Iterable[dict]) -> Uses:
     """The uses of packed rows."""
     parts: dict[str, list[np.ndarray]] = {c: [] for c in ("ids", "v", "w", "u", "at", "doc", "n")}
     base = 0
@@ -268,7 +274,7 @@ def joined(rows: list[dict]) -> Uses:
         parts["n"].append(unpacked(r["n"], "u4"))
         base += len(ids)
     kinds = {"ids": "i8", "v": "u8", "w": "u8", "u": "u8"}
-    return Uses(**{c: np.concatenate([np.zeros(0, kinds.get(c, "u4")), *x]) for c, x in parts.items()})
+    return Uses(**{c: np.concatenate([np.zeros(0, kinds.get(c, "u4")), *parts.pop(c)]) for c in list(parts)})
 
 
 def fan_widths(buckets: int) -> list[int]:
@@ -337,31 +343,34 @@ def occurrences(documents: DataFrame, key: str, text: str, sent, partitions: int
 class Counted:
     """The uses of one bucket, sorted, with the counts of its triples, pairs, middle words and contexts (first and middle word)."""
 
-    def __init__(self, rows: list[dict], know: Common):
+    def __init__(self, rows: Iterable[dict], know: Common):
         x = joined(rows)
         order = np.lexsort((x.u, x.w, x.v))
-        v, w, u = x.v[order], x.w[order], x.u[order]
-        self.know, self.ids, self.at, self.doc, self.n = know, x.ids, x.at[order], x.doc[order], x.n[order].astype("i8")
-        new = changes(v, w, u)
+        for c in ("v", "w", "u", "at", "doc", "n"):
+            setattr(x, c, getattr(x, c)[order])
+        del order
+        self.know, self.ids, self.at, self.doc, self.n = know, x.ids, x.at, x.doc, x.n.astype("i8")
+        new = changes(x.v, x.w, x.u)
         first = np.flatnonzero(new)
-        self.triple = np.cumsum(new) - 1  # of each use
-        v, w, self.u = v[first], w[first], u[first]
+        self.triple = np.cumsum(new, dtype="i4") - 1  # of each use
+        v, w, self.u = x.v[first], x.w[first], x.u[first]
+        del x
         self.c3 = np.add.reduceat(self.n * (self.doc & 1), first)
         new = changes(v, w)
         first = np.flatnonzero(new)
-        self.pair = np.cumsum(new) - 1  # of each triple
+        self.pair = np.cumsum(new, dtype="i4") - 1  # of each triple
         v, self.w = v[first], w[first]
         self.c2 = np.add.reduceat(self.c3, first)
         new = changes(v)
         first = np.flatnonzero(new)
-        self.middle = np.cumsum(new) - 1  # of each pair
+        self.middle = np.cumsum(new, dtype="i4") - 1  # of each pair
         self.v = v[first]
         self.total = np.add.reduceat(self.c2, first)
         own = self.middle[self.pair]
         order = np.lexsort((self.u, own))
         new = changes(own[order], self.u[order])
-        self.context = np.empty(len(order), "i8")  # of each triple
-        self.context[order] = np.cumsum(new) - 1
+        self.context = np.empty(len(order), "i4")  # of each triple
+        self.context[order] = np.cumsum(new, dtype="i4") - 1
         first = order[new]
         self.context_u, self.context_v = self.u[first], own[first]
         self.context_total = np.bincount(self.context, self.c3).astype("i8")
@@ -385,7 +394,7 @@ def shared_sums(rows: DataFrame, sent) -> DataFrame:
         key, dest, amount = np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0)
         if group.column("bucket")[0].as_py() >= 0:
             know: Common = sent.value
-            x = Counted(group.to_pylist(), know)
+            x = Counted(rows_in(group), know)
             kinds = [np.bincount(np.minimum(c, MOST + 2), minlength=MOST + 3)[1 : MOST + 2] for c in (x.c2, x.c3)]
             some = x.rare[x.context_v] & (x.context_total > 0)
             before, mass = summed(x.context_u[some], know.unigram(x.total[x.context_v[some]]))
@@ -419,9 +428,9 @@ def heavy_sums(rows: DataFrame, sent) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         keys, sums, number = np.zeros(0, "i8"), np.zeros((0, len(SUMS))), group.column("bucket")[0].as_py()
-        if number >= 0:
-            know: Common = sent.value
-            x = Counted(group.to_pylist(), know)
+        know: Common = sent.value
+        if number >= 0 and any(know.is_heavy(unpacked(v.as_py(), "u8")).any() for v in group.column("v")):
+            x = Counted(rows_in(group), know)
             c1 = know.count(x.w)
             mass = np.bincount(x.middle, np.where((x.c2 > 0) & (x.w < RARE), know.unigram(c1), 0.0), len(x.v))
             one = np.c_[x.total, by_count(x.middle, x.c2, x.c2, len(x.v)), np.zeros((len(x.v), MOST + 1)), mass][x.heavy]
@@ -509,7 +518,7 @@ def scored(rows: DataFrame, told: DataFrame, sent, key_kind: str, order: int) ->
     blobs = ("info", "ids", "at", "doc", "score", "base", "known")
 
     def sums(left: pa.Table, right: pa.Table, know: Common) -> Iterator[dict]:
-        x = Counted(left.to_pylist(), know)
+        x = Counted(rows_in(left), know)
         value = recursion(x, Told(right), know, order)
         # what common words add as last words, and rare ones as middle words
         c = know.count(x.w)[x.pair]
