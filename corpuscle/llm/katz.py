@@ -43,7 +43,7 @@ START, END = U(0x5354415254), U(0x454E44)
 MOST = 5
 #: So many of the commonest words are known everywhere; a bucket has about so many tokens; a slice about so many bytes of text;
 #: a round deals a row to at most so many; a group of slices returns to a task of about so many documents.
-COMMON, BUCKET, SLICE, FAN, GROUP = 1 << 16, 2_000_000, 8_000_000, 4096, 500_000
+COMMON, BUCKET, SLICE, FAN, GROUP = 1 << 16, 1_500_000, 8_000_000, 4096, 500_000
 RARE = U(1 << 63)
 
 
@@ -73,7 +73,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, and the sums of their values."""
     if not len(keys):
         return keys, *values
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(changes(keys))
     return keys[first], *[np.add.reduceat(v[order], first) for v in values]
@@ -220,8 +220,11 @@ class Uses:
     n: np.ndarray
 
     def rows(self, target: np.ndarray) -> Iterator[dict]:
-        """A packed row for each target, its uses by v, w and u: each v once with its number of w, and so on."""
-        order = np.lexsort((self.doc, self.at, self.u, self.w, self.v, target))
+        """A packed row for each target, its uses by v, w and u: each v with its number of w, and so on.
+
+        They are sorted by target and a few bits of each word, which brings nearly all equal ones together; others take a little more room.
+        """
+        order = np.argsort((target.astype("u8") << U(51)) | mixed(self.v) >> U(47) << U(34) | mixed(self.w) >> U(47) << U(17) | mixed(self.u) >> U(47), kind="stable")
         target, v, w, u, at, doc, n = (x[order] for x in (target, self.v, self.w, self.u, self.at, self.doc, self.n))
         first = np.flatnonzero(changes(target, v, w, u, at, doc))
         n = np.add.reduceat(n, first, dtype="u4") if len(first) else n
@@ -345,34 +348,30 @@ class Counted:
 
     def __init__(self, rows: Iterable[dict], know: Common):
         x = joined(rows)
-        order = np.lexsort((x.u, x.w, x.v))
-        for c in ("v", "w", "u", "at", "doc", "n"):
-            setattr(x, c, getattr(x, c)[order])
-        del order
-        self.know, self.ids, self.at, self.doc, self.n = know, x.ids, x.at, x.doc, x.n.astype("i8")
-        new = changes(x.v, x.w, x.u)
+        (vs, v), (ws, w), (us, u) = (np.unique(c, return_inverse=True) for c in (x.v, x.w, x.u))
+        x.v = x.w = x.u = None
+        order = np.argsort((v * len(ws) + w) * len(us) + u) if len(vs) * len(ws) * len(us) < 1 << 63 else np.lexsort((u, w, v))
+        v, w, u, self.at, self.doc, self.n = v[order], w[order], u[order], x.at[order], x.doc[order], x.n[order].astype("i8")
+        self.know, self.ids = know, x.ids
+        del order, x
+        new = changes(v, w, u)
         first = np.flatnonzero(new)
         self.triple = np.cumsum(new, dtype="i4") - 1  # of each use
-        v, w, self.u = x.v[first], x.w[first], x.u[first]
-        del x
+        v, w, u = v[first], w[first], u[first]
         self.c3 = np.add.reduceat(self.n * (self.doc & 1), first)
         new = changes(v, w)
         first = np.flatnonzero(new)
         self.pair = np.cumsum(new, dtype="i4") - 1  # of each triple
-        v, self.w = v[first], w[first]
+        self.w, self.middle = ws[w[first]], v[first].astype("i4")  # of each pair; every middle word is there
         self.c2 = np.add.reduceat(self.c3, first)
-        new = changes(v)
-        first = np.flatnonzero(new)
-        self.middle = np.cumsum(new, dtype="i4") - 1  # of each pair
-        self.v = v[first]
-        self.total = np.add.reduceat(self.c2, first)
-        own = self.middle[self.pair]
-        order = np.lexsort((self.u, own))
-        new = changes(own[order], self.u[order])
+        self.v, self.total = vs, np.add.reduceat(self.c2, np.flatnonzero(changes(self.middle)))
+        both = v * len(us) + u
+        order = np.argsort(both)
+        new = changes(both[order])
         self.context = np.empty(len(order), "i4")  # of each triple
         self.context[order] = np.cumsum(new, dtype="i4") - 1
         first = order[new]
-        self.context_u, self.context_v = self.u[first], own[first]
+        self.context_u, self.context_v = us[u[first]], v[first]
         self.context_total = np.bincount(self.context, self.c3).astype("i8")
         self.heavy = know.is_heavy(self.v)
         self.rare = (self.v >= RARE) & (self.v != START | RARE)
