@@ -1,13 +1,17 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm on islands.
 
 Documents are tokenised once and cut into pieces of at most `capacity` ids; full pieces are sequences of their own. The others are
-dealt by hash to blocks of about `block` pieces, each a problem of its own whose loss is below one sequence. Several islands work on a
-block, each a row of a table with its population. Crossover injects whole well-filled bins of one parent into the other, drops the
-bins that share a document with them, and puts the displaced documents back by best fit, largest first. Between epochs each island
-takes in the elite of its neighbour, by a join; the best packing over all islands of a block wins.
-
-Edge cases: a null or empty text is one piece of the end id alone. Repeated rows and null ids are packed as rows of their own. An empty
-table gives no pieces.
+dealt by hash to blocks of about `block` pieces. Several islands work on a block, each a row of a table with its population. Crossover
+injects whole well-filled bins of one parent into the other, drops the bins that share a document with them, and puts the displaced
+documents back by best fit, largest first. It goes on while a block has more than one bin that isn't full, since a few ill-filled bins
+are what the block leaves to others. Between epochs each island takes in the elite of its neighbour, by a join; the best packing over
+all islands of a block wins. Full bins are then settled. The pieces of all others, a small share of the pieces, are pooled and
+dealt to new blocks, as often as that saves sequences, until the whole is at its lower bound or `rounds` are over. A round that
+saves nothing is dropped. The search is seeded, so that equal tables give equal packings.
+
+Edge cases: a null or empty text is one piece of the end id alone. Repeated rows and null ids are packed as rows of their own. A text of
+any length is tokenised whole and cut. Pieces of equal length are ordered by the row's number. Columns other than key and text are
+ignored, so that their names can't clash. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -92,11 +96,13 @@ def disturbed(sizes: list[int], capacity: int, rng: random.Random, share: float)
 
 
 def evolve(sizes: list[int], population: list[Packing], capacity: int, rng: random.Random, generations: int) -> list[Packing]:
-    """The population, best first, after so many crossovers, each of whose children takes the place of the worst if better."""
-    least = -(-sum(sizes) // capacity)
+    """The population, best first, after so many crossovers, each of whose children takes the place of the worst if better.
+
+    It ends early once all bins but one are full, than which nothing is better.
+    """
     ranked = sorted(((fitness(sizes, p, capacity), k, p) for k, p in enumerate(population)), key=lambda x: (x[0], -x[1]), reverse=True)
     for g in range(generations):
-        if len(ranked[0][2]) <= least or len(ranked) < 2:
+        if len(ranked) < 2 or sum(sum(sizes[i] for i in b) < capacity for b in ranked[0][2]) < 2:
             break
         a, b = rng.sample(ranked, 2)
         child = crossover(sizes, a[2], b[2], capacity, rng)
@@ -126,10 +132,10 @@ def from_bytes(raw: bytes, n: int) -> list[Packing]:
     return out
 
 
-def assignments(sizes: DataFrame, capacity: int = 4096, block: int = 2048, islands: int = 2, population: int = 4, epochs: int = 2, generations: int = 6, seed: int = 7) -> DataFrame:
-    """Rows (_row, block, bin, offset) for a table (_row, length), whose lengths are from 1 to capacity and whose _row are unique."""
+def packed_blocks(sizes: DataFrame, capacity: int, block: int, islands: int, population: int, epochs: int, generations: int, seed: int) -> DataFrame:
+    """One round: rows (_row, length, block, bin, offset, fill) for a table (_row, length); fill is the length of all in the bin."""
     blocks = max(1, -(-sizes.count() // block))
-    dealt = sizes.groupBy(F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_row", "length"))).alias("items"))  # about `block` items each
+    dealt = sizes.groupBy(F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_row", "length"))).alias("items"))  # about `block` items each
     dealt = dealt.select("block", F.col("items")["_row"].alias("rows"), F.col("items")["length"].alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     schema = "block long, island int, rows array<long>, sizes array<long>, population binary, elite binary, bins int, fill double"
 
@@ -143,7 +149,7 @@ def assignments(sizes: DataFrame, capacity: int = 4096, block: int = 2048, islan
                     if number:
                         live = from_bytes(r["population"], len(s))[: population - 1] + from_bytes(r["elite"], len(s))
                     else:
-                        live = [disturbed(s, capacity, rng, 0.0 if not k and not r["island"] else 0.05 * (k + r["island"])) for k in range(population)]
+                        live = [disturbed(s, capacity, rng, 0.0 if not k and not r["island"] else 0.1 * (k + r["island"])) for k in range(population)]
                     live = evolve(s, live, capacity, rng, generations)
                     score = fitness(s, live[0], capacity)
                     out.append({k: r[k] for k in ("block", "island", "rows", "sizes")} | {"population": as_bytes(live, len(s)), "elite": as_bytes(live[:1], len(s)), "bins": -score[0], "fill": score[1]})
@@ -168,9 +174,31 @@ def assignments(sizes: DataFrame, capacity: int = 4096, block: int = 2048, islan
                 starts = ends - sizes[order]
                 first = np.r_[True, np.diff(bins[order]) > 0]
                 base = np.maximum.accumulate(np.where(first, starts, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[order]), pa.array(np.full(len(rows), r["block"])), pa.array(bins[order].astype("i8")), pa.array(starts - base)], ["_row", "block", "bin", "offset"])
-
-    return best.mapInArrow(place, "_row long, block long, bin long, offset long")
+                fill = np.bincount(bins, sizes)[bins[order]].astype("i8")
+                columns = [rows[order], sizes[order], np.full(len(rows), r["block"]), bins[order].astype("i8"), starts - base, fill]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_row", "length", "block", "bin", "offset", "fill"])
+
+    return keep(best.mapInArrow(place, "_row long, length long, block long, bin long, offset long, fill long"), "packed")
+
+
+def assignments(sizes: DataFrame, capacity: int = 4096, block: int = 2048, islands: int = 3, population: int = 6, epochs: int = 3, generations: int = 12, rounds: int = 5, seed: int = 7) -> DataFrame:
+    """Rows (_row, round, block, bin, offset) for a table (_row, length), whose lengths are from 1 to capacity and whose _row are unique."""
+    first = F.col("offset") == 0
+    counts = [F.count_if(first), F.count_if(first & (F.col("fill") == capacity))]
+    pool, settled, given = sizes.select("_row", "length"), None, None  # given: the pool as the round before left it, and its bins
+    for number in range(rounds):
+        found = packed_blocks(pool, capacity, block, islands, population, epochs, generations, seed + number).withColumn("round", F.lit(number))
+        total, count, full = found.agg(F.coalesce(F.sum("length"), F.lit(0)), *counts).first()
+        if given is not None and count >= given[1]:
+            break  # nothing saved: the round before stays
+        full_ones = found.where(F.col("fill") == capacity)
+        settled = full_ones if settled is None else settled.union(full_ones)
+        given = found.where(F.col("fill") < capacity), count - full
+        if given[1] <= -(-(total - full * capacity) // capacity) or given[1] < 2:
+            break  # at the lower bound
+        pool = given[0].select("_row", "length")
+    out = given[0] if settled is None else settled.union(given[0])
+    return out.select("_row", "round", "block", "bin", "offset")
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", **search) -> DataFrame:
@@ -181,6 +209,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     table = keep(pieces(documents, tokenizer, capacity, end_id, key, text).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     open_ = F.col("length") < capacity
     placed = assignments(table.where(open_).select("_row", "length"), capacity, **search)
-    placed = keep(placed.select("_row", ((F.col("block") * F.lit(1 << 20) + F.col("bin")) * 2).alias("sequence_id"), "offset"), "placed")
+    number = (F.col("block") * F.lit(1 << 20) + F.col("bin")) * 16 + F.col("round") * 2  # even; those of full pieces are odd
+    placed = keep(placed.select("_row", number.alias("sequence_id"), "offset"), "placed")
     own = placed.unionByName(table.where(~open_).select("_row", (F.col("_row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
     return table.join(own, "_row").drop("_row")

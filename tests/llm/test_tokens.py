@@ -68,6 +68,37 @@ def test_packing_small_blocks(spark):
     assert packing.pack(frame(spark, ["a"]).limit(0), PATH).count() == 0
 
 
+def test_crossover_wins(spark):
+    """Triples of a whole sequence, none of which best fit finds: crossover and migration save a sequence of each eight."""
+    import random
+
+    rng = random.Random(0)
+    sizes = []
+    for _ in range(8):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    table = spark.createDataFrame(list(enumerate(sizes)), "_row long, length long")
+    count = lambda **how: packing.assignments(table, 1000, **how).select("round", "block", "bin").distinct().count()
+    fit = len(packing.disturbed(sizes, 1000, rng, 0.0))
+    assert count(islands=1, population=1, epochs=1) == fit == 10
+    assert count(islands=3, population=10, epochs=5, generations=60, rounds=1) < fit
+
+
+def test_rounds_pool_what_blocks_leave(spark):
+    """Blocks of 20 small pieces leave an ill-filled sequence each; pooled, the whole is at its lower bound."""
+    import random
+
+    rng = random.Random(5)
+    sizes = [rng.randint(1, 60) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(sizes)), "_row long, length long")
+    least = -(-sum(sizes) // 100)
+    one, more = (packing.assignments(table, 100, block=20, rounds=n).select("round", "block", "bin").distinct().count() for n in (1, 6))
+    assert least <= more <= least + 1 < one
+    out = packing.assignments(table, 100, block=20, rounds=6).collect()
+    assert sorted(r["_row"] for r in out) == list(range(400))
+
+
 def test_crossover_keeps_items():
     import random
 
