@@ -6,12 +6,16 @@ point comes later than all registers hold. Two documents agree in a register wit
 Documents with an equal band of registers are candidates; whether they are links is decided by the exact similarity.
 
 Equal texts are one node from the start, so that thousands of copies cost as much as one. Within a bucket a star is verified, not all
-pairs, around the node that shares most buckets; classes of what is linked so far are then found. In buckets that still hold several
-classes, the pairs across them are all compared by their registers, in chunks of a bucket, and verified where those leave
-a chance, so that no link between candidates is lost that would join two classes.
+pairs, around the node that shares most buckets; classes of what is linked so far are then found. What is left are nodes of buckets that
+still hold several classes, such as texts with the same boilerplate. They are joined by their rarest shingles instead, which loses
+nothing: the similarity of two texts is at most the sum of the lesser shares of their common shingles, so that two texts of a similarity
+of `least` share one of the rarest shingles that hold more than 1 - `least` of either. Boilerplate is frequent and so isn't among these.
+Groups by such a shingle are treated in the same way, with a star first; the pairs of classes that it leaves apart are then all verified.
 
 Edge cases: a text of one to four words is one shingle. An empty text is alike only to empty texts, white space only to equal texts, and
-a null text to nothing. Keys may repeat and be null: rows are told apart by their place in the written table.
+a null text to nothing. Texts of any length are taken whole. Keys may repeat and be null: rows are told apart by their place in the
+written table; of a class the row that was written first stays. Columns that clash with internal ones are set aside and given back. An
+empty table has no classes.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import BASE, U, mixed, word_hashes
@@ -28,11 +32,8 @@ from .store import keep
 from .words import raw_texts, slices
 
 WORDS, ROWS, BANDS, LEAST = 5, 7, 30, 0.8
-STARS = 1
-#: Nodes of a bucket that are compared with each other in one group.
-CHUNK = 1024
-#: Registers by which they are compared; three times those of the bands, so that fewer pairs are left to be verified.
-REGISTERS = 3 * ROWS * BANDS
+#: Stars in buckets, and in groups by a rare shingle before all pairs of classes.
+STARS, RARE_STARS = 1, 1
 
 
 def bag(raw: bytes | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -134,43 +135,50 @@ def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     return keep(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "na", "hb", "nb").mapInArrow(run, "a long, b long"), "links")
 
 
-def promising(shared: DataFrame, known: DataFrame, m: int, least: float) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket whose registers agree as often as those of links do, but for one in 30,000.
+def rarest(known: DataFrame, least: float) -> DataFrame:
+    """Rows (group, id) for bags (id, h, n): each bag's rarest shingles, up to more than 1 - least of its size, as far as others have them."""
 
-    A bucket is cut into chunks of about `CHUNK` nodes, and each two chunks meet in a group of their own, so that no group grows with the
-    bucket. Registers are compared by a byte of each; what they can't rule out goes on to be verified.
-    """
-    sure = least - 4 * (least * (1 - least) / m) ** 0.5
-
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(np.frombuffer(h.as_buffer(), "u8"), np.frombuffer(n.as_buffer(), "i4"), m).astype("u1").tobytes() for h, n in zip(batch.column("h"), batch.column("n"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "registers"])
-
-    def compare(group: pa.Table) -> pa.Table:
-        ids, labels, chunks = (group.column(c).to_numpy() for c in ("id", "label", "chunk"))
-        held = np.frombuffer(b"".join(group.column("registers").to_pylist()), "u1").reshape(-1, m)
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        left, right = np.flatnonzero(chunks == lo), np.flatnonzero(chunks == hi)
-        a, b = [], []
-        for i in left.tolist():
-            near = (held[right] == held[i]).sum(1) >= sure * m
-            near &= labels[right] != labels[i]
-            if lo == hi:
-                near &= ids[right] > ids[i]
-            j = right[near]
-            a.append(np.minimum(ids[j], ids[i]))
-            b.append(np.maximum(ids[j], ids[i]))
-        none = np.zeros(0, "i8")
-        return pa.table([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
-
-    some = keep(shared.select("id").distinct(), "open-nodes")
-    registers = keep(known.join(some, "id", "left_semi").mapInArrow(sign, "id long, registers binary"), "registers")
-    chunks = F.ceil(F.col("n") / CHUNK)
-    rows = shared.select("bucket", "id", "label", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), chunks.cast("int").alias("chunks")).join(registers, "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    met = rows.select("bucket", "id", "label", "chunk", "registers", other.alias("other")).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
-    return met.select("bucket", "id", "label", "chunk", "registers", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
+            for k in range(batch.num_rows):
+                h, n = np.frombuffer(batch.column("h")[k].as_buffer(), "i8"), np.frombuffer(batch.column("n")[k].as_buffer(), "i4")
+                for at in range(0, len(h), 100_000):
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[part]), batch.column("id")[k].as_py())), pa.array(h[part]), pa.array(n[part] / n.sum())], ["id", "group", "share"])
+
+    each = keep(known.mapInArrow(run, "id long, group long, share double"), "shingles")
+    often = each.groupBy("group").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("id").orderBy("df", "group").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each.join(often, "group", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    before = F.coalesce(F.sum("share").over(order), F.lit(0.0))
+    return ranked.withColumn("before", before).where((F.col("before") <= 1 - least + 1e-9) & (F.col("df") > 1)).select("group", "id")
+
+
+def links_within(shared: DataFrame, known: DataFrame, least: float, stars: int, rest: bool, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Verifies nodes of different labels in the same group (group, id, weight, label): so many stars, then the pairs that are left if `rest`.
+
+    Gives the rows of groups that hold several labels still, and all links and labels so far.
+    """
+    for star in range(stars + 1 + rest):
+        span = shared.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        shared = keep(shared.join(keep(span.select("group"), "spans"), "group"), "open")
+        if star >= stars + rest or shared.isEmpty():
+            break
+        if star < stars:
+            # first around the nodes that share most groups, which are close to the middle of theirs
+            order = F.struct(F.col("weight") if star == 0 else F.xxhash64("id", F.lit(star)), F.col("id"), F.col("label"))
+            hubs = keep(shared.groupBy("group").agg(F.max(order).alias("hub")).select("group", F.col("hub")["id"].alias("x"), F.col("hub")["label"].alias("of")), "hubs")
+            pairs = shared.join(hubs, "group").where("label <> of").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+        else:
+            other = shared.select("group", F.col("id").alias("b"), F.col("label").alias("of"))
+            pairs = shared.join(other, "group").where("id < b and label <> of").select(F.col("id").alias("a"), "b")
+        found = verified(keep(pairs.distinct(), "pairs"), known, least)
+        if found.isEmpty():
+            continue
+        links = found if links is None else keep(links.union(found), "links")
+        labels = components(links)
+        shared = shared.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return shared, links, labels
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,34 +215,18 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", least
     table = signed(documents, text, words, rows, bands)
     nodes = table.where(F.col("_node").isNotNull()).groupBy("_node", "_bands").agg(F.min("_row").alias("row"), F.min(key).alias("key"))
     nodes = keep(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    members = nodes.select("id", F.explode("_bands").alias("bucket"))
-    full = keep(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = keep(members.join(full, "bucket"), "shared")
+    members = nodes.select("id", F.explode("_bands").alias("group"))
+    full = keep(members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = keep(members.join(full, "group"), "shared")
     weight = keep(shared.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
-    shared = shared.select("bucket", "id").join(weight, "id").withColumn("label", F.col("id"))
+    shared = shared.select("group", "id").join(weight, "id").withColumn("label", F.col("id"))
     involved = weight.select("id").join(nodes.select("id", F.col("row").alias("_row")), "id")
     known = bags(table.select("_row", F.col(text).alias("text")).join(involved, "_row").select("id", "text"), words)
-    links = labels = None
-    for star in range(STARS + 1):
-        # what is open: buckets that still hold several classes
-        span = shared.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        shared = keep(shared.join(keep(span.select("bucket", "n"), "spans"), "bucket"), "open")
-        if shared.isEmpty():
-            break
-        if star < STARS:
-            # first around the nodes that share most buckets, which are close to the middle of their group
-            order = F.struct(F.col("weight") if star == 0 else F.xxhash64("id", F.lit(star)), F.col("id"), F.col("label"))
-            hubs = keep(shared.groupBy("bucket").agg(F.max(order).alias("hub")).select("bucket", F.col("hub")["id"].alias("x"), F.col("hub")["label"].alias("of")), "hubs")
-            pairs = shared.join(hubs, "bucket").where("label <> of").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        else:
-            pairs = promising(shared, known, REGISTERS, least)
-        found = verified(keep(pairs.distinct(), "pairs"), known, least)
-        shared = shared.drop("n")
-        links = found if links is None else keep(links.union(found), "links")
-        if found.isEmpty():
-            continue
-        labels = components(links)
-        shared = shared.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    shared, links, labels = links_within(shared, known, least, STARS, False, None, None)
+    left = keep(shared.groupBy("id").agg(F.first("label").alias("label"), F.first("weight").alias("weight")), "left")
+    if not left.isEmpty():
+        by_shingle = rarest(known.join(left.select("id"), "id", "left_semi"), least).join(left, "id")
+        _, links, labels = links_within(keep(by_shingle, "rare"), known, least, RARE_STARS, True, links, labels)
     own = nodes.select("_node", "id", "row", "key")
     own = own.withColumn("label", F.col("id")) if labels is None else own.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     own = keep(own, "labelled")
@@ -243,12 +235,14 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", least
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """A row (key, class_id) for each document: the least key of its class, or a negative number of the class's own if that has no key.
+    """A row (key, class_id) for each document: the least key of its class, or a negative number of the class's own if that has no key or another class has the same least key.
 
-    A document with null text is a class of its own, named by its key. Keys are integers that tell different texts apart.
+    A document with null text is a class of its own, named by its key. Keys are integers of 0 or more.
     """
     table, found = classes(documents.select(key, text), key, text, **how)
-    name = F.coalesce(F.col("first_key"), -1 - F.col("label"))
+    holder = found.where("first_key is not null").groupBy("first_key").agg(F.min("label").alias("holder"))
+    found = found.join(holder, "first_key", "left")
+    name = F.when(F.col("label") == F.col("holder"), F.col("first_key")).otherwise(-1 - F.col("label"))
     return table.select(key, "_node").join(found, "_node", "left").select(key, F.when(F.col("_node").isNull(), F.col(key)).otherwise(name).alias("class_id"))
 
 

@@ -81,17 +81,32 @@ def test_classes(spark):
     assert len(kept) == len(set(want.values())) and {want[r["doc_id"]] for r in kept} == set(want.values())
 
 
-def test_classes_in_small_chunks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CHUNK", 7)
-    monkeypatch.setattr(neardup, "STARS", 0)
+@pytest.mark.parametrize("stars,rare", [(0, 0), (0, 2), (2, 0)])
+def test_classes_whatever_the_stars(spark, monkeypatch, stars, rare):
     texts = near_corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
-    monkeypatch.undo()
-    assert out == {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    want = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    monkeypatch.setattr(neardup, "STARS", stars)
+    monkeypatch.setattr(neardup, "RARE_STARS", rare)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_boilerplate(spark):
+    """Texts that share a bucket but are no duplicates: only their few rare shingles are looked at, and copies among them are still found."""
+    rng = random.Random(12)
+    plate = made(rng, 300)
+    texts = [" ".join(plate + made(rng, 90)) for _ in range(40)]
+    texts += [" ".join(edited(rng, t.split(), 0.003)) for t in texts[:10]]
+    bags = spark.createDataFrame([(i, h.tobytes(), n.tobytes()) for i, (h, n) in enumerate(neardup.bag(t.encode()) for t in texts)], "id long, h binary, n binary")
+    groups = neardup.rarest(bags, 0.8).groupBy("group").count()
+    assert groups.agg(F.max("count")).first()[0] == 2
+    out = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {i: i for i in range(40)} | {40 + i: i for i in range(10)}
 
 
 def test_class_keys(spark):
+    same = spark.createDataFrame([(7, "a b c d e f"), (7, "u v w x y z"), (8, "u v w x y Z")], "doc_id long, text string")
+    assert len({r["class_id"] for r in neardup.near_duplicates(same).collect()}) == 2  # a key of two classes
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "x"), (None, None), (3, "A b c d e f")], "doc_id long, text string")
     out = [(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(df).collect()]
     assert sorted((k, c) for k, c in out if k) == [(3, 3), (5, 3), (5, 3)]
