@@ -8,9 +8,11 @@ Documents with an equal band of registers are candidates; whether they are links
 Equal texts are one node from the start, so that thousands of copies cost as much as one. Within a bucket a star is verified, not all
 pairs, around the node that shares most buckets; classes of what is linked so far are then found. What is left are nodes of buckets that
 still hold several classes, such as texts with the same boilerplate. They are joined by their rarest shingles instead, which loses
-nothing: the similarity of two texts is at most the sum of the lesser shares of their common shingles, so that two texts of a similarity
-of `least` share one of the rarest shingles that hold more than 1 - `least` of either. Boilerplate is frequent and so isn't among these.
-Groups by such a shingle are treated in the same way, with a star first; the pairs of classes that it leaves apart are then all verified.
+nothing. If common shingles hold the shares a and b of two texts, their similarity s is at most 1 / (1/a + 1/b - 1): each term of the
+similarity is at most pq / (p + q - pq') for shares p, q and what is not common, and such terms add up to no more than that of their sums. So a
+and b are s or more, and one of them is 2s / (1 + s) or more. The rarest common shingle is then among the rarest of either text
+that hold more than 1 - s of it, and for one text among those that hold more than 1 - 2s / (1 + s). Boilerplate is frequent and
+isn't among these. Groups by such a shingle are treated in the same way, with a star first; pairs of classes that it leaves apart are then verified.
 
 Edge cases: a text of one to four words is one shingle. An empty text is alike only to empty texts, white space only to equal texts, and
 a null text to nothing. Texts of any length are taken whole. Keys may repeat and be null: rows are told apart by their place in the
@@ -136,7 +138,10 @@ def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
 
 
 def rarest(known: DataFrame, least: float) -> DataFrame:
-    """Rows (group, id) for bags (id, h, n): each bag's rarest shingles, up to more than 1 - least of its size, as far as others have them."""
+    """Rows (group, id, first) for bags (id, h, n): each bag's rarest shingles, up to more than 1 - least of its size, as far as others have them.
+
+    first: among those that hold more than 1 - 2 least / (1 + least). Groups without any of these are left out.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,11 +156,13 @@ def rarest(known: DataFrame, least: float) -> DataFrame:
     order = Window.partitionBy("id").orderBy("df", "group").rowsBetween(Window.unboundedPreceding, -1)
     ranked = each.join(often, "group", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     before = F.coalesce(F.sum("share").over(order), F.lit(0.0))
-    return ranked.withColumn("before", before).where((F.col("before") <= 1 - least + 1e-9) & (F.col("df") > 1)).select("group", "id")
+    first = F.col("before") <= 1 - 2 * least / (1 + least) + 1e-9
+    rows = keep(ranked.withColumn("before", before).where((F.col("before") <= 1 - least + 1e-9) & (F.col("df") > 1)).select("group", "id", first.alias("first")), "rarest")
+    return rows.join(rows.where("first").select("group").distinct(), "group", "left_semi")
 
 
 def links_within(shared: DataFrame, known: DataFrame, least: float, stars: int, rest: bool, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Verifies nodes of different labels in the same group (group, id, weight, label): so many stars, then the pairs that are left if `rest`.
+    """Verifies nodes of different labels in the same group (group, id, weight, label): so many stars, then, if `rest`, the pairs that are left of which one is `first`.
 
     Gives the rows of groups that hold several labels still, and all links and labels so far.
     """
@@ -170,8 +177,8 @@ def links_within(shared: DataFrame, known: DataFrame, least: float, stars: int,
             hubs = keep(shared.groupBy("group").agg(F.max(order).alias("hub")).select("group", F.col("hub")["id"].alias("x"), F.col("hub")["label"].alias("of")), "hubs")
             pairs = shared.join(hubs, "group").where("label <> of").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         else:
-            other = shared.select("group", F.col("id").alias("b"), F.col("label").alias("of"))
-            pairs = shared.join(other, "group").where("id < b and label <> of").select(F.col("id").alias("a"), "b")
+            other = shared.where("first").select("group", F.col("id").alias("x"), F.col("label").alias("of"))
+            pairs = shared.join(other, "group").where("label <> of and (id < x or not first)").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         found = verified(keep(pairs.distinct(), "pairs"), known, least)
         if found.isEmpty():
             continue
