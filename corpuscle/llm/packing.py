@@ -181,7 +181,7 @@ def packed_blocks(sizes: DataFrame, capacity: int, block: int, islands: int, pop
     return keep(best.mapInArrow(place, "_row long, length long, block long, bin long, offset long, fill long"), "packed")
 
 
-def assignments(sizes: DataFrame, capacity: int = 4096, block: int = 2048, islands: int = 3, population: int = 6, epochs: int = 3, generations: int = 12, rounds: int = 5, seed: int = 7) -> DataFrame:
+def assignments(sizes: DataFrame, capacity: int = 4096, block: int = 2048, islands: int = 3, population: int = 4, epochs: int = 2, generations: int = 6, rounds: int = 5, seed: int = 7) -> DataFrame:
     """Rows (_row, round, block, bin, offset) for a table (_row, length), whose lengths are from 1 to capacity and whose _row are unique."""
     first = F.col("offset") == 0
     counts = [F.count_if(first), F.count_if(first & (F.col("fill") == capacity))]
