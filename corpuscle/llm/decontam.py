@@ -1,18 +1,21 @@
 """Benchmark decontamination: every passage of every document is a query to a BM25 index of the test items.
 
 The index holds the postings of lower-cased words with their BM25 weights, as shares of what an item scores against itself, so that one
-threshold suits items of any length. Postings are in blocks of items, with the largest weight of each term in each block. A document is
-cut into chunks as long as the longest item; a passage is two chunks in a row, so that a copied item lies inside a passage. Block-max
+threshold suits items of any length. Postings are in blocks of items, with the largest weight of each term in each block. Items are in
+classes by length, each an index of its own. A document is cut into chunks as long as the longest item of the
+class; a passage is two chunks in a row, so that a copied item lies inside a passage. Block-max
 bounds of all passages come first, by array operations; passages with a live block go through block-max WAND, which returns every
 item at or above the threshold. An item is a leak if the passage has enough of the five-word shingles of its question and of its
 answer (the last third of its words, where the items come as one text), or `share` of the shingles of the whole item and of the words of
 its answer, as an edit or a lost end leaves it.
 
-The benchmark is collected and broadcast in slices of at most `slice_items` items, each an index of its own over which documents
-are scanned; weights and passages follow the figures of the whole benchmark. No text of a document is shuffled.
+The benchmark is collected and broadcast in slices of at most about `slice_items` items and `slice_bytes` bytes of text, over each
+of which documents are scanned; weights follow the figures of the whole benchmark. No text of a document is shuffled.
 
-Edge cases: null or empty texts and items match nothing; an item of fewer than five words is one shingle. Items alike are each found.
-Keys may repeat: copies of a document are scanned one by one. An empty benchmark finds nothing.
+Edge cases: null or empty texts and items match nothing; an item of fewer than five words is one shingle. Items alike are each found; of
+passages with equal scores the first counts. Texts and items of any length are taken whole; an item longer than a slice is
+a slice of its own. Keys may repeat: copies of a document are scanned one by one. scan() reads key and text only, clean() gives all columns back
+as they are, so that no names clash. An empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -57,12 +60,11 @@ class Item:
 
 @dataclass
 class Whole:
-    """Of a whole benchmark: in how many items words occur (those that a slice has), items with words, their mean and largest length."""
+    """Of a whole benchmark: in how many items words occur (those that a slice has), items with words and their mean length."""
 
     df: dict[bytes, int]
     count: int
     mean: float
-    longest: int
 
 
 class Index:
@@ -72,7 +74,7 @@ class Index:
         texts = [(k, w) for k, t in rows if (w := words_of((t or "").encode()))]
         self.items: list[Item] = []
         if whole is None:
-            whole = Whole(Counter(t for _, w in texts for t in set(w)), len(texts), sum(len(w) for _, w in texts) / max(1, len(texts)), max((len(w) for _, w in texts), default=1))
+            whole = Whole(Counter(t for _, w in texts for t in set(w)), len(texts), sum(len(w) for _, w in texts) / max(1, len(texts)))
         df, count, mean = whole.df, whole.count, whole.mean
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for i, (key, w) in enumerate(texts):
@@ -83,7 +85,7 @@ class Index:
             own = sum(weight.values())
             for t, x in weight.items():
                 postings[t].append((i, x / own))
-        self.longest = whole.longest
+        self.longest = max((len(w) for _, w in texts), default=1)
         self.size = max(size, -(-len(texts) * len(postings) // cells))  # coarser blocks for a large benchmark
         self.blocks = -(-len(texts) // self.size)
         self.term = {t: n for n, t in enumerate(postings)}
@@ -176,28 +178,40 @@ class Index:
         return out
 
 
+#: Items of up to so many words, four times as many, and so on, are classes.
+SHORTEST = 64
+
+
+def by_length(rows: list[tuple[object, str | None]], whole: Whole | None = None) -> list[Index]:
+    """An index for each class of items by length, with the figures of all."""
+    sizes = [len(words_of((t or "").encode())) for _, t in rows]
+    if whole is None:
+        whole = Whole(Counter(w for _, t in rows for w in set(words_of((t or "").encode()))), sum(n > 0 for n in sizes), sum(sizes) / max(1, sum(n > 0 for n in sizes)))
+    of = [0 if n <= SHORTEST else math.ceil(math.log(n / SHORTEST, 4) - 1e-9) for n in sizes]
+    return [Index([r for r, k in zip(rows, of) if k == c], whole=whole) for c in sorted(set(of))]
+
+
 def term_counts(rows: DataFrame, text: str) -> DataFrame:
-    """(word, n, total, longest): in how many items each word occurs; without a word, items that have words, their words and the longest."""
-    names = ["word", "n", "total", "longest"]
+    """(word, n, total): in how many items each word occurs; without a word, items that have words, and their words."""
+    names = ["word", "n", "total"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             found = [w for raw in raw_texts(batch, text) if (w := words_of(raw))]
             df = Counter(t for w in found for t in set(w))
-            sizes = [len(w) for w in found]
-            columns = [[None, *df], [len(found), *df.values()], [sum(sizes)] + [0] * len(df), [max(sizes, default=1)] + [0] * len(df)]
+            columns = [[None, *df], [len(found), *df.values()], [sum(map(len, found))] + [0] * len(df)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.binary()) for k, c in enumerate(columns)], names)
 
-    counts = rows.mapInArrow(run, "word binary, n long, total long, longest long")
-    return keep(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest")), "terms")
+    counts = rows.mapInArrow(run, "word binary, n long, total long")
+    return keep(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "terms")
 
 
-def indexes(benchmark: DataFrame, item: str, text: str, slice_items: int) -> Iterator[Index]:
-    """An index of each slice; a benchmark that fits one slice is read once."""
+def indexes(benchmark: DataFrame, item: str, text: str, slice_items: int, slice_bytes: int) -> Iterator[tuple[list[Index], bool]]:
+    """The indexes of each slice, and whether it is the only one; a benchmark that fits one slice is read once."""
     spark = benchmark.sparkSession
     rows = benchmark.select(item, text).where(F.col(text).isNotNull())
-    n = rows.count()
-    parts = max(1, -(-n // slice_items))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    parts = max(1, -(-n // slice_items), -(-size // slice_bytes))
     if parts > 1:
         counts = term_counts(rows, text)
         all_ = counts.where("word is null").first()
@@ -206,42 +220,47 @@ def indexes(benchmark: DataFrame, item: str, text: str, slice_items: int) -> Ite
         found = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         own = {w for _, t in found for w in words_of(t.encode())}
         if own and parts == 1:
-            yield Index(found)
+            yield by_length(found), True
         elif own:
             df = counts.join(spark.createDataFrame([(w,) for w in own], "word binary"), "word").select("word", "n").collect()
-            yield Index(found, whole=Whole({bytes(r["word"]): r["n"] for r in df}, all_["n"], all_["total"] / all_["n"], all_["longest"]))
+            yield by_length(found, Whole({bytes(r["word"]): r["n"] for r in df}, all_["n"], all_["total"] / all_["n"])), False
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, share: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slice_items: int = 20_000) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, share: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slice_items: int = 20_000, slice_bytes: int = 20_000_000) -> DataFrame:
     """A row (key, item, first_word, score, question_overlap, answer_overlap) for each leak of an item into a document."""
     kinds = [(key, documents.schema[key].dataType.simpleString()), (item, benchmark.schema[item].dataType.simpleString())]
     schema = f"`{key}` {kinds[0][1]}, `{item}` {kinds[1][1]}, first_word long, score double, question_overlap double, answer_overlap double"
     spark, out = documents.sparkSession, None
-    for index in indexes(benchmark, item, item_text, slice_items):
-        sent = spark.sparkContext.broadcast(index)  # bounded by slice_items
+    for found, only in indexes(benchmark, item, item_text, slice_items, slice_bytes):
+        sent = spark.sparkContext.broadcast(found)  # bounded by slice_items and slice_bytes
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ix = sent.value
             for batch in slices(batches, text):
-                rows = [(n, ix.items[i].key, *x) for n, raw in enumerate(raw_texts(batch, text)) for i, x in ix.leaks(raw, least, overlap, share).items()]
+                rows = [(n, ix.items[i].key, *x) for n, raw in enumerate(raw_texts(batch, text)) for ix in sent.value for i, x in ix.leaks(raw, least, overlap, share).items()]
                 if rows:
                     take, *rest = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(take)), *[pa.array(x) for x in rest]], [key, item, "first_word", "score", "question_overlap", "answer_overlap"])
 
-        found = documents.select(key, text).mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
+        part = documents.select(key, text).mapInArrow(run, schema)
+        if not only:
+            part = keep(part, "leaks")
+            sent.destroy()  # one slice at a time
+        out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, share: float = 0.5, text: str = "text", item: str = "item_id", item_text: str = "text", slice_items: int = 20_000) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, share: float = 0.5, text: str = "text", item: str = "item_id", item_text: str = "text", slice_items: int = 20_000, slice_bytes: int = 20_000_000) -> DataFrame:
     """The documents without those that any item leaked into."""
     schema = documents.schema
-    for index in indexes(benchmark, item, item_text, slice_items):
-        sent = documents.sparkSession.sparkContext.broadcast(index)  # bounded by slice_items
+    for found, only in indexes(benchmark, item, item_text, slice_items, slice_bytes):
+        sent = documents.sparkSession.sparkContext.broadcast(found)  # bounded by slice_items and slice_bytes
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
-                yield batch.filter(pa.array([not sent.value.leaks(raw, least, overlap, share) for raw in raw_texts(batch, text)], pa.bool_()))
+                yield batch.filter(pa.array([not any(ix.leaks(raw, least, overlap, share) for ix in sent.value) for raw in raw_texts(batch, text)], pa.bool_()))
 
         documents = documents.mapInArrow(run, schema)
+        if not only:
+            documents = keep(documents, "clean")
+            sent.destroy()  # one slice at a time
     return documents
