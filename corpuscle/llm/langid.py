@@ -3,10 +3,12 @@
 A text is lower-cased, everything but letters becomes one space, and its n-grams of one to three characters are hashed to `BUCKETS`
 places. A feature is the n-gram's share of the text's n-grams times its inverse document frequency, which is counted over all training
 rows. Weights are fitted by follow-the-regularised-leader with elastic-net penalties on a sample of at most `sample` training rows, the
-same number for each language, chosen by hash of the row's key; a fifth of the sample is held back to fit the temperature that calibrates
+same number for each language, chosen by hash of the row's key, as long as their n-grams take no more than `sample_bytes` in all; a fifth of the sample is held back to fit the temperature that calibrates
 the probabilities. Features of a text's n-grams are linear in its counts, so a score is a sum over the whole text in one pass.
 
-Edge cases: a null text or one without letters is `und` with score 0. Rows with null text or null label aren't trained on. Without any
+Edge cases: a null text or one without letters is `und` with score 0. Texts of any length are read whole. Labels are compared as they
+are; of equal probabilities the first label in order wins. Rows with equal keys and texts are interchangeable. Columns that
+clash with internal names are never read. Rows with null text or null label aren't trained on. Without any
 training rows every text is `und`; with a single language all texts with letters get it, with score 1.
 """
 
@@ -125,7 +127,7 @@ def document_frequencies(rows: DataFrame, text: str) -> tuple[int, np.ndarray]:
     return int(total["n"][~inside].sum()), out
 
 
-def training_sample(rows: DataFrame, key: str, text: str, label: str, sample: int) -> tuple[list[str], list[int], list[tuple[np.ndarray, np.ndarray]]]:
+def training_sample(rows: DataFrame, key: str, text: str, label: str, sample: int, sample_bytes: int) -> tuple[list[str], list[int], list[tuple[np.ndarray, np.ndarray]]]:
     """Languages, and the label and counted n-grams of each row of the sample; texts are counted where they are and never sent."""
     sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(sizes)
@@ -141,8 +143,11 @@ def training_sample(rows: DataFrame, key: str, text: str, label: str, sample: in
             found = [counts(c) if len(c := characters(raw.as_py())) else (np.zeros(0, "i4"), np.zeros(0, "i8")) for raw in batch.column(text).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(label), batch.column("_spread"), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([b.astype("<i4").tobytes() for _, b in found], pa.binary())], ["label", "_spread", "places", "n"])
 
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("_spread", F.xxhash64("places", "n")))
-    picked = near.select(label, "_spread", text).mapInArrow(run, "label string, _spread double, places binary, n binary").where(F.octet_length("places") > 0).withColumn("_nth", nth).where(F.col("_nth") <= each).orderBy("_spread", "label", "_nth").collect()
+    order = Window.partitionBy("label").orderBy("_spread", F.xxhash64("places", "n"))
+    counted = near.select(label, "_spread", text).mapInArrow(run, "label string, _spread double, places binary, n binary").where(F.octet_length("places") > 0)
+    ranked = counted.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= each)
+    fits = F.sum(F.octet_length("places") + F.octet_length("n")).over(order) <= sample_bytes // len(languages)
+    picked = ranked.withColumn("_fits", fits).where(F.col("_fits") | (F.col("_nth") == 1)).orderBy("_spread", "label", "_nth").drop("_fits").collect()
     index = {k: i for i, k in enumerate(languages)}
     return languages, [index[r["label"]] for r in picked], [(np.frombuffer(r["places"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in picked]
 
@@ -178,10 +183,10 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = 2400, rounds: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model:
-    """Learns from rows (key, text, label); sample bounds the rows that weights and temperature are fitted on."""
+def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = 2400, sample_bytes: int = 100_000_000, rounds: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model:
+    """Learns from rows (key, text, label); sample bounds the rows that weights and temperature are fitted on, sample_bytes what they take on the driver (at least one row for each label)."""
     rows = rows.select(key, text, label).where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    languages, labels, found = training_sample(rows, key, text, label, sample)
+    languages, labels, found = training_sample(rows, key, text, label, sample, sample_bytes)
     if not found:
         return Model([], np.zeros((BUCKETS, 0), "f4"), np.zeros(0), 1.0)
     n, df = document_frequencies(rows, text)
