@@ -120,7 +120,7 @@ def canonical_sql(text: str) -> str:
 
 ORACLES["op9_licence_digests"] = f"""
 WITH k AS (SELECT sha256(array_to_string({canonical_sql("t")}, ' ')) AS digest, min(l) AS license
-           FROM (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licences.KNOWN)}) v(l, t) GROUP BY 1),
+           FROM (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licences.known_texts())}) v(l, t) GROUP BY 1),
 d AS (SELECT doc_id, row_number() OVER () AS id, {canonical_sql("text")} AS ls FROM documents),
 n AS (SELECT id, string_agg(license, ' ' ORDER BY license) AS notices FROM (SELECT id, unnest(ls) AS l FROM d) JOIN k ON k.digest = sha256(l) GROUP BY id)
 SELECT doc_id, w.digest, license, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(notices, '') AS notices

@@ -7,7 +7,9 @@ around the median of the text's language, narrower for longer texts; languages w
 with few the band of all. Medians are over all texts that pass the base rules; a row for each language and task is shuffled for them.
 
 Edge cases: a null or empty text has no words and fails the base rules. A null language is judged by script, the script of a text
-without letters is "none". A measure that doesn't exist is in every band. Repeated rows are judged one by one, alike.
+without letters is "none". A measure that doesn't exist is in every band. Repeated rows are judged one by one, alike. Texts of
+any length are measured whole, words of any length too (a text without white space is one word). Of scripts with equally many letters the
+first of SCRIPTS counts. An empty table gives an empty one. For columns of the results' names see measure() and judge().
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ a running sum within the partition gives those before each row. A row goes to th
 the whole is cut at equal targets, so that a shard's bytes are off its target by no more than a row at either end.
 
 Edge cases: a null text has no bytes and still counts one; null keys come first; rows with equal keys are ordered by checksum and
-size, and rows alike in all of these are interchangeable. An empty table gives an empty result. Fewer rows than shards leave some empty.
+size, and rows alike in all of these are interchangeable. An empty table gives an empty result. Fewer rows than shards leave some empty. Of a
+text of any length only size and checksum are sorted. Only key and text are read, so that other columns' names can't clash.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ consecutive documents: `first` (orders the segments), the documents' keys and nu
 reader decodes all blocks of a segment side by side, a table look-up and an array operation for the n-th id of each.
 
 Edge cases: a null or empty text is the end id alone. Null keys come first; rows with equal keys are all written, in no set order. An
-empty table gives a store without segments and codes.
+empty table gives a store without segments and codes. Texts of any length are encoded whole; a document of more ids than a segment is a
+segment of its own. Only key and text are read, so that other columns' names can't clash.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Token ids of whole texts, word by word.
 
 The vocabularies used here never join characters across ASCII white space, so a text's ids are those of its words in a row. Tokens that
-a file adds beside its vocabulary (such as marks of a text's end) are found as the library finds them. Each worker keeps the ids of the words (or of their parts) that it has met; only new ones go to the tokenizer's library. The number kept is
-bounded: the older half is forgotten when a limit is reached. Results don't depend on it.
+a file adds beside its vocabulary (such as marks of a text's end) are found as the library finds them. Each worker keeps the ids of the
+words (or of their parts) that it has met; only new ones go to the tokenizer's library. The number kept is bounded: the older half is
+forgotten when a limit is reached. Results don't depend on it.
 """
 
 from __future__ import annotations

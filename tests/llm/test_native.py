@@ -48,6 +48,25 @@ def test_licence_forms(spark):
     assert [r["digest"] is None for r in out] == [False, False, False, True, True, True, False]
 
 
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-only", "MPL-2.0", "LGPL-2.1-only"])
+def test_whole_licences(spark, name):
+    text = (licences.TEXTS / f"{name}.txt").read_text()
+    changed = text.replace("<year>", "2021").replace("license", "licence").replace("\n", "\r\n   ").upper() + "\n\n--\n"
+    lost = text.replace("WARRANT", "PROMISE", 1)
+    rest = text.lstrip().partition("\n\n")[2]
+    out = sorted(licences.scan(docs(spark, text, changed, rest, lost, "a " + text)).collect(), key=lambda r: r["doc_id"])
+    assert [r["license"] for r in out] == [name, name, name, None, None]
+
+
+def test_known_licences(spark):
+    texts = licences.known_texts()
+    assert len({k for k, _ in texts}) >= 25
+    by = {}
+    for k, t in texts:
+        by.setdefault(spark.range(1).select(licences.digest(licences.canonical_lines(F.lit(t)))).first()[0], set()).add(k)
+    assert all(len(v) == 1 for v in by.values())
+
+
 def test_licence_joins(spark):
     """Beyond the limit lines are joined, with the same result."""
     d = docs(spark, "Released under the MIT License.\nReleased under the MIT License.", "x", None).withColumns({c: F.lit("clash") for c in ("digest", "_lines", "_row")})
