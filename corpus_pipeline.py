@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next. All but the last
 return the columns of `documents`, so that stages can be left out or run again from what was written.
+
+Edge cases, for all stages: extra columns are kept as they are, whatever they are called; those named as an operator's own results are set
+aside while it runs. Texts of any length are read whole. Rows with equal keys or texts are judged one by one, but for near-duplicates, of
+which the row that was written first stays. An empty table gives an empty one. Null texts: language ID rejects them, so later
+stages get none; on their own, quality rules reject them, near_dedup and decontamination keep them, packing makes them a piece of the end id.
+A null language or key is no reason to reject a document.
 """
 
 from __future__ import annotations
@@ -16,16 +22,22 @@ from corpuscle.llm.catalogue import tokenizer
 LEAST_SCORE = 0.5
 
 
+def beside(docs: DataFrame, needed: tuple[str, ...], judge) -> DataFrame:
+    """The documents that judge(docs) keeps, when only the needed columns go by their own names inside; the rest is set aside and given back."""
+    aside = {c: f"_given_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    kept = judge(docs.withColumnsRenamed(aside))
+    return kept.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; the classifier learns from the labels and texts of four fifths of them."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return beside(docs, ("text",), lambda d: langid.predict(d, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the bands of tokeniser fertility."""
-    return fertility.judge(docs, tokenizer("piece_bpe_32k.model"), tokenizer()).where("kept").select(*docs.columns)
+    return beside(docs, ("text", "lang"), lambda d: fertility.judge(d, tokenizer("piece_bpe_32k.model"), tokenizer()).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
