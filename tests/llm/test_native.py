@@ -51,7 +51,7 @@ def test_licence_forms(spark):
 @pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-only", "MPL-2.0", "LGPL-2.1-only"])
 def test_whole_licences(spark, name):
     text = (licences.TEXTS / f"{name}.txt").read_text()
-    changed = text.replace("<year>", "2021").replace("license", "licence").replace("\n", "\r\n   ").upper() + "\n\n--\n"
+    changed = text.replace("(c) <year>", "(c) 2021").replace("license", "licence").replace("\n", "\r\n   ").upper() + "\n\n--\n"
     lost = text.replace("WARRANT", "PROMISE", 1)
     rest = text.lstrip().partition("\n\n")[2]
     out = sorted(licences.scan(docs(spark, text, changed, rest, lost, "a " + text)).collect(), key=lambda r: r["doc_id"])
