@@ -7,12 +7,13 @@ Documents with an equal band of registers are candidates; whether they are links
 
 Equal texts are one node from the start, so that thousands of copies cost as much as one. Within a bucket a star is verified, not all
 pairs, around the node that shares most buckets; classes of what is linked so far are then found. What is left are nodes of buckets that
-still hold several classes, such as texts with the same boilerplate. They are joined by their rarest shingles instead, which loses
-nothing. If common shingles hold the shares a and b of two texts, their similarity s is at most 1 / (1/a + 1/b - 1): each term of the
-similarity is at most pq / (p + q - pq') for shares p, q and what is not common, and such terms add up to no more than that of their sums. So a
-and b are s or more, and one of them is 2s / (1 + s) or more. The rarest common shingle is then among the rarest of either text
-that hold more than 1 - s of it, and for one text among those that hold more than 1 - 2s / (1 + s). Boilerplate is frequent and
-isn't among these. Groups by such a shingle are treated in the same way, with a star first; pairs of classes that it leaves apart are then verified.
+still hold several classes, such as texts with the same boilerplate. Of these, nodes go on that share one of their rarest shingles
+with a node of another class, which loses nothing. If common shingles hold the shares a and b of two texts, their similarity s is at
+most 1 / (1/a + 1/b - 1): each term of it is at most pq / (p + q - pq') for shares p, q and what is not common, and such terms add
+up to no more than that of their sums. So a and b are s or more, and one of them is 2s / (1 + s) or more. The rarest common shingle is
+then among the rarest of either text that hold more than 1 - s of it, and for one text among those that hold more than
+1 - 2s / (1 + s). Boilerplate is frequent and isn't among these. The pairs of classes in what is left of a bucket are compared by their
+registers, in chunks, and verified unless those rule them out by five standard deviations.
 
 Edge cases: a text of one to four words is one shingle. An empty text is alike only to empty texts, white space only to equal texts, and
 a null text to nothing. Texts of any length are taken whole. Keys may repeat and be null: rows are told apart by their place in the
@@ -34,8 +35,11 @@ from .store import keep
 from .words import raw_texts, slices
 
 WORDS, ROWS, BANDS, LEAST = 5, 7, 30, 0.8
-#: Stars in buckets, and in groups by a rare shingle before all pairs of classes.
-STARS, RARE_STARS = 1, 1
+STARS = 1
+#: Nodes of a bucket that are compared with each other in one group.
+CHUNK = 1024
+#: Registers by which they are compared; three times those of the bands, so that few pairs are left to be verified.
+REGISTERS = 3 * ROWS * BANDS
 
 
 def bag(raw: bytes | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -161,31 +165,49 @@ def rarest(known: DataFrame, least: float) -> DataFrame:
     return rows.join(rows.where("first").select("group").distinct(), "group", "left_semi")
 
 
-def links_within(shared: DataFrame, known: DataFrame, least: float, stars: int, rest: bool, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Verifies nodes of different labels in the same group (group, id, weight, label): so many stars, then, if `rest`, the pairs that are left of which one is `first`.
+def promising(shared: DataFrame, known: DataFrame, m: int, least: float) -> DataFrame:
+    """Pairs (a, b) of different labels in a group whose registers agree as often as those of links do, but for one in 3,000,000.
 
-    Gives the rows of groups that hold several labels still, and all links and labels so far.
+    A group is cut into chunks of about `CHUNK` nodes, and each two chunks meet in a task's group of their own, so that none grows with the
+    group. Registers are compared by a byte of each; what they can't rule out goes on to be verified.
     """
-    for star in range(stars + 1 + rest):
-        span = shared.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        shared = keep(shared.join(keep(span.select("group"), "spans"), "group"), "open")
-        if star >= stars + rest or shared.isEmpty():
-            break
-        if star < stars:
-            # first around the nodes that share most groups, which are close to the middle of theirs
-            order = F.struct(F.col("weight") if star == 0 else F.xxhash64("id", F.lit(star)), F.col("id"), F.col("label"))
-            hubs = keep(shared.groupBy("group").agg(F.max(order).alias("hub")).select("group", F.col("hub")["id"].alias("x"), F.col("hub")["label"].alias("of")), "hubs")
-            pairs = shared.join(hubs, "group").where("label <> of").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        else:
-            other = shared.where("first").select("group", F.col("id").alias("x"), F.col("label").alias("of"))
-            pairs = shared.join(other, "group").where("label <> of and (id < x or not first)").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        found = verified(keep(pairs.distinct(), "pairs"), known, least)
-        if found.isEmpty():
-            continue
-        links = found if links is None else keep(links.union(found), "links")
-        labels = components(links)
-        shared = shared.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return shared, links, labels
+    sure = least - 5 * (least * (1 - least) / m) ** 0.5
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(np.frombuffer(h.as_buffer(), "u8"), np.frombuffer(n.as_buffer(), "i4"), m).astype("u1").tobytes() for h, n in zip(batch.column("h"), batch.column("n"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "registers"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, labels, chunks = (group.column(c).to_numpy() for c in ("id", "label", "chunk"))
+        held = np.frombuffer(b"".join(group.column("registers").to_pylist()), "u1").reshape(-1, m)
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        left, right = np.flatnonzero(chunks == lo), np.flatnonzero(chunks == hi)
+        a, b = [], []
+        for i in left.tolist():
+            near = (held[right] == held[i]).sum(1) >= sure * m
+            near &= labels[right] != labels[i]
+            if lo == hi:
+                near &= ids[right] > ids[i]
+            j = right[near]
+            a.append(np.minimum(ids[j], ids[i]))
+            b.append(np.maximum(ids[j], ids[i]))
+        none = np.zeros(0, "i8")
+        return pa.table([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
+
+    some = keep(shared.select("id").distinct(), "open-nodes")
+    registers = keep(known.join(some, "id", "left_semi").mapInArrow(sign, "id long, registers binary"), "registers")
+    chunks = F.ceil(F.col("n") / CHUNK)
+    rows = shared.select("group", "id", "label", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), chunks.cast("int").alias("chunks")).join(registers, "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    met = rows.select("group", "id", "label", "chunk", "registers", other.alias("other")).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
+    return met.select("group", "id", "label", "chunk", "registers", "lo", "hi").groupBy("group", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def open_groups(shared: DataFrame) -> DataFrame:
+    """The rows (group, id, label) of groups with several labels, with the number of nodes of the group."""
+    span = shared.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return keep(shared.join(keep(span.select("group", "n"), "spans"), "group"), "open")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,11 +251,31 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", least
     shared = shared.select("group", "id").join(weight, "id").withColumn("label", F.col("id"))
     involved = weight.select("id").join(nodes.select("id", F.col("row").alias("_row")), "id")
     known = bags(table.select("_row", F.col(text).alias("text")).join(involved, "_row").select("id", "text"), words)
-    shared, links, labels = links_within(shared, known, least, STARS, False, None, None)
-    left = keep(shared.groupBy("id").agg(F.first("label").alias("label"), F.first("weight").alias("weight")), "left")
-    if not left.isEmpty():
-        by_shingle = rarest(known.join(left.select("id"), "id", "left_semi"), least).join(left, "id")
-        _, links, labels = links_within(keep(by_shingle, "rare"), known, least, RARE_STARS, True, links, labels)
+    links = labels = None
+    for star in range(STARS + 1):
+        shared = open_groups(shared)
+        if shared.isEmpty():
+            break
+        if star < STARS:
+            # first around the nodes that share most buckets, which are close to the middle of their group
+            order = F.struct(F.col("weight") if star == 0 else F.xxhash64("id", F.lit(star)), F.col("id"), F.col("label"))
+            hubs = keep(shared.groupBy("group").agg(F.max(order).alias("hub")).select("group", F.col("hub")["id"].alias("x"), F.col("hub")["label"].alias("of")), "hubs")
+            pairs = shared.join(hubs, "group").where("label <> of").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+        else:
+            # only nodes that share a rare shingle with a node of another label can have a link
+            left = keep(shared.groupBy("id").agg(F.first("label").alias("label")), "left")
+            near = open_groups(rarest(known.join(left.select("id"), "id", "left_semi"), least).join(left, "id"))
+            shared = open_groups(shared.drop("n").join(near.select("id").distinct(), "id", "left_semi"))
+            if shared.isEmpty():
+                break
+            pairs = promising(shared, known, REGISTERS, least)
+        found = verified(keep(pairs.distinct(), "pairs"), known, least)
+        shared = shared.drop("n")
+        links = found if links is None else keep(links.union(found), "links")
+        if found.isEmpty():
+            continue
+        labels = components(links)
+        shared = shared.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     own = nodes.select("_node", "id", "row", "key")
     own = own.withColumn("label", F.col("id")) if labels is None else own.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     own = keep(own, "labelled")
