@@ -1,4 +1,4 @@
-"""Numeric, date and performance expressions (inventory F13-F26, M2, M5, M7, Z9)."""
+"""Numeric, date and performance expressions (inventory F13-F26, M2, M5, M7, M16, Z9, Z10)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import whole
+
 
 def round_to(v: Column, digits: int = 2) -> Column:
     """halves away from zero on the scaled double, so that 1.005 gives 1.0 (Spark's own round gives 1.01)."""
@@ -76,10 +78,13 @@ def curve_mean(curve: Column) -> Column:
 
 
 def hook_strength(curve: Column) -> Column:
-    """The mean of the first tenth of a curve (one point at least) as a percentage of the whole mean; null if that is 0."""
-    mean = curve_mean(curve)
-    hook = curve_mean(F.slice(curve, F.lit(1), F.greatest(F.ceil(F.size(curve) * 0.1).cast("int"), F.lit(1))))
-    return F.when(mean > 0, hook / mean * 100)
+    """The mean of the first tenth of a curve (one point at least) in percent; null without points."""
+    return curve_mean(F.slice(curve, F.lit(1), F.greatest(F.ceil(F.size(curve) * 0.1).cast("int"), F.lit(1)))) * 100
+
+
+def mean_retention(curve: Column) -> Column:
+    """the mean of a whole curve in percent."""
+    return curve_mean(curve) * 100
 
 
 def retention_score(curve: Column) -> Column:
@@ -87,9 +92,14 @@ def retention_score(curve: Column) -> Column:
     return clamp(curve_mean(curve) * 100)
 
 
-def action_priority(score: Column, weight: float) -> Column:
-    """what is left of a component's score, weighted."""
-    return F.lit(weight) * (1 - clamp(score) / 100)
+# What an action's impact weighs.
+IMPACTS = {"High": 1.0, "Medium": 0.6, "Low": 0.3}
+
+
+def action_priority(score: Column, impact: Column) -> Column:
+    """what is left of a component's score, weighted by the impact."""
+    weight = F.when(impact == "High", IMPACTS["High"]).when(impact == "Medium", IMPACTS["Medium"]).otherwise(IMPACTS["Low"])
+    return weight * (1 - clamp(score) / 100)
 
 
 def predicted_views(opportunity: Column, fit: Column) -> Column:
@@ -97,8 +107,8 @@ def predicted_views(opportunity: Column, fit: Column) -> Column:
     return F.when((opportunity >= 70) & (fit >= 40), "Very High").when(opportunity >= 50, "High").when(opportunity >= 30, "Medium").otherwise("Low")
 
 
-def competition(channels: Column, mean_views: Column, results: int = 10) -> Column:
-    """M5: how crowded a search page is."""
+def competition(channels: Column, mean_views: Column, results: int = 6) -> Column:
+    """M5: how crowded a search page of so many results is."""
     return (0.7 * F.least(channels / results, F.lit(1.0)) + 0.3 * F.least(mean_views / 1e6, F.lit(1.0))) * 100
 
 
@@ -117,14 +127,40 @@ def volume_label(mean_views: Column) -> Column:
     return F.when(mean_views >= 250_000, "High").when(mean_views >= 60_000, "Medium").when(mean_views > 0, "Low").otherwise("Unknown")
 
 
-def supply_gap(mean_views: Column, weakness: Column) -> Column:
-    """M7: demand times how weak the supply is."""
-    return F.least(mean_views / 100_000, F.lit(1.0)) * weakness * 100
+def research_verdict(keyword: Column, volume: Column, competition_: Column, mean_views: Column, channels: Column) -> Column:
+    """M5: what volume and competition say of a keyword, in words."""
+    low, medium, high, few, none = VERDICTS
+    views, n = whole(mean_views), channels.cast("string")
+    return (
+        F.when((volume == "High") & (competition_ < 60), F.format_string(high, keyword, views, n)).when(volume.isin("High", "Medium") & (competition_ < 75), F.format_string(medium, keyword, views, n))
+        .when(volume.isin("High", "Medium"), F.format_string(few, keyword, n)).when(volume == "Low", F.format_string(low, keyword, views)).otherwise(F.format_string(none, keyword))
+    )
+
+
+# Verdicts on a keyword, kinds of gaps and reasons, in words.
+VERDICTS = (
+    'Low demand — ranking videos for "%s" average only %s views. The topic may be too niche; check the related keywords for a higher-demand variant.',
+    'Moderate opportunity — "%s" has solid demand (avg %s views per ranking video) across %s channel(s). Win with a sharper title, a better hook, and the suggested tags.',
+    'Strong opportunity — "%s" is high-demand (avg %s views per ranking video) and only %s channel(s) own the SERP. A well-optimized video can take positions.',
+    'Saturated — "%s" ranks strongly across %s channel(s) with high views. Pick a more specific angle or a related long-tail keyword.',
+    'No demand data — the SERP for "%s" returned no view counts. Try a broader topic.',
+)
+GAPS = (
+    "underserved — high demand, few channels own this. Strong opening.",
+    "contested — solid demand across several channels. Win with a sharper angle or better hook.",
+    "saturated — many channels own this with high views. Only enter with a clearly differentiated angle.",
+)
+REASONS = ("high demand with weak competition — a well-optimized video can win", "solid demand, winnable with a sharper angle", "moderate or saturated demand — needs a clear angle")
+
+
+def supply_gap(mean_views: Column, competition_: Column) -> Column:
+    """M7: demand times how weak the supply is, rounded."""
+    return round_to(F.least(F.least(mean_views / 100_000, F.lit(1.0)) * (1 - competition_ / 100) * 100, F.lit(100.0)))
 
 
 def gap_type(opportunity_: Column) -> Column:
-    """M7: strong, moderate or weak by opportunity."""
-    return F.when(opportunity_ >= 70, "strong").when(opportunity_ >= 40, "moderate").otherwise("weak")
+    """M7: what an opportunity says of the supply."""
+    return F.when(opportunity_ >= 70, GAPS[0]).when(opportunity_ >= 40, GAPS[1]).otherwise(GAPS[2])
 
 
 def gap_score(mean_views: Column, channels: Column) -> Column:
@@ -139,5 +175,24 @@ def trend(delta: Column) -> Column:
 
 def why(opportunity_: Column, competition_: Column, volume: Column, matches: Column) -> Column:
     """A sentence of reasons."""
-    first = F.when((opportunity_ >= 70) & (competition_ < 60), "strong demand with room to rank").when(opportunity_ >= 50, "good demand").otherwise("some demand")
-    return F.concat_ws("; ", first, F.concat(F.lit("volume "), volume), F.concat(F.lit("competition "), F.round(competition_).cast("int").cast("string")), F.concat(matches.cast("string"), F.lit(" matches")))
+    first = F.when((opportunity_ >= 70) & (competition_ < 60), REASONS[0]).when(opportunity_ >= 50, REASONS[1]).otherwise(REASONS[2])
+    now = F.when(matches > 0, F.concat(matches.cast("string"), F.lit(" ranking videos currently match")))
+    return F.concat_ws("; ", first, F.concat(F.lower(volume), F.lit(" search volume")), F.concat(F.lit("competition "), whole(competition_), F.lit("/100")), now)
+
+
+def free_second(at: Column, taken: Column) -> Column:
+    """a time, or the first whole number of seconds after it that isn't in an array of times taken."""
+    ahead = F.transform(F.sequence(F.lit(0), F.size(taken)), lambda k: F.timestamp_seconds(F.unix_timestamp(at) + k))
+    return F.array_min(F.filter(ahead, lambda x: ~F.array_contains(taken, x)))
+
+
+def quota_used(day: Column, used: Column, now: Column) -> Column:
+    """What a ledger (day, used) says of the quota day that now falls on: nothing once the day has changed."""
+    return F.when(day == F.date_format(quota_day(now), "yyyy-MM-dd"), F.coalesce(used, F.lit(0))).otherwise(F.lit(0))
+
+
+def quota_check(used: Column, projected: Column, warn_at: int, limit: int = 10_000) -> Column:
+    """A struct (used, projected, remaining, warn): warn if so many more calls bring the day's use to warn_at percent of the limit."""
+    after = used + projected
+    percent = F.when(after >= limit, 100).otherwise(F.floor(after * 100 / limit))
+    return F.struct(used.alias("used"), projected.alias("projected"), F.greatest(F.lit(limit) - used, F.lit(0)).alias("remaining"), (percent >= min(warn_at, 100)).alias("warn"))

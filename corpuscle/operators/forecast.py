@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HALF_LIFE, WEIGHTED_FROM, HORIZON = 30.0, 5, 30.0
+HALF_LIFE, WEIGHTED_FROM, HORIZON = 30.0, 5, 7.0
 
 
 def forecast(series: DataFrame, by: str, days: str = "days", value: str = "value", horizon: float = HORIZON) -> DataFrame:
     """M1, M2: by entity the slope, fit, t, next value, change in percent, verdict and reliability of a series (days, value).
 
     Two aggregations: the first finds the last day and number of points, which weigh the second. Entities with fewer than three points,
-    or all at one time, have no row. From five points on, a point weighs half as much thirty days earlier.
+    or all at one time, have no row. From five points on, a point weighs half as much thirty days earlier. A horizon of 0 or less is the usual one.
     """
+    horizon = horizon if horizon > 0 else HORIZON
     points = series.where(F.col(value).isNotNull() & F.col(days).isNotNull()).select(by, F.col(days).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
     ends = points.groupBy(by).agg(F.max("t").alias("tmax"), F.count("*").alias("n")).where("n >= 3")
     w = F.when(F.col("n") >= WEIGHTED_FROM, F.exp(-F.log(F.lit(2.0)) / HALF_LIFE * (F.col("tmax") - F.col("t")))).otherwise(1.0)
@@ -37,3 +38,20 @@ def forecast_complete(series: DataFrame, by: str, **how) -> DataFrame:
     """M3: as forecast(), but an entity with any unknown value or day has no row."""
     whole = series.groupBy(by).agg(F.bool_or(F.col("value").isNull() | F.col("days").isNull()).alias("broken")).where("not broken").select(by)
     return forecast(series.join(whole, by, "left_semi"), by, **how)
+
+
+def keyword_report(research: DataFrame, series: DataFrame, horizon: float = HORIZON) -> DataFrame:
+    """M4: by keyword its points, forecast and latest research (keyword, at, opportunity_score, competition_score, volume_label), the best next opportunity first."""
+    last = research.groupBy("keyword").agg(F.count("*").alias("points"), F.max_by(F.struct("opportunity_score", "competition_score", "volume_label"), "at").alias("last"))
+    f = forecast(series, "keyword", horizon=horizon).select("keyword", "verdict", F.col("next").alias("next_opportunity"), "slope", "pct", "reliability", "t", "r2")
+    out = last.join(f, "keyword", "left").select(
+        "keyword", "points", "verdict", "next_opportunity", "slope", "pct", "reliability", "t", "r2", F.col("last.opportunity_score").alias("latest_opportunity"), F.col("last.competition_score").alias("latest_competition"), F.col("last.volume_label").alias("volume"),
+    )
+    return out.orderBy(F.desc(F.coalesce("next_opportunity", F.lit(0.0))), "keyword")
+
+
+def channel_report(channels: DataFrame, series: DataFrame, own: str | None = None, horizon: float = HORIZON) -> DataFrame:
+    """M3, M4: by channel the forecast of its views, the fastest growth first; a channel with any unknown figure has none."""
+    f = forecast_complete(series, "channel_id", horizon=horizon).select("channel_id", "verdict", F.col("next").alias("next_total_views"), "slope", "pct", "reliability", F.col("n").alias("points"))
+    out = channels.select("channel_id", F.col("title").alias("channel")).join(f, "channel_id", "left").withColumn("is_own", F.coalesce(F.col("channel_id") == F.lit(own), F.lit(False)))
+    return out.orderBy(F.desc(F.coalesce("pct", F.lit(0.0))), "channel_id")

@@ -6,7 +6,7 @@ survives lost executors. PageRank, walks and components of a graph that is count
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -124,8 +124,13 @@ def random_walk(edges: DataFrame, seed, restart: float = 0.3, rounds: int = 50,
     return out if top is None else out.orderBy(F.desc("score"), "id").limit(top)
 
 
+def within_hops(edges: DataFrame, seed, hops: int) -> DataFrame:
+    """(id, hop) of the other nodes within so many hops of a seed."""
+    return neighbourhood(edges, seed, hops).where("hop > 0")
+
+
 def neighbourhood(edges: DataFrame, seed, hops: int) -> DataFrame:
-    """(id, hop) of nodes within so many hops along edges, the seed at 0. Each round joins only the newest nodes."""
+    """(id, hop) of nodes within so many hops along edges, the seed at 0. Each round joins only the newest nodes."""
     spark = edges.sparkSession
     seen = front = spark.createDataFrame([(seed,)], edges.select(F.col("src").alias("id")).schema).select("id", F.lit(0).alias("hop"))
     for k in range(1, hops + 1):
@@ -240,7 +245,7 @@ def articulation_points(nodes: DataFrame, edges: DataFrame, most: int = 2_000_00
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, community) by label propagation: all nodes at once take the label that weighs most among their neighbours and themselves,
-    the least label in a tie, until nothing changes. Communities are named by their least node."""
+    the least label in a tie, until nothing changes, and no longer than so many rounds. Communities are named by their least node."""
     both = cut(both_ways(edges).where("src <> dst"))
     state = cut(nodes.select("id", F.col("id").alias("label")))
     own = both.groupBy(F.col("src").alias("id")).agg(F.max("weight").alias("weight"))  # a node holds on to its label as to its closest neighbour's
@@ -382,15 +387,48 @@ def graph_ideas(gaps: DataFrame, videos: DataFrame, centrality: DataFrame, own:
     return top.union(central).orderBy(F.desc("kind"), F.desc("score"), "subject").limit(limit)
 
 
-def fuse(text: DataFrame, vector: DataFrame, walk: DataFrame, top: int | None = None, baseline: float = 10.0, community: DataFrame | None = None) -> DataFrame:
-    """The best score that any way of search gives an entity, with the ways; tables (id, score). Members of the found ones'
-    communities join with a baseline."""
-    parts = text.select("id", F.least(F.col("score") / 4, F.lit(1.0)).alias("s")).select("id", (F.col("s") * 100).alias("score"), F.lit("text").alias("way"))
-    parts = parts.union(vector.select("id", "score", F.lit("vector"))).union(walk.select("id", (F.col("score") * 100), F.lit("graph")))
-    if community is not None:
+def graph_scores(videos: DataFrame, relations_: DataFrame, centrality: DataFrame, topics: DataFrame, keywords: Sequence[str]) -> DataFrame:
+    """By video its tags' authority (G18), its channel's topic dominance (G19) and the tracked keywords' competition (G20); 0 where the graph says nothing."""
+    name = lambda kind, c: F.concat(F.lit(kind + ":"), canonical(c))
+    tracked = [f"keyword:{k.lower().replace(' ', '-')}" for k in keywords]
+    against = keyword_competition(relations_, centrality).where(F.col("keyword").isin(*tracked)).agg(F.least(F.coalesce(F.max("competition"), F.lit(0.0)), F.lit(100.0)).alias("keyword_competition"))
+    out = videos.select("video_id", name("video", F.col("video_id")).alias("video"), name("channel", F.col("channel_id")).alias("channel"))
+    out = out.join(tag_authority_of_videos(relations_, centrality), "video", "left").join(channel_topic_dominance(topics), "channel", "left").join(F.broadcast(against))  # one row
+    return out.select("video_id", F.coalesce("authority", F.lit(0.0)).alias("tag_authority"), F.coalesce("dominance", F.lit(0.0)).alias("topic_dominance"), "keyword_competition")
+
+
+def content_hash(videos: DataFrame) -> str:
+    """F32: a hash of all videos' ids, titles and tags, in whatever order they come."""
+    n, total, mixed = videos.select(F.xxhash64("video_id", "title", "tags").alias("h")).agg(F.count("*"), F.sum(F.col("h").cast("decimal(38, 0)")), F.bit_xor("h")).first()
+    return f"{n} {total or 0} {mixed or 0}"
+
+
+def centrality_of(videos: DataFrame, nodes: DataFrame, edges: DataFrame, stored: tuple[str, DataFrame] | None = None) -> tuple[str, DataFrame]:
+    """(hash, centralities) of a corpus; what is stored under the same hash is given back as it is."""
+    now = content_hash(videos)
+    return stored if stored is not None and stored[0] == now else (now, pagerank(nodes, edges).withColumnRenamed("rank", "centrality"))
+
+
+def fuse(text: DataFrame, vector: DataFrame, walk: DataFrame, top: int | None = None, baseline: float = 10.0, community: DataFrame | None = None, depths: DataFrame | None = None, mode: str = "mix", entities_: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """The best score that any way of search gives an entity, its depth and the ways; tables (id, score).
+
+    mode: "local" for what is found itself within two hops, "global" or "mix" for the members of its communities too, with a baseline and a
+    depth of one. depths: (id, hop) around the seed of the walk. kind: only entities (id, type) of that type.
+    """
+    none = F.lit(0)
+    parts = text.select("id", F.least(F.col("score") / 4, F.lit(1.0)).alias("s")).select("id", (F.col("s") * 100).alias("score"), F.lit("text").alias("way"), none.alias("depth"))
+    parts = parts.union(vector.select("id", "score", F.lit("vector"), none))
+    walked = walk.join(depths.select("id", "hop"), "id", "left") if depths is not None else walk.withColumn("hop", none)
+    parts = parts.union(walked.select("id", (F.col("score") * 100), F.lit("graph"), F.coalesce("hop", none)))
+    if mode == "local":
+        deep = parts.groupBy("id").agg(F.max("depth").alias("deepest")).where("deepest > 2")
+        parts = parts.join(deep, "id", "left_anti")
+    elif community is not None:
         found = community.join(parts.select("id").distinct(), "id", "left_semi").select("community").distinct()
-        parts = parts.union(community.join(found, "community", "left_semi").join(parts.select("id"), "id", "left_anti").select("id", F.lit(baseline), F.lit("community")))
-    out = parts.groupBy("id").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("way")), ",").alias("ways"))
+        parts = parts.union(community.join(found, "community", "left_semi").join(parts.select("id"), "id", "left_anti").select("id", F.lit(baseline), F.lit("community"), F.lit(1)))
+    if kind is not None:
+        parts = parts.join(entities_.where(F.col("type") == kind).select("id"), "id", "left_semi")
+    out = parts.groupBy("id").agg(F.max("score").alias("score"), F.max("depth").alias("depth"), F.array_join(F.array_sort(F.collect_set("way")), ",").alias("ways"))
     return out if top is None else out.orderBy(F.desc("score"), "id").limit(top)
 
 

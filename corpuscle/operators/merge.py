@@ -1,4 +1,4 @@
-"""Upserts, merges and de-duplication as pure functions of tables (inventory K1-K15, R17, R18). Spark's writers commit the results."""
+"""Upserts, merges and de-duplication as pure functions of tables (inventory K1-K15, R17, R18, Z3, Z4, Z8). Spark's writers commit the results."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import canonical
+from corpuscle.functions.text import canonical, strip
 from corpuscle.operators.shared import cut
 
 
@@ -65,12 +65,54 @@ def enrich(stored: DataFrame, richer: DataFrame, key: str, fields: Sequence[str]
     return stored.join(r, key, "left").select(*[F.coalesce(new(c), F.col(c)).alias(c) if c in fields else F.col(c) for c in stored.columns])
 
 
-def channel_merges(channels: DataFrame) -> DataFrame:
-    """K8: (placeholder, channel_id): an id that is only a handle and the real id of the same handle, the first by id."""
-    handle = F.lower(F.coalesce(F.col("handle"), F.col("channel_id")))
-    each = channels.select(handle.alias("key"), "channel_id", F.startswith("channel_id", F.lit("@")).alias("placeholder"))
-    real = each.where("not placeholder").groupBy("key").agg(F.min("channel_id").alias("channel_id"))
-    return each.where("placeholder").select("key", F.col("channel_id").alias("placeholder")).join(real, "key").select("placeholder", "channel_id")
+def channel_merges(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """K8: (placeholder, channel_id): ids of a batch (channel_id, handle, seq), or of stored channels (channel_id, handle), that give way to another id of their handle.
+
+    An id that is only a handle (@...) is a placeholder. The stored channel of a handle stays if it is real, else the first real one of the
+    batch takes its place, else the last placeholder. Rows without a handle take no part.
+    """
+    held = stored.where("handle is not null").groupBy("handle").agg(F.min("channel_id").alias("channel_id"))
+    each = batch.where("handle is not null").select("handle", "channel_id", "seq").unionByName(held.withColumn("seq", F.lit(-1)))
+    real = ~F.startswith("channel_id", F.lit("@"))
+    first = F.min(F.when(real, F.struct("seq", "channel_id")))["channel_id"]
+    last = F.max(F.struct("seq", "channel_id"))["channel_id"]
+    winner = each.groupBy("handle").agg(F.coalesce(first, last).alias("winner"))
+    # a stored placeholder is merged only into what the batch brings
+    return each.join(winner, "handle").where("channel_id <> winner").select(F.col("channel_id").alias("placeholder"), F.col("winner").alias("channel_id")).distinct()
+
+
+def channel_rows(batch: DataFrame, merges: DataFrame, stored: DataFrame) -> DataFrame:
+    """K8: the rows of a batch that are to be written: without those that give way, and those whose handle is stored under the same id."""
+    known = stored.where("handle is not null").select("channel_id", "handle")
+    kept = batch.join(merges.select(F.col("placeholder").alias("channel_id")), "channel_id", "left_anti").join(known, ["channel_id", "handle"], "left_anti")
+    first = kept.groupBy("channel_id", "handle").agg(F.min("seq").alias("seq"))
+    return kept.where("handle is null").unionByName(kept.join(first, ["channel_id", "handle", "seq"], "left_semi"))
+
+
+def by_handle(channels: DataFrame, handle: str) -> DataFrame:
+    """The first channel with a handle, by id."""
+    return channels.where(F.col("handle") == handle).orderBy("channel_id").limit(1)
+
+
+def rejected_log(rejected: DataFrame, batch_id: str, at) -> DataFrame:
+    """Z3: log rows for input that was rejected (line, kind): nothing is dropped without a trace."""
+    return rejected.select(F.lit(batch_id).alias("batch_id"), F.col("line").alias("item"), F.lit("failed").alias("status"), F.col("kind").alias("detail"), F.lit(at).cast("timestamp").alias("at"))
+
+
+def keyword_key(keyword: Column) -> Column:
+    """The form that tracked keywords are compared and kept in."""
+    return F.lower(strip(keyword))
+
+
+def research_run(topic: str, video_ids: Sequence[str], mean_views: float, source: str, duration_ms: int, at, spark) -> DataFrame:
+    """The history row of a finished run."""
+    row = spark.createDataFrame([(topic, list(video_ids), len(video_ids), float(mean_views), source, duration_ms)], "topic string, video_ids_json array<string>, video_count long, mean_views double, source string, duration_ms long")
+    return row.withColumn("researched_at", F.lit(at).cast("timestamp"))
+
+
+def attempt(topic: str, status: str, reason: str, at, spark) -> DataFrame:
+    """The log row of an attempt."""
+    return spark.createDataFrame([(topic, status, reason)], "topic string, status string, reason string").withColumn("attempted_at", F.lit(at).cast("timestamp"))
 
 
 def repoint(rows: DataFrame, merges: DataFrame, column: str = "channel_id") -> DataFrame:

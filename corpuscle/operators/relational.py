@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.numbers import gap_score, round_to
-from corpuscle.functions.text import contains_any, jaccard, tokens
+from corpuscle.functions.text import contains_any, jaccard, token_list, tokens
 
 # Tokens that are no topic, and marks of a series.
 STOP_WORDS = (
@@ -160,12 +160,13 @@ def tag_gaps(videos: DataFrame, own: str) -> DataFrame:
     return found.withColumn("opportunity", F.when(F.col("own_uses") == 0, F.least("competitor_uses", F.lit(100)).cast("double")).otherwise(F.least(F.greatest(F.try_divide(F.col("competitor_uses") - F.col("own_uses"), "own_uses") * 100, F.lit(0.0)), F.lit(100.0))))
 
 
-def missing_tags(videos: DataFrame, own: str, limit: int = 20) -> DataFrame:
-    """Tags the own channel never uses, with their share of all such uses."""
-    tagged = video_tags(videos)
-    others = without(tagged.where(F.col("channel_id") != own), tagged.where(F.col("channel_id") == own), "tag").groupBy("tag").agg(F.count("*").alias("uses"))
-    all_uses = others.agg(F.sum("uses").alias("all_uses"))
-    return others.join(F.broadcast(all_uses)).select("tag", "uses", (F.col("uses") / F.col("all_uses") * 100).alias("opportunity")).orderBy(F.desc("uses"), "tag").limit(limit)  # one row
+def missing_tags(videos: DataFrame, competitors: DataFrame, own: str, limit: int = 20) -> DataFrame:
+    """Tags of competitors that the own channel never uses, with their share of all uses by competitors, own tags included."""
+    uses = video_tags(within(videos, competitors, "channel_id")).groupBy("tag").agg(F.count("*").alias("uses"))
+    all_uses = uses.agg(F.greatest(F.coalesce(F.sum("uses"), F.lit(0)), F.lit(1)).alias("all_uses"))
+    mine = videos.where(F.col("channel_id") == own).select(F.explode("tags").alias("tag")).select(F.lower("tag").alias("tag"))
+    out = without(uses, mine, "tag").join(F.broadcast(all_uses))  # one row
+    return out.select("tag", "uses", F.least(F.col("uses") / F.col("all_uses") * 100, F.lit(100.0)).alias("opportunity")).orderBy(F.desc("uses"), "tag").limit(limit)
 
 
 def channel_means(videos: DataFrame, cap: int = 50) -> DataFrame:
@@ -176,11 +177,21 @@ def channel_means(videos: DataFrame, cap: int = 50) -> DataFrame:
 
 
 def outliers(videos: DataFrame, means: DataFrame, least: float = 3.0) -> DataFrame:
-    """Videos with a multiple of their channel's mean views."""
+    """Videos with a multiple of their channel's mean views. For names of channels see named()."""
     out = videos.join(means.where("mean_views > 0"), "channel_id").withColumn("ratio", F.col("view_count") / F.col("mean_views")).where(F.col("ratio") >= least)
     return out.select("video_id", "channel_id", "view_count", round_to(F.col("mean_views")).alias("mean_views"), round_to(F.col("ratio")).alias("multiple"))
 
 
+def named(rows: DataFrame, channels: DataFrame) -> DataFrame:
+    """Adds channel_name, the channel's title or, where it isn't known, its id."""
+    return rows.join(channels.select("channel_id", F.col("title").alias("_title")), "channel_id", "left").withColumn("channel_name", F.coalesce("_title", "channel_id")).drop("_title")
+
+
+def covering_channels(videos: DataFrame) -> DataFrame:
+    """(topic, channel_id) for each channel with a title of the topic."""
+    return title_topics(videos).where("channel_id is not null").select("topic", "channel_id").distinct()
+
+
 def title_topics(videos: DataFrame) -> DataFrame:
     """A row for each time a title has a topic token: three bytes or longer and no stop word. A repeated token counts twice."""
     each = videos.select("video_id", "channel_id", "title", "view_count", "published_at", "duration_sec", F.explode(tokens(F.col("title"))).alias("topic"))
@@ -225,31 +236,37 @@ def channel_views(videos: DataFrame, top: int | None = 8) -> DataFrame:
 
 
 def keyword_hits(videos: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """(keyword, video) where the title has all of the keyword's tokens; the list of keywords is small."""
+    """(keyword, video) where the title has all of the keyword's tokens; the list of keywords is small. Those without tokens match nothing."""
     toks = tokens(F.col("title"))
-    known = F.array(*[F.when(F.size(F.array_except(F.array(*[F.lit(t) for t in k.lower().split()]), toks)) == 0, F.lit(k)) for k in keywords])
+    known = F.array(*[F.when(F.size(F.array_except(F.array(*[F.lit(t) for t in token_list(k)]), toks)) == 0, F.lit(k)) for k in keywords if token_list(k)]).cast("array<string>")
     return videos.select("video_id", "channel_id", "view_count", F.explode(F.array_compact(known)).alias("keyword"))
 
 
 def keyword_dominance(videos: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """How much of a keyword's videos and views each channel holds, half and half."""
-    each = keyword_hits(videos, keywords).groupBy("keyword", "channel_id").agg(F.count("*").alias("videos"), F.sum(F.coalesce("view_count", F.lit(0))).alias("views"))
-    whole = Window.partitionBy("keyword")
+    """How much of a keyword's videos and views each channel holds, half and half, and the channel's mean views for it."""
+    views = F.coalesce("view_count", F.lit(0))
+    each = keyword_hits(videos, keywords).where("channel_id is not null").groupBy("keyword", "channel_id").agg(F.count("*").alias("videos"), F.sum(views).alias("views"))
+    whole = Window.partitionBy("keyword")  # a row for each channel
     shares = 0.5 * F.col("videos") / F.sum("videos").over(whole) + 0.5 * F.coalesce(F.try_divide(F.col("views").cast("double"), F.sum("views").over(whole)), F.lit(0.0))
-    return each.select("keyword", "channel_id", "videos", shares.alias("dominance"), (F.sum("views").over(whole) / F.sum("videos").over(whole)).alias("mean_views"))
+    return each.select("keyword", "channel_id", "videos", shares.alias("dominance"), (F.col("views") / F.col("videos")).alias("mean_views"))
+
+
+def tag_uses(videos: DataFrame) -> DataFrame:
+    """A row (video_id, channel_id, tag) for each use of a tag by a known channel, in lower case as it is written otherwise."""
+    return videos.where("channel_id is not null").select("video_id", "channel_id", F.explode("tags").alias("tag")).withColumn("tag", F.lower("tag"))
 
 
 def tag_authority(videos: DataFrame, centrality: DataFrame) -> DataFrame:
     """Mean centrality over a tag's uses, times the logarithm of their number, up to 100."""
-    uses = video_tags(videos).join(centrality, "channel_id", "left")
+    uses = tag_uses(videos).join(centrality, "channel_id", "left")
     return uses.groupBy("tag").agg(F.least(F.avg(F.coalesce("centrality", F.lit(0.0))) * F.log1p(F.count("*")) * 100, F.lit(100.0)).alias("authority"))
 
 
 def topic_dominance(videos: DataFrame) -> DataFrame:
     """A channel's share of the uses and views of a title token with two uses or more."""
-    each = videos.select("channel_id", F.coalesce("view_count", F.lit(0)).alias("views"), F.explode(tokens(F.col("title"))).alias("token")).where(F.octet_length("token") >= 3)
+    each = videos.where("channel_id is not null").select("channel_id", F.coalesce("view_count", F.lit(0)).alias("views"), F.explode(tokens(F.col("title"))).alias("token")).where(F.octet_length("token") >= 3)
     each = each.groupBy("channel_id", "token").agg(F.count("*").alias("uses"), F.sum("views").alias("views"))
-    whole = Window.partitionBy("token")
+    whole = Window.partitionBy("token")  # a row for each channel
     out = each.withColumns({"all_uses": F.sum("uses").over(whole), "all_views": F.sum("views").over(whole)}).where("all_uses >= 2")
     share = 0.5 * F.col("uses") / F.col("all_uses") + 0.5 * F.coalesce(F.try_divide(F.col("views").cast("double"), "all_views"), F.lit(0.0))
     return out.select("channel_id", "token", "uses", F.least(share * 100, F.lit(100.0)).alias("dominance"))
@@ -362,6 +379,32 @@ def token_overlap(rows: DataFrame, by: str, token: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
 
 
+def active_seeds(seeds: DataFrame) -> DataFrame:
+    """The seeds that aren't switched off."""
+    return seeds.where("active")
+
+
+def research_history(research: DataFrame, keyword: str | None = None) -> DataFrame:
+    """What was found out about a keyword, or about all, in order."""
+    out = research if keyword is None else research.where(F.col("keyword") == keyword)
+    return out.orderBy("keyword", "at", "research_id") if "research_id" in research.columns else out.orderBy("keyword", "at")
+
+
+def topic_history(history: DataFrame, topic: str) -> DataFrame:
+    """Runs of a topic, the newest first."""
+    return history.where(F.col("topic") == topic).orderBy(F.desc("researched_at"))
+
+
+def status_count(log: DataFrame, status: str) -> int:
+    """Attempts with a status."""
+    return log.where(F.col("status") == status).count()
+
+
+def top_competitor_tags(ranked: DataFrame, limit: int = 100) -> DataFrame:
+    """Tags of competitors (as from competitor_tags) by mean views."""
+    return ranked.orderBy(F.desc("avg_views"), "tag", "channel_id").limit(limit)
+
+
 def newest(df: DataFrame, at: str, tie: str) -> DataFrame:
     """The one newest row, the largest tie among equals."""
     return df.orderBy(F.desc_nulls_last(at), F.desc(tie)).limit(1)

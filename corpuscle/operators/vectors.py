@@ -12,6 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.merge import upsert
 from corpuscle.operators.shared import cut
 
 
@@ -105,6 +106,17 @@ def entry_points(vectors: DataFrame, graph: DataFrame, n: int = 4, key: str = "v
     return vectors.where(F.col(vector).isNotNull()).select(key).join(degrees, key, "left").select(key, F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), key).limit(n)
 
 
+def put(vectors: DataFrame, changed: DataFrame, key: str = "vec_id") -> DataFrame:
+    """V4: the vectors with those of `changed` put in or in place of the ones of the same key."""
+    return upsert(vectors, changed, [key])
+
+
+def distance_to(vectors: DataFrame, id_, query: Sequence[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """V4: (key, distance) of one stored vector from a query; no row if it isn't there or has another length."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return vectors.where((F.col(key) == F.lit(id_)) & (F.size(vector) == len(query))).select(key, squared_distance(F.col(vector), q).alias("distance"))
+
+
 def recalled(vectors: DataFrame, query: Sequence[float], least: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows with a cosine above a threshold, scored in percent."""
     sim = cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from corpuscle.functions import scoring as S
 from corpuscle.functions import text as T
 from corpuscle.operators import forecast, graph, merge, search, vectors
 from corpuscle.operators import relational as R
-from corpuscle.operators.shared import cut, shared_folder
+from corpuscle.operators.shared import cut, shared_folder, written
 from corpuscle.plans import reports, scoring, views
 from corpuscle.plans.views import CATALOG, CHANNELS, KEYWORDS, RANKINGS, RESEARCH, SCORES, SNAPSHOTS, VIDEOS, table, tok_sql, with_views
 from corpuscle.sources import feeds, links
@@ -35,6 +36,10 @@ def query(sql: str | None):
     return add
 
 
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def r2(x: str) -> str:
     """numbers.round_to in SQL, for values of 0 and more."""
     return f"(floor(({x}) * 100 + 0.5) / 100)"
@@ -157,9 +162,16 @@ def a10_tag_census(spark, d):
     return R.tag_census(views.videos(spark, d))
 
 
-@query(with_views(V) + f", t AS (SELECT channel_id, lower(trim(x)) AS tag FROM (SELECT channel_id, unnest(tags) AS x FROM v)), o AS (SELECT tag, count(*) AS uses FROM t WHERE channel_id <> '{OWN}' AND tag NOT IN (SELECT tag FROM t WHERE channel_id = '{OWN}') GROUP BY 1) SELECT tag, uses, round(uses / (SELECT sum(uses) FROM o) * 100, 6) AS opportunity FROM o ORDER BY uses DESC, tag LIMIT 20")
+COMPETITORS = "cm AS (SELECT channel_id FROM ch WHERE competitor)"
+
+
+def competitors(spark, d):
+    return views.channels(spark, d).where("competitor").select("channel_id")
+
+
+@query(with_views(V, CHANNELS, COMPETITORS) + f", t AS (SELECT channel_id, unnest(tags) AS raw FROM v), u AS (SELECT lower(trim(raw)) AS tag, count(*) AS uses FROM t WHERE channel_id IN (SELECT channel_id FROM cm) AND trim(raw) <> '' GROUP BY 1) SELECT tag, uses, round(least(uses / (SELECT greatest(coalesce(sum(uses), 0), 1) FROM u) * 100, 100), 6) AS opportunity FROM u WHERE tag NOT IN (SELECT lower(raw) FROM t WHERE channel_id = '{OWN}') ORDER BY uses DESC, tag LIMIT 20")
 def a11_missing_tags(spark, d):
-    return R.missing_tags(views.videos(spark, d), OWN).withColumn("opportunity", F.round("opportunity", 6))
+    return R.missing_tags(views.videos(spark, d), competitors(spark, d), OWN).withColumn("opportunity", F.round("opportunity", 6))
 
 
 @query(with_views(V) + f""", f AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY video_id) AS nth FROM v), m AS (SELECT channel_id, avg(view_count) AS mv FROM f WHERE nth <= 50 GROUP BY 1)
@@ -217,17 +229,35 @@ def a23_channel_views(spark, d):
     return R.channel_views(views.videos(spark, d))
 
 
-@query(with_views(V) + " SELECT count(*) FILTER (like_count = 0)::DOUBLE AS value, 'no_likes' AS name FROM v UNION ALL SELECT count(*) FILTER (comment_count = 0)::DOUBLE, 'no_comments' FROM v UNION ALL SELECT 100.0::DOUBLE, 'completeness' UNION ALL SELECT count(*)::DOUBLE, 'rows_videos' FROM v UNION ALL SELECT count(*)::DOUBLE, 'rows_labels' FROM labels")
+NOW = "2025-06-01"
+CENSUS = """ce AS (SELECT source IN ('api', 'oembed') AS t, view_count IS NULL AS a, like_count IS NULL AS b, comment_count IS NULL AS c, privacy_status AS p FROM v)"""
+
+
+@query(with_views(V, CENSUS) + " SELECT count(*) FILTER (t AND (a OR b OR c)) AS disabled_videos, count(*) FILTER (t AND a) AS disabled_view_count, count(*) FILTER (t AND b) AS disabled_like_count, count(*) FILTER (t AND c) AS disabled_comment_count, count(*) FILTER (p = 'unlisted') AS unlisted, count(*) FILTER (p = 'private') AS private, floor(avg(CASE WHEN t THEN 100.0 ELSE (3 - a::INT - b::INT - c::INT) / 3.0 * 100 END) * 100 + 0.5) / 100 AS engagement_complete FROM ce")
+def a27_census(spark, d):
+    return reports.census(views.videos(spark, d))
+
+
+@query(with_views(V, CHANNELS, CENSUS) + """, al(name, value) AS (SELECT 'rows_videos', count(*)::DOUBLE FROM v UNION ALL SELECT 'rows_labels', count(*)::DOUBLE FROM labels UNION ALL SELECT 'disabled_videos', count(*) FILTER (t AND (a OR b OR c)) FROM ce UNION ALL SELECT 'disabled_view_count', count(*) FILTER (t AND a) FROM ce
+UNION ALL SELECT 'disabled_like_count', count(*) FILTER (t AND b) FROM ce UNION ALL SELECT 'disabled_comment_count', count(*) FILTER (t AND c) FROM ce UNION ALL SELECT 'unlisted', count(*) FILTER (p = 'unlisted') FROM ce UNION ALL SELECT 'private', count(*) FILTER (p = 'private') FROM ce
+UNION ALL SELECT 'engagement_complete', floor(avg(CASE WHEN t THEN 100.0 ELSE (3 - a::INT - b::INT - c::INT) / 3.0 * 100 END) * 100 + 0.5) / 100 FROM ce UNION ALL SELECT 'stale_channels', count(*) FROM ch WHERE fetched_at < TIMESTAMP '2024-01-18' - INTERVAL 14 DAY
+UNION ALL SELECT 'index_fresh', (TIMESTAMP '2024-02-01' >= (SELECT max(ts) FROM events))::INT::DOUBLE UNION ALL SELECT 'quota_used', 8000.0 UNION ALL SELECT 'quota_limit', 10000.0) SELECT name, value::DOUBLE AS value FROM al""")
 def r2_health(spark, d):
     v = views.videos(spark, d)
-    return reports.health({"videos": v, "labels": table(spark, d, "labels")}, v)
+    log = views.events(spark, d).select(F.col("ts").alias("at"), F.col("event_id").alias("log_id"))
+    return reports.health({"videos": v, "labels": table(spark, d, "labels")}, v, views.channels(spark, d), log, "2024-01-18", "2024-02-01", quota=8000)
+
+
+@query('SELECT event_id AS log_id, ts AS "at" FROM events ORDER BY ts DESC, event_id DESC LIMIT 1')
+def w12_last_ingest(spark, d):
+    return R.newest(views.events(spark, d).select(F.col("event_id").alias("log_id"), F.col("ts").alias("at")), "at", "log_id")
 
 
 KWS = ", ".join(f"'{k}'" for k in KEYWORDS)
 
 
 @query(with_views(CATALOG) + f""", h AS (SELECT k AS keyword, channel_id, count(*) AS videos, sum(view_count) AS vs FROM c, (SELECT unnest([{KWS}]) AS k) WHERE list_contains({tok_sql('title')}, k) GROUP BY 1, 2)
-SELECT keyword, channel_id, videos, round(0.5 * videos / sum(videos) OVER w + 0.5 * coalesce(vs::DOUBLE / nullif(sum(vs) OVER w, 0), 0), 6) AS dominance, round(sum(vs) OVER w / sum(videos) OVER w, 6) AS mean_views FROM h WINDOW w AS (PARTITION BY keyword)""")
+SELECT keyword, channel_id, videos, round(0.5 * videos / sum(videos) OVER w + 0.5 * coalesce(vs::DOUBLE / nullif(sum(vs) OVER w, 0), 0), 6) AS dominance, round(vs / videos, 6) AS mean_views FROM h WINDOW w AS (PARTITION BY keyword)""")
 def a31_keyword_dominance(spark, d):
     return R.keyword_dominance(views.catalog(spark, d), KEYWORDS).withColumns({c: F.round(c, 6) for c in ("dominance", "mean_views")})
 
@@ -235,7 +265,7 @@ def a31_keyword_dominance(spark, d):
 CENTRAL = "(SELECT channel_id, (count(*) % 7) / 10.0 AS centrality FROM {0} GROUP BY 1)"
 
 
-@query(with_views(CATALOG, TAGGED) + f" SELECT tag, round(least(avg(coalesce(centrality, 0)) * ln(1 + count(*)) * 100, 100), 6) AS authority FROM tg LEFT JOIN {CENTRAL.format('c')} USING (channel_id) GROUP BY 1")
+@query(with_views(CATALOG) + f", tg AS (SELECT channel_id, lower(unnest(tags)) AS tag FROM c) SELECT tag, round(least(avg(coalesce(centrality, 0)) * ln(1 + count(*)) * 100, 100), 6) AS authority FROM tg LEFT JOIN {CENTRAL.format('c')} USING (channel_id) GROUP BY 1")
 def a32_tag_authority(spark, d):
     c = views.catalog(spark, d)
     return R.tag_authority(c, c.groupBy("channel_id").agg(((F.count("*") % 7) / 10.0).alias("centrality"))).withColumn("authority", F.round("authority", 6))
@@ -254,7 +284,6 @@ def a34_tag_cooccurrence(spark, d):
     return R.tag_cooccurrence(views.videos(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-NOW = "2025-06-01"
 VPH = f"view_count / (floor(epoch(TIMESTAMP '{NOW}' - published_at) / 60) / 60)"
 
 
@@ -342,12 +371,17 @@ def t2_postings(spark, d):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_sql(terms: dict[str, int], source: str, key: str, text: str) -> str:
-    """search.matches in SQL: (key, score)."""
-    rows = ", ".join(f"('{t}', {n})" for t, n in terms.items())
-    return f"""dl AS (SELECT {key} AS k, {tok_sql(text)} AS tk FROM {source}), st AS (SELECT count(*) AS n, greatest(avg(len(tk)), 1) AS mean FROM dl), qt(term, times) AS (VALUES {rows}),
-hit AS (SELECT k, term, times, len(list_filter(tk, lambda x: x = term)) AS tf, len(tk) AS len FROM dl, qt), df AS (SELECT term, count(*) AS df FROM hit WHERE tf > 0 GROUP BY 1),
-bm AS (SELECT k, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM hit JOIN df USING (term), st WHERE tf > 0 GROUP BY 1)"""
+def bm25_sql(terms: dict[str, int], source: str, key: str, text: str, n: str = "") -> str:
+    """search.matches in SQL: (k, score) as bm; n tells the names of several apart."""
+    rows = ", ".join(f"('{t}', {times})" for t, times in terms.items())
+    return f"""dl{n} AS (SELECT {key} AS k, {tok_sql(text)} AS tk FROM {source}), st{n} AS (SELECT count(*) AS n, greatest(avg(len(tk)), 1) AS mean FROM dl{n}), qt{n}(term, times) AS (VALUES {rows}),
+hit{n} AS (SELECT k, term, times, len(list_filter(tk, lambda x: x = term)) AS tf, len(tk) AS len FROM dl{n}, qt{n}), df{n} AS (SELECT term, count(*) AS df FROM hit{n} WHERE tf > 0 GROUP BY 1),
+bm{n} AS (SELECT k, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM hit{n} JOIN df{n} USING (term), st{n} WHERE tf > 0 GROUP BY 1)"""
+
+
+def resonance_sql(terms: dict[str, int], text: str, n: str) -> str:
+    """search.resonance in SQL: a row of the best two scores as rz and whose the best is."""
+    return bm25_sql(terms, "v", "video_id", text, n) + f", rz{n} AS (SELECT arg_max(k, score) AS first, coalesce(max(score), 0) AS best, coalesce((SELECT score FROM bm{n} ORDER BY score DESC, k OFFSET 1 LIMIT 1), 0) AS second FROM bm{n})"
 
 
 @query("WITH " + bm25_sql({"the": 1, "ein": 2, "que": 1}, "documents", "doc_id", "text") + " SELECT k AS doc_id, round(score, 6) AS score FROM bm WHERE score > 0")
@@ -371,9 +405,13 @@ def t5_resonance(spark, d):
 
 
 W3 = ("the", "und", "les")
+W3_SQL = "".join(", " + bm25_sql({w: 1}, "v", "video_id", "title", str(i)) for i, w in enumerate(W3))
+W3_SQL += ", al AS (" + " UNION ALL ".join(f"SELECT '{w}' AS keyword, k AS video_id, score FROM bm{i}" for i, w in enumerate(W3)) + ")"
+W3_SQL += """, r AS (SELECT keyword, video_id, channel_id, row_number() OVER (PARTITION BY keyword ORDER BY round(score, 9) DESC, video_id) AS rank FROM al JOIN v USING (video_id)),
+o AS (SELECT keyword, min(rank) AS rank, arg_min(video_id, rank) AS video_id FROM r JOIN ch USING (channel_id) WHERE NOT competitor GROUP BY 1)"""
 
 
-@query(with_views(V, CHANNELS) + "".join(", " + bm25_sql({w: 1}, "v", "video_id", "title").replace("dl AS", f"dl{i} AS").replace("FROM dl", f"FROM dl{i}").replace("st AS", f"st{i} AS").replace(", st WHERE", f", st{i} WHERE").replace("qt(", f"qt{i}(").replace(", qt)", f", qt{i})").replace("hit AS", f"hit{i} AS").replace("FROM hit", f"FROM hit{i}").replace(" df AS (", f" df{i} AS (").replace("JOIN df USING", f"JOIN df{i} USING").replace("bm AS", f"bm{i} AS") for i, w in enumerate(W3)) + ", al AS (" + " UNION ALL ".join(f"SELECT '{w}' AS keyword, k AS video_id, score FROM bm{i}" for i, w in enumerate(W3)) + "), r AS (SELECT keyword, video_id, channel_id, row_number() OVER (PARTITION BY keyword ORDER BY round(score, 9) DESC, video_id) AS rank FROM al JOIN v USING (video_id)), o AS (SELECT keyword, min(rank) AS rank, arg_min(video_id, rank) AS video_id FROM r JOIN ch USING (channel_id) WHERE NOT competitor GROUP BY 1) SELECT keyword, CASE WHEN rank <= 10 THEN video_id END AS video_id, CASE WHEN rank <= 10 THEN rank END AS position FROM o")
+@query(with_views(V, CHANNELS) + W3_SQL + " SELECT keyword, video_id, CASE WHEN rank <= 10 THEN rank END AS position FROM o")
 def w3_keyword_check(spark, d):
     v = views.videos(spark, d)
     found = None
@@ -381,7 +419,37 @@ def w3_keyword_check(spark, d):
         one = search.matches(v, "video_id", F.col("title"), w).select(F.lit(w).alias("keyword"), "video_id", F.round("score", 9).alias("score"))
         found = one if found is None else found.union(one)
     found = found.join(v.select("video_id", "channel_id"), "video_id")
-    return search.first_own_position(found, views.channels(spark, d).where("competitor")).withColumn("position", F.col("position").cast("long"))
+    return search.first_own_position(found, competitors(spark, d)).withColumn("position", F.col("position").cast("long"))
+
+
+@query(with_views(CATALOG) + f", m AS (SELECT video_id, view_count, {tok_sql('title')} AS tk, lower(title) AS lt FROM c) SELECT video_id, round(0.3 * CASE WHEN view_count > 0 THEN least(ln(view_count) / 20, 1) * 50 ELSE 0 END, 6) AS blend FROM m WHERE list_contains(tk, 'bolt') OR contains(lt, 'bolt')")
+def m10_topic_cluster(spark, d):
+    c = R.topic_match(views.catalog(spark, d), "bolt").withColumn("seo_score", F.lit(None).cast("double"))
+    return search.topic_cluster(c).select("video_id", F.round("blend", 6).alias("blend"))
+
+
+@query(with_views(CATALOG) + f" SELECT video_id, view_count FROM c WHERE list_has_all({tok_sql('title')}, ['red', 'bolt']) ORDER BY view_count DESC, video_id LIMIT 20")
+def m11_keyword_best(spark, d):
+    return search.keyword_best(views.catalog(spark, d).withColumn("seo_score", F.lit(0.0)), "Red bolt", 20).select("video_id", "view_count")
+
+
+@query(with_views(CATALOG) + f", m AS (SELECT video_id, view_count FROM c WHERE list_contains({tok_sql('title')}, 'bolt')) SELECT video_id, view_count, round((SELECT avg(view_count) FROM m), 6) AS mean_views FROM m WHERE view_count >= 1.2 * (SELECT avg(view_count) FROM m)")
+def m12_topic_outliers(spark, d):
+    return search.topic_outliers(views.catalog(spark, d), "Bolt", 1.2).withColumn("mean_views", F.round("mean_views", 6))
+
+
+@query(with_views(V) + ", " + bm25_sql({"the": 1}, "v", "video_id", "array_to_string(tags, ' ')") + " SELECT k AS video_id, round(score, 6) AS score FROM bm WHERE score > 0")
+def t8_matches_in_tags(spark, d):
+    return search.matches_in(views.videos(spark, d), "tags", "the").withColumn("score", F.round("score", 6))
+
+
+@query("WITH " + bm25_sql({"the": 1, "ein": 2, "que": 1}, "documents", "doc_id", "text") + " SELECT k AS doc_id, round(score, 6) AS score FROM bm WHERE score > 0")
+def k20_written_index(spark, d):
+    docs = table(spark, d, "documents")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(docs, "doc_id", F.col("text"), path)
+    n, mean = search.statistics(docs, F.col("text"))
+    return search.indexed_matches(spark.read.parquet(path), "doc_id", n, mean, "the ein que ein").select("doc_id", F.round("score", 6).alias("score"))
 
 
 # graphs and vectors
@@ -418,26 +486,34 @@ def g4_overlap_edges(spark, d):
     return graph.overlap_edges(views.catalog(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-#: A sparse graph of customers and suppliers: large orders at a large discount.
-SPARSE = "sp AS (SELECT DISTINCT least(o_custkey, l_suppkey + 1000000)::VARCHAR AS src, (l_suppkey + 1000000)::VARCHAR AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.1)"
+#: A graph of orders and parts: whole tables, an edge for each line's order and the part and supplier that it names.
+SPARSE = "sp AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey || '/' || l_suppkey AS dst FROM lineitem)"
 
 
 def sparse_edges(spark, d):
-    o, line = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1")
-    return o.join(line, o.o_orderkey == line.l_orderkey).select(F.least("o_custkey", F.col("l_suppkey") + 1000000).cast("string").alias("src"), (F.col("l_suppkey") + 1000000).cast("string").alias("dst")).distinct()
+    return table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey", F.lit("/"), "l_suppkey").alias("dst")).distinct()
 
 
 BOTH = "bo AS (SELECT src, dst FROM sp UNION SELECT dst, src FROM sp)"
 
 
-@query("WITH RECURSIVE " + SPARSE + ", " + BOTH + ", nb(id, hop) AS (SELECT (SELECT min(src) FROM sp), 0 UNION SELECT dst, hop + 1 FROM nb JOIN bo ON src = id WHERE hop < 3) SELECT id, min(hop) AS hop FROM nb GROUP BY 1")
+@query("WITH RECURSIVE " + SPARSE + ", " + BOTH + ", nb(id, hop) AS (SELECT (SELECT min(src) FROM sp), 0 UNION SELECT dst, hop + 1 FROM nb JOIN bo ON src = id WHERE hop < 3) SELECT id, min(hop) AS hop FROM nb GROUP BY 1 HAVING min(hop) > 0")
 def g8_neighbourhood(spark, d):
     e = cut(sparse_edges(spark, d))
     seed = e.agg(F.min("src")).first()[0]
-    return graph.neighbourhood(e.union(e.select("dst", "src")).distinct(), seed, 3)
+    return graph.within_hops(e.union(e.select("dst", "src")).distinct(), seed, 3)
+
 
+def components_sql(rounds: int) -> str:
+    """Least labels by so many rounds of neighbours' least labels and jumps to the label's label."""
+    out = f"WITH {SPARSE}, {BOTH}, s0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS c FROM bo)"
+    for k in range(1, rounds + 1):
+        out += f", n{k} AS MATERIALIZED (SELECT bo.src AS id, min(least(a.c, b.c)) AS c FROM bo JOIN s{k - 1} a ON a.id = bo.src JOIN s{k - 1} b ON b.id = bo.dst GROUP BY 1)"
+        out += f", h{k} AS MATERIALIZED (SELECT a.c AS id, min(n.c) AS up FROM s{k - 1} a JOIN n{k} n USING (id) GROUP BY 1), s{k} AS MATERIALIZED (SELECT n.id, least(n.c, coalesce(j.up, n.c)) AS c FROM n{k} n LEFT JOIN h{k} j ON j.id = n.c)"
+    return out + f" SELECT id, c AS component FROM s{rounds}"
 
-@query("WITH RECURSIVE " + SPARSE + ", " + BOTH + ", no AS (SELECT DISTINCT src AS id FROM bo), re(id, other) AS (SELECT id, id FROM no UNION SELECT re.id, dst FROM re JOIN bo ON src = other) SELECT id, min(other) AS component FROM re GROUP BY 1")
+
+@query(components_sql(14))
 def g11_components(spark, d):
     e = cut(sparse_edges(spark, d))
     return graph.components(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
@@ -452,11 +528,39 @@ def g12_articulation_points(spark, d):
     return graph.articulation_points(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
 
 
-@query(None)
+def communities_sql(rounds: int) -> str:
+    """graph.communities by so many rounds, which is more than it takes here; all nodes have links."""
+    out = "WITH " + NATIONS + ", b0 AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed), b AS (SELECT src, dst, max(weight) AS weight FROM b0 WHERE src <> dst GROUP BY 1, 2), ow AS (SELECT src AS id, max(weight) AS weight FROM b GROUP BY 1), q0 AS (SELECT id, id AS label FROM nd)"
+    for k in range(1, rounds + 1):
+        out += f""", q{k} AS MATERIALIZED (SELECT id, arg_min(label, (-round(w, 9), label)) AS label FROM (SELECT id, label, sum(weight) AS w FROM (SELECT b.src AS id, label, weight FROM b JOIN q{k - 1} ON q{k - 1}.id = b.dst UNION ALL SELECT id, label, weight FROM q{k - 1} JOIN ow USING (id)) GROUP BY 1, 2) GROUP BY 1)"""
+    return out + f" SELECT id, min(id) OVER (PARTITION BY label) AS community FROM q{rounds}"
+
+
+@query(communities_sql(50))
 def g13_communities(spark, d):
     return graph.communities(nation_nodes(spark, d), nation_edges(spark, d))
 
 
+def distributed(run):
+    """Runs a graph operator as it works on large graphs."""
+    held, graph.SMALL = graph.SMALL, 0
+    try:
+        return run()
+    finally:
+        graph.SMALL = held
+
+
+@query("WITH " + pagerank_sql(5) + " SELECT id, round(rank, 6) AS rank FROM r5")
+def g1_pagerank_distributed(spark, d):
+    return distributed(lambda: graph.pagerank(nation_nodes(spark, d), nation_edges(spark, d), rounds=5)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(components_sql(14))
+def g11_components_distributed(spark, d):
+    e = cut(sparse_edges(spark, d))
+    return distributed(lambda: graph.components(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e))
+
+
 def walk_sql(rounds: int) -> str:
     out = NATIONS + ", l AS (SELECT src, dst, weight / 1000.0 / count(*) OVER (PARTITION BY src) AS share FROM ed), w0 AS (SELECT '3' AS id, 1.0::DOUBLE AS score)"
     for k in range(1, rounds + 1):
@@ -532,50 +636,133 @@ KW = ("the", "ein", "que")
 KWL = "['the', 'ein', 'que']"
 
 
-@query(with_views(V) + f""", x AS (SELECT *, {tok_sql('title')} AS tt, len(title) AS n FROM v), y AS (SELECT *, list_min(list_filter(list_transform({KWL}, lambda k: list_position(tt, k)), lambda p: p IS NOT NULL AND p > 0)) AS pos,
-  list_distinct(flatten(list_transform(tags, lambda g: {tok_sql('g').replace('lambda t: t', 'lambda q: q')}))) AS gt, list_distinct({tok_sql("title || ' ' || description")}) AS ct, len(list_filter(regexp_split_to_array(description, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS nw FROM x)
-SELECT video_id, CASE WHEN pos <= 3 THEN 100.0 WHEN pos <= 7 THEN 70.0 WHEN pos IS NOT NULL THEN 40.0 ELSE 0.0 END AS title_front,
-  CASE WHEN n < 10 THEN 30.0 WHEN n < 40 THEN 60.0 + (n - 10) WHEN n <= 60 THEN 100.0 WHEN n < 80 THEN 100 - 1.5 * (n - 60) WHEN n < 120 THEN 70 - 0.75 * (n - 80) ELSE 40.0 END::DOUBLE AS title_length,
-  CASE WHEN list_has_any({tok_sql('left(title, 40)')}, {KWL}) THEN 100.0 WHEN list_has_any(tt, {KWL}) THEN 60.0 ELSE 0.0 END AS title_40_chars,
-  CASE WHEN nw < 50 THEN 40.0 WHEN nw < 100 THEN 60.0 WHEN nw < 150 THEN 75.0 WHEN nw < 200 THEN 90.0 ELSE 100.0 END AS desc_length,
-  CASE WHEN len(list_distinct(list_concat(gt, ct))) > 0 THEN round(len(list_intersect(gt, ct)) / len(list_distinct(list_concat(gt, ct))) * 100, 6) ELSE 0.0 END AS tags_relevance FROM y""")
-def c4_structural(spark, d):
+def words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{T.SPACE}+'), lambda w: w <> '')"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{T.SPACE}+|{T.SPACE}+$', '', 'g')"
+
+
+def early_sql(every: str, early: str) -> str:
+    return f"CASE WHEN list_has_any({early}, {KWL}) THEN 100.0 WHEN list_has_any({every}, {KWL}) THEN 60.0 ELSE 0.0 END"
+
+
+def jaccard_sql(a: str, b: str) -> str:
+    return f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
+
+
+def tag_tokens_sql(tags: str) -> str:
+    return f"list_distinct(flatten(list_transform({tags}, lambda g: {tok_sql('g').replace('lambda t: t', 'lambda q: q')})))"
+
+
+def list_of(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+COUNT_PLACES = " , ".join(f"list_contains(tt, '{k}')::INT + list_contains(dt, '{k}')::INT + list_contains(gt, '{k}')::INT" for k in KW)
+PREPARED = f"""pr AS (SELECT *, list_distinct(list_concat(tt, dt)) AS ct FROM (SELECT *, {tok_sql('title')} AS tt, {tok_sql('description')} AS dt, {tag_tokens_sql('tags')} AS gt, {words_sql('description')} AS dw,
+  list_filter(list_transform(regexp_split_to_array(description, '\r?\n'), lambda l: {strip_sql('l')}), lambda l: l <> '') AS dl, length(title) AS tn, len(tags) AS gn FROM v))"""
+STRUCTURAL = rf"""cs AS (SELECT video_id, CASE WHEN pos <= 3 THEN 100.0 WHEN pos <= 7 THEN 70.0 WHEN pos IS NOT NULL THEN 40.0 ELSE 0.0 END AS title_front,
+  CASE WHEN tn < 10 THEN 30.0 WHEN tn < 40 THEN 60.0 + (tn - 10) WHEN tn <= 60 THEN 100.0 WHEN tn < 80 THEN 100 - 1.5 * (tn - 60) WHEN tn < 120 THEN 70 - 0.75 * (tn - 80) ELSE 40.0 END::DOUBLE AS title_length,
+  25.0 * (regexp_matches(title, '[0-9]')::INT + contains(lower(title), 'how to')::INT + regexp_matches(title, '[\[\]()]')::INT
+    + list_has_any(list_transform({words_sql('lower(title)')}, lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), {list_of(S.POWER_WORDS)})::INT) AS title_hooks,
+  {early_sql('tt', tok_sql('left(title, 40)'))} AS title_40_chars, {early_sql('dt', tok_sql('left(description, 150)'))} AS desc_first150, {early_sql('dt', tok_sql("array_to_string(dl[1:2], ' ')"))} AS desc_first2lines,
+  CASE WHEN len(dw) < 50 THEN 40.0 WHEN len(dw) < 100 THEN 60.0 WHEN len(dw) < 150 THEN 75.0 WHEN len(dw) < 200 THEN 90.0 ELSE 100.0 END AS desc_length,
+  25.0 * ((len(dl) >= 2)::INT + (len(list_filter(dl, lambda l: regexp_matches(l, '^[-*•]'))) > 0)::INT + contains(description, '#')::INT + (len(list_filter(dl, lambda l: regexp_matches(lower(l), '^([0-9]|step)'))) > 0)::INT) AS desc_structure,
+  100 * {jaccard_sql('gt', 'ct')} AS tags_relevance,
+  CASE WHEN gn = 0 THEN 0.0 ELSE CASE WHEN gn BETWEEN 15 AND 30 THEN 50.0 WHEN gn BETWEEN 5 AND 14 OR gn BETWEEN 31 AND 50 THEN 35.0 ELSE 15.0 END + 25.0 * list_has_any({tok_sql('tags[1]')}, ct)::INT + 25.0 * (len(list_intersect(gt, ct)) >= 2)::INT END AS tags_quality,
+  CASE WHEN hn = 0 THEN 0.0 WHEN hn BETWEEN 3 AND 5 THEN 100.0 WHEN hn <= 8 THEN 60.0 ELSE 40.0 END AS hashtag_count,
+  CASE best WHEN 3 THEN 100.0 WHEN 2 THEN 60.0 WHEN 1 THEN 30.0 ELSE 0.0 END AS keyword_triple
+  FROM (SELECT *, list_min(list_filter(list_transform({KWL}, lambda k: list_position(tt, k)), lambda p: p IS NOT NULL AND p > 0)) AS pos, len(list_filter(dw, lambda w: starts_with(w, '#') AND length(w) > 1)) AS hn, greatest({COUNT_PLACES}) AS best FROM pr))"""
+GENERATIVE = f"""cg AS (SELECT video_id, 20.0 * len(list_intersect(list_distinct(dt), {list_of(S.ENTITY_WORDS)})) AS entity_coverage, CASE WHEN qn = 0 THEN 0.0 WHEN qn = 1 THEN 60.0 ELSE 100.0 END AS qa_phrasing,
+  CASE WHEN bn >= 2 THEN 40.0 WHEN bn = 1 THEN 20.0 ELSE 0.0 END + 30.0 * (len(list_filter(dl, lambda l: regexp_matches(l, '^[0-9]'))) > 0)::INT + 30.0 * list_has_any(dt, ['step', 'steps'])::INT AS list_phrasing,
+  CASE WHEN len(dt) = 0 THEN 20.0 ELSE greatest(CASE WHEN ks <= 0.02 THEN 100.0 WHEN ks <= 0.05 THEN 80.0 WHEN ks <= 0.10 THEN 50.0 ELSE 20.0 END, CASE WHEN len(list_filter(dt, lambda t: list_contains({list_of(S.TONE_MARKERS)}, t))) >= 2 THEN 80.0 ELSE 0.0 END) END AS conversational,
+  35.0 * ({strip_sql('description')} <> '')::INT + 35.0 * (gn > 0)::INT + 30.0 * regexp_matches(description, '[0-9]:')::INT AS metadata_complete,
+  CASE WHEN recording_location_name IS NOT NULL OR (recording_lat IS NOT NULL AND recording_lng IS NOT NULL) THEN 70.0 + 30.0 * (floor(abs(epoch(recording_date) - epoch(published_at)) / 86400) <= 7)::INT ELSE 0.0 END AS location_signal,
+  100 * {jaccard_sql('tp', KWL)} AS topic_relevance
+  FROM (SELECT *, len(list_filter(dl, lambda l: ends_with(l, '?'))) AS qn, len(list_filter(dl, lambda l: regexp_matches(l, '^[-*•]'))) AS bn, len(list_filter(dt, lambda t: list_contains({KWL}, t)))::DOUBLE / nullif(len(dt), 0) AS ks,
+    list_distinct(flatten(list_transform(coalesce(topic_categories, []), lambda u: {tok_sql("replace(string_split(u, '/')[-1], '_', ' ')").replace('lambda t: t', 'lambda q: q')}))) AS tp FROM pr))"""
+SCORE_TERMS = dict.fromkeys(KW, 1)
+RESONANCE_VIEWS = ", ".join(resonance_sql(SCORE_TERMS, text, n) for text, n in (("title", "_t"), ("description", "_d"), ("array_to_string(tags, ' ')", "_g")))
+RESONANCE_OF = lambda n: f"least(CASE WHEN video_id = rz{n}.first THEN rz{n}.second ELSE rz{n}.best END / 4, 1) * 100"
+SIGNALS = f"""cn AS (SELECT channel_id, (count(*) % 7) / 10.0::DOUBLE AS centrality FROM v GROUP BY 1), ta AS (SELECT tag, least(avg(centrality) * ln(1 + count(*)) * 100, 100) AS authority FROM (SELECT channel_id, lower(unnest(tags)) AS tag FROM v) JOIN cn USING (channel_id) GROUP BY 1),
+tv AS (SELECT video_id, least(avg(authority), 100) AS tag_authority FROM (SELECT video_id, lower(unnest(tags)) AS tag FROM v) JOIN ta USING (tag) GROUP BY 1),
+e1 AS (SELECT channel_id, token, count(*) AS uses, sum(vw) AS vs FROM (SELECT channel_id, view_count AS vw, unnest({tok_sql('title')}) AS token FROM v) WHERE strlen(token) >= 3 GROUP BY 1, 2), e2 AS (SELECT *, sum(uses) OVER w AS au, sum(vs) OVER w AS av FROM e1 WINDOW w AS (PARTITION BY token)),
+td AS (SELECT channel_id, token, least((0.5 * uses / au + 0.5 * coalesce(vs::DOUBLE / nullif(av, 0), 0)) * 100, 100) AS dominance FROM e2 WHERE au >= 2), tw AS (SELECT video_id, max(dominance) AS topic_dominance FROM (SELECT video_id, channel_id, unnest({tok_sql('title')}) AS token FROM v) JOIN td USING (channel_id, token) GROUP BY 1),
+kh AS (SELECT k AS keyword, channel_id, count(*) AS n, sum(view_count) AS vs FROM v, (SELECT unnest({KWL}) AS k) WHERE list_contains({tok_sql('title')}, k) GROUP BY 1, 2),
+kc AS (SELECT least(coalesce(max(x) * 100, 0), 100) AS keyword_competition FROM (SELECT 0.5 * n / sum(n) OVER w + 0.5 * coalesce(vs::DOUBLE / nullif(sum(vs) OVER w, 0), 0) AS x FROM kh WINDOW w AS (PARTITION BY keyword)))"""
+RESONANT = f"""cr AS (SELECT video_id, {RESONANCE_OF('_t')} AS keyword_title, {RESONANCE_OF('_d')} AS keyword_desc, {RESONANCE_OF('_g')} AS keyword_tags, coalesce(tag_authority, 0) AS tag_authority, coalesce(topic_dominance, 0) AS topic_dominance, keyword_competition
+  FROM v LEFT JOIN tv USING (video_id) LEFT JOIN tw USING (video_id), rz_t, rz_d, rz_g, kc)"""
+MEAN = lambda weights: "(" + " + ".join(f"{w} * {k}" for k, w in weights.items()) + f") / {sum(weights.values())}::DOUBLE"
+
+
+def component_parts(spark, d):
+    v = views.videos(spark, d)
+    central = v.groupBy("channel_id").agg(((F.count("*") % 7) / 10.0).alias("centrality"))
+    return scoring.score_parts(v, KW, central)
+
+
+def rounded(df, names, digits=6):
+    return df.select("video_id", *[F.round(c, digits).alias(c) for c in names])
+
+
+STRUCTURAL_NAMES = ("title_front", "title_length", "title_hooks", "title_40_chars", "desc_first150", "desc_first2lines", "desc_length", "desc_structure", "tags_relevance", "tags_quality", "hashtag_count", "keyword_triple")
+RESONANT_NAMES = ("keyword_title", "keyword_desc", "keyword_tags", *scoring.GRAPH)
+ROUNDED = lambda names: ", ".join(f"round({c}, 6) AS {c}" for c in names)
+
+
+@query(with_views(V, RESONANCE_VIEWS, SIGNALS, RESONANT) + f" SELECT video_id, {ROUNDED(RESONANT_NAMES)} FROM cr")
+def c1_resonance_and_signals(spark, d):
+    return rounded(component_parts(spark, d), RESONANT_NAMES)
+
+
+def row_components(spark, d):
     v = views.videos(spark, d)
-    kw = S.strings(KW)
-    parts = S.structural(F.col("title"), F.col("description"), F.col("tags"), kw, F.array(*[F.array(F.lit(k)) for k in KW]))
-    names = ("title_front", "title_length", "title_40_chars", "desc_length", "tags_relevance")
-    return v.select("video_id", *[(F.round(parts[k], 6) if k == "tags_relevance" else parts[k]).alias(k) for k in names])
+    return scoring.component_columns(v, S.strings(KW), F.array(*[F.array(F.lit(k)) for k in KW]))[0]
 
 
-@query(with_views(V) + f""", x AS (SELECT *, {tok_sql("title || chr(10) || description")} AS tk, {tok_sql('description')} AS dk FROM v)
-SELECT video_id, len(list_intersect(list_distinct(tk), ['who', 'what', 'when', 'where', 'how'])) * 20.0 AS entity_coverage, 35.0 * (trim(description) <> '')::INT + 35.0 * (len(tags) > 0)::INT + 30.0 * regexp_matches(description, '[0-9]:')::INT AS metadata_complete,
-  CASE WHEN len(dk) = 0 THEN 20.0 ELSE greatest(CASE WHEN k <= 0.02 THEN 100.0 WHEN k <= 0.05 THEN 80.0 WHEN k <= 0.10 THEN 50.0 ELSE 20.0 END, CASE WHEN f >= 2 THEN 80.0 ELSE 0 END) END AS conversational
-FROM (SELECT *, len(list_filter(dk, lambda t: t IN ('the', 'ein', 'que')))::DOUBLE / nullif(len(dk), 0) AS k, len(list_filter(dk, lambda t: t IN ('you', 'your', 'we', 'just', 'really', 'actually', 'basically'))) AS f FROM x)""")
+@query(with_views(V, PREPARED, STRUCTURAL) + f" SELECT video_id, {ROUNDED(STRUCTURAL_NAMES)} FROM cs")
+def c4_structural(spark, d):
+    return rounded(row_components(spark, d), STRUCTURAL_NAMES)
+
+
+@query(with_views(V, PREPARED, GENERATIVE) + f" SELECT video_id, {ROUNDED(S.GEO_WEIGHTS)} FROM cg")
 def c19_generative(spark, d):
-    none = F.array().cast("array<string>")
-    parts = S.generative(F.col("title"), F.col("description"), F.col("tags"), S.strings(KW), none, F.lit(False), F.lit(None).cast("timestamp"), F.col("published_at"))
-    return views.videos(spark, d).select("video_id", *[parts[k].alias(k) for k in ("entity_coverage", "metadata_complete", "conversational")])
+    return rounded(row_components(spark, d), S.GEO_WEIGHTS)
 
 
-@query(None)
+@query(with_views(V, PREPARED, STRUCTURAL, GENERATIVE, RESONANCE_VIEWS, SIGNALS, RESONANT) + f""", al AS (SELECT video_id, {MEAN(S.SEO_WEIGHTS)} AS seo, {MEAN(S.GEO_WEIGHTS)} AS geo FROM cs JOIN cg USING (video_id) JOIN cr USING (video_id))
+SELECT video_id, {r2('round(seo, 9)')} AS seo_score, {r2('round(geo, 9)')} AS geo_score, {r2('round((seo + geo) / 2, 9)')} AS total_score FROM al""")
 def c31_score_videos(spark, d):
     v = views.videos(spark, d)
     central = v.groupBy("channel_id").agg(((F.count("*") % 7) / 10.0).alias("centrality"))
     return scoring.score_videos(v, KW, central).select("video_id", "seo_score", "geo_score", "total_score")
 
 
+@query(with_views(V, PREPARED, STRUCTURAL) + f""", al AS (SELECT video_id, unnest([{{'n': 1, 'c': 'title_40_chars', 'x': title_40_chars, 'f': title_40_chars < 100}}, {{'n': 2, 'c': 'title_length', 'x': title_length, 'f': title_length < 100}}, {{'n': 3, 'c': 'desc_first2lines', 'x': desc_first2lines, 'f': desc_first2lines < 100}},
+  {{'n': 4, 'c': 'desc_length', 'x': desc_length, 'f': desc_length < 100}}, {{'n': 5, 'c': 'tags_quality', 'x': tags_quality, 'f': gn = 0}}, {{'n': 6, 'c': 'tags_quality', 'x': tags_quality, 'f': gn > 0 AND gn NOT BETWEEN 5 AND 30}}, {{'n': 7, 'c': 'hashtag_count', 'x': hashtag_count, 'f': hashtag_count < 100}},
+  {{'n': 8, 'c': 'keyword_triple', 'x': keyword_triple, 'f': keyword_triple < 100}}]) AS r FROM cs JOIN (SELECT video_id, len(tags) AS gn FROM v) USING (video_id))
+SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY r.x, r.n) - 1)::INT AS nth, r.c AS component, r.x::DOUBLE AS current FROM al WHERE r.f""")
+def c30_checklist(spark, d):
+    return scoring.checklist(views.videos(spark, d), KW).select("video_id", "nth", "component", "current")
+
+
 @query(with_views(CATALOG) + " SELECT title, 20.0 * (t::INT + p::INT + i::INT + f::INT + h::INT) AS psychology FROM (SELECT title, regexp_matches(l, 'second|minute|hour|in 60|in 30|in 10|fast') AS t, len(list_filter(list_transform(regexp_extract_all(l, '[0-9][0-9,]*'), lambda x: replace(x, ',', '')), lambda x: (len(x) = 1 AND x <> '0') OR (len(x) BETWEEN 2 AND 3 AND NOT ends_with(x, '0')) OR len(x) >= 4)) > 0 AS p, regexp_matches(l, '[$]|money|income|earn|salary|revenue|million|profit') AS i, regexp_matches(l, 'hidden|forbidden') AS f, regexp_matches(l, 'how to|how i|over 40|over 30') AS h FROM (SELECT DISTINCT title, lower(title) AS l FROM c))")
 def c29_psychology(spark, d):
     return views.catalog(spark, d).select("title").distinct().select("title", S.psychology_score(F.col("title")).alias("psychology"))
 
 
-@query(with_views(V) + f" SELECT video_id, CASE WHEN view_count > 0 THEN round((3 * comment_count + like_count) / view_count, 6) END AS ratio, CASE WHEN view_count > 0 THEN round(least((3 * comment_count + like_count) / view_count * 100 / 4, 1) * 100, 6) END AS engagement FROM v")
+RATIO = "(3 * coalesce(comment_count, 0) + coalesce(like_count, 0))::DOUBLE / nullif(view_count, 0)"
+
+
+@query(with_views(V) + f" SELECT video_id, round({RATIO}, 6) AS ratio, round(least({RATIO} * 100 / 4, 1) * 100, 6) AS engagement FROM v")
 def f23_engagement(spark, d):
     ratio = N.engagement_ratio(F.col("view_count"), F.col("like_count"), F.col("comment_count"))
     return views.videos(spark, d).select("video_id", F.round(ratio, 6).alias("ratio"), F.round(N.engagement_score(ratio), 6).alias("engagement"))
 
 
-@query("SELECT vec_id, round(CASE WHEN m > 0 THEN h / m * 100 END, 4) AS hook, round(least(greatest(m * 100, 0), 100), 4) AS retention FROM (SELECT vec_id, list_sum(embedding::DOUBLE[]) / len(embedding) AS m, list_sum(embedding[1:7]::DOUBLE[]) / 7 AS h FROM embeddings)")
+@query("SELECT vec_id, round(h * 100, 4) AS hook, round(least(greatest(m * 100, 0), 100), 4) AS retention FROM (SELECT vec_id, list_sum(embedding::DOUBLE[]) / len(embedding) AS m, list_sum(embedding[1:7]::DOUBLE[]) / 7 AS h FROM embeddings)")
 def f24_retention(spark, d):
     c = F.col("embedding")
     return table(spark, d, "embeddings").select("vec_id", F.round(N.hook_strength(c), 4).alias("hook"), F.round(N.retention_score(c), 4).alias("retention"))
@@ -584,83 +771,232 @@ def f24_retention(spark, d):
 FORECAST = """e AS (SELECT keyword, floor(epoch("at" - min("at") OVER (PARTITION BY keyword)) / 60) / 1440 AS t, opportunity_score AS y FROM rs), m AS (SELECT keyword, max(t) AS tm, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 3),
 w AS (SELECT e.*, tm, n, CASE WHEN n >= 5 THEN exp(-ln(2) / 30 * (tm - t)) ELSE 1.0 END AS w FROM e JOIN m USING (keyword)), a AS (SELECT keyword, sum(w * t) / sum(w) AS tb, sum(w * y) / sum(w) AS yb FROM w GROUP BY 1),
 s AS (SELECT keyword, any_value(n) AS n, any_value(tm) AS tm, any_value(tb) AS tb, any_value(yb) AS yb, sum(w * (t - tb) ** 2) AS sxx, sum(w * (t - tb) * (y - yb)) AS sxy, sum(w * (y - yb) ** 2) AS syy FROM w JOIN a USING (keyword) GROUP BY 1),
-f AS (SELECT *, sxy / sxx AS slope, (sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS tt, sxy / sxx * 30 / abs(yb) * 100 AS pct FROM s WHERE sxx >= 1e-12)"""
+f AS (SELECT *, sxy / sxx AS slope, (sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS tt, sxy / sxx * 7 / abs(yb) * 100 AS pct FROM s WHERE sxx >= 1e-12)"""
 
 
-@query(with_views(RESEARCH, FORECAST) + " SELECT keyword, n, round(slope, 6) AS slope, round(sxy * sxy / (sxx * syy), 6) AS r2, round(tt, 6) AS t, round(yb + slope * (tm + 30 - tb), 6) AS next, round(pct, 6) AS pct, CASE WHEN abs(tt) >= 2 AND pct > 10 THEN 'rising' WHEN abs(tt) >= 2 AND pct < -10 THEN 'falling' ELSE 'flat' END AS verdict, CASE WHEN n < 4 OR abs(tt) < 1.5 THEN 'low' WHEN n >= 8 AND abs(tt) >= 2 THEN 'high' ELSE 'medium' END AS reliability FROM f")
+@query(with_views(RESEARCH, FORECAST) + " SELECT keyword, n, round(slope, 6) AS slope, round(sxy * sxy / (sxx * syy), 6) AS r2, round(tt, 6) AS t, round(yb + slope * (tm + 7 - tb), 6) AS next, round(pct, 6) AS pct, CASE WHEN abs(tt) >= 2 AND pct > 10 THEN 'rising' WHEN abs(tt) >= 2 AND pct < -10 THEN 'falling' ELSE 'flat' END AS verdict, CASE WHEN n < 4 OR abs(tt) < 1.5 THEN 'low' WHEN n >= 8 AND abs(tt) >= 2 THEN 'high' ELSE 'medium' END AS reliability FROM f")
 def m1_forecast(spark, d):
     return forecast.forecast(reports.series(views.research(spark, d)), "keyword").withColumns({c: F.round(c, 6) for c in ("slope", "r2", "t", "next", "pct")})
 
 
-@query(with_views(V) + f", g AS (SELECT category_id AS keyword, count(DISTINCT channel_id) AS channels, sum(view_count)::BIGINT AS total_views, avg(view_count) AS mean_views, count(*) AS results FROM v GROUP BY 1) SELECT keyword, channels, total_views, results, round((0.7 * least(channels / 10, 1) + 0.3 * least(mean_views / 1e6, 1)) * 100, 6) AS competition, round(least(mean_views / 250000, 1) * (1 - (0.7 * least(channels / 10, 1) + 0.3 * least(mean_views / 1e6, 1))) * 100, 6) AS opportunity, CASE WHEN mean_views >= 250000 THEN 'High' WHEN mean_views >= 60000 THEN 'Medium' WHEN mean_views > 0 THEN 'Low' ELSE 'Unknown' END AS volume FROM g")
+VERDICT = "CASE WHEN abs(tt) >= 2 AND pct > 10 THEN 'rising' WHEN abs(tt) >= 2 AND pct < -10 THEN 'falling' ELSE 'flat' END"
+RELIABILITY = "CASE WHEN n < 4 OR abs(tt) < 1.5 THEN 'low' WHEN n >= 8 AND abs(tt) >= 2 THEN 'high' ELSE 'medium' END"
+LATEST = 'la AS (SELECT keyword, count(*) AS points, arg_max(opportunity_score, "at") AS opp, arg_max(competition_score, "at") AS comp, arg_max(volume_label, "at") AS vol, arg_max(serp_total, "at") AS total, arg_max(serp_mean_views, "at") AS mv FROM rs GROUP BY 1)'
+
+
+@query(with_views(RESEARCH, FORECAST, LATEST) + f" SELECT keyword, points, CASE WHEN tt IS NOT NULL THEN {VERDICT} END AS verdict, round(yb + slope * (tm + 7 - tb), 6) AS next_opportunity, round(pct, 6) AS pct, CASE WHEN tt IS NOT NULL THEN {RELIABILITY} END AS reliability, opp AS latest_opportunity, comp AS latest_competition, vol AS volume FROM la LEFT JOIN f USING (keyword)")
+def m4_forecast_report(spark, d):
+    r = views.research(spark, d)
+    return forecast.keyword_report(r, reports.series(r)).select("keyword", "points", "verdict", F.round("next_opportunity", 6).alias("next_opportunity"), F.round("pct", 6).alias("pct"), "reliability", "latest_opportunity", "latest_competition", "volume")
+
+
+WHOLE = lambda x: f"round_even({x}, 0)::BIGINT::VARCHAR"
+WHY = lambda opp, comp, vol, n: f"CASE WHEN {opp} >= 70 AND {comp} < 60 THEN '{N.REASONS[0]}' WHEN {opp} >= 50 THEN '{N.REASONS[1]}' ELSE '{N.REASONS[2]}' END || '; ' || lower({vol}) || ' search volume; competition ' || {WHOLE(comp)} || '/100' || CASE WHEN {n} > 0 THEN '; ' || {n} || ' ranking videos currently match' ELSE '' END"
+
+
+def said_sql(form: str, *parts: str) -> str:
+    """format_string in SQL: literal parts and values in turn."""
+    literals = ["'" + x.replace("'", "''") + "'" for x in form.split("%s")]
+    return " || ".join(x for pair in zip(literals, [*parts, "''"]) for x in pair)
+
+
+@query(with_views(V) + f""", g AS (SELECT category_id AS keyword, count(DISTINCT channel_id) AS channels, sum(view_count)::BIGINT AS total_views, avg(view_count) AS mv, count(*) AS results FROM v GROUP BY 1),
+h AS (SELECT *, (0.7 * least(channels / 6, 1) + 0.3 * least(mv / 1e6, 1)) * 100 AS comp, CASE WHEN mv >= 250000 THEN 'High' WHEN mv >= 60000 THEN 'Medium' WHEN mv > 0 THEN 'Low' ELSE 'Unknown' END AS vol FROM g), i AS (SELECT *, least(mv / 250000, 1) * (1 - comp / 100) * 100 AS opp FROM h)
+SELECT keyword, channels, total_views, results, round(comp, 6) AS competition, round(opp, 6) AS opportunity, vol AS volume, {WHY('opp', 'comp', 'vol', 'results')} AS why, {r2('least(least(mv / 100000, 1) * (1 - comp / 100) * 100, 100)')} AS gap,
+CASE WHEN opp >= 70 THEN '{N.GAPS[0]}' WHEN opp >= 40 THEN '{N.GAPS[1]}' ELSE '{N.GAPS[2]}' END AS gap_type, CASE WHEN vol = 'Low' THEN {said_sql(N.VERDICTS[0], 'keyword', WHOLE('mv'))} WHEN vol = 'Unknown' THEN {said_sql(N.VERDICTS[4], 'keyword')} ELSE 'other' END AS verdict FROM i""")
 def m5_inspection(spark, d):
     v = views.videos(spark, d).withColumnRenamed("category_id", "keyword")
-    return reports.keyword_inspection(v).select("keyword", "channels", "total_views", "results", F.round("competition", 6).alias("competition"), F.round("opportunity", 6).alias("opportunity"), "volume")
+    out = reports.keyword_inspection(v)
+    verdict = F.when(F.col("volume").isin("Low", "Unknown"), F.col("verdict")).otherwise("other")
+    return out.select("keyword", "channels", "total_views", "results", F.round("competition", 6).alias("competition"), F.round("opportunity", 6).alias("opportunity"), "volume", "why", "gap", "gap_type", verdict.alias("verdict"))
+
+
+IDEA_WORDS, NICHE = ("the", "and", "que"), "the best"
+IDEA_SQL = "".join(", " + bm25_sql({w: 1}, "v", "video_id", "title", str(i)) for i, w in enumerate(IDEA_WORDS))
+IDEA_SQL += ", al AS (" + " UNION ALL ".join(f"SELECT '{w}' AS keyword, {i} AS src, k AS video_id, score FROM bm{i}" for i, w in enumerate(IDEA_WORDS)) + ")"
+IDEA_SQL += f""", dm AS (SELECT keyword, count(*) AS demand FROM al GROUP BY 1), ne AS (SELECT keyword, src, video_id, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, video_id) AS nth FROM al QUALIFY nth <= 5),
+ts AS (SELECT video_id, row_number() OVER (ORDER BY total_score DESC, video_id) AS nth FROM sc QUALIFY nth <= 10), bk AS (SELECT video_id, coalesce({" , ".join(f"CASE WHEN list_contains({tok_sql('title')}, '{w}') THEN '{w}' END" for w in IDEA_WORDS)}, '') AS keyword, {len(IDEA_WORDS)} AS src, nth FROM ts JOIN v USING (video_id)),
+ca AS (SELECT video_id, keyword, src, nth FROM (SELECT video_id, keyword, src, nth FROM ne UNION ALL SELECT video_id, keyword, src, nth FROM bk) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY src, nth) = 1),
+cx AS (SELECT *, list_distinct({tok_sql('title')}) AS tk, {RATIO} AS ratio FROM ca JOIN v USING (video_id) LEFT JOIN sc USING (video_id) LEFT JOIN dm USING (keyword))"""
 
 
-@query(with_views(V, SCORES) + ", b AS (SELECT * FROM v JOIN sc USING (video_id)) SELECT video_id, title, " + r2("0.5 * seo_score + 0.3 * (CASE WHEN len(list_distinct(list_concat(tk, ['the', 'and']))) > 0 THEN len(list_intersect(tk, ['the', 'and'])) / len(list_distinct(list_concat(tk, ['the', 'and']))) ELSE 0 END * 100) + 0.2 * least(100 * least(hits / 20, 1) * (1 + least(coalesce((3 * comment_count + like_count) / nullif(view_count, 0), 0) * 100 / 4, 1) * 0.25), 100)") + f" AS score FROM (SELECT *, list_distinct({tok_sql('title')}) AS tk, (SELECT count(*) FROM v WHERE list_has_any({tok_sql('title')}, ['the', 'and'])) AS hits FROM b) ORDER BY score DESC, video_id LIMIT 10")
+@query(with_views(V, SCORES) + IDEA_SQL + f" SELECT video_id, title, keyword, coalesce(demand, 0) AS demand, {r2('0.5 * coalesce(seo_score, 0) + 0.3 * 100 * ' + jaccard_sql('tk', list_of(('and', 'best', 'que', 'the'))) + ' + 0.2 * 100 * least(coalesce(demand, 0) / 20, 1) * (1 + coalesce(least(greatest(ratio * 100 / 4, 0), 1) * 0.25, 0))')} AS score FROM cx ORDER BY score DESC, src, nth LIMIT 10")
 def r8_ideas(spark, d):
+    """Over the scored videos, so that none has to be scored on the spot; that is tested on small tables."""
     none = spark.createDataFrame([], "channel_id string, centrality double")
-    return reports.ideas(views.videos(spark, d), views.scores(spark, d), none, ["the", "and"])
+    s = views.scores(spark, d)
+    v = views.videos(spark, d)
+    found = reports.ideas(v, s.unionByName(missing_scores(v, s)), none, IDEA_WORDS, NICHE)
+    return found.select("video_id", "title", F.col("rationale.keyword").alias("keyword"), F.col("rationale.demand_matches").alias("demand"), "score")
+
+
+def missing_scores(v, s):
+    return R.without(v, s, "video_id").select("video_id", F.lit(0.0).alias("seo_score"), F.lit(0.0).alias("geo_score"), F.lit(0.0).alias("total_score"))
 
 
 # reports
 
-OVERLAP = """tc AS (SELECT DISTINCT channel_id, lower(trim(x)) AS tag FROM (SELECT channel_id, unnest(tags) AS x FROM v)), tn AS (SELECT channel_id, count(*) AS n FROM tc GROUP BY 1),
-tp2 AS (SELECT x.channel_id AS a, y.channel_id AS b, (SELECT count(*) FROM tc p JOIN tc q ON p.tag = q.tag WHERE p.channel_id = x.channel_id AND q.channel_id = y.channel_id) AS k, x.n AS na, y.n AS nb FROM tn x JOIN tn y ON x.channel_id <> y.channel_id),
-ov AS (SELECT a AS channel_id, median(k / (na + nb - k)) AS tag_overlap FROM tp2 GROUP BY 1)"""
-FIGURES = ("videos", "total_views", "growth", "title_length", "digit_ratio", "how_to_ratio", "categories", "tag_overlap", "centrality", "seo_avg", "seo_median", "seo_min", "seo_max")
+TAG_SETS = f"""tc AS (SELECT channel_id, list_distinct(flatten(list({tag_tokens_sql('tags')}))) AS toks FROM v GROUP BY 1),
+tp2 AS (SELECT x.channel_id AS a, len(list_intersect(x.toks, y.toks)) AS k, len(list_distinct(list_concat(x.toks, y.toks))) AS u FROM tc x JOIN tc y ON x.channel_id <> y.channel_id), ov AS (SELECT a AS channel_id, median(k / u) AS tag_overlap FROM tp2 WHERE u > 0 GROUP BY 1)"""
+CARD_TWO, CARD_FOUR = ("avg_title_len", "digit_ratio", "howto_ratio", "seo_avg", "seo_median", "seo_min", "seo_max"), ("tag_overlap", "centrality")
+CARD = ("videos", "total_views", "scored", "views_growth", *CARD_TWO, *CARD_FOUR)
+
 
+def r4(x: str) -> str:
+    return f"(floor(({x}) * 10000 + 0.5) / 10000)"
 
-@query(with_views(V, SCORES, GROWTH, OVERLAP) + f""", ba AS (SELECT channel_id, count(*) AS videos, sum({SEVEN}) AS total_views, avg(len(title)) AS title_length, avg(regexp_matches(title, '[0-9]')::INT) AS digit_ratio, avg(contains(lower(title), 'how to')::INT) AS how_to_ratio, count(DISTINCT category_id) AS categories FROM v GROUP BY 1),
-se AS (SELECT channel_id, avg(seo_score) AS seo_avg, median(seo_score) AS seo_median, min(seo_score) AS seo_min, max(seo_score) AS seo_max FROM v JOIN sc USING (video_id) GROUP BY 1),
-al AS (SELECT channel_id, {', '.join(f"coalesce({'0' if c == 'centrality' else c}, 0)::DOUBLE AS {c}" for c in FIGURES)} FROM ba LEFT JOIN gr USING (channel_id) LEFT JOIN se USING (channel_id) LEFT JOIN ov USING (channel_id))
-SELECT channel_id, {', '.join(f'round({c}, 6) AS {c}' for c in FIGURES)} FROM al UNION ALL SELECT NULL, {', '.join(f'round(median({c}), 6)' for c in FIGURES)} FROM al""")
+
+@query(with_views(V, SCORES, GROWTH, TAG_SETS) + f""", ba AS (SELECT channel_id, count(*) AS videos, sum({SEVEN}) AS total_views, avg(length(title)) AS avg_title_len, avg(regexp_matches(title, '[0-9]')::INT) AS digit_ratio, avg(contains(lower(title), 'how to')::INT) AS howto_ratio FROM v GROUP BY 1),
+se AS (SELECT channel_id, count(*) AS scored, avg(seo_score) AS seo_avg, median(seo_score) AS seo_median, least(min(seo_score), 0) AS seo_min, greatest(max(seo_score), 0) AS seo_max FROM v JOIN sc USING (video_id) GROUP BY 1),
+al AS (SELECT channel_id, videos::BIGINT AS videos, total_views::BIGINT AS total_views, coalesce(scored, 0)::BIGINT AS scored, {r2('growth')} AS views_growth, {', '.join(f"{r2(f'coalesce({c}, 0)')} AS {c}" for c in CARD_TWO)}, {r4('coalesce(tag_overlap, 0)')} AS tag_overlap, {r4('centrality')} AS centrality
+  FROM ba LEFT JOIN gr USING (channel_id) LEFT JOIN se USING (channel_id) LEFT JOIN ov USING (channel_id) LEFT JOIN (SELECT channel_id, (count(*) % 7) / 30.0::DOUBLE AS centrality FROM v GROUP BY 1) USING (channel_id))
+SELECT channel_id, {', '.join(CARD)} FROM al UNION ALL SELECT NULL, NULL, floor(median(total_views) + 0.5)::BIGINT, NULL, {r2('median(views_growth)')}, {r2('median(avg_title_len)')}, NULL, NULL, {r2('median(seo_avg)')}, NULL, NULL, NULL, {r4('median(tag_overlap)')}, {r4('median(centrality)')} FROM al""")
 def r1_scorecard(spark, d):
-    return reports.scorecard(views.videos(spark, d), views.scores(spark, d)).select("channel_id", *[F.round(c, 6).alias(c) for c in FIGURES])
+    v = views.videos(spark, d)
+    central = v.groupBy("channel_id").agg(((F.count("*") % 7) / 30.0).alias("centrality"))
+    return reports.scorecard(v, views.scores(spark, d), views.channels(spark, d), central).select("channel_id", *CARD)
+
 
+SAID = reports.ALERTS
+TRACKED = ("the best", "zzz unheard", "que")
 
-@query(with_views(V, SCORES, GROWTH) + """, f AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY video_id) AS nth FROM v), m AS (SELECT channel_id, avg(view_count) AS mv FROM f WHERE nth <= 50 GROUP BY 1)
-SELECT 'views_drop' AS kind, channel_id, 'newest videos have less than half the views of those before' AS message FROM gr WHERE growth < 0.5 UNION ALL SELECT 'views_surge', channel_id, 'newest videos have more than twice the views of those before' FROM gr WHERE growth > 2 AND channel_id <> 'src1'
-UNION ALL SELECT 'outlier', channel_id, count(*) || ' videos far above the mean' FROM v JOIN m USING (channel_id) WHERE mv > 0 AND view_count / mv >= 3 GROUP BY 2 UNION ALL SELECT 'weak_score', channel_id, count(*) || ' videos score below 40' FROM v JOIN sc USING (video_id) WHERE total_score < 40 GROUP BY 2
-UNION ALL SELECT 'no_description', channel_id, count(*) || ' videos have no description' FROM v WHERE trim(description) = '' GROUP BY 2""")
+
+@query(with_views(V, CHANNELS) + f""", tk AS (SELECT DISTINCT unnest({tok_sql('title')}) AS t FROM v), kw AS (SELECT unnest({list_of(TRACKED)}) AS k),
+al(kind, channel_id, message, severity) AS (SELECT 'quota', NULL, '{SAID["nearing"].replace("%d%%", "85%")}', 'warn' UNION ALL SELECT 'integrity', NULL, '{SAID["integrity"].replace("%s", "page 7")}', 'critical'
+UNION ALL SELECT 'brand', NULL, replace('{SAID["brand"].replace("'", "''")}', '%s', k), 'warn' FROM kw WHERE NOT list_has_any({tok_sql('k')}, (SELECT list(t) FROM tk))
+UNION ALL SELECT 'gap', channel_id, replace(replace('{SAID["stale"].replace("'", "''").replace("(fetched %s)", "(fetched #)")}', '%s', title), '#', strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ')), 'warn' FROM ch WHERE fetched_at < TIMESTAMP '2024-01-18' - INTERVAL 14 DAY
+UNION ALL SELECT 'gap', channel_id, '{SAID["competitor"].replace("%s", "")}' || title, 'info' FROM ch WHERE competitor)
+SELECT * FROM al WHERE NOT (kind = 'integrity' OR message = '{SAID["competitor"].replace("%s", "Channel src1")}')""")
 def r3_alerts(spark, d):
-    v = views.videos(spark, d)
-    raised = spark.createDataFrame([("views_surge", "src1", "newest videos have more than twice the views of those before")], "kind string, channel_id string, message string")
-    return reports.alerts(v, views.scores(spark, d), R.views_growth(v), raised)
+    raised = spark.createDataFrame([("gap", "src1", SAID["competitor"] % "Channel src1"), ("integrity", None, SAID["integrity"] % "page 7")], "kind string, channel_id string, message string")
+    tracked = spark.createDataFrame([(k,) for k in TRACKED], "keyword string")
+    return reports.alerts(views.videos(spark, d), tracked, views.channels(spark, d), competitors(spark, d), raised, "2024-01-18", quota=8500, broken="page 7")
 
 
-@query(with_views(V, CHANNELS, SCORES) + f", e AS (SELECT channel_id, count(*) AS videos, sum({SEVEN})::BIGINT AS vs, avg(seo_score) AS seo FROM v LEFT JOIN sc USING (video_id) GROUP BY 1) SELECT o.videos, o.vs AS views, round(o.seo, 6) AS seo, m.mv AS median_videos, round(m.mw, 6) AS median_views, round(m.ms, 6) AS median_seo FROM (SELECT * FROM e WHERE channel_id = '{OWN}') o, (SELECT median(videos) AS mv, median(vs) AS mw, median(seo) AS ms FROM e JOIN ch USING (channel_id) WHERE competitor) m")
+@query(with_views(V, CHANNELS, SCORES, COMPETITORS) + f""", o AS (SELECT * FROM v WHERE channel_id = '{OWN}') SELECT (SELECT title FROM ch WHERE channel_id = '{OWN}') AS channel_name, (SELECT subscriber_count FROM ch WHERE channel_id = '{OWN}') AS subscriber_count, (SELECT count(*) FROM o) AS video_count, (SELECT sum(view_count)::BIGINT FROM o) AS total_views,
+(SELECT round(avg(view_count), 6) FROM o) AS avg_views, (SELECT round(avg(total_score), 6) FROM o JOIN sc USING (video_id)) AS avg_score, (SELECT title FROM o ORDER BY view_count DESC, video_id DESC LIMIT 1) AS best_video_title, (SELECT count(*) FROM cm) AS competitors,
+(SELECT median(subscriber_count) FROM ch WHERE competitor) AS median_subscribers, (SELECT median(view_count) FROM v JOIN cm USING (channel_id)) AS median_views, (SELECT round(median(total_score), 6) FROM v JOIN cm USING (channel_id) JOIN sc USING (video_id)) AS median_score""")
 def r5_own_overview(spark, d):
-    out = reports.own_overview(views.videos(spark, d), views.scores(spark, d), OWN, views.channels(spark, d).where("competitor"))
-    return out.withColumns({c: F.round(c, 6) for c in ("seo", "median_views", "median_seo")})
+    out = reports.own_overview(views.videos(spark, d), views.scores(spark, d), views.channels(spark, d), competitors(spark, d), OWN)
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_views", "avg_score", "median_score")})
 
 
-@query(with_views(RESEARCH, FORECAST) + ", la AS (SELECT keyword, arg_max(opportunity_score, \"at\") AS opportunity, count(*) AS points FROM rs GROUP BY 1) SELECT keyword, opportunity, points, CASE WHEN tt IS NULL THEN 'unknown' WHEN abs(tt) >= 2 AND pct > 10 THEN 'rising' WHEN abs(tt) >= 2 AND pct < -10 THEN 'falling' ELSE 'flat' END AS verdict, round(coalesce(pct, 0), 6) AS pct FROM la LEFT JOIN f USING (keyword) ORDER BY opportunity DESC, keyword LIMIT 25")
+@query(with_views(SNAPSHOTS) + ' SELECT strftime("at", \'%Y-%m-%d\') AS label, round(total_views, 3) AS value FROM sn WHERE channel_id = \'7\'')
+def r5_growth_series(spark, d):
+    return reports.growth_series(views.snapshots(spark, d), "7").withColumn("value", F.round("value", 3))
+
+
+@query(with_views(RESEARCH, FORECAST, LATEST) + f", tr AS (SELECT keyword, list({{'label': strftime(\"at\", '%m-%d'), 'value': opportunity_score}} ORDER BY \"at\") AS trend FROM rs GROUP BY 1) SELECT keyword, opp AS opportunity, comp AS competition, vol AS volume, CASE WHEN tt IS NULL THEN 'no-history' ELSE {VERDICT} END AS verdict, CASE WHEN tt IS NULL THEN 0 ELSE len(trend) END::INT AS points, CASE WHEN tt IS NOT NULL THEN trend[1].label END AS first_day, CASE WHEN tt IS NOT NULL THEN round(list_sum(list_transform(trend, lambda x: x.value)), 4) END AS points_sum FROM la JOIN tr USING (keyword) LEFT JOIN f USING (keyword) ORDER BY opportunity DESC, keyword LIMIT 25")
 def r6_keyword_opportunities(spark, d):
-    return reports.keyword_opportunities(views.research(spark, d)).select("keyword", "opportunity", "points", "verdict", F.round("pct", 6).alias("pct"))
+    found = reports.keyword_opportunities(views.research(spark, d))
+    total = F.aggregate("trend", F.lit(0.0), lambda a, x: a + x["value"])
+    return found.select("keyword", "opportunity", "competition", "volume", "verdict", F.size("trend").alias("points"), F.get("trend", F.lit(0))["label"].alias("first_day"), F.when(F.size("trend") > 0, F.round(total, 4)).alias("points_sum"))
+
+
+TITLE = lambda t, angle: f"CASE {angle} WHEN 'rising' THEN {t} || ', Explained' WHEN 'falling' THEN 'Is ' || {t} || ' Still Worth It?' WHEN 'high_demand' THEN 'What Is ' || {t} || '?' ELSE {t} || ', Explained' END"
+VIEWS = lambda x: f"CASE WHEN {x} >= 1000000 THEN printf('%.1fM', {x} / 1e6) WHEN {x} >= 1000 THEN {WHOLE(x + ' / 1e3')} || 'k' ELSE {WHOLE(x)} END"
 
 
-@query(with_views(RESEARCH, FORECAST) + ", la AS (SELECT keyword, arg_max(opportunity_score, \"at\") AS opportunity FROM rs GROUP BY 1) SELECT keyword, round(coalesce(yb + slope * (tm + 30 - tb), opportunity, 0), 6) AS rank, 'How to master ' || keyword AS draft FROM la LEFT JOIN f USING (keyword) ORDER BY rank DESC, keyword LIMIT 5")
+@query(with_views(V, RESEARCH, FORECAST, LATEST) + f""", own AS (SELECT DISTINCT unnest({tok_sql('title')}) AS t FROM v WHERE channel_id = '{OWN}'), hits AS (SELECT keyword, count(*) AS h FROM (SELECT keyword, unnest({tok_sql('keyword')}) AS t FROM la) JOIN own USING (t) GROUP BY 1),
+x AS (SELECT *, coalesce(yb + slope * (tm + 7 - tb), opp, 0) AS nx, CASE WHEN tt IS NULL THEN 'no-history' ELSE {VERDICT} END AS vd, CASE WHEN tt IS NULL THEN 'low' ELSE {RELIABILITY} END AS rl FROM la LEFT JOIN f USING (keyword) WHERE keyword NOT IN (SELECT keyword FROM hits WHERE h >= 2)),
+y AS (SELECT *, CASE WHEN vd IN ('rising', 'falling') THEN vd WHEN vol = 'High' THEN 'high_demand' ELSE 'explained' END AS angle FROM x)
+SELECT keyword AS topic, vd AS verdict, round(nx, 6) AS next_opportunity, opp AS opportunity_score, comp AS competition_score, vol AS volume_label, {TITLE('keyword', 'angle')} AS title,
+replace('{T.LEARN.replace("'", "''").replace(chr(10), "' || chr(10) || '")}', '%s', keyword) || 'Research shows opportunity ' || {WHOLE('opp')} || '/100 vs competition ' || {WHOLE('comp')} || '/100. Demand is ' || vd || '. Ranking videos average ' || {VIEWS('mv')} || ' views. (' || vol || ' volume).' || chr(10) || chr(10) || '# ' || replace(keyword, ' ', '') || ' #TechExplained' AS description,
+[keyword] AS tags, rl AS reliability, CASE WHEN opp >= 70 THEN 'Very High' WHEN opp >= 50 THEN 'High' WHEN opp >= 30 THEN 'Medium' ELSE 'Low' END AS prediction, {WHY('opp', 'comp', 'vol', 'total')} AS why FROM y ORDER BY nx DESC, keyword LIMIT 5""")
 def r7_next_videos(spark, d):
-    return reports.next_videos(views.research(spark, d), views.videos(spark, d).where(F.col("channel_id") == OWN)).withColumn("rank", F.round("rank", 6))
+    own = views.videos(spark, d).where(F.col("channel_id") == OWN)
+    return reports.next_videos(views.research(spark, d), own).withColumn("next_opportunity", F.round("next_opportunity", 6))
+
+
+@query(with_views(V, CHANNELS) + W3_SQL + ", tl AS (SELECT video_id, list_transform(coalesce(topic_categories, []), lambda u: replace(string_split(u, '/')[-1], '_', ' ')) AS topics FROM v) SELECT k.keyword, TIMESTAMP '2024-05-01' AS checked_at, video_id, CASE WHEN rank <= 10 THEN rank END AS position, topics FROM (SELECT unnest(['the', 'und', 'les', 'zzz']) AS keyword) k LEFT JOIN o USING (keyword) LEFT JOIN tl USING (video_id)")
+def r9_keyword_check(spark, d):
+    return reports.keyword_check(views.videos(spark, d), competitors(spark, d), [*W3, "zzz"], "2024-05-01")
+
+
+@query(with_views(RANKINGS) + ", x AS (SELECT *, lag(position) OVER (PARTITION BY keyword ORDER BY checked_at) AS previous, count(*) OVER (PARTITION BY keyword) AS shots FROM rk) SELECT keyword, position AS latest_position, previous AS previous_position, position - previous AS delta, shots::INT AS shots FROM x QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY checked_at DESC) = 1")
+def r9_keyword_trends(spark, d):
+    r = views.rankings(spark, d).withColumns({"video_id": F.lit("v"), "topics": F.array(F.lit("t"))})
+    return reports.keyword_trends(r).withColumn("shots", F.size("snapshots")).drop("snapshots")
+
+
+WALKED = "wk AS (SELECT video_id AS id, (view_count % 10) / 10.0::DOUBLE AS score FROM v WHERE view_count % 3 = 0)"
+
+
+@query(with_views(V, SCORES, WALKED) + ", " + bm25_sql({"the": 1, "and": 1}, "v", "video_id", "title") + """, h AS (SELECT coalesce(k, id) AS video_id, coalesce(bm.score, 0) AS b, coalesce(wk.score, 0) AS g FROM bm FULL JOIN wk ON k = id)
+SELECT video_id, view_count, round(coalesce(CASE WHEN b <= 0 THEN g WHEN g <= 0 THEN b ELSE 0.7 * b + 0.3 * g END, 0), 6) AS relevance FROM v LEFT JOIN h USING (video_id) LEFT JOIN sc USING (video_id) WHERE duration_sec <= 700 AND coalesce(seo_score, 0) >= 10 ORDER BY relevance DESC, video_id LIMIT 30""")
+def r11_video_query(spark, d):
+    v = views.videos(spark, d)
+    walk = v.where("view_count % 3 = 0").select(F.col("video_id").alias("id"), ((F.col("view_count") % 10) / 10.0).alias("score"))
+    found = reports.video_query(v, views.scores(spark, d), "the and", walk, limit=None, longest=700, least_seo=10)
+    return found.withColumn("relevance", F.round("relevance", 6)).orderBy(F.desc("relevance"), "video_id").limit(30).select("video_id", "view_count", "relevance")
 
 
-@query(with_views(V, SCORES, COVERAGE, CADENCE) + f""", ba AS (SELECT channel_id, count(*) AS n, avg(len(tags)) AS tg, avg({SEVEN}) AS vw, avg(CASE WHEN view_count > 0 THEN (3 * comment_count + like_count) / view_count * 100 END) AS ratio FROM v GROUP BY 1),
-se AS (SELECT channel_id, avg(seo_score) AS seo FROM v JOIN sc USING (video_id) GROUP BY 1), si AS (SELECT channel_id, count(*) AS series FROM tp WHERE topic IN (SELECT topic FROM cv WHERE is_series) GROUP BY 1),
-co AS (SELECT channel_id, {r2('least(greatest(coalesce(seo, 0), 0), 100)')} AS metadata, {r2('CASE WHEN mean_gap IS NULL THEN 50 ELSE coalesce(least(greatest(least(greatest(100 - 80 * cv, 0), 100) + CASE WHEN mean_gap BETWEEN 4 AND 10 THEN 10 ELSE 0 END, 0), 100), 50) END')} AS consistency,
-  {r2('least(coalesce(ratio, 0) / 4, 1) * 100')} AS engagement, CASE WHEN floor(tg) BETWEEN 5 AND 30 THEN 100.0 WHEN floor(tg) >= 1 THEN 60.0 ELSE 0.0 END AS tag_use, {r2('least(coalesce(series, 0) / n / 0.40, 1) * 100')} AS series_use, {r2('50 * vw / (SELECT max(vw) FROM ba)')} AS authority
-  FROM ba LEFT JOIN se USING (channel_id) LEFT JOIN cd USING (channel_id) LEFT JOIN si USING (channel_id))
-SELECT *, {r2('0.3 * metadata + 0.15 * consistency + 0.2 * engagement + 0.15 * tag_use + 0.1 * series_use + 0.1 * authority')} AS overall FROM co""")
+@query(with_views(V, WALKED) + ", " + bm25_sql({"the": 1}, "v", "video_id", "title") + """, vx AS (SELECT video_id AS id, view_count % 90 + 5.0 AS score FROM v WHERE view_count % 5 = 0), p AS (SELECT k AS id, least(score / 4, 1) * 100 AS s, 'text' AS way, 0 AS depth FROM bm WHERE score > 0 UNION ALL SELECT id, score, 'vector', 0 FROM vx UNION ALL SELECT id, score * 100, 'graph', 0 FROM wk),
+m AS (SELECT video_id AS id, 10.0, 'community', 1 FROM v WHERE video_id NOT IN (SELECT id FROM p) AND category_id IN (SELECT category_id FROM v JOIN p ON id = video_id)), a AS (SELECT * FROM p UNION ALL SELECT * FROM m) SELECT id, round(max(s), 6) AS score, max(depth) AS depth, string_agg(DISTINCT way, ',' ORDER BY way) AS ways FROM a GROUP BY 1""")
+def r12_retriever(spark, d):
+    v = views.videos(spark, d)
+    text = search.matches(v, "video_id", F.col("title"), "the").withColumnRenamed("video_id", "id")
+    vector = v.where("view_count % 5 = 0").select(F.col("video_id").alias("id"), (F.col("view_count") % 90 + 5.0).alias("score"))
+    walk = v.where("view_count % 3 = 0").select(F.col("video_id").alias("id"), ((F.col("view_count") % 10) / 10.0).alias("score"))
+    members = v.where("category_id is not null").select(F.col("video_id").alias("id"), F.col("category_id").alias("community"))
+    return graph.fuse(text, vector, walk, community=members).withColumn("score", F.round("score", 6))
+
+
+@query(with_views(V, SCORES, CHANNELS, CADENCE) + f""", dt AS (SELECT channel_id, count(*) AS n, avg(len(tags)) AS tg, avg(view_count) AS vw, avg({RATIO} * 100) AS ratio FROM v GROUP BY 1), se AS (SELECT channel_id, avg(seo_score) AS seo FROM v JOIN sc USING (video_id) GROUP BY 1),
+tp AS (SELECT channel_id, topic, count(*) AS k, sum(marked::INT) AS mk FROM (SELECT channel_id, {MARKED} AS marked, unnest({tok_sql('title')}) AS topic FROM v) WHERE strlen(topic) >= 3 AND topic NOT IN ({STOP}) GROUP BY 1, 2), si AS (SELECT channel_id, sum(k) AS series FROM tp WHERE k > 1 AND mk >= 2 GROUP BY 1),
+co AS (SELECT channel_id, title, {r2('coalesce(seo, 0)')} AS metadata, {r2('CASE WHEN n < 2 THEN 50 ELSE coalesce(least(greatest(least(greatest(100 - 80 * cv, 0), 100) + CASE WHEN mean_gap BETWEEN 4 AND 10 THEN 10 ELSE 0 END, 0), 100), 0) END')} AS consistency,
+  {r2('least(coalesce(ratio, 0) / 4, 1) * 100')} AS engagement, CASE WHEN floor(tg) BETWEEN 5 AND 30 THEN 100.0 WHEN tg >= 1 THEN 60.0 ELSE 0.0 END AS tags, {r2('least(coalesce(series, 0) / n / 0.40, 1) * 100')} AS series, {r2('50 * least(subscriber_count / 100000, 1) + 50 * vw / (SELECT max(view_count) FROM v)')} AS authority
+  FROM dt LEFT JOIN se USING (channel_id) LEFT JOIN cd USING (channel_id) LEFT JOIN si USING (channel_id) JOIN ch USING (channel_id)),
+to_ AS (SELECT *, 0.3 * metadata + 0.15 * consistency + 0.2 * engagement + 0.15 * tags + 0.1 * series + 0.1 * authority AS total FROM co)
+SELECT channel_id, title, metadata, consistency, engagement, tags, series, authority, {r2('total')} AS overall, CASE WHEN floor(total) >= 85 THEN 'A' WHEN floor(total) >= 70 THEN 'B' WHEN floor(total) >= 55 THEN 'C' WHEN floor(total) >= 40 THEN 'D' ELSE 'F' END AS grade FROM to_""")
 def m13_audit(spark, d):
-    return reports.audit(views.videos(spark, d), views.scores(spark, d)).drop("grade")
+    return reports.audit(views.videos(spark, d), views.scores(spark, d), views.channels(spark, d)).drop("verdict")
+
+
+ACTION_ROWS = ", ".join(f"({i}, '{k}', {quoted(what)}, '{impact}', {N.IMPACTS[impact]})" for i, (k, (impact, what, _)) in enumerate(reports.ACTIONS.items()))
+
+
+@query(f"WITH a(nth, area, what, impact, w) AS (VALUES {ACTION_ROWS}), s AS (SELECT DISTINCT source AS channel_id, regexp_extract(source, '([0-9]+)', 1)::INT AS k FROM documents), x AS (SELECT channel_id, a.*, ((k * 37 + nth * 23) % 100)::DOUBLE AS score FROM s, a) SELECT channel_id, area, what, impact, score, round(w * (1 - score / 100), 6) AS priority FROM x WHERE score < 70")
+def m14_actions(spark, d):
+    k = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
+    audited = table(spark, d, "documents").select(F.col("source").alias("channel_id"), *[((k * 37 + i * 23) % 100).cast("double").alias(c) for i, c in enumerate(reports.ACTIONS)]).distinct()
+    return reports.actions(audited).select("channel_id", "area", "what", "impact", "score", F.round("priority", 6).alias("priority"))
+
+
+@query(with_views(V, COVERAGE) + f""", x AS (SELECT topic, channels, no_short, is_series, {r2('mean * 100')} AS mv, {r2('least(mean * 100 / 100000, 1) * greatest(1 - channels / 5, 0) * 100')} AS score FROM cv) SELECT topic, score, mv AS demand_views, channels AS channels_covering, CASE WHEN score >= 70 THEN 'Very High' WHEN score >= 50 THEN 'High' WHEN score >= 30 THEN 'Medium' ELSE 'Low' END AS prediction,
+CASE WHEN no_short THEN {quoted(reports.ANGLES[0])} WHEN is_series THEN {said_sql(reports.ANGLES[1], 'topic')} ELSE {said_sql(reports.ANGLES[2], 'topic', 'channels::VARCHAR')} END AS action FROM x WHERE score >= 30 AND mv > 0""")
+def m15_gap_opportunities(spark, d):
+    v = views.videos(spark, d).withColumn("view_count", F.col("view_count") * 100)
+    return reports.gap_opportunities(R.topic_coverage(v))
+
+
+@query(f"SELECT event_id, CASE WHEN used >= 10000 THEN 0 ELSE 10000 - used END AS remaining, CASE WHEN used + 50 >= 10000 THEN 100 ELSE floor((used + 50) * 100 / 10000) END >= 80 AS warn FROM (SELECT event_id, event_id * 37 % 12000 AS used FROM events)")
+def m16_quota(spark, d):
+    used = (F.col("event_id") * 37 % 12000).cast("long")
+    check = N.quota_check(used, F.lit(50), 80)
+    return table(spark, d, "events").select("event_id", check["remaining"].alias("remaining"), check["warn"].alias("warn"))
 
 
-@query(with_views(V, RESEARCH) + " SELECT topic FROM (SELECT DISTINCT category_id AS topic FROM v) t LEFT JOIN (SELECT lang AS topic, TIMESTAMP '2024-03-01' + to_hours(min(doc_id)::INTEGER * 5) AS last FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1) h USING (topic) WHERE last IS NULL OR floor(epoch(TIMESTAMP '2024-03-02' - last) / 3600) >= 24")
+BEST = ", ".join(f"CASE WHEN list_contains({tok_sql('title')}, '{k}') THEN '{k}' END" for k in KW)
+
+
+@query(with_views(V) + f" SELECT video_id, coalesce({BEST}) AS keyword FROM v")
+def m9_best_keyword(spark, d):
+    return reports.best_keyword(views.videos(spark, d), KW)
+
+
+@query(with_views(V) + f", x AS (SELECT video_id, channel_id, {VPH} AS vph, {RATIO} AS ratio FROM v), m AS (SELECT channel_id, avg(vph) AS mv FROM x GROUP BY 1) SELECT video_id, round(vph, 6) AS vph, mv > 0 AND vph > 3 * mv AS trending, round(ratio, 6) AS engagement_ratio, round(least(ratio * 100 / 4, 1) * 100, 6) AS engagement_score, CASE WHEN h THEN round(hk * 100, 4) END AS hook_retention, CASE WHEN h THEN round(mr * 100, 4) END AS mean_retention FROM x JOIN m USING (channel_id) LEFT JOIN (SELECT vec_id::VARCHAR AS video_id, true AS h, list_sum(embedding[1:7]::DOUBLE[]) / 7 AS hk, list_sum(embedding::DOUBLE[]) / len(embedding) AS mr FROM embeddings) USING (video_id)")
+def z9_signals(spark, d):
+    curves = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("video_id"), F.transform("embedding", lambda x: F.struct(F.lit(0.0).alias("start_time"), x.cast("double").alias("value"))).alias("points"))
+    out = reports.signals(views.videos(spark, d), curves, NOW)
+    return out.select("video_id", F.round("vph", 6).alias("vph"), "trending", F.round("engagement_ratio", 6).alias("engagement_ratio"), F.round("engagement_score", 6).alias("engagement_score"), F.round("hook_retention", 4).alias("hook_retention"), F.round("mean_retention", 4).alias("mean_retention"))
+
+
+@query(with_views(V) + ", u AS (SELECT DISTINCT category_id AS topic FROM v), h AS (SELECT category_id AS topic, max(published_at) AS last FROM v WHERE channel_id <> 'src2' GROUP BY 1) SELECT topic FROM u LEFT JOIN h USING (topic) WHERE last IS NULL OR floor(epoch((SELECT max(published_at) FROM v) - last) / 3600) >= 3")
 def r15_due_topics(spark, d):
-    docs = table(spark, d, "documents")
-    history = docs.where(F.col("lang").isin("en", "fr")).groupBy(F.col("lang").alias("topic")).agg(F.timestamp_seconds(F.lit(1709251200) + F.min("doc_id") * 5 * 3600).alias("researched_at"))
-    return reports.due_topics(docs.select(F.col("lang").alias("topic")).distinct(), history, "2024-03-02")
+    v = views.videos(spark, d)
+    history = v.where("channel_id <> 'src2'").select(F.col("category_id").alias("topic"), F.col("published_at").alias("researched_at"))
+    return reports.due_topics(v.select(F.col("category_id").alias("topic")).distinct(), history, v.agg(F.max("published_at")).first()[0], 3)
 
 
 # merges
@@ -690,7 +1026,53 @@ def k1_upsert(spark, d):
     return merge.upsert(n, rows, ["n_nationkey"])
 
 
-# text, urls, streams
+@query("""WITH b AS (SELECT 'h' || c_custkey % 40 AS handle, CASE WHEN c_custkey % 3 = 0 THEN '@h' || c_custkey % 40 ELSE 'UC' || c_custkey % 200 END AS id, c_custkey AS seq FROM customer), t AS (SELECT 'h' || s_suppkey % 40 AS handle, min(CASE WHEN s_suppkey % 2 = 0 THEN '@h' || s_suppkey % 40 ELSE 'UC' || s_suppkey % 200 END) AS id, -1 AS seq FROM supplier WHERE s_suppkey % 40 < 20 GROUP BY 1),
+e AS (SELECT * FROM b UNION ALL SELECT * FROM t), w AS (SELECT handle, coalesce(arg_min(id, (seq, id)) FILTER (NOT starts_with(id, '@')), arg_max(id, (seq, id))) AS winner FROM e GROUP BY 1) SELECT DISTINCT id AS placeholder, winner AS channel_id FROM e JOIN w USING (handle) WHERE id <> winner""")
+def k8_channel_merges(spark, d):
+    def rows(name, key, odd):
+        k = F.col(key)
+        at = F.concat(F.lit("h"), k % 40)
+        return table(spark, d, name).select(at.alias("handle"), F.when(odd(k), F.concat(F.lit("@"), at)).otherwise(F.concat(F.lit("UC"), k % 200)).alias("channel_id"), k.cast("int").alias("seq"))
+
+    stored = rows("supplier", "s_suppkey", lambda k: k % 2 == 0).where("seq % 40 < 20").drop("seq")
+    return merge.channel_merges(rows("customer", "c_custkey", lambda k: k % 3 == 0), stored)
+
+
+# text, urls, sources, streams
+
+LINK_LINES = "li AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || id || '&t=1' WHEN 1 THEN 'https://youtu.be/' || id WHEN 2 THEN id WHEN 3 THEN 'x /shorts/' || id || '!' WHEN 4 THEN 'https://example.org/' || page_id ELSE 'PL' || page_id END AS line, id, page_id % 6 AS k FROM (SELECT page_id, left(md5(url), 10) || substr('AB8c', (page_id % 4 + 1)::INT, 1) AS id FROM pages))"
+
+
+def link_lines(spark, d):
+    id_ = F.concat(F.left(F.md5("url"), F.lit(10)), F.substr(F.lit("AB8c"), (F.col("page_id") % 4 + 1).cast("int"), F.lit(1)))
+    n = F.col("page_id") % 6
+    line = F.when(n == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), id_, F.lit("&t=1"))).when(n == 1, F.concat(F.lit("https://youtu.be/"), id_)).when(n == 2, id_)
+    line = line.when(n == 3, F.concat(F.lit("x /shorts/"), id_, F.lit("!"))).when(n == 4, F.concat(F.lit("https://example.org/"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("PL"), F.col("page_id").cast("string")))
+    return table(spark, d, "pages").select(F.col("page_id").alias("n"), line.alias("line"))
+
+
+@query(f"WITH {LINK_LINES} SELECT id AS video_id, min(page_id) AS n FROM li WHERE k IN (0, 1, 3) OR (k = 2 AND regexp_matches(id, '[AEIMQUYcgkosw048]$')) GROUP BY 1")
+def s19_video_ids(spark, d):
+    return links.distinct_video_ids(link_lines(spark, d))
+
+
+@query(f"WITH {LINK_LINES} SELECT line, CASE k WHEN 0 THEN 'video_url' WHEN 1 THEN 'video_url' WHEN 2 THEN CASE WHEN regexp_matches(id, '[AEIMQUYcgkosw048]$') THEN 'video_id' ELSE 'rejected' END WHEN 5 THEN 'playlist' ELSE 'rejected' END AS kind, k IN (0, 1) OR (k = 2 AND regexp_matches(id, '[AEIMQUYcgkosw048]$')) AS accepted FROM li")
+def s21_inputs(spark, d):
+    return links.inputs(link_lines(spark, d)).select("line", "kind", "accepted")
+
+
+@query("SELECT page_id, CASE WHEN html LIKE '%<%' THEN length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) ELSE length(html) END AS n FROM pages")
+def f8_escaped(spark, d):
+    return table(spark, d, "pages").select("page_id", F.char_length(T.xml_escaped(F.col("html"))).cast("long").alias("n"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')))::BIGINT AS word_count FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[\n\r<>]+', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL) WHERE text <> '' AND NOT regexp_matches(text, '^([0-9]*$|NOTE |STYLE)') AND text NOT LIKE '%-->%' GROUP BY 1 HAVING count(*) = count(DISTINCT text)")
+def s15_transcripts(spark, d):
+    """Conversations as captions, a cue for each turn; those that repeat a turn are left to the tests."""
+    turns = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.trim(F.regexp_replace("text", "[\n\r<>]+", " ")).alias("text")).where("text <> '' and not text rlike '^([0-9]*$|NOTE |STYLE)' and not contains(text, '-->')")
+    plain = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("n"), F.count_distinct("text").alias("k")).where("n = k")
+    vtt = F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("t", lambda x: F.concat(F.lit("00:01 --> 00:02\n"), x["text"])), "\n\n"))
+    return feeds.transcripts(plain.select("conv_id", vtt.alias("vtt")), "conv_id")
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
@@ -703,11 +1085,6 @@ def f9_url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", links.query_value(F.col("url"), "page").alias("page"), links.found(F.col("url"), "^[a-z]+://([^/?#]+)").alias("host"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(left(text, 80), '[,\"\\n\\r]') THEN '\"' || replace(left(text, 80), '\"', '\"\"') || '\"' ELSE left(text, 80) END AS field FROM documents")
-def k16_csv_fields(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.csv_field(F.left("text", F.lit(80))).alias("field"))
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[,\"\\n\\r]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS field FROM documents")
 def k16_csv_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.csv_field(F.col("text")).alias("field"))
@@ -720,18 +1097,9 @@ def o5_comments(spark, d):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
 def x4_daily_snapshot(spark, d):
-    import uuid
-
     from corpuscle.streaming import feed
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    daily = src.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.max_by("value", "ts").alias("value"))
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/version={number}")  # the whole result; the last version counts
-
-    run = daily.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return spark.read.parquet(f"{base}/version={last}").select("user_id", "day", "value")
+    feed.latest_by_day(src, f"{base}/days", f"{base}/log", "user_id", "ts", "value").awaitTermination()
+    return feed.daily(spark, f"{base}/days", "user_id", "value").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "value")

@@ -21,7 +21,10 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").cast("string").alias("video_id"), F.col("source").alias("channel_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), F.col("text").alias("description"),
         F.array_distinct(F.slice(tokens(F.col("text")), 1, 6)).alias("tags"), F.col("lang").alias("category_id"), (F.col("n_chars") % 900).alias("duration_sec"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("published_at"), F.col("n_chars").alias("view_count"), (F.col("n_chars") % 97).alias("like_count"), (F.col("n_chars") % 13).alias("comment_count"), source.alias("source"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("published_at"), F.col("n_chars").alias("view_count"), F.when(F.col("doc_id") % 7 != 3, F.col("n_chars") % 97).alias("like_count"),
+        F.when(F.col("doc_id") % 11 != 5, F.col("n_chars") % 13).alias("comment_count"), source.alias("source"), F.when(F.col("doc_id") % 10 == 1, "unlisted").when(F.col("doc_id") % 10 == 2, "private").otherwise("public").alias("privacy_status"),
+        F.when(F.col("lang").isNotNull(), F.array(F.concat(F.lit("https://example.org/wiki/"), "lang", F.lit("_the_texts")))).alias("topic_categories"), F.when(F.col("doc_id") % 5 == 0, F.lit("here")).alias("recording_location_name"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit(1.5)).alias("recording_lat"), F.when(F.col("doc_id") % 8 == 0, F.lit(2.5)).alias("recording_lng"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600 + F.col("doc_id") % 17 * 86400).alias("recording_date"),
     )
 
 
@@ -31,8 +34,10 @@ def tok_sql(x: str) -> str:
 
 VIDEOS = f"""v0 AS (SELECT *, {tok_sql("text")}[1:6] AS tk FROM documents),
 v AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, source AS channel_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS title, text AS description, list_filter(tk, lambda x, i: list_position(tk, x) = i) AS tags,
-  lang AS category_id, n_chars % 900 AS duration_sec, TIMESTAMP '2024-01-01' + to_hours(doc_id::INTEGER) AS published_at, n_chars AS view_count, n_chars % 97 AS like_count, n_chars % 13 AS comment_count,
-  CASE doc_id % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'oembed' ELSE 'rss' END AS source FROM v0)"""
+  lang AS category_id, n_chars % 900 AS duration_sec, TIMESTAMP '2024-01-01' + to_hours(doc_id::INTEGER) AS published_at, n_chars AS view_count, CASE WHEN doc_id % 7 <> 3 THEN n_chars % 97 END AS like_count, CASE WHEN doc_id % 11 <> 5 THEN n_chars % 13 END AS comment_count,
+  CASE doc_id % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'oembed' ELSE 'rss' END AS source, CASE doc_id % 10 WHEN 1 THEN 'unlisted' WHEN 2 THEN 'private' ELSE 'public' END AS privacy_status,
+  CASE WHEN lang IS NOT NULL THEN ['https://example.org/wiki/' || lang || '_the_texts'] END AS topic_categories, CASE WHEN doc_id % 5 = 0 THEN 'here' END AS recording_location_name, CASE WHEN doc_id % 4 = 0 THEN 1.5 END AS recording_lat,
+  CASE WHEN doc_id % 8 = 0 THEN 2.5 END AS recording_lng, TIMESTAMP '2024-01-01' + to_hours(doc_id::INTEGER) + to_days((doc_id % 17)::INTEGER) AS recording_date FROM v0)"""
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,20 +52,22 @@ CATALOG = """c AS (SELECT CAST(p_partkey AS VARCHAR) AS video_id, p_brand AS cha
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = videos(spark, sf_dir).select("channel_id").distinct()
-    return c.select("channel_id", F.concat(F.lit("Channel "), "channel_id").alias("title"), (F.regexp_extract("channel_id", "([0-9]+)", 1).cast("int") % 2 == 1).alias("competitor"))
+    n = F.regexp_extract("channel_id", "([0-9]+)", 1).cast("long")
+    return c.select("channel_id", F.concat(F.lit("Channel "), "channel_id").alias("title"), (n % 2 == 1).alias("competitor"), (n * 7000).alias("subscriber_count"), F.timestamp_seconds(F.lit(1704067200) + n * 86400).alias("fetched_at"))
 
 
-CHANNELS = "ch AS (SELECT DISTINCT channel_id, 'Channel ' || channel_id AS title, regexp_extract(channel_id, '([0-9]+)', 1)::INT % 2 = 1 AS competitor FROM v)"
+CHANNELS = """ch AS (SELECT channel_id, 'Channel ' || channel_id AS title, k % 2 = 1 AS competitor, k * 7000 AS subscriber_count, TIMESTAMP '2024-01-01' + to_days(k::INTEGER) AS fetched_at
+  FROM (SELECT DISTINCT channel_id, regexp_extract(channel_id, '([0-9]+)', 1)::BIGINT AS k FROM v))"""
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     s = j.select(F.col("doc_id").cast("string").alias("video_id"), (F.col("quality") * 60 + F.col("doc_id") % 40).cast("double").alias("seo_score"), ((1 - F.col("toxic")) * 50 + F.col("doc_id") % 50).cast("double").alias("geo_score"))
-    return s.withColumn("total_score", round_to(0.6 * F.col("seo_score") + 0.4 * F.col("geo_score")))
+    return s.withColumn("total_score", round_to((F.col("seo_score") + F.col("geo_score")) / 2))
 
 
 SCORES = """sc AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, (quality * 60 + doc_id % 40)::DOUBLE AS seo_score, ((1 - toxic) * 50 + doc_id % 50)::DOUBLE AS geo_score,
-  floor((0.6::DOUBLE * (quality * 60 + doc_id % 40) + 0.4::DOUBLE * ((1 - toxic) * 50 + doc_id % 50)) * 100 + 0.5) / 100 AS total_score FROM labels JOIN documents USING (doc_id))"""
+  floor((quality * 60 + doc_id % 40 + (1 - toxic) * 50 + doc_id % 50)::DOUBLE / 2 * 100 + 0.5) / 100 AS total_score FROM labels JOIN documents USING (doc_id))"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +75,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy(F.col("event_type").alias("keyword"), F.date_trunc("day", "ts").alias("at")).agg(F.round(F.avg("value"), 6).alias("opportunity_score"))
+    day = events(spark, sf_dir).groupBy(F.concat(F.lit("the "), F.col("event_type")).alias("keyword"), F.date_trunc("day", "ts").alias("at")).agg(F.round(F.avg("value"), 6).alias("opportunity_score"), F.count("*").alias("serp_total"))
+    volume = F.when(F.col("serp_total") % 3 == 0, "High").when(F.col("serp_total") % 3 == 1, "Medium").otherwise("Low")
+    return day.withColumns({"competition_score": (F.col("serp_total") % 100).cast("double"), "volume_label": volume, "serp_mean_views": (F.col("serp_total") * 1000).cast("double")})
 
 
-RESEARCH = """rs AS (SELECT event_type AS keyword, date_trunc('day', ts)::TIMESTAMP AS "at", round(avg(value), 6) AS opportunity_score FROM events GROUP BY 1, 2)"""
+RESEARCH = """rs AS (SELECT *, (serp_total % 100)::DOUBLE AS competition_score, CASE serp_total % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS volume_label, (serp_total * 1000)::DOUBLE AS serp_mean_views
+  FROM (SELECT 'the ' || event_type AS keyword, date_trunc('day', ts)::TIMESTAMP AS "at", round(avg(value), 6) AS opportunity_score, count(*) AS serp_total FROM events GROUP BY 1, 2))"""
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,12 @@
-"""Readers for feeds, API answers, search results and captions (inventory S7-S16, Z1)."""
+"""Readers for feeds, API answers, search results and captions (inventory S7-S16, Z1, Z14)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions.numbers import iso_seconds
+from corpuscle.functions.text import strip, words
 
 
 def channel_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -82,46 +80,45 @@ def suggestions(payload: Column) -> Column:
     return F.regexp_extract_all(payload, F.lit(r'\["((?:[^"\\]|\\.)*)",0'), F.lit(1))
 
 
-def spoken_text(vtt: str | None) -> str:
-    """The text of WebVTT captions: one line for each cue, without header, marks, numbers, notes and what repeats the line before."""
-    import re
+def caption_lines(vtt: Column) -> Column:
+    """The cues of WebVTT captions as arrays of clean lines, in order.
 
-    out: list[str] = []
-    cue: list[str] = []
-    header = True
+    Cues begin with a line that has an arrow; the header ends with the first blank line. Numbers and lines of notes and styles go, as do marks and the
+    speaker's sign at the start of a line.
+    """
+    rows = F.transform(F.split(F.coalesce(vtt, F.lit("")), r"\r?\n"), strip)
+    blank = F.array_position(rows, F.lit(""))
+    body = F.when(blank > 0, F.slice(rows, F.lit(1) + blank.cast("int"), F.size(rows))).otherwise(F.slice(rows, 1, 0))
+    said = F.filter(body, lambda x: ~F.rlike(x, F.lit("^[0-9]*$")) & (~F.rlike(x, F.lit("^(NOTE |STYLE)")) | F.contains(x, F.lit("-->"))))
+    clean = F.transform(said, lambda x: F.when(F.contains(x, F.lit("-->")), F.lit(CUE)).otherwise(strip(F.regexp_replace(strip(F.regexp_replace(x, "<[^>]*(>|$)", "")), "^>>", ""))))
+    cues = F.split(F.array_join(F.filter(clean, lambda x: x != ""), "\n"), f"(^|\n){CUE}(\n|$)|{CUE}\n?")
+    return F.filter(F.transform(cues, lambda c: F.filter(F.split(c, "\n"), lambda x: x != "")), lambda c: F.size(c) > 0)
 
-    def end() -> None:
-        line = " ".join(cue)
-        if line and (not out or out[-1] != line):
-            out.append(line)
-        cue.clear()
 
-    for raw in (vtt or "").splitlines():
-        line = raw.strip()
-        if header:
-            header = bool(line)
-        elif "-->" in line:
-            end()
-        elif line and not line.isdigit() and not line.startswith(("NOTE", "STYLE")):
-            line = re.sub(r"<[^>]*>", "", line).strip()
-            line = re.sub(r"^(>>\s*)+", "", line).strip()
-            if line and line not in cue and not (not cue and out and out[-1] == line):
-                cue.append(line)
-    end()
-    return "\n".join(out)
+#: Stands for a cue's line of times.
+CUE = "\x1e"
 
 
-def transcripts(captions: DataFrame, key: str = "video_id", vtt: str = "vtt") -> DataFrame:
-    """(key, text, word_count) of captions. The fold over lines depends on order, so it runs in Arrow batches."""
+def spoken_text(vtt: Column) -> Column:
+    """The text of captions, a line for each cue: without those that repeat the line before, or, of a cue that begins with it, only what is new."""
+
+    def add(lines: Column, cue: Column) -> Column:
+        last = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit(""))
+        rest = F.when(F.array_join(cue, " ") == last, F.slice(cue, 1, 0)).when(F.get(cue, F.lit(0)) == last, F.slice(cue, 2, F.size(cue))).otherwise(cue)
+        new = F.array_join(rest, " ")
+        return F.when((new == "") | (new == last), lines).otherwise(F.array_append(lines, new))
 
-    kind = captions.schema[key].dataType.simpleString()
+    return F.array_join(F.aggregate(caption_lines(vtt), F.array().cast("array<string>"), add), "\n")
+
+
+def transcripts(captions: DataFrame, key: str = "video_id", vtt: str = "vtt") -> DataFrame:
+    """(key, text, word_count) of captions."""
+    return captions.select(key, spoken_text(F.col(vtt)).alias("text")).withColumn("word_count", F.size(words(F.col("text"))).cast("long"))
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([spoken_text(x.as_py()) for x in batch.column(vtt)], pa.string())], [key, "text"])
 
-    out = captions.select(key, vtt).mapInArrow(fold, f"`{key}` {kind}, text string")
-    return out.withColumn("word_count", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).cast("long"))
+def shown_comments(comments_: DataFrame, most: int = 120) -> DataFrame:
+    """Comments by likes, cut to so many characters for display."""
+    return comments_.select("comment_id", "video_id", "author", F.left("text", F.lit(most)).alias("text"), "like_count").orderBy(F.desc("like_count"), "comment_id")
 
 
 # The names of video categories by number.

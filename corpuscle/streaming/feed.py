@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,25 +43,53 @@ def into_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str, fields: list[str], every: str | None = None) -> StreamingQuery:
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str, fields: list[str], every: str | None = None, parts: int = 64) -> StreamingQuery:
     """Each batch is merged into a table by trust in its source, each key once, the last by `seq`.
 
-    The table is versioned by batch, a folder each, so that a batch that is run again writes the same folder and nothing else.
+    The table is dealt to so many parts by hash of the key. A batch reads and writes only the parts that its keys fall in, each as a folder of
+    the part and batch, so that a batch that is run again writes the same folders and nothing else. See current().
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy(key).agg(F.max(F.struct("seq", *fields, "source")).alias("r")).select(key, *[F.col("r")[f].alias(f) for f in [*fields, "source"]])
-        if number:
-            stored = spark.read.parquet(f"{path}/version={number - 1}").drop("outcome")
-        else:
-            stored = last.limit(0)
-        merge_by_source(stored, last, key, fields).write.mode("overwrite").parquet(f"{path}/version={number}")
+        last = last.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = [r["part"] for r in last.select("part").distinct().collect()]  # at most `parts`
+        if touched:
+            stored = current(spark, path, before=number)
+            stored = last.limit(0) if stored is None else stored.where(F.col("part").isin(*touched)).select(last.columns)
+            out = merge_by_source(stored, last, key, fields).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+            out.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table that upsert_batches() has written: of each part the newest batch's rows; None before the first. before: as it was before that batch."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    newest = rows.groupBy("part").agg(F.max("batch").alias("batch"))  # a row for each part
+    return rows.join(F.broadcast(newest), ["part", "batch"])
+
+
+def latest_by_day(stream: DataFrame, path: str, checkpoint: str, key: str, at: str, value: str, late: str = "2 days") -> StreamingQuery:
+    """The last value of each key and day, kept up as batches come: each writes the days that it changed, and state older than the watermark goes. See daily()."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return daily_last(stream, key, at, value, late).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def daily(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """What latest_by_day() has written: (key, day, value) by the newest batch that changed it."""
+    return spark.read.parquet(path).groupBy(key, "day").agg(F.max_by(value, "batch").alias(value))
+
+
 def change_feed(stream: DataFrame, counts: Callable[[SparkSession], dict[str, int]], emit: Callable[[dict[str, int]], None], checkpoint: str, every: str = "5 seconds") -> StreamingQuery:
     """After each batch the counts are taken again and passed on, the first time and whenever they differ."""
     last: list[dict[str, int]] = []

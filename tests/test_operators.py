@@ -93,7 +93,9 @@ def test_close_sets(spark):
 def test_tags(spark):
     v = videos(spark, {"tags": ["X", "y"]}, {"tags": ["x"], "channel_id": "b"}, {"tags": ["z"], "channel_id": "b"}, {"tags": ["z"], "channel_id": "b"})
     assert [(r["tag"], r["opportunity"]) for r in R.tag_gaps(v, "a").collect()] == [("z", 2.0)]
-    assert [(r["tag"], r["uses"]) for r in R.missing_tags(v, "a").collect()] == [("z", 2)]
+    rivals = spark.createDataFrame([("b",)], "channel_id string")
+    assert [(r["tag"], r["uses"], round(r["opportunity"], 4)) for r in R.missing_tags(v, rivals, "a").collect()] == [("z", 2, 66.6667)]  # of three uses, an own tag's among them
+    assert R.missing_tags(v, rivals.limit(0), "a").count() == 0
     known = spark.createDataFrame([("x",), ("none",)], "tag string")
     assert rows(R.tag_cloud(known, R.video_tags(v)), "tag", "uses") == [("none", 0), ("x", 2)]
 
@@ -107,9 +109,22 @@ def test_search(spark):
     assert many[0]["score"] == pytest.approx(twice[1])
     r = {x["id"]: x["resonance"] for x in search.resonance(docs, "id", F.col("text"), "rust").collect()}
     assert r[1] == 0 and r[2] == pytest.approx(found[1])
-    assert search.matches(docs, "id", F.col("text"), "").count() == 0
+    assert search.matches(docs, "id", F.col("text"), "").count() == 0 and search.matches(docs.limit(0), "id", F.col("text"), "rust").count() == 0
+    assert search.field("body") is None and search.matches_in(videos(spark, {"tags": ["Rust"]}), "tags", "rust!").count() == 1 and search.matches_in(videos(spark, {}), "body", "t").count() == 0
 
 
+def test_first_own_position(spark):
+    found = spark.createDataFrame([("k", "a", "r", 3.0), ("k", "b", None, 2.5), ("k", "c", "o", 2.0), ("k", "d", "o", 2.0), ("m", "a", "r", 1.0)] + [("n", f"x{i}", "r", 9.0 - i / 9) for i in range(12)] + [("n", "z", "o", 1.0)], "keyword string, video_id string, channel_id string, score double")
+    rivals = spark.createDataFrame([("r",)], "channel_id string")
+    assert sorted(map(tuple, search.first_own_position(found, rivals).collect())) == [("k", "c", 3), ("n", "z", None)]
+
+
+def test_topics(spark):
+    v = videos(spark, {"title": "rust", "view_count": 5000}, {"title": "a rust", "view_count": 3000}, {"title": "rust!", "view_count": 8000}, {"title": "rusty", "view_count": 90000}).withColumn("seo_score", F.lit(10.0))
+    assert rows(search.topic_outliers(v, "Rust", 1.5), "video_id") == [("2",)] and search.topic_outliers(v.withColumn("view_count", F.lit(0)), "rust", 1.0).count() == 0
+    assert [r["video_id"] for r in search.keyword_best(v, "RUST a", 5).collect()] == ["1"]
+    assert search.topic_cluster(v.withColumn("view_count", F.lit(0))).first()["blend"] == pytest.approx(7)
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [1.0, 0.0]), (4, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in vectors.nearest(v, [0.0, 0.0], 3).collect()] == [1, 3, 4]
@@ -147,7 +162,7 @@ def test_publishing(spark):
 
 @pytest.mark.parametrize("values,verdict", [([10, 12, 14, 16, 18], "rising"), ([50, 46, 42, 38, 34], "falling"), ([10, 11, 9, 10.5], "flat"), ([1, 2], None)])
 def test_forecast(spark, values, verdict):
-    s = spark.createDataFrame([("k", float(i * 7), float(v)) for i, v in enumerate(values)], "k string, days double, value double")
+    s = spark.createDataFrame([("k", float(i), float(v)) for i, v in enumerate(values)], "k string, days double, value double")
     out = forecast.forecast(s, "k").collect()
     assert [r["verdict"] for r in out] == ([verdict] if verdict else [])
     if verdict == "rising":
@@ -181,7 +196,7 @@ def test_paths_and_components(spark, size):
     both = graph.both_ways(e)
     assert graph.shortest_path(both, "a", "d") == ["a", "b", "c", "d"]
     assert graph.shortest_path(both, "a", "a") == ["a"] and graph.shortest_path(both, "a", "y") is None
-    assert rows(graph.neighbourhood(both, "a", 2), "id", "hop") == [("a", 0), ("b", 1), ("c", 2)]
+    assert rows(graph.neighbourhood(both, "a", 2), "id", "hop") == [("a", 0), ("b", 1), ("c", 2)] and rows(graph.within_hops(both, "a", 2), "id", "hop") == [("b", 1), ("c", 2)]
     assert rows(graph.components(nodes(spark, "abcdxyz"), e), "id", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x"), ("z", "z")]
     line = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))
     assert rows(graph.articulation_points(nodes(spark, "abcd"), line), "id") == [("b",), ("c",)]
@@ -306,10 +321,17 @@ def test_duplicates_and_placeholders(spark):
     assert rows(d, "video_id", "winner") == [("0", "1"), ("2", "1")]
     comments = spark.createDataFrame([("0", "x"), ("3", "y")], "video_id string, text string")
     assert rows(merge.without_duplicates(comments, d, True), "video_id") == [("1",), ("3",)]
-    ch = spark.createDataFrame([("@Me", None), ("UC1", "@me")], "channel_id string, handle string")
-    m = merge.channel_merges(ch)
-    assert rows(m, "placeholder", "channel_id") == [("@Me", "UC1")]
-    e = spark.createDataFrame([("@Me", "UC1", 1.0), ("@Me", "UC2", 1.0), ("UC1", "UC2", 1.0)], "from_channel string, to_channel string, weight double")
+    none = spark.createDataFrame([], "channel_id string, handle string")
+    batch = lambda *ids: spark.createDataFrame([(c, h, i) for i, (c, h) in enumerate(ids)], "channel_id string, handle string, seq int")
+    m = merge.channel_merges(batch(("@me", "@me"), ("UC1", "@me")), none)  # a placeholder, then the real one
+    assert rows(m, "placeholder", "channel_id") == [("@me", "UC1")]
+    stored = spark.createDataFrame([("UC1", "@me")], "channel_id string, handle string")
+    late = batch(("@me", "@me"), ("UC1", "@me"), ("UC3", "@me"), ("UC9", None))
+    known = merge.channel_merges(late, stored)  # a stored real one stays, another real one gives way
+    assert rows(known, "placeholder", "channel_id") == [("@me", "UC1"), ("UC3", "UC1")] and rows(merge.channel_rows(late, known, stored), "channel_id") == [("UC9",)]
+    assert merge.channel_merges(batch(("UCa", "@a"), ("UCb", "@b")), none).count() == 0
+    assert rows(merge.channel_merges(batch(("UC1", "@me")), spark.createDataFrame([("@me", "@me")], "channel_id string, handle string")), "placeholder", "channel_id") == [("@me", "UC1")]
+    e = spark.createDataFrame([("@me", "UC1", 1.0), ("@me", "UC2", 1.0), ("UC1", "UC2", 1.0)], "from_channel string, to_channel string, weight double")
     assert rows(merge.repoint_edges(e, m), "from_channel", "to_channel") == [("UC1", "UC2")]
 
 
@@ -322,7 +344,16 @@ def test_scores(spark):
     assert len(out) == 3 and all(0 <= r["total_score"] <= 100 for r in out.values())
     assert len(out["0"]["components"]) == 25 and out["0"]["components"]["title_front"] == 100 and out["0"]["components"]["keyword_triple"] == 100
     assert out["0"]["seo_score"] > out["2"]["seo_score"]
-    assert scoring.score_videos(v, []).count() == 3
+    own = {r["video_id"]: r for r in scoring.score_videos(v, []).collect()}  # each title is its own query
+    assert len(own) == 3 and own["0"]["components"]["keyword_title"] > 0 and own["2"]["components"]["keyword_title"] == 0 and own["0"]["components"]["title_front"] == 100
+    row = out["0"]
+    mean = lambda w: sum(row["components"][k] * x for k, x in w.items()) / sum(w.values())
+    seo, geo = mean(scoring.S.SEO_WEIGHTS), mean(scoring.S.GEO_WEIGHTS)
+    assert row["seo_score"] == pytest.approx(seo, abs=0.006) and row["total_score"] == pytest.approx((seo + geo) / 2, abs=0.006)
+    alone = {r["video_id"]: r["seo_score"] for r in scoring.metadata_score(v).collect()}
+    assert alone["0"] > alone["2"]
+    told = [r["component"] for r in scoring.checklist(v.where("video_id = '0'"), []).orderBy("nth").collect()]
+    assert "keyword_title" in told and "tags_quality" in told
     known = spark.createDataFrame([("0",)], "video_id string")
     assert rows(scoring.backfill(v, known, ["rust"]), "video_id") == [("1",), ("2",)]
     assert scoring.detail(scoring.score_videos(v, ["rust"]), ["title_front"]).count() == 3
@@ -345,6 +376,138 @@ def test_csv_of_whole_texts(spark, tmp_path):
     assert out == {0: '"' + "a" * 100 + ', ""b""\nc"', 1: "d" * 100, 2: "", 3: None}
 
 
+def test_covered_topics(spark):
+    topics = spark.createDataFrame([(k,) for k in ("rust ownership", "ownership in rust explained", "rust server deployment", "async database", "react state", "rust", "rust rust")], "keyword string")
+    own = lambda *titles: videos(spark, *[{"title": t} for t in titles])
+    assert rows(reports.covered_topics(topics, own("Rust ownership", "borrowing: lifetime async")), "keyword") == [("ownership in rust explained",), ("rust ownership",), ("rust rust",)]
+    assert reports.covered_topics(topics, own()).count() == 0
+
+
+def test_census(spark):
+    v = spark.createDataFrame([("api", 100, None, None, None), ("rss", 100, None, None, "private"), ("oembed", 5, 2, 1, "unlisted")], "source string, view_count long, like_count long, comment_count long, privacy_status string")
+    r = reports.census(v).first()
+    assert (r["disabled_videos"], r["disabled_view_count"], r["disabled_like_count"], r["disabled_comment_count"], r["unlisted"], r["private"]) == (1, 0, 1, 1, 1, 1)
+    assert r["engagement_complete"] == pytest.approx((100 + 100 / 3 + 100) / 3, abs=0.006) and reports.census(v.limit(0)).first()["engagement_complete"] == 0
+
+
+def test_scorecard(spark):
+    v = videos(spark, {"tags": ["rust db"], "view_count": 10}, {"tags": ["go"], "channel_id": "b", "title": "How to 7"}, {"channel_id": "c", "tags": ["rust"]}, *[{"channel_id": "a", "view_count": n, "tags": []} for n in (1, 2, 3, 4, 5)])
+    scores = spark.createDataFrame([("0", 50.0, 1.0), ("3", 70.0, 1.0)], "video_id string, seo_score double, total_score double")
+    channels = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")], "channel_id string, title string")
+    r = {x["channel_id"]: x for x in reports.scorecard(v, scores, channels).collect()}
+    assert r["a"]["views_growth"] == pytest.approx(round(12 / 13, 2)) and (r["a"]["seo_avg"], r["a"]["seo_median"], r["a"]["seo_min"], r["a"]["seo_max"], r["a"]["scored"]) == (60, 60, 0, 70, 2)
+    assert (r["a"]["tag_overlap"], r["b"]["tag_overlap"], r["d"]["tag_overlap"]) == (0, 0, 0) and r["b"]["howto_ratio"] == r["b"]["digit_ratio"] == 1 and r["d"]["videos"] == 0
+    two = {x["channel_id"]: x["tag_overlap"] for x in reports.scorecard(v, scores, channels.where("channel_id in ('a', 'c')")).collect()}
+    assert two["a"] == two["c"] == two[None] == 0.5
+    assert r[None]["total_views"] == 1 and r[None]["videos"] is None
+
+
+def test_alerts(spark):
+    v = videos(spark, {"title": "Rust one"})
+    channels = spark.createDataFrame([("a", "A", day(0)), ("b", "B", day(20))], "channel_id string, title string, fetched_at timestamp")
+    tracked, rivals = spark.createDataFrame([("rust db",), ("go",)], "keyword string"), spark.createDataFrame([("b",), ("x",)], "channel_id string")
+    none = spark.createDataFrame([], "kind string, channel_id string, message string")
+    out = reports.alerts(v, tracked, channels, rivals, none, day(21), quota=10_000, broken="bad")
+    assert rows(out, "kind", "severity") == [("brand", "warn"), ("gap", "info"), ("gap", "info"), ("gap", "warn"), ("integrity", "critical"), ("quota", "critical")]
+    assert {r["message"] for r in out.where("kind = 'gap'").collect()} == {"channel 'A' stale (fetched 2024-01-01T00:00:00Z)", "new competitor detected: B", "new competitor detected: x"}
+    assert reports.alerts(v, tracked, channels, rivals, out, day(21), quota=10_000, broken="bad").count() == 0
+    assert rows(reports.alerts(v.limit(0), tracked, channels, rivals.limit(0), none, day(3), quota=7_900), "kind") == []
+
+
+def test_ideas(spark):
+    v = videos(spark, {"title": "rust db", "view_count": 100}, {"title": "rust rust go", "channel_id": "b"}, {"title": "cooking"}, {"title": "go"}).withColumns({"like_count": F.lit(4), "comment_count": F.lit(0)})
+    scores = spark.createDataFrame([("0", 80.0, 90.0), ("2", 10.0, 20.0)], "video_id string, seo_score double, total_score double")
+    central = spark.createDataFrame([("a", 0.5)], "channel_id string, centrality double")
+    out = {r["video_id"]: r for r in reports.ideas(v, scores, central, ["rust", "db"], "go").collect()}
+    assert set(out) == {"0", "1", "2"} and [out[i]["rationale"]["keyword"] for i in "012"] == ["rust", "rust", ""]
+    r = out["0"]["rationale"]  # all of two terms of three, two matches of twenty, half the centrality, an engagement of 4 %
+    assert (r["idea_fit"], r["demand_matches"], r["engagement_boost"], r["competitor_gap"]) == (66.67, 2, 0.25, 6.25)
+    assert out["0"]["score"] == pytest.approx(0.5 * 80 + 0.3 * 200 / 3 + 0.2 * 6.25, abs=0.006)
+    from corpuscle.plans import scoring
+
+    alone = scoring.score_rows(v.where("video_id = '1'").withColumn("kws", F.array(F.lit("rust"))), v).first()["seo_score"]
+    assert out["1"]["rationale"]["seo_total"] == alone > 0 and out["2"]["rationale"]["demand_matches"] == 0
+    assert reports.ideas(v, scores, central, [], None).first()["rationale"]["idea_fit"] == 50
+
+
+def test_audit_and_actions(spark):
+    v = videos(spark, *[{"title": f"part {i} loop", "tags": list("abcde"), "view_count": 100, "published_at": day(7 * i)} for i in range(4)], {"channel_id": "b", "view_count": 400}).withColumns({"like_count": F.lit(1), "comment_count": F.lit(1)})
+    scores = spark.createDataFrame([("0", 50.0)], "video_id string, seo_score double")
+    channels = spark.createDataFrame([("a", "A", 50_000), ("b", None, None)], "channel_id string, title string, subscriber_count long")
+    r = {x["channel_id"]: x for x in reports.audit(v, scores, channels).collect()}
+    a, b = r["a"], r["b"]
+    assert (a["metadata"], a["consistency"], a["engagement"], a["tags"], a["series"], a["authority"]) == (50, 100, 100, 100, 100, 37.5)
+    assert a["overall"] == pytest.approx(15 + 15 + 20 + 15 + 10 + 3.75) and a["grade"] == "B" and a["verdict"] == "A is strong. Biggest lever: authority (38/100)."
+    assert (b["title"], b["consistency"], b["authority"], b["grade"]) == ("b", 50, 50, "F") and b["verdict"].startswith("b needs work — start with metadata (0/100)")
+    todo = [(x["area"], x["impact"]) for x in reports.actions(reports.audit(v, scores, channels)).where("channel_id = 'a'").collect()]
+    assert todo == [("metadata", "High"), ("authority", "Low")]
+
+
+def test_gap_opportunities(spark):
+    topics = spark.createDataFrame([("rust async", 60.0, 80_000.0, 2, True, False), ("saturated", 5.0, 10_000.0, 8, False, False), ("loop", 30.0, 1.0, 3, False, True), ("zero", 90.0, 0.0, 1, True, False), ("plain", 70.0, 5.0, 4, False, False)], "topic string, score double, mean_views double, channels long, no_short boolean, is_series boolean")
+    out = {r["topic"]: r for r in reports.gap_opportunities(topics).collect()}
+    assert set(out) == {"rust async", "loop", "plain"} and "Short" in out["rust async"]["action"] and out["loop"]["action"].startswith("Start a series on loop") and out["plain"]["action"] == "Cover plain with a fresh angle — only 4 channel(s) own it"
+    assert (out["plain"]["prediction"], out["rust async"]["prediction"], out["loop"]["prediction"]) == ("Very High", "High", "Medium")
+
+
+def test_keyword_reports(spark):
+    r = spark.createDataFrame([("rust", day(i), 10.0 + 2 * i, 5.0, "High", 9, 1000.0) for i in range(5)] + [("go", day(0), 40.0, 1.0, "Low", 3, 10.0)], "keyword string, at timestamp, opportunity_score double, competition_score double, volume_label string, serp_total long, serp_mean_views double")
+    out = {x["keyword"]: x for x in reports.keyword_opportunities(r).collect()}
+    assert out["go"]["verdict"] == "no-history" and out["go"]["trend"] == [] and out["rust"]["verdict"] == "rising" and [p["label"] for p in out["rust"]["trend"]] == ["01-01", "01-02", "01-03", "01-04", "01-05"]
+    best = reports.next_videos(r, videos(spark, {"title": "cooking"})).collect()
+    assert [(x["topic"], x["verdict"], x["reliability"]) for x in best] == [("go", "no-history", "low"), ("rust", "rising", "medium")] and best[1]["title"] == "rust, Explained" and best[1]["next_opportunity"] == pytest.approx(32)
+    f = forecast.keyword_report(r, reports.series(r)).collect()
+    assert [x["keyword"] for x in f] == ["rust", "go"] and f[0]["next_opportunity"] == pytest.approx(32) and forecast.forecast(reports.series(r), "keyword", horizon=0).first()["next"] == pytest.approx(32)
+    s = spark.createDataFrame([("a", float(i), float(i * i)) for i in range(4)] + [("b", 0.0, 1.0), ("b", 1.0, None), ("b", 2.0, 3.0), ("b", 3.0, 3.0)], "channel_id string, days double, value double")
+    c = forecast.channel_report(spark.createDataFrame([("a", "A"), ("b", "B")], "channel_id string, title string"), s, "b").collect()
+    assert [(x["channel_id"], x["is_own"], x["verdict"] is None) for x in c] == [("a", False, False), ("b", True, True)]
+
+
+def test_overview(spark):
+    v = videos(spark, {"view_count": 5, "title": "old"}, {"view_count": 5, "title": "best"}, {"channel_id": "b", "view_count": 10}, {"channel_id": "b", "view_count": 30}, {"channel_id": "c", "view_count": 900})
+    scores = spark.createDataFrame([("0", 10.0), ("2", 20.0), ("3", 40.0), ("4", 99.0)], "video_id string, total_score double")
+    channels = spark.createDataFrame([("b", "B", 7)], "channel_id string, title string, subscriber_count long")
+    r = reports.own_overview(v, scores, channels, spark.createDataFrame([("b",)], "channel_id string"), "a").first()
+    assert (r["channel_name"], r["subscriber_count"], r["video_count"], r["total_views"], r["avg_views"], r["avg_score"], r["best_video_title"]) == ("My Channel", 0, 2, 10, 5, 10, "best")
+    assert (r["competitors"], r["median_subscribers"], r["median_views"], r["median_score"]) == (1, 7, 20, 30)
+
+
+def test_graph_helpers(spark):
+    v = videos(spark, {"tags": ["rust"]}, {"tags": ["rust"], "channel_id": "b"})
+    assert graph.content_hash(v) == graph.content_hash(v.orderBy(F.desc("video_id"))) != graph.content_hash(v.limit(1))
+    n, e = nodes(spark, "ab"), edges(spark, ("a", "b"))
+    first = graph.centrality_of(v, n, e)
+    assert graph.centrality_of(v, n, e, first)[1] is first[1] and graph.centrality_of(v.limit(1), n, e, first)[1] is not first[1]
+    links = graph.relations(v, spark.createDataFrame([], "from_channel string, to_channel string, weight double"))
+    central = spark.createDataFrame([("channel:a", 0.2), ("channel:b", 0.4), ("tag:rust", 0.3)], "id string, centrality double")
+    got = graph.graph_scores(v, links, central, spark.createDataFrame([("channel:a", "t", "video:0")], "channel string, topic string, video string"), ["rust"])
+    assert rows(got, "video_id", "topic_dominance", "keyword_competition") == [("0", 100, 0), ("1", 0, 0)] and got.first()["tag_authority"] == pytest.approx(30)
+    one = spark.createDataFrame([("a", 8.0)], "id string, score double")
+    far = spark.createDataFrame([("b", 0.5), ("c", 0.1)], "id string, score double")
+    depth = spark.createDataFrame([("b", 1), ("c", 3)], "id string, hop int")
+    groups = spark.createDataFrame([("a", 1), ("d", 1)], "id string, community int")
+    none = one.limit(0)
+    assert rows(graph.fuse(one, none, far, community=groups, depths=depth), "id", "score", "depth") == [("a", 100, 0), ("b", 50, 1), ("c", 10, 3), ("d", 10, 1)]
+    assert rows(graph.fuse(one, none, far, community=groups, depths=depth, mode="local"), "id") == [("a",), ("b",)]
+    assert rows(graph.fuse(one, none, far, entities_=spark.createDataFrame([("b", "tag")], "id string, type string"), kind="tag"), "id") == [("b",)]
+
+
+def test_logs(spark):
+    seeds = spark.createDataFrame([(1, True), (2, False)], "seed_id long, active boolean")
+    assert rows(R.active_seeds(seeds), "seed_id") == [(1,)]
+    run = merge.research_run("rust", ["v1", "v2"], 5.0, "search", 12, day(1), spark).first()
+    assert (run["video_count"], run["researched_at"]) == (2, day(1)) and R.status_count(merge.attempt("rust", "skipped", "cooldown", day(1), spark), "skipped") == 1
+    history = spark.createDataFrame([("rust", day(2)), ("rust", day(5)), ("go", day(3))], "topic string, researched_at timestamp")
+    assert [r["researched_at"] for r in R.topic_history(history, "rust").collect()] == [day(5), day(2)]
+    research = spark.createDataFrame([("rust", day(2)), ("go", day(3)), ("rust", day(1))], "keyword string, at timestamp")
+    assert [(r["keyword"], r["at"]) for r in R.research_history(research).collect()] == [("go", day(3)), ("rust", day(1)), ("rust", day(2))]
+    assert merge.by_handle(spark.createDataFrame([("UCb", "@x"), ("UCa", "@x")], "channel_id string, handle string"), "@x").first()["channel_id"] == "UCa"
+    assert merge.rejected_log(spark.createDataFrame([("bad", "rejected")], "line string, kind string"), "b1", day(0)).first()["status"] == "failed"
+    v = spark.createDataFrame([(1, [0.0, 3.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    put = vectors.put(v, spark.createDataFrame([(2, [4.0, 3.0])], v.schema))
+    assert vectors.distance_to(put, 2, [4.0, 0.0]).first()["distance"] == 9 and vectors.distance_to(put, 2, [1.0]).count() == 0
+
+
 def test_small_helpers(spark):
     v = videos(spark, {"tags": ["A", "b"]}, {"tags": ["a"]})
     assert rows(R.flattened(v, "tags"), "value") == [("A",), ("b",)]
