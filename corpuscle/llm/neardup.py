@@ -298,6 +298,6 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents without all but the first row of each class; those with null text stay."""
     aside = {c: f"_given{i}" for i, c in enumerate(documents.columns) if c in ("_bands", "_node", "_row")}
-    table, found = classes(documents.withColumnsRenamed(aside), key, text, **how)
+    table, found = classes(documents.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in documents.columns]), key, text, **how)
     names = table.select("_row", "_node").join(found, "_node").where("_row <> first_row").select("_row")
-    return table.join(keep(names, "copies"), "_row", "left_anti").select(*[F.col(aside.get(c, c)).alias(c) for c in documents.columns])
+    return table.join(keep(names, "copies"), "_row", "left_anti").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in documents.columns])

@@ -60,6 +60,46 @@ def test_language_id_parts():
     assert langid.fit_temperature(logits, np.array([0, 0, 1, 1])) > 1
 
 
+def test_leader_by_hand(monkeypatch):
+    """Weights by the textbook's step for one coordinate at a time."""
+    monkeypatch.setattr(langid, "BUCKETS", 12)
+    rng = np.random.default_rng(3)
+    data = [(np.r_[np.sort(rng.choice(12, 4, replace=False)), 12], np.r_[rng.random(4) * 2, 1.0]) for _ in range(30)]
+    labels = [int(at[0]) % 3 for at, _ in data]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.6, 0.01
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        v = z[i, c]
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+
+    for _ in range(4):
+        for (at, x), y in zip(data, labels):
+            logits = [sum(v * weight(i, c) for i, v in zip(at.tolist(), x)) for c in range(3)]
+            total = sum(math.exp(v) for v in logits)
+            for c in range(3):
+                for i, v, w in [(i, v, weight(i, c)) for i, v in zip(at.tolist(), x)]:
+                    g = v * (math.exp(logits[c]) / total - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha * w
+                    n[i, c] += g * g
+    want = [[weight(i, c) for c in range(3)] for i in range(13)]
+    assert langid.follow_the_leader(data, labels, 3, 4, alpha, beta, l1, l2) == pytest.approx(np.array(want))
+    assert any(w == 0 for row in want for w in row)  # sparse
+
+
+def test_document_frequencies_and_sample(spark, corpus):
+    rows = corpus.where("doc_id < 60")
+    n, df = langid.document_frequencies(rows, "text")
+    want = Counter()
+    for r in rows.collect():
+        want.update(set(langid.counts(langid.characters(r["text"].encode()))[0].tolist()))
+    assert n == 60 and {i: int(df[i]) for i in np.flatnonzero(df)} == want
+    languages, labels, found = langid.training_sample(rows, "doc_id", "text", "lang", 30, 10**9)
+    assert languages == ["de", "en", "fr"] and Counter(labels) == {0: 10, 1: 10, 2: 10}
+    assert Counter(langid.training_sample(rows, "doc_id", "text", "lang", 30, 1)[1]) == {0: 1, 1: 1, 2: 1}  # one row for each language at least
+    assert all(n.sum() > 0 for _, n in found)
+
+
 def naive(text):
     words = [w for w in "".join(" " if c in " \t\n\v\f\r" else c for c in text or "").split(" ") if w]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -98,6 +138,60 @@ def test_quality_bands(spark, corpus):
     assert out[2000]["band"] == out[2001]["band"] == "script:Latin" and out[0]["band"] == "lang:en"
 
 
+def test_quality_by_hand(spark, corpus):
+    """Measures, medians and verdicts by plain Python, from the vocabularies' own encoding of each word."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    rows = [(i, made(rng, k := list(SYLLABLES)[i % 3], int(rng.integers(60, 90))) + " #" * (i % 7 == 0) * 30, None if i % 10 == 9 else k) for i in range(120)] + [(500, "漢字仮名" * 9000, "zh"), (501, "漢字 仮名 " * 40, "zh")]
+    sp, tok = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(WORDS)
+    measures = {}
+    for i, text, lang in rows:
+        words = text.split()
+        ids = [x for w in words for x in sp.encode(w)]
+        n = sum(map(len, words))
+        share = [v / len(ids) for v in Counter(ids).values()]
+        entropy = -sum(p * math.log2(p) for p in share) / math.log2(min(len(ids), 32_000))
+        measures[i] = (n / len(ids), n / sum(len(tok.encode(w, add_special_tokens=False).ids) for w in words), sum(3 <= x <= 258 for x in ids) / len(ids), entropy)
+    base = {i: len(t.split()) < 50 or 100 * naive(t)[4] > 50 * len(t.split()) for i, t, _ in rows}
+    middle = lambda v: sorted(v)[math.ceil(len(v) / 2) - 1]
+    by_length = lambda i, k: 1.0 if k == 3 else math.sqrt(len(rows_by[i][1].split()))
+    rows_by = {r[0]: r for r in rows}
+    groups = defaultdict(list)
+    for i, _, lang in rows:
+        if not base[i]:
+            for g in ("lang:" + lang if lang else None, "script:Latin", "all"):
+                groups[g].append(i)
+    out = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(rows, corpus.schema), PIECES, WORDS, reach=2.0, least=30).collect()}
+    kept = 0
+    for i, _, lang in rows:
+        assert [out[i][m] for m in fertility.MEASURES] == pytest.approx(measures[i]), i
+        g = "lang:" + lang if lang and len(groups["lang:" + lang]) >= 30 else "script:Latin" if i < 500 else "all"
+        assert out[i]["band"] == g and out[i]["base_failed"] == base[i]
+        inside = True
+        for k in range(4):
+            mid = middle([measures[j][k] for j in groups[g]])
+            scale = 1.4826 * middle([abs(measures[j][k] - mid) * by_length(j, k) for j in groups[g]])
+            inside &= abs(measures[i][k] - mid) <= max(2.0 * scale / by_length(i, k), 0.03 * mid, 0.002)
+        assert out[i]["kept"] == (inside and not base[i]), i
+        kept += out[i]["kept"]
+    assert 40 < kept < 115
+
+
+LONG = [" ".join(f"w{i * 7919 % 60_000}" for i in range(400_000)), "x" * 150_000, None, ""]
+
+
+def test_long_texts(spark):
+    """Texts of megabytes, and one without white space."""
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(LONG)], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in katz.score(df, F.lit(True)).collect()}
+    assert out[0]["n_tokens"] == 400_001 and out[1]["n_tokens"] == 2 and out[0]["n_known"] == 400_001
+    out = {r["doc_id"]: r for r in fertility.judge(df, PIECES, WORDS).collect()}
+    assert out[0]["n_words"] == 400_000 and out[1]["word_chars"] == 150_000 and out[1]["base_failed"]
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, langid.train(df, sample=10)).collect()}
+    assert out == {0: "en", 1: "en", 2: "und", 3: "und"}
+
+
 def katz_by_hand(texts, learn, order):
     """Every n-gram counted in dictionaries, and a recursion over orders; each context that occurs is checked to sum to one."""
     toks = {i: [w.lower() for w in (t or "").encode().split()] + [None] for i, t in texts.items()}

@@ -26,6 +26,14 @@ def test_shards(spark):
         assert [r["slot"] for r in out if r["shard"] == s] == list(range(sum(r["shard"] == s for r in out)))
 
 
+def test_long_texts(spark):
+    long = "word " * 400_000
+    out = {r["doc_id"]: r for r in shards.shard(docs(spark, long, "x" * 300_000, "a").withColumns({c: F.lit("clash") for c in ("size", "shard", "_part", "before")}), 2).collect()}
+    assert out[0]["size"] == 2_000_001 and out[1]["text_crc32"] == zlib.crc32(b"x" * 300_000)
+    found = {r["doc_id"]: r["notices"] for r in licences.scan(docs(spark, long + "\nReleased under the MIT License.\n" + long, "x" * 300_000)).collect()}
+    assert found == {0: ["MIT"], 1: []}
+
+
 def test_shards_balance(spark):
     out = shards.shard(docs(spark, *["word " * (1 + i % 9) for i in range(800)]), 8)
     got = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]

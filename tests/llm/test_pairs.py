@@ -171,6 +171,30 @@ def test_leaks_whatever_the_slices(spark):
     assert whole and parts == whole
 
 
+def test_long_texts(spark):
+    text = " ".join(f"w{i * 7919 % 60_000}" for i in range(300_000))
+    df = spark.createDataFrame([(0, text), (1, text + " end"), (2, "x" * 200_000), (3, "x" * 200_000 + "y"), (4, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    items = spark.createDataFrame([(7, " ".join(text.split()[5000:5040])), (8, " ".join(text.split()[9000:9900])), (9, "other words " * 20)], "item_id long, text string")
+    for size in (20_000_000, 300):
+        found = {(r["doc_id"], r["item_id"]) for r in decontam.scan(df, items, slice_bytes=size).collect()}
+        assert found == {(d, i) for d in (0, 1) for i in (7, 8)}
+
+
+def test_stages_keep_columns(spark):
+    """Columns named as results of the stages come back as they were."""
+    sf = "/root/testdata/sf0.001"
+    names = ("score", "lang_pred", "kept", "band", "script", "n_words", "entropy", "_lang", "label", "_node", "_row", "piece", "_given_0")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120).withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    docs = docs.unionByName(docs.limit(2).withColumns({"doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string")})).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows if r["doc_id"] is not None for c in names), name
+        assert any(r["text"] is None for r in rows) == (k >= 2), name
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
