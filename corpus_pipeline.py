@@ -25,7 +25,7 @@ LEAST_SCORE = 0.5
 def beside(docs: DataFrame, needed: tuple[str, ...], judge) -> DataFrame:
     """The documents that judge(docs) keeps, when only the needed columns go by their own names inside; the rest is set aside and given back."""
     aside = {c: f"_given_{i}" for i, c in enumerate(docs.columns) if c not in needed}
-    kept = judge(docs.withColumnsRenamed(aside))
+    kept = judge(docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns]))
     return kept.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
