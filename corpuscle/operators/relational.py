@@ -336,37 +336,79 @@ def first_of_each(sources: Sequence[DataFrame], column: str, limit: int | None =
     return out if limit is None else out.orderBy("priority", "ord", column).limit(limit)
 
 
-def close_sets(sets: DataFrame, prefix: Column, measure, least: float) -> DataFrame:
-    """Pairs a < b of rows (video_id, set) whose sets have a measure of at least `least`.
+def near_sets(sets: DataFrame, prefix: Column, measure, least: float) -> DataFrame:
+    """Pairs sx < sy of distinct sets of rows (video_id, set) with a measure of at least `least`.
 
-    Equal sets are one node. Sets that close share one of their rarest elements: only the first `prefix` of them in order of frequency
-    are joined on, so that frequent elements, which come last, bring hardly any pairs together.
+    Sets that close share one of their rarest elements: only the first `prefix` of them in order of frequency are joined on, so that
+    frequent elements, which come last, bring hardly any pairs together.
     """
-    sets = sets.where(F.size("set") > 0)
     nodes = sets.select("set").distinct().withColumn("node", F.xxhash64("set"))
     often = nodes.select(F.explode("set").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
     ranked = nodes.select("node", "set", F.explode("set").alias("item")).join(often, "item")
     nth = F.row_number().over(Window.partitionBy("node", "set").orderBy("df", "item"))
     rare = ranked.withColumn("nth", nth).where(F.col("nth") <= prefix).select("set", "item")
     left, right = rare.select(F.col("set").alias("sx"), "item"), rare.select(F.col("set").alias("sy"), "item")
-    near = left.join(right, "item").where("sx < sy").select("sx", "sy", measure(F.col("sx"), F.col("sy")).alias("value")).where(F.col("value") >= least).distinct()
+    return left.join(right, "item").where("sx < sy").select("sx", "sy", measure(F.col("sx"), F.col("sy")).alias("value")).where(F.col("value") >= least).distinct()
+
+
+def close_sets(sets: DataFrame, prefix: Column, measure, least: float) -> DataFrame:
+    """Pairs a < b of rows (video_id, set) whose sets have a measure of at least `least`. Equal sets give all their pairs; set_links() doesn't."""
+    sets = sets.where(F.size("set") > 0)
     p, q = sets.select(F.col("video_id").alias("p"), F.col("set").alias("sx")), sets.select(F.col("video_id").alias("q"), F.col("set").alias("sy"))
-    across = near.join(p, "sx").join(q, "sy").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "value")
+    across = near_sets(sets, prefix, measure, least).join(p, "sx").join(q, "sy").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "value")
     alike = sets.alias("m").join(sets.alias("n"), "set").where("m.video_id < n.video_id").select(F.col("m.video_id").alias("a"), F.col("n.video_id").alias("b"), measure(F.col("set"), F.col("set")).alias("value"))
     return across.union(alike.where(F.col("value") >= least))
 
 
+def set_links(sets: DataFrame, prefix: Column, measure, least: float) -> DataFrame:
+    """A row (video_id, class_id, links) for each row (video_id, set): the least id with an equal set, and how many others are as close as close_sets() asks.
+
+    Equal sets are one class, whose pairs are counted but never made. Empty sets have no links.
+    """
+    classes = sets.groupBy("set").agg(F.min("video_id").alias("class_id"), F.count("*").alias("n"))
+    some = classes.where(F.size("set") > 0)
+    near = near_sets(some, prefix, measure, least)
+    both = near.select("sx", "sy").union(near.select("sy", "sx"))
+    outside = both.join(some.select(F.col("set").alias("sy"), "n"), "sy").groupBy(F.col("sx").alias("set")).agg(F.sum("n").alias("others"))
+    own = F.when((F.size("set") > 0) & (measure(F.col("set"), F.col("set")) >= least), F.col("n") - 1).otherwise(0)
+    counted = classes.join(outside, "set", "left").select("set", "class_id", (own + F.coalesce("others", F.lit(0))).alias("links"))
+    return sets.join(counted, "set").select("video_id", "class_id", "links")
+
+
+def item_sets(rows: DataFrame, item: str) -> DataFrame:
+    return rows.where(F.col(item).isNotNull()).groupBy("video_id").agg(F.array_sort(F.collect_set(item)).alias("set"))  # the items of one video
+
+
+def common(x: Column, y: Column) -> Column:
+    return F.size(F.array_intersect(x, y)).cast("double")
+
+
 def shared_items(rows: DataFrame, item: str, weight: float = 1.0, least: int = 1) -> DataFrame:
     """Pairs (a, b) of videos that share at least so many items, with their number times a weight; rows are (video_id, item)."""
-    sets = rows.where(F.col(item).isNotNull()).groupBy("video_id").agg(F.array_sort(F.collect_set(item)).alias("set"))  # the items of one video
-    common = lambda x, y: F.size(F.array_intersect(x, y)).cast("double")
-    return close_sets(sets, F.size("set") - least + 1, common, least).select("a", "b", (F.col("value") * weight).alias("weight"))
+    return close_sets(item_sets(rows, item), F.size("set") - least + 1, common, least).select("a", "b", (F.col("value") * weight).alias("weight"))
+
+
+def item_links(rows: DataFrame, item: str, least: int = 1) -> DataFrame:
+    """J11 without pairs: (video_id, class_id, links) by set_links()."""
+    return set_links(item_sets(rows, item), F.size("set") - least + 1, common, least)
+
+
+def title_sets(videos: DataFrame) -> DataFrame:
+    return videos.select("video_id", F.array_sort(F.array_distinct(tokens(F.col("title")))).alias("set"))
+
+
+def title_prefix(least: float) -> Column:
+    return F.size("set") - F.ceil(F.size("set") * F.lit(least) - 1e-9) + 1
 
 
 def similar_titles(videos: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of videos whose titles' token sets have this Jaccard similarity or more (above 0)."""
-    sets = videos.select("video_id", F.array_sort(F.array_distinct(tokens(F.col("title")))).alias("set"))
-    return close_sets(sets, F.size("set") - F.ceil(F.size("set") * F.lit(least) - 1e-9) + 1, jaccard, least).withColumnRenamed("value", "similarity")
+    return close_sets(title_sets(videos), title_prefix(least), jaccard, least).withColumnRenamed("value", "similarity")
+
+
+def title_links(videos: DataFrame, least: float = 0.5) -> DataFrame:
+    """J12 without pairs: (video_id, class_id, links) by set_links()."""
+    return set_links(title_sets(videos), title_prefix(least), jaccard, least)
 
 
 def token_overlap(rows: DataFrame, by: str, token: str) -> DataFrame:

@@ -105,17 +105,18 @@ def j2_scored_list(spark, d):
     return R.scored_list(views.videos(spark, d), views.scores(spark, d), views.channels(spark, d))
 
 
-@query(with_views(V) + ", t AS (SELECT DISTINCT video_id, unnest(tags) AS tag FROM v) SELECT a.video_id AS a, b.video_id AS b, count(*)::DOUBLE AS weight FROM t a JOIN t b ON a.tag = b.tag AND a.video_id < b.video_id GROUP BY 1, 2 HAVING count(*) >= 3")
+LINKS = """cl AS (SELECT s, min(video_id) AS class_id FROM x GROUP BY 1), pr AS (SELECT a.video_id, count(*) AS links FROM x a JOIN x b ON a.video_id <> b.video_id WHERE {0} GROUP BY 1)
+SELECT video_id, class_id, coalesce(links, 0) AS links FROM x JOIN cl ON cl.s IS NOT DISTINCT FROM x.s LEFT JOIN pr USING (video_id)"""
+
+
+@query(with_views(V) + ", x AS (SELECT video_id, list_sort(list(DISTINCT t)) AS s FROM (SELECT video_id, unnest(tags) AS t FROM v) GROUP BY 1), " + LINKS.format("len(list_intersect(a.s, b.s)) >= 3"))
 def j11_shared_tags(spark, d):
-    v = views.videos(spark, d).select("video_id", F.explode("tags").alias("tag"))
-    return R.shared_items(v, "tag", least=3)
+    return R.item_links(views.videos(spark, d).select("video_id", F.explode("tags").alias("tag")), "tag", least=3)
 
 
-@query(with_views(V) + f""", s AS (SELECT video_id, list_distinct({tok_sql('title')}) AS t FROM v), u AS (SELECT video_id, len(t) AS n, unnest(t) AS tok FROM s),
-p AS (SELECT a.video_id AS a, b.video_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.tok = b.tok AND a.video_id < b.video_id GROUP BY 1, 2)
-SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM p WHERE k / (na + nb - k) >= 0.5""")
+@query(with_views(V) + f", x AS (SELECT video_id, list_sort(list_distinct({tok_sql('title')})) AS s FROM v), " + LINKS.format("len(list_intersect(a.s, b.s)) >= 0.5 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AND len(a.s) > 0 AND len(b.s) > 0"))
 def j12_similar_titles(spark, d):
-    return R.similar_titles(views.videos(spark, d), 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return R.title_links(views.videos(spark, d), 0.5)
 
 
 # aggregates

@@ -12,7 +12,10 @@ KEYWORDS = ("red", "blue", "small", "bolt", "gear", "ring", "widget", "anvil")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver's. Texts that lie in fewer files than there are cores are dealt out, since a small file is read by one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:

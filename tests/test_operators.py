@@ -88,6 +88,8 @@ def test_close_sets(spark):
     tagged = spark.createDataFrame([("1", "x"), ("2", "x"), ("1", "y"), ("2", "y"), ("3", "y")], "video_id string, tag string")
     assert rows(R.shared_items(tagged, "tag", 2.0), "a", "b", "weight") == [("1", "2", 4.0), ("1", "3", 2.0), ("2", "3", 2.0)]
     assert rows(R.shared_items(tagged, "tag", 1.0, 2), "a", "b", "weight") == [("1", "2", 2.0)]
+    assert rows(R.title_links(v, 0.6), "video_id", "class_id", "links") == [("0", "0", 2), ("1", "1", 2), ("2", "0", 2), ("3", "3", 0), ("4", "4", 0)]
+    assert rows(R.item_links(tagged, "tag", 2), "video_id", "class_id", "links") == [("1", "1", 1), ("2", "1", 1), ("3", "3", 0)]
 
 
 def test_tags(spark):
