@@ -903,15 +903,15 @@ x AS (SELECT *, coalesce(yb + slope * (tm + 7 - tb), opp, 0) AS nx, CASE WHEN tt
 y AS (SELECT *, CASE WHEN vd IN ('rising', 'falling') THEN vd WHEN vol = 'High' THEN 'high_demand' ELSE 'explained' END AS angle FROM x)
 SELECT keyword AS topic, vd AS verdict, round(nx, 6) AS next_opportunity, opp AS opportunity_score, comp AS competition_score, vol AS volume_label, {TITLE('keyword', 'angle')} AS title,
 replace('{T.LEARN.replace("'", "''").replace(chr(10), "' || chr(10) || '")}', '%s', keyword) || 'Research shows opportunity ' || {WHOLE('opp')} || '/100 vs competition ' || {WHOLE('comp')} || '/100. Demand is ' || vd || '. Ranking videos average ' || {VIEWS('mv')} || ' views. (' || vol || ' volume).' || chr(10) || chr(10) || '# ' || replace(keyword, ' ', '') || ' #TechExplained' AS description,
-[keyword] AS tags, rl AS reliability, CASE WHEN opp >= 70 THEN 'Very High' WHEN opp >= 50 THEN 'High' WHEN opp >= 30 THEN 'Medium' ELSE 'Low' END AS prediction, {WHY('opp', 'comp', 'vol', 'total')} AS why FROM y ORDER BY nx DESC, keyword LIMIT 5""")
+keyword AS tags, rl AS reliability, CASE WHEN opp >= 70 THEN 'Very High' WHEN opp >= 50 THEN 'High' WHEN opp >= 30 THEN 'Medium' ELSE 'Low' END AS prediction, {WHY('opp', 'comp', 'vol', 'total')} AS why FROM y ORDER BY nx DESC, keyword LIMIT 5""")
 def r7_next_videos(spark, d):
     own = views.videos(spark, d).where(F.col("channel_id") == OWN)
-    return reports.next_videos(views.research(spark, d), own).withColumn("next_opportunity", F.round("next_opportunity", 6))
+    return reports.next_videos(views.research(spark, d), own).withColumns({"next_opportunity": F.round("next_opportunity", 6), "tags": F.array_join("tags", "|")})
 
 
-@query(with_views(V, CHANNELS) + W3_SQL + ", tl AS (SELECT video_id, list_transform(coalesce(topic_categories, []), lambda u: replace(string_split(u, '/')[-1], '_', ' ')) AS topics FROM v) SELECT k.keyword, TIMESTAMP '2024-05-01' AS checked_at, video_id, CASE WHEN rank <= 10 THEN rank END AS position, topics FROM (SELECT unnest(['the', 'und', 'les', 'zzz']) AS keyword) k LEFT JOIN o USING (keyword) LEFT JOIN tl USING (video_id)")
+@query(with_views(V, CHANNELS) + W3_SQL + ", tl AS (SELECT video_id, list_transform(coalesce(topic_categories, []), lambda u: replace(string_split(u, '/')[-1], '_', ' ')) AS topics FROM v) SELECT k.keyword, TIMESTAMP '2024-05-01' AS checked_at, video_id, CASE WHEN rank <= 10 THEN rank END AS position, array_to_string(topics, '|') AS topics FROM (SELECT unnest(['the', 'und', 'les', 'zzz']) AS keyword) k LEFT JOIN o USING (keyword) LEFT JOIN tl USING (video_id)")
 def r9_keyword_check(spark, d):
-    return reports.keyword_check(views.videos(spark, d), competitors(spark, d), [*W3, "zzz"], "2024-05-01")
+    return reports.keyword_check(views.videos(spark, d), competitors(spark, d), [*W3, "zzz"], "2024-05-01").withColumn("topics", F.array_join("topics", "|"))
 
 
 @query(with_views(RANKINGS) + ", x AS (SELECT *, lag(position) OVER (PARTITION BY keyword ORDER BY checked_at) AS previous, count(*) OVER (PARTITION BY keyword) AS shots FROM rk) SELECT keyword, position AS latest_position, previous AS previous_position, position - previous AS delta, shots::INT AS shots FROM x QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY checked_at DESC) = 1")
