@@ -38,8 +38,8 @@ WORDS, ROWS, BANDS, LEAST = 5, 7, 30, 0.8
 STARS = 1
 #: Nodes of a bucket that are compared with each other in one group.
 CHUNK = 1024
-#: Registers by which they are compared; three times those of the bands, so that few pairs are left to be verified.
-REGISTERS = 3 * ROWS * BANDS
+#: Registers by which they are compared; six times those of the bands, so that few pairs are left to be verified.
+REGISTERS = 6 * ROWS * BANDS
 
 
 def bag(raw: bytes | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
