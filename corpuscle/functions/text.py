@@ -26,17 +26,17 @@ def token_list(text: str) -> list[str]:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order; empty for null."""
-    return F.coalesce(F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), ""), F.array().cast(NO_STRINGS))
 
 
 def words(text: Column) -> Column:
     """runs between white space."""
-    return F.coalesce(F.filter(F.split(text, f"{SPACE}+"), lambda x: x != ""), F.array().cast(NO_STRINGS))
+    return F.coalesce(F.array_remove(F.split(text, f"{SPACE}+"), ""), F.array().cast(NO_STRINGS))
 
 
 def lines(text: Column) -> Column:
     """Trimmed lines that aren't empty."""
-    return F.coalesce(F.filter(F.transform(F.split(text, r"\r?\n"), strip), lambda x: x != ""), F.array().cast(NO_STRINGS))
+    return F.coalesce(F.array_remove(F.transform(F.split(text, r"\r?\n"), strip), ""), F.array().cast(NO_STRINGS))
 
 
 def first_lines(text: Column, n: int = 2) -> Column:
