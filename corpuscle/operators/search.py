@@ -124,9 +124,10 @@ def vocabulary(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.explode(tokens(text)).alias("term")).distinct()
 
 
-def updated(index: DataFrame, changed: DataFrame, key: str) -> DataFrame:
-    """Postings after the documents of `changed` (postings too) were put in or replaced."""
-    return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(changed)
+def updated(index: DataFrame, changed: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """Postings after the documents of `changed` (postings too) were put in or replaced. keys: all that changed, also those that have no terms now."""
+    gone = changed if keys is None else keys
+    return index.join(gone.select(key).distinct(), key, "left_anti").unionByName(changed)
 
 
 def demand(hits: Column, full: int = 20) -> Column:

@@ -470,15 +470,16 @@ def nation_nodes(spark, d):
 
 
 def pagerank_sql(rounds: int) -> str:
-    out = NATIONS + ", l AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ed WHERE src <> dst), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS rank FROM nd)"
-    for k in range(1, rounds + 1):
-        out += f", r{k} AS (SELECT id, 0.15 / (SELECT count(*) FROM nd) + 0.85 * (coalesce((SELECT sum(p.rank * share) FROM l JOIN r{k - 1} p ON p.id = l.src WHERE l.dst = nd.id), 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT src FROM l)) / (SELECT count(*) FROM nd)) AS rank FROM nd)"
-    return out
+    out = "WITH " + NATIONS + ", l AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ed WHERE src <> dst), k AS (SELECT count(*)::DOUBLE AS n FROM nd), r0 AS (SELECT id, 1 / n AS rank FROM nd, k)"
+    for i in range(1, rounds + 1):
+        out += f""", r{i} AS MATERIALIZED (SELECT id, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS rank FROM nd LEFT JOIN (SELECT dst AS id, sum(p.rank * share) AS got FROM l JOIN r{i - 1} p ON p.id = l.src GROUP BY 1) USING (id),
+  (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src FROM l)), k)"""
+    return out + f" SELECT id, round(rank, 6) AS rank FROM r{rounds}"
 
 
-@query("WITH " + pagerank_sql(5) + " SELECT id, round(rank, 6) AS rank FROM r5")
+@query(pagerank_sql(50))
 def g1_pagerank(spark, d):
-    return graph.pagerank(nation_nodes(spark, d), nation_edges(spark, d), rounds=5).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(nation_nodes(spark, d), nation_edges(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(with_views(CATALOG) + f""", w AS (SELECT DISTINCT channel_id, unnest(list_concat({tok_sql('title')}, flatten(list_transform(tags, lambda g: {tok_sql('g').replace('lambda t: t', 'lambda q: q')})))) AS token FROM c), n AS (SELECT channel_id, count(*) AS n FROM w GROUP BY 1),
@@ -551,9 +552,9 @@ def distributed(run):
         graph.SMALL = held
 
 
-@query("WITH " + pagerank_sql(5) + " SELECT id, round(rank, 6) AS rank FROM r5")
+@query(pagerank_sql(50))
 def g1_pagerank_distributed(spark, d):
-    return distributed(lambda: graph.pagerank(nation_nodes(spark, d), nation_edges(spark, d), rounds=5)).select("id", F.round("rank", 6).alias("rank"))
+    return distributed(lambda: graph.pagerank(nation_nodes(spark, d), cut(nation_edges(spark, d)))).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(components_sql(14))
@@ -563,43 +564,28 @@ def g11_components_distributed(spark, d):
 
 
 def walk_sql(rounds: int) -> str:
-    out = NATIONS + ", l AS (SELECT src, dst, weight / 1000.0 / count(*) OVER (PARTITION BY src) AS share FROM ed), w0 AS (SELECT '3' AS id, 1.0::DOUBLE AS score)"
+    out = "WITH " + NATIONS + ", l AS (SELECT src, dst, weight / 1000.0 / count(*) OVER (PARTITION BY src) AS share FROM ed), w0 AS (SELECT '3' AS id, 1.0::DOUBLE AS score)"
     for k in range(1, rounds + 1):
-        out += f", w{k} AS (SELECT id, sum(score) AS score FROM (SELECT dst AS id, score * share * 0.7 AS score FROM w{k - 1} JOIN l ON src = id UNION ALL SELECT '3', 0.3) GROUP BY 1)"
-    return out
+        out += f", w{k} AS MATERIALIZED (SELECT id, sum(score) AS score FROM (SELECT dst AS id, score * share * 0.7 AS score FROM w{k - 1} JOIN l ON src = id UNION ALL SELECT '3', 0.3) GROUP BY 1)"
+    return out + f" SELECT id, round(score, 9) AS score FROM w{rounds} WHERE id <> '3' AND score > 0"
 
 
-@query("WITH " + walk_sql(4) + " SELECT id, round(score, 9) AS score FROM w4 WHERE id <> '3' AND score > 0")
+@query(walk_sql(50))
 def g7_random_walk(spark, d):
-    return graph.random_walk(nation_edges(spark, d).withColumn("weight", F.col("weight") / 1000.0), "3", rounds=4).withColumn("score", F.round("score", 9))
-
-
-# the same at the operators' own number of rounds, which unrolled SQL is too slow for, and with every relation
-
-
-@query(None)
-def g1_pagerank_whole(spark, d):
-    return graph.pagerank(nation_nodes(spark, d), nation_edges(spark, d)).select("id", F.round("rank", 6).alias("rank"))
-
-
-@query(None)
-def g7_random_walk_whole(spark, d):
     return graph.random_walk(nation_edges(spark, d).withColumn("weight", F.col("weight") / 1000.0), "3").withColumn("score", F.round("score", 9))
 
 
-@query(None)
-def g15_relations_whole(spark, d):
-    c = views.catalog(spark, d)
-    return graph.relations(c, graph.overlap_edges(c)).withColumn("weight", F.round("weight", 6))
-
-
 CANON = "replace(lower(trim({0})), ' ', '-')"
 
 
-@query(with_views(CATALOG) + f" SELECT 'video:' || {CANON.format('video_id')} AS src, 'tag:' || {CANON.format('t')} AS dst, 'tagged_with' AS relation, round(max(1.0 / (1 + pos)), 6) AS weight FROM (SELECT video_id, unnest(tags) AS t, generate_subscripts(tags, 1) - 1 AS pos FROM c) GROUP BY 1, 2 UNION ALL SELECT 'video:' || {CANON.format('video_id')}, 'channel:' || {CANON.format('channel_id')}, 'created_by', 1.0 FROM c")
+@query(with_views(CATALOG) + f""", t AS (SELECT DISTINCT video_id, lower(trim(x)) AS tag FROM (SELECT video_id, unnest(tags) AS x FROM c) WHERE trim(x) <> ''), n AS (SELECT tag, count(*) AS n FROM t GROUP BY 1), p AS (SELECT a.tag AS a, b.tag AS b, count(*) AS k FROM t a JOIN t b ON a.video_id = b.video_id AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 2),
+w AS (SELECT DISTINCT channel_id, unnest(list_concat({tok_sql('title')}, flatten(list_transform(tags, lambda g: {tok_sql('g').replace('lambda t: t', 'lambda q: q')})))) AS token FROM c), wn AS (SELECT channel_id, count(*) AS n FROM w GROUP BY 1), wp AS (SELECT a.channel_id AS x, b.channel_id AS y, count(*) AS k FROM w a JOIN w b ON a.token = b.token AND a.channel_id <> b.channel_id GROUP BY 1, 2),
+r(src, dst, relation, weight) AS (SELECT 'video:' || {CANON.format('video_id')}, 'tag:' || {CANON.format('t')}, 'tagged_with', 1.0 / (1 + pos) FROM (SELECT video_id, unnest(tags) AS t, generate_subscripts(tags, 1) - 1 AS pos FROM c) UNION ALL SELECT 'video:' || {CANON.format('video_id')}, 'channel:' || {CANON.format('channel_id')}, 'created_by', 1.0 FROM c
+UNION ALL SELECT 'tag:' || {CANON.format('a')}, 'tag:' || {CANON.format('b')}, 'related_to', k / (x.n + y.n - k) FROM p JOIN n x ON x.tag = a JOIN n y ON y.tag = b UNION ALL SELECT 'channel:' || {CANON.format('x')}, 'channel:' || {CANON.format('y')}, 'competes_in', k / (na.n + nb.n - k) FROM wp JOIN wn na ON na.channel_id = x JOIN wn nb ON nb.channel_id = y)
+SELECT src, dst, relation, round(max(weight), 6) AS weight FROM r GROUP BY 1, 2, 3""")
 def g15_relations(spark, d):
-    none = spark.createDataFrame([], "from_channel string, to_channel string, weight double")
-    return graph.relations(views.catalog(spark, d), none).where("relation in ('tagged_with', 'created_by')").withColumn("weight", F.round("weight", 6))
+    c = views.catalog(spark, d)
+    return graph.relations(c, graph.overlap_edges(c)).withColumn("weight", F.round("weight", 6))
 
 
 @query(with_views(V) + f", l AS (SELECT channel_id AS channel, unnest({tok_sql('title')}) AS topic, video_id FROM v) SELECT topic, count(DISTINCT video_id) AS n, count(DISTINCT channel) AS channels, round(least(10.0 * count(DISTINCT video_id) / count(DISTINCT channel), 100), 6) AS score FROM l WHERE topic NOT IN (SELECT topic FROM l WHERE channel = '{OWN}') GROUP BY 1")

@@ -251,8 +251,8 @@ def test_whole_rounds(spark):
         lost = sum(rank[i] for i in ids if not total[i])
         rank = {i: 0.15 / len(ids) + 0.85 * (lost / len(ids) + sum(rank[a] * w / total[a] for (a, b), w in links.items() if b == i != a)) for i in ids}
         walk = {i: 0.3 * (i == "3") + sum(walk.get(a, 0) * w / 1000 / degree[a] * 0.7 for (a, b), w in links.items() if b == i) for i in ids}
-    assert dict(catalogue.QUERIES["g1_pagerank_whole"](spark, SMALLEST).collect()) == pytest.approx(rank, abs=2e-6)
-    assert dict(catalogue.QUERIES["g7_random_walk_whole"](spark, SMALLEST).collect()) == pytest.approx({i: x for i, x in walk.items() if i != "3" and x > 0}, abs=2e-9)
+    assert dict(catalogue.QUERIES["g1_pagerank"](spark, SMALLEST).collect()) == pytest.approx(rank, abs=2e-6)
+    assert dict(catalogue.QUERIES["g7_random_walk"](spark, SMALLEST).collect()) == pytest.approx({i: x for i, x in walk.items() if i != "3" and x > 0}, abs=2e-9)
 
 
 def test_whole_relations(spark):
@@ -282,7 +282,7 @@ def test_whole_relations(spark):
         for b in of:
             if a != b and of[a] & of[b]:
                 put(name("channel", a), name("channel", b), "competes_in", len(of[a] & of[b]) / len(of[a] | of[b]))
-    got = {(r["src"], r["dst"], r["relation"]): r["weight"] for r in catalogue.QUERIES["g15_relations_whole"](spark, SMALLEST).collect()}
+    got = {(r["src"], r["dst"], r["relation"]): r["weight"] for r in catalogue.QUERIES["g15_relations"](spark, SMALLEST).collect()}
     assert {k[2] for k in got} == {"created_by", "tagged_with", "related_to", "competes_in"}
     assert got == pytest.approx(want, abs=2e-6)
 
