@@ -52,13 +52,13 @@ def by_both(pieces: str, words_file: str) -> WordIds:
         stems: dict[bytes, bytes] = {}
 
         def encode(words: list[bytes], _: dict[bytes, bytes]) -> list[bytes]:
-            if len(stems) > 300_000:
+            if len(stems) > 150_000:
                 stems.clear()
             ids = model.encode([w.decode() for w in words], num_threads=1)
             numbers = [divmod(len(y) // 4, COUNT - 1) for y in other.encode(words, stems)]
             return [array("H", [*x, *[2 * COUNT - 1] * whole, COUNT | rest]).tobytes() for x, (whole, rest) in zip(ids, numbers)]
 
-        LOADED[pieces, words_file] = WordIds(encode, 400_000)
+        LOADED[pieces, words_file] = WordIds(encode, 250_000)
     return LOADED[pieces, words_file]
 
 

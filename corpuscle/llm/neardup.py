@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .hashing import BASE, U, mixed, word_hashes
 from .store import keep
-from .words import raw_texts, slices
+from .words import forget, raw_texts, slices
 
 WORDS, ROWS, BANDS, LEAST = 5, 7, 30, 0.8
 STARS = 1
@@ -108,6 +108,7 @@ def signed(documents: DataFrame, text: str, words: int, rows: int, bands: int) -
     """The documents with _bands, _node (a digest of the text) and _row, in the shared folder."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker may have run other operators before
         for batch in slices(batches, text):
             found = [band_hashes(raw, words, rows, bands) for raw in raw_texts(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "_bands"])

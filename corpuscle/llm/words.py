@@ -21,6 +21,11 @@ import pyarrow.compute as pc
 LOADED: dict[Any, Any] = {}
 
 
+def forget() -> None:
+    """Frees a worker's tokenizers and the words that they have met, for operators that need the memory and no tokenizer."""
+    LOADED.clear()
+
+
 class WordIds:
     """The ids of words, as bytes in whatever form `encode` gives them; encode gets new words and what is known by now."""
 
