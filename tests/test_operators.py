@@ -92,6 +92,22 @@ def test_close_sets(spark):
     assert rows(R.item_links(tagged, "tag", 2), "video_id", "class_id", "links") == [("1", "1", 1), ("2", "1", 1), ("3", "3", 0)]
 
 
+def test_title_links_compared(spark, monkeypatch):
+    """Titles that share five words of eight, and so aren't close, are never compared; those that differ in a word are, once."""
+    compared = spark.sparkContext.accumulator(0)
+
+    def similarity(a, b):
+        compared.add(1)
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+
+    monkeypatch.setattr(R, "jaccard", F.udf(similarity, "double"))
+    titles = [f"all of them share this x{i} y{i} z{i}" for i in range(200)] + ["one two three four", "one two three five", "one two three five", None]
+    out = R.title_links(videos(spark, *[{"title": t} for t in titles]), 0.5)
+    links = {r["video_id"]: (r["class_id"], r["links"]) for r in out.collect()}
+    assert links == {str(i): (str(i), 0) for i in range(200)} | {"200": ("200", 2), "201": ("201", 2), "202": ("201", 2), "203": ("203", 0)}
+    assert compared.value < 5 * len(titles)
+
+
 def test_tags(spark):
     v = videos(spark, {"tags": ["X", "y"]}, {"tags": ["x"], "channel_id": "b"}, {"tags": ["z"], "channel_id": "b"}, {"tags": ["z"], "channel_id": "b"})
     assert [(r["tag"], r["opportunity"]) for r in R.tag_gaps(v, "a").collect()] == [("z", 2.0)]
