@@ -86,6 +86,15 @@ def test_gap_score(spark, mean, channels, score):
     assert near(one(spark, N.gap_score(F.lit(mean), F.lit(channels))), score)
 
 
+def test_whole_days(spark):
+    at = lambda *x: F.lit(dt.datetime(2024, 1, *x))
+    half = at(8, 23, 59, 59, 500_000)
+    assert one(spark, N.whole_days(half, at(9))) == 0 and one(spark, N.whole_days(at(9), half)) == 0
+    assert one(spark, N.whole_days(half, at(10))) == 1 and one(spark, N.whole_days(at(9, 23, 59, 59), at(9))) == 0
+    assert one(spark, N.whole_days(half, at(9, 23, 59, 59, 400_000))) == 0  # a tenth of a second less than a day
+    assert one(spark, N.whole_days(half, at(9, 23, 59, 59, 500_000))) == 1 and one(spark, N.whole_days(at(12), at(10))) == 2
+
+
 def test_performance(spark):
     at = lambda h: F.lit(dt.datetime(2024, 1, 1, h))
     assert near(one(spark, N.views_per_hour(F.lit(100), at(0), at(10))), 10)
