@@ -95,6 +95,38 @@ def test_whole_days(spark):
     assert one(spark, N.whole_days(half, at(9, 23, 59, 59, 500_000))) == 1 and one(spark, N.whole_days(at(12), at(10))) == 2
 
 
+def test_views_per_hour_before_publishing(spark):
+    at = lambda h: F.lit(dt.datetime(2024, 1, 1, h))
+    assert one(spark, N.views_per_hour(F.lit(100), at(10), at(0))) is None and one(spark, N.views_per_hour(F.lit(100), at(1), at(1))) is None
+    plain = lambda n, a, b: one(spark, N.views_per_hour(F.lit(n), a, b, guard=False))
+    assert near(plain(100, at(0), at(10)), 10) and near(plain(100, at(10), at(0)), -10)
+    assert plain(100, at(1), at(1)) == float("inf") and str(plain(0, at(1), at(1))) == "nan"
+    assert plain(100, F.lit(None).cast("timestamp"), at(1)) is None
+
+
+def late_documents(spark, folder):
+    """Documents around the hour that the queries take for now, and a vector for some."""
+    rows = [(i, f"text {i}", "en", f"src{i % 3}", (i * 37) % 500 + (i != 12409)) for i in (*range(40), *range(12400, 12420), *range(20000, 20010))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, [0.5] * 8) for i in (0, 12408, 20000)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["a35_trending"])
+def test_queries_after_now(spark, tmp_path, name):
+    """The rates of documents published later than now are those of the query's SQL."""
+    import __spark_entry__
+
+    duckdb = pytest.importorskip("duckdb")
+    folder = late_documents(spark, tmp_path)
+    df = __spark_entry__.queries()[name](spark, folder)
+    with duckdb.connect() as con:
+        for t in ("documents", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
 def test_performance(spark):
     at = lambda h: F.lit(dt.datetime(2024, 1, 1, h))
     assert near(one(spark, N.views_per_hour(F.lit(100), at(0), at(10))), 10)
