@@ -319,11 +319,11 @@ def video_query(videos: DataFrame, scores: DataFrame, query: str | None = None,
     return ordered(out.select("video_id", "title", "channel_id", "relevance", "view_count", "published_at", "seo_score", "total_score"), mode, limit)
 
 
-def signals(videos: DataFrame, heatmaps: DataFrame, now) -> DataFrame:
-    """By video views per hour, engagement and retention; heatmaps: (video_id, points) with a value each."""
+def signals(videos: DataFrame, heatmaps: DataFrame, now, guard: bool = True) -> DataFrame:
+    """By video views per hour (with or without the guard), engagement and retention; heatmaps: (video_id, points) with a value each."""
     curve = heatmaps.select("video_id", F.transform("points", lambda p: p["value"]).alias("curve"))
     ratio = engagement_ratio(F.col("view_count"), F.col("like_count"), F.col("comment_count"))
-    out = videos.join(curve, "video_id", "left").withColumns({"vph": views_per_hour(F.col("view_count"), F.col("published_at"), F.lit(now).cast("timestamp")), "engagement_ratio": ratio, "engagement_score": engagement_score(ratio)})
+    out = videos.join(curve, "video_id", "left").withColumns({"vph": views_per_hour(F.col("view_count"), F.col("published_at"), F.lit(now).cast("timestamp"), guard), "engagement_ratio": ratio, "engagement_score": engagement_score(ratio)})
     return trending(out).select("video_id", "vph", "trending", "engagement_ratio", "engagement_score", hook_strength(F.col("curve")).alias("hook_retention"), mean_retention(F.col("curve")).alias("mean_retention"), retention_score(F.col("curve")).alias("retention_score"))
 
 

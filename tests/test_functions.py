@@ -112,7 +112,7 @@ def late_documents(spark, folder):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["a35_trending", "f22_views_per_hour"])
+@pytest.mark.parametrize("name", ["a35_trending", "f22_views_per_hour", "z9_signals"])
 def test_queries_after_now(spark, tmp_path, name):
     """The rates of documents published later than now are those of the query's SQL."""
     import __spark_entry__
