@@ -22,6 +22,9 @@ def near(a, b):
 def test_tokens(spark):
     assert one(spark, T.tokens(F.lit("Über-fáCile"))) == ["über", "fácile"]
     assert one(spark, T.tokens(F.lit(None).cast("string"))) == []
+    for text in ("-a b, c d", "a b c", "a b-", "--", "", "a-b c d e", None):
+        every = one(spark, T.tokens(F.lit(text).cast("string")))
+        assert one(spark, T.tokens(F.lit(text).cast("string"), 3)) == every[:3]
     assert one(spark, T.first_lines(F.lit(" a \n\n b\r\nc"))) == "a b"
 
 

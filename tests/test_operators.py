@@ -109,6 +109,23 @@ def test_title_links_compared(spark, monkeypatch):
     assert compared.value < 5 * len(titles)
 
 
+@pytest.mark.parametrize("least", [1, 2, 3, 9])
+def test_item_links_counted(spark, monkeypatch, least):
+    """Links of small sets are counted without a pair, those with larger ones are found as well; all are as by brute force."""
+    pick = np.random.default_rng(7)
+    sets = {f"v{i:03d}": {str(x) for x in pick.choice(14, pick.integers(1, 7), replace=False)} for i in range(150)} | {f"e{i}": {"11", "1", "", ":"} for i in range(5)} | {"f": {"1", "11:"}}
+    large = {f"w{i}": {str(x) for x in range(i, i + 10)} for i in range(4)} | {"w9": {str(x) for x in range(10)}}
+
+    def links(of):
+        rows_ = spark.createDataFrame([(v, t) for v, s in of.items() for t in s], "video_id string, tag string")
+        return {r["video_id"]: (r["class_id"], r["links"]) for r in R.item_links(rows_, "tag", least).collect()}
+
+    want = lambda of: {v: (min(x for x in of if of[x] == s), sum(x != v and len(of[x] & s) >= least for x in of)) for v, s in of.items()}
+    assert links(sets | large) == want(sets | large)
+    monkeypatch.setattr(R, "near_sets", None)
+    assert links(sets) == want(sets)
+
+
 def test_tags(spark):
     v = videos(spark, {"tags": ["X", "y"]}, {"tags": ["x"], "channel_id": "b"}, {"tags": ["z"], "channel_id": "b"}, {"tags": ["z"], "channel_id": "b"})
     assert [(r["tag"], r["opportunity"]) for r in R.tag_gaps(v, "a").collect()] == [("z", 2.0)]
